@@ -92,7 +92,7 @@ def op3_secrets(spark, sf_dir: str) -> DataFrame:
     return scan(spark, docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
-_GAPPED = """list_transform(list_zip(regexp_extract_all(t, {g}, 1), regexp_extract_all(t, {g}, 2), regexp_extract_all(t, {g}, {held})), x -> {{'g': length(x[1]), 'm': length(x[2]), 'v': length(x[3])}})"""
+_GAPPED = """list_transform(list_zip(regexp_extract_all(t, {g}, 1), regexp_extract_all(t, {g}, 2), regexp_extract_all(t, {g}, {held})), lambda x: {{'g': length(x[1]), 'm': length(x[2]), 'v': length(x[3])}})"""
 
 
 def _kind_sql(turn: int, kind: str, pattern: str, group: int, least: int) -> str:
