@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tessera.llm.langid import op2_langid
 from tessera.llm.mixing import OP9_SQL, op9_mixing
+from tessera.llm.packing import op6_packing
 from tessera.llm.secret_scan import OP3_SQL, op3_secrets
 from tessera.llm.sharding import op8_sharding
 
 QUERIES = {
+    "op2_langid": (op2_langid, None),
     "op3_secrets": (op3_secrets, OP3_SQL),
+    "op6_packing": (op6_packing, None),
     "op8_sharding": (op8_sharding, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
 }
