@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from tessera.llm.hnsw import op1_ann
 from tessera.llm.langid import op2_langid
 from tessera.llm.mixing import OP9_SQL, op9_mixing
 from tessera.llm.packing import op6_packing
 from tessera.llm.secret_scan import OP3_SQL, op3_secrets
 from tessera.llm.sharding import op8_sharding
+from tessera.llm.voronoi import OP7_SQL, op7_topk
 
 QUERIES = {
+    "op1_ann": (op1_ann, None),
     "op2_langid": (op2_langid, None),
     "op3_secrets": (op3_secrets, OP3_SQL),
     "op6_packing": (op6_packing, None),
+    "op7_topk": (op7_topk, OP7_SQL),
     "op8_sharding": (op8_sharding, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
 }
