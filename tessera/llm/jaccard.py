@@ -293,7 +293,8 @@ def _across(entries: DataFrame, nodes: DataFrame, labels: DataFrame, tried: Data
     two = span.select("tile", F.col("block").alias("c"), F.col("least").alias("least2"))
     meet = span.join(two, "tile").where((F.col("c") >= F.col("block")) & (F.col("most") * similar[1] >= F.col("least2") * similar[0])).select("tile", "block", "c")
     left = e.join(meet, ["tile", "block"]).withColumn("side", F.lit(0))
-    right = e.join(meet.select("tile", F.col("block").alias("b0"), "c"), (e["tile"] == meet["tile"]) & (e["block"] == F.col("c"))).select(e["tile"], F.col("b0").alias("block"), "c", "node", "size", "component", "bits", F.lit(1).alias("side"))
+    turned = meet.select("tile", F.col("block").alias("first"), F.col("c").alias("block"))
+    right = e.join(turned, ["tile", "block"]).select("tile", F.col("first").alias("block"), F.col("block").alias("c"), "node", "size", "component", "bits", F.lit(1).alias("side"))
     dealt = left.select("tile", "block", "c", "node", "size", "component", "bits", "side").union(right)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -370,3 +371,20 @@ def join_components(docs: DataFrame, n: int = WORDS, similar: tuple[int, int] =
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return join_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 75 * (na.n + nb.n - both)
+), reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r
+)
+SELECT d.doc_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.hnsw import op1_ann
+from tessera.llm.jaccard import OP4_SQL, op4_jaccard
 from tessera.llm.langid import op2_langid
 from tessera.llm.mixing import OP9_SQL, op9_mixing
 from tessera.llm.packing import op6_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_ann": (op1_ann, None),
     "op2_langid": (op2_langid, None),
     "op3_secrets": (op3_secrets, OP3_SQL),
+    "op4_jaccard": (op4_jaccard, OP4_SQL),
     "op6_packing": (op6_packing, None),
     "op7_topk": (op7_topk, OP7_SQL),
     "op8_sharding": (op8_sharding, None),
