@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.fingerprint_log import OP5_SQL, op5_substrings
 from tessera.llm.hnsw import op1_ann
 from tessera.llm.jaccard import OP4_SQL, op4_jaccard
 from tessera.llm.langid import op2_langid
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_langid": (op2_langid, None),
     "op3_secrets": (op3_secrets, OP3_SQL),
     "op4_jaccard": (op4_jaccard, OP4_SQL),
+    "op5_substrings": (op5_substrings, OP5_SQL),
     "op6_packing": (op6_packing, None),
     "op7_topk": (op7_topk, OP7_SQL),
     "op8_sharding": (op8_sharding, None),
