@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, mix64, ngram_hashes, text_batches, word_hashes
+from tessera.llm.common import WORD, materialize, mix64, ngram_hashes, text_batches, word_hashes
 from tessera.llm.components import components
 
 WORDS, SIMILAR = 5, (75, 100)
@@ -368,6 +368,19 @@ def join_components(docs: DataFrame, n: int = WORDS, similar: tuple[int, int] =
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.col("_node").alias("node"), F.when(F.col("_node").isNull(), F.col("doc_id")).otherwise(F.col("_component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of docs for each group of linked documents: the one of smallest doc_id, which names the group.
+
+    Documents with the empty set are in no group and all stay. Of repeated rows one stays; rows of one doc_id with unlike texts stay apart.
+    """
+    found = join_components(docs, **options)
+    kept = materialize(found.where("node IS NOT NULL").select(F.col("component_id").alias("_id")).distinct(), "kept")
+    worded = docs.where(F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)))
+    rest = docs.where(~F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)))
+    one = worded.join(kept, worded["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.unionByName(rest)
+
+
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return join_components(docs).select("doc_id", "n_shingles", "component_id")

@@ -178,6 +178,15 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def accept(docs: DataFrame, least: float = 0.25, model: dict | None = None) -> DataFrame:
+    """The rows of docs whose language can be told: not `und`, and with a score of `least` or more.
+
+    A null lang is filled with the prediction; a given one stays.
+    """
+    out = identify(docs, train(docs) if model is None else model).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least))
+    return out.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_langid(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), train(docs))

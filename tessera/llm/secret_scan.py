@@ -87,6 +87,31 @@ def scan(spark: SparkSession, versions: DataFrame, ledger: str | None = None, ru
     return out.select(*[versions[c] for c in kept], "_blob", *[F.coalesce(F.col(f"_n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.coalesce(F.col("_spans"), F.lit("")).alias("spans"))
 
 
+def redact(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rules: str = "base-1", mark: str = "[SECRET]") -> DataFrame:
+    """docs with each stretch of overlapping or touching findings in text replaced by `mark`; n_chars, if there, follows.
+
+    Texts without findings stay as they are, null too. All rows stay.
+    """
+    found = scan(spark, docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c != "text"}), ledger, rules)
+    spans = F.transform(F.split("spans", ","), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), F.split(x, ":")[2].cast("int").alias("e")))
+    text = F.col("text")
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, x):
+        fresh = x["s"] > acc["at"]
+        first = (acc["at"] == 0) & (x["s"] == 0)
+        lead = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
+        out = F.when(fresh, lead).when(first & (acc["out"] == ""), F.lit(mark)).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
+
+    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = found.withColumn("text", F.when(F.col("spans") != "", clean).otherwise(text))
+    names = [F.col("text") if c == "text" else F.col(f"`_own_{c}`").alias(c) for c in docs.columns]
+    if "n_chars" in docs.columns:
+        names[docs.columns.index("n_chars")] = F.when(F.col("spans") != "", F.length("text")).otherwise(F.col("_own_n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*names)
+
+
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan(spark, docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
