@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 # Fixed values.
 STOP_WORDS = "the and for are but not you all can had her was one our out has have that this from with they been will each make like than them then into some when which".split()
@@ -150,7 +151,7 @@ def strip_html(html) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]+>", " "), r"\s+", " "))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sequence-matcher ratio; null counts as empty."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -2,4 +2,465 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tessera.functions import numeric as N
+from tessera.functions import text as T
+from tessera.operators import graph, impact, load, match, register, search, segment, stats, validate
+from tessera.plans import adaptor as A
+from tessera.plans.adaptor import sql
+from tessera.streaming import logs
+
 QUERIES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = (fn, oracle)
+        return fn
+
+    return add
+
+
+# ---- counts and distributions
+
+@query(sql("rules dependencies", """, ends AS (SELECT src AS node, 1 AS o FROM dependencies UNION ALL SELECT dst, 0 FROM dependencies),
+d AS (SELECT node, sum(o) AS out_degree, sum(1 - o) AS in_degree, count(*) AS degree FROM ends GROUP BY node)
+SELECT rule_id, rule_name, CAST(out_degree AS BIGINT) AS out_degree, CAST(in_degree AS BIGINT) AS in_degree, degree FROM d JOIN rules ON rule_id = node ORDER BY degree DESC, rule_id LIMIT 10""".lstrip(", ")))
+def hub_rules(s, d):
+    return stats.hubs(A.rules(s, d), A.dependencies(s, d))
+
+
+@query(sql("rules dependencies", """ends AS (SELECT src AS node, 1 AS o FROM dependencies UNION ALL SELECT dst, 0 FROM dependencies),
+d AS (SELECT node, sum(o) AS out_degree, sum(1 - o) AS in_degree, count(*) AS degree FROM ends GROUP BY node)
+SELECT rule_id, CAST(coalesce(out_degree, 0) AS BIGINT) AS out_degree, CAST(coalesce(in_degree, 0) AS BIGINT) AS in_degree, coalesce(degree, 0) AS degree FROM rules LEFT JOIN d ON rule_id = node"""))
+def rule_degrees(s, d):
+    return stats.with_degrees(A.rules(s, d), A.dependencies(s, d)).select("rule_id", "out_degree", "in_degree", "degree")
+
+
+@query(sql("rules", "SELECT rule_type, count(*) AS n FROM rules GROUP BY 1"))
+def rules_by_type(s, d):
+    return stats.count_by(A.rules(s, d), "rule_type")
+
+
+@query(sql("rules", "SELECT 'business_rule' AS label, count(*) AS n FROM rules UNION ALL SELECT 'entity_category', count(DISTINCT category) FROM rules"))
+def vertices_by_label(s, d):
+    r = A.rules(s, d)
+    return r.agg(F.count("*").alias("n")).select(F.lit("business_rule").alias("label"), "n").unionByName(r.agg(F.count_distinct("category").alias("n")).select(F.lit("entity_category").alias("label"), "n"))
+
+
+@query(sql("rules dependencies", "SELECT 'depends_on' AS label, count(*) AS n FROM dependencies UNION ALL SELECT 'belongs_to_category', count(*) FROM rules"))
+def edges_by_label(s, d):
+    e = A.dependencies(s, d).agg(F.count("*").alias("n")).select(F.lit("depends_on").alias("label"), "n")
+    return e.unionByName(A.rules(s, d).agg(F.count("*").alias("n")).select(F.lit("belongs_to_category").alias("label"), "n"))
+
+
+@query(sql("dependencies", "SELECT dependency_type, count(*) AS n FROM dependencies GROUP BY 1"))
+def dependency_types(s, d):
+    return stats.count_by(A.dependencies(s, d), "dependency_type")
+
+
+@query(sql("rules", "SELECT c.category, count(r.rule_id) AS rule_count FROM (SELECT DISTINCT category FROM rules UNION SELECT 'Brand#none') c LEFT JOIN rules r ON r.category = c.category GROUP BY 1"))
+def category_counts(s, d):
+    r = A.rules(s, d)
+    known = r.select("category").distinct().union(s.createDataFrame([("Brand#none",)], "category string"))
+    return stats.categories(r, known)
+
+
+@query(sql("rules", "SELECT count(*) FILTER (WHERE confidence_score > 90) AS high, count(*) FILTER (WHERE confidence_score > 70 AND confidence_score < 90.01) AS medium, count(*) FILTER (WHERE confidence_score <= 70) AS low FROM rules"))
+def confidence_bands(s, d):
+    return stats.confidence_bands(A.rules(s, d))
+
+
+@query(sql("rules", "SELECT count(*) FILTER (WHERE mandatory) AS mandatory, count(*) FILTER (WHERE requires_review) AS review, count(*) FILTER (WHERE NOT mandatory) AS optional, count(*) AS rules FROM rules"))
+def flag_counts(s, d):
+    return stats.flag_counts(A.rules(s, d))
+
+
+@query(sql("rules", "SELECT CAST(low AS VARCHAR) || '-' || CAST(low + 5 AS VARCHAR) AS bucket, count(*) AS n FROM (SELECT CAST(floor(confidence_score / 5) * 5 AS INTEGER) AS low FROM rules) GROUP BY low"))
+def confidence_histogram(s, d):
+    return stats.confidence_histogram(A.rules(s, d))
+
+
+@query(sql("rules", "SELECT avg(coalesce(confidence_score, 0)) AS mean, min(coalesce(confidence_score, 0)) AS least, max(coalesce(confidence_score, 0)) AS most, avg(confidence_score) FILTER (WHERE confidence_score > 0) AS mean_scored, count(*) FILTER (WHERE confidence_score > 0 AND confidence_score < 70) AS low FROM rules"))
+def confidence_summary(s, d):
+    return stats.confidence_summary(A.rules(s, d))
+
+
+@query(sql("rules", "SELECT rule_type, n, CAST(floor(n * 100.0::DOUBLE / sum(n) OVER () + 0.5) AS BIGINT) AS percent FROM (SELECT rule_type, count(*) AS n FROM rules GROUP BY 1)"))
+def type_shares(s, d):
+    return stats.shares(A.rules(s, d), "rule_type")
+
+
+@query(sql("obligations", "SELECT coalesce(nullif(lower(risk_level), ''), 'unknown') AS risk_level, count(*) AS n FROM obligations GROUP BY 1"))
+def risk_levels(s, d):
+    return stats.count_by(A.obligations(s, d), stats.known("risk_level").alias("risk_level"))
+
+
+@query(sql("rules dependencies", "SELECT count(*) AS isolated FROM rules WHERE rule_id NOT IN (SELECT src FROM dependencies UNION SELECT dst FROM dependencies)"))
+def isolated_rules(s, d):
+    return stats.isolated(A.rules(s, d), A.dependencies(s, d)).agg(F.count("*").alias("isolated"))
+
+
+@query("SELECT min(w) AS least, max(w) AS most, CAST(floor(avg(w)) AS BIGINT) AS mean, max(w) FILTER (WHERE r = t // 2) AS median, max(w) FILTER (WHERE r = CAST(floor(t * 0.1) AS BIGINT)) AS p10, max(w) FILTER (WHERE r = CAST(floor(t * 0.9) AS BIGINT)) AS p90, count(*) FILTER (WHERE w < 500) AS under, count(*) FILTER (WHERE w > 2000) AS over FROM (SELECT w, row_number() OVER (ORDER BY w) - 1 AS r, count(*) OVER () AS t FROM (SELECT CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS w FROM documents))".replace("\\\\", "\\"))
+def document_sizes(s, d):
+    return stats.size_stats(A.table(s, d, "documents").select(T.word_count("text").alias("w")), "w")
+
+
+@query(sql("rules", """hit AS (SELECT term, rule_id, unnest(regexp_extract_all(description || ' ' || CAST(CAST(confidence_score AS BIGINT) AS VARCHAR), '\\d+\\.?\\d*')) AS number
+  FROM rules, (SELECT unnest(['widget', 'ring', 'economy']) AS term) WHERE contains(lower(description), term))
+SELECT term, count(DISTINCT rule_id) AS rules, list_sort(list_distinct(list(number))) AS thresholds FROM hit GROUP BY term HAVING count(DISTINCT rule_id) > 1 AND count(DISTINCT number) > 1""".replace("\\\\", "\\")))
+def term_thresholds(s, d):
+    r = A.rules(s, d).withColumn("description", F.concat_ws(" ", "description", F.col("confidence_score").cast("long").cast("string")))
+    return stats.term_thresholds(r, ["widget", "ring", "economy"])
+
+
+# ---- canned graph queries
+
+@query(sql("rules", "SELECT rule_name, confidence_score, rule_type, rule_id FROM rules WHERE confidence_score > 90 ORDER BY confidence_score DESC, rule_id LIMIT 20"))
+def high_confidence(s, d):
+    return A.rules(s, d).where("confidence_score > 90").select("rule_name", "confidence_score", "rule_type", "rule_id").orderBy(F.desc("confidence_score"), "rule_id").limit(20)
+
+
+@query(sql("rules", "SELECT rule_id, rule_name, confidence_score FROM rules WHERE requires_review ORDER BY confidence_score, rule_id LIMIT 20"))
+def review_queue(s, d):
+    return A.rules(s, d).where("requires_review").select("rule_id", "rule_name", "confidence_score").orderBy("confidence_score", "rule_id").limit(20)
+
+
+@query(sql("rules", "SELECT rule_id, rule_name, description FROM rules WHERE rule_type = 'prohibition' AND mandatory"))
+def mandatory_prohibitions(s, d):
+    return A.rules(s, d).where("rule_type = 'prohibition' AND mandatory").select("rule_id", "rule_name", "description")
+
+
+@query(sql("rules dependencies", "SELECT e.src, e.dst, a.rule_name AS from_name, b.rule_name AS to_name, e.dependency_type FROM dependencies e JOIN rules a ON a.rule_id = e.src JOIN rules b ON b.rule_id = e.dst WHERE strength = 5"))
+def strongest_dependencies(s, d):
+    return graph.named_edges(A.dependencies(s, d).where("strength = 5"), A.rules(s, d)).select("src", "dst", "from_name", "to_name", "dependency_type")
+
+
+@query(sql("rules dependencies", "SELECT e.src, e.dst, a.rule_name AS from_name, b.rule_name AS to_name FROM dependencies e JOIN rules a ON a.rule_id = e.src JOIN rules b ON b.rule_id = e.dst WHERE dependency_type = 'override'"))
+def override_rules(s, d):
+    return graph.named_edges(A.dependencies(s, d).where("dependency_type = 'override'"), A.rules(s, d)).select("src", "dst", "from_name", "to_name")
+
+
+@query(sql("dependencies", "SELECT b.src AS middle, count(*) AS chains FROM dependencies a JOIN dependencies b ON a.dst = b.src WHERE a.dependency_type = 'prerequisite' AND b.dependency_type = 'prerequisite' GROUP BY 1"))
+def prerequisite_chains(s, d):
+    # chains through a node are its entries times its exits: no chain is made
+    e = A.dependencies(s, d).where("dependency_type = 'prerequisite'")
+    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("middle"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("middle"), F.lit(0).alias("o")))).alias("e"))
+    n = ends.groupBy("e.middle").agg(F.sum("e.o").alias("o"), F.sum(1 - F.col("e.o")).alias("i"))
+    return n.select("middle", (F.col("o") * F.col("i")).alias("chains")).where("chains > 0")
+
+
+@query(sql("rules", "SELECT rule_id, rule_name FROM rules WHERE contains(description, 'ring')"))
+def text_search(s, d):
+    return search.text_search(A.rules(s, d), "ring").select("rule_id", "rule_name")
+
+
+@query(sql("rules", "SELECT rule_id, rule_name FROM rules WHERE list_contains(string_split_regex(lower(description), '\\W+'), 'ring')".replace("\\\\", "\\")))
+def token_search(s, d):
+    return search.token_search(A.rules(s, d), "description", "Ring").select("rule_id", "rule_name")
+
+
+@query(sql("rules", "SELECT rule_id, rule_type, mandatory, confidence_score FROM rules WHERE category = 'Brand#7'"))
+def rules_of_category(s, d):
+    return A.rules(s, d).where("category = 'Brand#7'").select("rule_id", "rule_type", "mandatory", "confidence_score")
+
+
+# ---- traversals
+
+@query(sql("dependencies", "p AS (SELECT DISTINCT src, dst FROM dependencies WHERE dependency_type = 'prerequisite'), reach(node) AS (SELECT CAST(7 AS BIGINT) UNION SELECT dst FROM reach JOIN p ON src = node) SELECT node FROM reach WHERE node <> 7", True))
+def prerequisite_closure(s, d):
+    return graph.closure(A.dependencies(s, d), 7)
+
+
+@query(sql("dependencies", """u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM dependencies UNION ALL SELECT dst, src FROM dependencies) WHERE src <> dst),
+walk(path, node, n) AS (SELECT [CAST(7 AS BIGINT)], CAST(7 AS BIGINT), 0 UNION ALL SELECT list_append(path, dst), dst, n + 1 FROM walk JOIN u ON src = node WHERE n < 3 AND node <> 11 AND NOT list_contains(path, dst)),
+best AS (SELECT min(n) AS n FROM walk WHERE node = 11)
+SELECT array_to_string(path, '>') AS path FROM (SELECT path FROM walk, best WHERE node = 11 AND walk.n = best.n ORDER BY path LIMIT 5)""", True))
+def dependency_paths(s, d):
+    return graph.shortest_paths(A.dependencies(s, d), 7, 11, 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query(sql("rules dependencies", """SELECT 'out' AS relation, CAST(dst AS VARCHAR) AS other FROM dependencies WHERE src = 7 UNION SELECT 'in', CAST(src AS VARCHAR) FROM dependencies WHERE dst = 7
+UNION SELECT 'category', category FROM rules WHERE rule_id = 7 UNION SELECT 'sibling', CAST(rule_id AS VARCHAR) FROM (SELECT rule_id FROM rules WHERE rule_id <> 7 AND category = (SELECT category FROM rules WHERE rule_id = 7) ORDER BY rule_id LIMIT 10)"""))
+def rule_neighbourhood(s, d):
+    return graph.neighbourhood(A.rules(s, d), A.dependencies(s, d), 7)
+
+
+@query(sql("dependencies", "SELECT dst AS node FROM (SELECT DISTINCT src, dst FROM dependencies WHERE src IN (7, 11)) GROUP BY dst HAVING count(*) = 2"))
+def shared_targets(s, d):
+    return graph.shared_targets(A.dependencies(s, d), [7, 11])
+
+
+@query(sql("rules", "SELECT 'type_' || rule_type AS id, rule_type AS label, CAST(60 + 2 * count(*) AS INTEGER) AS size FROM rules GROUP BY rule_type UNION ALL SELECT CAST(rule_id AS VARCHAR), rule_name, 20 FROM rules"))
+def report_nodes(s, d):
+    return graph.projection(A.rules(s, d))[0]
+
+
+# ---- search
+
+@query("SELECT vec_id, list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(a, lambda x: x * x)) * list_sum(list_transform(b, lambda x: x * x))) AS similarity FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7) AS b FROM embeddings) ORDER BY similarity DESC, vec_id LIMIT 10")
+def vector_search(s, d):
+    e = A.table(s, d, "embeddings")
+    return search.knn(e, e.where("vec_id = 7").first()["embedding"], 10)
+
+
+@query("SELECT e.label AS graph, count(*) AS embeddings FROM embeddings e GROUP BY 1")
+def embeddings_by_graph(s, d):
+    return A.table(s, d, "embeddings").groupBy(F.col("label").alias("graph")).agg(F.count("*").alias("embeddings"))
+
+
+@query(sql("chunks", """t AS (SELECT doc_id, ord, lower(content) AS c FROM chunks),
+s AS (SELECT doc_id, ord, CASE WHEN contains(c, 'general public') THEN 100.0 + 5.0 * ((length(c) - length(replace(c, 'general public', ''))) // 14)
+  WHEN contains(c, 'general') OR contains(c, 'public') THEN (contains(c, 'general')::INT + contains(c, 'public')::INT) / 2.0 * 80.0 + least((length(c) - length(replace(c, 'general', ''))) // 7 + (length(c) - length(replace(c, 'public', ''))) // 6, 10) * 1.5 END AS score FROM t)
+SELECT chunk_id, CAST(score AS DOUBLE) AS score FROM (SELECT doc_id || '_' || ord AS chunk_id, score FROM s WHERE score IS NOT NULL ORDER BY score DESC, chunk_id LIMIT 10)"""))
+def knowledge_search(s, d):
+    c = A.chunks(s, d).select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("ord").cast("string")).alias("chunk_id"), F.lit("").alias("title"), "content")
+    return search.knowledge_search(c, "General Public").select("chunk_id", F.col("score").cast("double").alias("score"))
+
+
+@query("""WITH p AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{3,}') AND NOT list_contains(STOPS, x))) AS w FROM benchmark),
+pw AS (SELECT item_id, len(w) AS n, unnest(w) AS word FROM p WHERE len(w) > 0),
+r AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{3,}') AND NOT list_contains(STOPS, x))) AS w FROM documents),
+rw AS (SELECT doc_id, unnest(w) AS word FROM r),
+g AS (SELECT item_id, doc_id, CAST(count(*) AS DOUBLE) / max(n) AS score FROM pw JOIN rw USING (word) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM g WHERE score >= 0.15)
+SELECT CAST(item_id AS BIGINT) AS provision_id, doc_id AS rule_id, score FROM k WHERE rank <= 20""".replace("STOPS", str(T.STOP_WORDS)).replace("\\\\", "\\"))
+def affected_rules(s, d):
+    r = A.table(s, d, "documents").select(F.col("doc_id").alias("rule_id"), F.col("text").alias("description"), F.lit("").alias("rule_name"), F.lit("").alias("entity_type"))
+    return search.affected_rules(A.table(s, d, "benchmark").select(F.col("item_id").alias("provision_id"), "text"), r).select("provision_id", "rule_id", "score")
+
+
+# ---- comparison of two graphs
+
+_PAIRS = """, tok AS (SELECT graph, rule_id, behavior, quality, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') AS t,
+  list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) > 2 AND NOT list_contains(STOPS, x)))) AS w FROM graph_rules),
+judged AS (SELECT a.behavior, a.rule_id AS g1, b.rule_id AS g2, CASE WHEN a.quality <> b.quality THEN 'CONTRADICTORY' WHEN a.t = b.t THEN 'IDENTICAL' ELSE 'EQUIVALENT' END AS relationship
+  FROM tok a JOIN tok b ON a.behavior = b.behavior AND a.w = b.w AND a.graph = 1 AND b.graph = 2)""".replace("STOPS", str(T.TOKEN_STOP_WORDS)).replace("\\\\", "\\")
+
+
+def _judged(s, d):
+    r = A.graph_rules(s, d)
+    return match.default_judge(match.candidate_pairs(r.where("graph = 1"), r.where("graph = 2")))
+
+
+@query(sql("graph_rules", _PAIRS.lstrip(", ") + " SELECT behavior, g1, g2, relationship FROM judged"))
+def judged_pairs(s, d):
+    return _judged(s, d).select("behavior", "g1", "g2", "relationship")
+
+
+@query(sql("graph_rules", "SELECT behavior, count(*) FILTER (WHERE graph = 1) AS g1, count(*) FILTER (WHERE graph = 2) AS g2, count(*) FILTER (WHERE graph = 1) * count(*) FILTER (WHERE graph = 2) AS pairs FROM graph_rules GROUP BY 1"))
+def cluster_sizes(s, d):
+    n = A.graph_rules(s, d).groupBy("behavior").agg(F.count_if(F.col("graph") == 1).alias("g1"), F.count_if(F.col("graph") == 2).alias("g2"))
+    return n.withColumn("pairs", F.col("g1") * F.col("g2"))
+
+
+@query()
+def matches(s, d):
+    return match.assign(_judged(s, d))
+
+
+@query()
+def set_operation_sizes(s, d):
+    r, j = A.graph_rules(s, d), _judged(s, d)
+    m = match.assign(j)
+    return match.set_sizes(r.where("graph = 1"), r.where("graph = 2"), m, match.contradictions(j, m))
+
+
+@query()
+def union_graph(s, d):
+    r = A.graph_rules(s, d)
+    return match.union_all(r.where("graph = 1"), r.where("graph = 2"), match.assign(_judged(s, d)))
+
+
+@query("""SELECT p AS "primary", doc_id AS duplicate FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')) AS p FROM documents) WHERE p <> doc_id""".replace("\\\\", "\\"))
+def duplicate_rules(s, d):
+    return match.duplicate_groups(A.table(s, d, "documents").withColumnRenamed("doc_id", "rule_id"))
+
+
+@query(sql("rules", "SELECT rule_id, CASE WHEN n = 1 THEN rule_name ELSE rule_name || ' (Variant ' || n || ')' END AS new_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(rule_name, ' ')) ORDER BY rule_id) AS n FROM rules)"))
+def unique_names(s, d):
+    r = A.rules(s, d).select(F.col("rule_id").alias("ord"), F.col("rule_id").cast("string").alias("rule_id"), "rule_name")
+    return match.unique_rules(r).select(F.col("ord").alias("rule_id"), "new_name")
+
+
+@query(sql("rules dependencies", "SELECT e.* FROM dependencies e JOIN rules a ON a.rule_id = e.src JOIN rules b ON b.rule_id = e.dst WHERE a.confidence_score >= 50 AND b.confidence_score >= 50"))
+def surviving_dependencies(s, d):
+    return match.surviving(A.dependencies(s, d), A.rules(s, d).where("confidence_score >= 50")).select("src", "dst", "dependency_type", "strength")
+
+
+@query(sql("rules dependencies", "SELECT rule_id, (SELECT count(*) FROM dependencies WHERE src = rule_id) AS dependencies, (SELECT count(*) FROM dependencies WHERE dst = rule_id) AS dependents FROM rules"))
+def applied_dependencies(s, d):
+    out = match.apply_dependencies(A.rules(s, d), A.dependencies(s, d))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long").alias
+    return out.select("rule_id", size("dependencies")("dependencies"), size("dependent_rules")("dependents"))
+
+
+@query(sql("rules dependencies", "SELECT e.src, e.dst, e.dependency_type FROM dependencies e WHERE e.src // 100 <> e.dst // 100 AND e.src IN (SELECT rule_id FROM rules) AND e.dst IN (SELECT rule_id FROM rules)"))
+def cross_batch_dependencies(s, d):
+    b = A.rules(s, d).select("rule_id", F.floor(F.col("rule_id") / 100).alias("batch"))
+    return match.cross_batch(A.dependencies(s, d), b).select("src", "dst", "dependency_type")
+
+
+# ---- graph load
+
+@query(sql("rules", "SELECT rule_id AS src, CASE WHEN category < 'Brand#2' THEN category ELSE '_uncategorized_' END AS dst, CASE WHEN category < 'Brand#2' THEN 'categorization' ELSE 'categorization_fallback' END AS dependency_type FROM rules"))
+def category_edges(s, d):
+    r = A.rules(s, d).withColumn("entity_or_relationship", F.col("category"))
+    known = r.where("category < 'Brand#2'").select(F.col("category").alias("name")).distinct()
+    return load.category_edges(r, known)
+
+
+@query(sql("dependencies", "SELECT dst AS src, src AS dst, dependency_type, strength FROM dependencies WHERE strength = 5 UNION ALL SELECT src, dst, dependency_type, strength FROM dependencies WHERE strength <> 5 AND (src, dst) NOT IN (SELECT (src, dst) FROM dependencies WHERE strength = 5) UNION ALL SELECT dst, src, dependency_type, strength FROM dependencies WHERE strength <> 5 AND (src, dst) IN (SELECT (src, dst) FROM dependencies WHERE strength = 5)"))
+def reversed_edges(s, d):
+    e = A.dependencies(s, d)
+    return load.reversed_edges(e, e.where("strength = 5")).select("src", "dst", "dependency_type", "strength")
+
+
+@query(sql("dependencies", "SELECT src, dst, CASE WHEN dependency_type = 'override' THEN 'dependency_type' WHEN src = dst THEN 'loop' END AS reason FROM dependencies WHERE dependency_type = 'override' OR src = dst"))
+def edge_violations(s, d):
+    return load.edge_violations(A.dependencies(s, d), ["prerequisite", "complementary"]).select("src", "dst", "reason")
+
+
+# ---- register
+
+@query(sql("obligations", """k AS (SELECT status, coalesce(nullif(rule_type, ''), 'unknown') AS t, coalesce(nullif(risk_level, ''), 'unknown') AS r FROM obligations)
+SELECT 'all' AS facet, 'all' AS value, status, count(*) AS n FROM k GROUP BY status UNION ALL SELECT 'rule_type', t, status, count(*) FROM k GROUP BY ALL UNION ALL SELECT 'risk_level', r, status, count(*) FROM k GROUP BY ALL"""))
+def obligation_heatmap(s, d):
+    return register.heatmap(A.obligations(s, d))
+
+
+@query(sql("obligations", "SELECT count(*) AS total, count(*) FILTER (WHERE status = 'mapped') AS mapped, count(*) FILTER (WHERE status = 'partially_mapped') AS partial, round((count(*) FILTER (WHERE status = 'mapped') + 0.5 * count(*) FILTER (WHERE status = 'partially_mapped')) / count(*) * 100, 1) AS score FROM obligations"))
+def compliance_score(s, d):
+    return register.compliance_score(A.obligations(s, d))
+
+
+@query(sql("obligations", "SELECT jurisdiction, count(*) AS n, count(*) FILTER (WHERE mandatory) AS mandatory FROM obligations GROUP BY 1"))
+def obligations_by_jurisdiction(s, d):
+    return A.obligations(s, d).groupBy("jurisdiction").agg(F.count("*").alias("n"), F.count_if("mandatory").alias("mandatory"))
+
+
+@query(sql("obligations", "SELECT rule_id, status FROM obligations WHERE status = 'unmapped' AND risk_level = 'critical' AND mandatory"))
+def open_obligations(s, d):
+    return register.filtered(A.obligations(s, d), status="unmapped", risk="critical", mandatory=True).select("rule_id", "status")
+
+
+@query()
+def control_suggestions(s, d):
+    return register.suggestions(A.rules(s, d))
+
+
+@query(sql("obligations", "SELECT count(*) FILTER (WHERE o.rule_id IS NULL) AS created, count(*) FILTER (WHERE o.rule_id IS NOT NULL) AS existing FROM part p LEFT JOIN (SELECT DISTINCT rule_id FROM obligations WHERE status = 'mapped') o ON o.rule_id = p.p_partkey"))
+def seed_counts(s, d):
+    add = lambda df: df.select(F.lit("g").alias("graph_name"), F.lit("p").alias("provider"), "rule_id")
+    return register.seed_counts(add(A.obligations(s, d).where("status = 'mapped'")), add(A.rules(s, d)))
+
+
+# ---- validation, scores, text
+
+@query(sql("rules", "SELECT rule_id, CASE WHEN confidence_score < 70 THEN 1 ELSE 0 END AS low FROM rules WHERE confidence_score < 70"))
+def low_confidence_findings(s, d):
+    f = validate.findings(A.rules(s, d)).where(F.col("check") == "confidence")
+    return f.select("rule_id", F.lit(1).alias("low"))
+
+
+@query(sql("rules", "SELECT rule_id, 9 + (CASE WHEN mandatory THEN 0 ELSE 1 END) + (CASE WHEN rule_id = 0 THEN 1 ELSE 0 END) + 3 AS gaps FROM rules"))
+def missing_field_counts(s, d):
+    r = A.rules(s, d)
+    return r.select("rule_id", F.size(validate.missing_fields(r)).alias("gaps"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(KB)\\b') THEN 'breaking' WHEN regexp_matches(lower(text), '\\b(KM)\\b') THEN 'material' ELSE 'cosmetic' END AS severity FROM documents".replace("KB", "|".join(T.BREAKING)).replace("KM", "|".join(T.MATERIAL)).replace("\\\\", "\\"))
+def severity_classes(s, d):
+    return A.table(s, d, "documents").select("doc_id", N.severity("text", F.lit(0)).alias("severity"))
+
+
+@query(sql("dependencies", "SELECT src, dst, dependency_type, CAST(CASE strength WHEN 5 THEN 95 WHEN 4 THEN 85 WHEN 3 THEN 75 WHEN 2 THEN 65 WHEN 1 THEN 55 ELSE 70 END AS INTEGER) AS confidence FROM dependencies"))
+def dependency_confidence(s, d):
+    return A.dependencies(s, d).select("src", "dst", "dependency_type", N.strength_confidence("strength").alias("confidence"))
+
+
+@query(sql("rules", "SELECT rule_id, CASE rule_type WHEN 'constraint' THEN 'threshold' WHEN 'eligibility' THEN 'threshold' WHEN 'process' THEN 'sequence' WHEN 'prohibition' THEN 'prohibition' WHEN 'documentation' THEN 'mandate' ELSE 'method' END AS behavior FROM rules"))
+def rule_behaviors(s, d):
+    return A.rules(s, d).select("rule_id", N.behavior(F.lit(None).cast("string"), "rule_type").alias("behavior"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS text FROM pages".replace("\\\\", "\\"))
+def page_text(s, d):
+    return A.table(s, d, "pages").select("page_id", T.strip_html("html").alias("text"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS words, len(regexp_extract_all(text, '\\d+\\.?\\d*')) AS numbers FROM documents".replace("\\\\", "\\"))
+def word_counts(s, d):
+    return A.table(s, d, "documents").select("doc_id", T.word_count("text").cast("long").alias("words"), F.size(T.numbers("text")).cast("long").alias("numbers"))
+
+
+@query("SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{3,}') AND NOT list_contains(STOPS, x)) AS phrases FROM documents".replace("STOPS", str(T.STOP_WORDS)).replace("\\\\", "\\"))
+def key_phrases(s, d):
+    return A.table(s, d, "documents").select("doc_id", T.key_phrases("text").alias("phrases"))
+
+
+# ---- segmentation and impact
+
+@query(sql("chunks", "SELECT doc_id, count(*) AS chunks, max(ord) AS last FROM chunks GROUP BY 1"))
+def document_chunks(s, d):
+    return A.chunks(s, d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("ord").alias("last"))
+
+
+@query()
+def packed_paragraphs(s, d):
+    parts = segment.pack_paragraphs(F.col("text"), 3000, "\n")
+    return A.table(s, d, "documents").select("doc_id", F.posexplode(parts).alias("part", "content")).select("doc_id", "part", F.length("content").alias("n"))
+
+
+@query()
+def normalised_chunks(s, d):
+    c = A.chunks(s, d).select("doc_id", "ord", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("ord").cast("string")).alias("chunk_id"), F.lit("t").alias("title"), F.array(F.lit("root"), F.lit("leaf")).alias("path"), "content")
+    return segment.normalise_sizes(c, most=400, least=80, target=250).select("doc_id", "ord", "chunk_id", "parent_id", "word_count")
+
+
+@query()
+def word_batches(s, d):
+    f = A.table(s, d, "documents").select(F.col("source").alias("group"), F.col("doc_id").alias("file_id"), T.word_count("text").alias("word_count"))
+    return segment.word_batches(f)
+
+
+@query()
+def provision_changes(s, d):
+    p = A.chunks(s, d).groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "content"))), lambda x: x["content"]).alias("lines"))
+    pairs = p.join(p.withColumnsRenamed({"doc_id": "other", "lines": "new"}), F.col("other") == F.col("doc_id") + 1).select(F.col("doc_id").alias("pair_id"), F.col("lines").alias("old"), "new")
+    return impact.diff(pairs).select("change_id", "change_type", F.length("text").alias("n"))
+
+
+# ---- run logs
+
+@query(sql("log_lines", "SELECT CASE WHEN regexp_matches(line, 'ERROR|FAILED') THEN 'ERROR' WHEN contains(line, 'WARNING') THEN 'WARN' ELSE 'INFO' END AS level, count(*) AS n FROM log_lines GROUP BY 1"))
+def log_levels(s, d):
+    return A.log_lines(s, d).groupBy(logs.level().alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(sql("log_lines", "SELECT run_id, line, min(ts) AS first, max(ts) AS last FROM log_lines GROUP BY 1, 2"))
+def log_spans(s, d):
+    return logs.seen(A.log_lines(s, d))
+
+
+@query(sql("log_lines", "SELECT id, line FROM log_lines WHERE id > 100 ORDER BY id LIMIT 50"))
+def log_page(s, d):
+    return logs.page(A.log_lines(s, d), 100, 50).select("id", "line")
+
+
+@query(sql("log_lines", """m AS (SELECT run_id, id, CASE WHEN starts_with(line, 'Step ') THEN CAST(line[6:6] AS INTEGER) END AS k, contains(line, 'completed') AS done FROM log_lines),
+a AS (SELECT run_id, min(id) AS c1 FROM m WHERE k = 1 AND done GROUP BY 1), b AS (SELECT m.run_id, min(id) AS c2 FROM m JOIN a USING (run_id) WHERE k = 2 AND done AND id > c1 GROUP BY 1), c AS (SELECT m.run_id, min(id) AS c3 FROM m JOIN b USING (run_id) WHERE k = 3 AND done AND id > c2 GROUP BY 1),
+r AS (SELECT run_id, max(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS one FROM m GROUP BY 1)
+SELECT run_id, s.step, CASE s.step WHEN '1' THEN CASE WHEN c1 IS NOT NULL THEN 'completed' WHEN one = 1 THEN 'running' ELSE 'pending' END
+  WHEN '2' THEN CASE WHEN c2 IS NOT NULL THEN 'completed' WHEN c1 IS NOT NULL THEN 'running' ELSE 'pending' END
+  ELSE CASE WHEN c3 IS NOT NULL THEN 'completed' WHEN c2 IS NOT NULL THEN 'running' ELSE 'pending' END END AS status
+FROM r LEFT JOIN a USING (run_id) LEFT JOIN b USING (run_id) LEFT JOIN c USING (run_id), (SELECT unnest(['1', '2', '3']) AS step) s"""))
+def run_steps(s, d):
+    return logs.step_states(A.log_lines(s, d), ["1", "2", "3"])
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS transcript, count(*) AS turns FROM conversations GROUP BY 1")
+def transcripts(s, d):
+    c = A.table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"), F.count("*").alias("turns"))
+    return c.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("transcript"), "turns")
