@@ -37,6 +37,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of keys are broadcast up to so many rows; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most `rows` rows. df should be cheap to count, as a written table is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def tidy(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go once the driver's JVM has collected what refers to them."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     for df in frames:

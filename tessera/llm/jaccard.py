@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, materialize, mix64, ngram_hashes, text_batches, word_hashes
+from tessera.llm.common import if_small, materialize, mix64, ngram_hashes, text_batches, tidy, word_hashes
 from tessera.llm.components import components
 
 WORDS, SIMILAR = 5, (75, 100)
-ENTRIES_PER_TILE, STAR_OVER, BLOCK = 2_000_000, 24, 1024
+ENTRIES_PER_TILE, BLOCK = 2_000_000, 1024
 #: So many of the most frequent shingles are put last in the common order. Any order is exact; this one is fast.
 FREQUENT = 200_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -54,8 +54,8 @@ def set_key(h: np.ndarray) -> int:
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A signature of 4 to 8 bits an element, 64 to 2**14 bits."""
-    bits = 1 << min(14, max(6, int(4 * h.size - 1).bit_length()))
+    """A signature of 4 to 8 bits an element, at least 64 bits; sets of compatible size differ by one doubling at most."""
+    bits = 1 << max(6, int(4 * h.size - 1).bit_length())
     b = np.zeros(bits, np.uint8)
     b[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(b, bitorder="little").tobytes()
@@ -171,36 +171,35 @@ def tiles(docs: DataFrame, frequent: np.ndarray, parts: int, n: int, similar) ->
     return docs.select("text").mapInArrow(run, "part int, token binary, local binary, nodes binary, sizes binary")
 
 
-def _meet(token: np.ndarray, size: np.ndarray, node: np.ndarray, similar, star_over: int):
-    """Candidate pairs of a part whose entries are sorted by token and size: (pairs, mask of entries of large tiles)."""
-    edge = np.flatnonzero(np.diff(token, prepend=token[0] - 1 if token.size else 0) != 0) if token.size else np.zeros(0, int)
-    edge[:1] = 0
-    count = np.diff(np.append(edge, token.size))
-    group = np.repeat(np.arange(edge.size), count)
-    large = (count > star_over)[group]
-    pairs = []
-    live = np.flatnonzero(~large & (count > 1)[group])
-    last = (edge + count)[group]
-    step = 1
-    while live.size:
-        live = live[live + step < last[live]]
-        ok = similar[1] * size[live] >= similar[0] * size[live + step]
-        live = live[ok]  # sizes grow, so what lies further off is no closer
-        pairs.append(np.stack([node[live], node[live + step]], 1))
-        step += 1
-    for g in np.flatnonzero(count > star_over):
-        a, b = edge[g], edge[g] + count[g]
-        while a < b:
-            reach = a + int(np.searchsorted(size[a:b], size[a] * similar[1] // similar[0], "right"))
-            hub = (a + reach) // 2  # the middle of its band is close to both ends
-            own = np.delete(np.arange(a, reach), hub - a)
-            pairs.append(np.stack([np.full(own.size, node[hub]), node[own]], 1))
-            a = reach
-    out = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    return np.unique(np.sort(out[out[:, 0] != out[:, 1]], axis=1), axis=0), large
-
-
-def _candidates(blobs: DataFrame, similar, star_over: int) -> DataFrame:
+def _meet(token: np.ndarray, size: np.ndarray, node: np.ndarray, similar):
+    """Of the entries of a part, sorted by token and size: pairs of a hub with the others of its size band, and a mask
+    of the entries of tiles that have further pairs.
+
+    A band begins at the smallest set left and ends where sizes are no longer compatible with it, so all its sets are
+    compatible. Its hub is the least node: tiles of one group of copies mostly choose the same.
+    """
+    if not token.size:
+        return np.zeros((0, 2), np.int64), np.zeros(0, bool)
+    edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    last = np.append(edge[1:], token.size)
+    group = np.repeat(np.arange(edge.size), last - edge)
+    # where each band of each tile begins: the first entry, and from there on the first that is too large
+    start = np.zeros(token.size, bool)
+    at = edge
+    reach = size * similar[1] // similar[0]
+    key = group.astype(np.int64) << np.int64(32) | size
+    while at.size:
+        start[at] = True
+        nxt = np.searchsorted(key, group[at].astype(np.int64) << np.int64(32) | reach[at], "right")
+        at = nxt[nxt < last[group[at]]]
+    band = np.cumsum(start) - 1
+    hub = np.minimum.reduceat(node, np.flatnonzero(start))[band]
+    pairs = np.stack([np.minimum(hub, node), np.maximum(hub, node)], 1)[hub != node]
+    members = last - edge
+    return np.unique(pairs, axis=0), (members > 2)[group] | (np.bincount(group[start], minlength=edge.size) > 1)[group]
+
+
+def _candidates(blobs: DataFrame, similar) -> DataFrame:
     """kind 0: pairs a, b; kind 1: entries of large tiles: a is the tile, b the node, size its size."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -218,7 +217,7 @@ def _candidates(blobs: DataFrame, similar, star_over: int) -> DataFrame:
         fresh = np.ones(token.size, bool)
         fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
         token, node, size = token[fresh], node[fresh], size[fresh]
-        pairs, large = _meet(token, size, node, similar, star_over)
+        pairs, large = _meet(token, size, node, similar)
         part = np.int64(f["part"].iloc[0]) << np.int64(32)
         return pd.concat([pd.DataFrame({"kind": 0, "a": pairs[:, 0], "b": pairs[:, 1], "size": 0}), pd.DataFrame({"kind": 1, "a": token[large] + part, "b": node[large], "size": size[large]})])
 
@@ -240,9 +239,9 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, similar) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """node, h: the sorted sets of the wanted nodes, 40 bits an element, read from one document of each."""
-    which = wanted.join(reps, "node").select(F.col("rep").alias("_rep")).distinct()
+    which = materialize(wanted.join(reps, "node").select(F.col("rep").alias("_rep")).distinct(), "which")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(which, texts["doc_id"].eqNullSafe(which["_rep"]), "left_semi").select("text")
+    texts = texts.join(if_small(which), texts["doc_id"].eqNullSafe(F.col("_rep")), "left_semi").select("text")
 
     def run(batches):
         for whole in batches:
@@ -282,45 +281,85 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
 
 
 def _across(entries: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame, similar, most: int | None) -> DataFrame:
-    """Pairs of large tiles that lie in different components and whose bitmaps leave room; per tile and pair of
-    components the `most` closest ones, or all. Size-sorted blocks meet blocks of compatible sizes only."""
+    """Pairs of sets that share a tile, lie in different components and whose bitmaps leave room; of each pair of
+    components the `most` closest ones, or all.
+
+    Tiles with one least node are taken together, as those of a group of copies mostly have the same members: a pair
+    is then compared once, not in each tile. Size-sorted blocks meet blocks of compatible sizes only.
+    """
     e = entries.select(F.col("a").alias("tile"), F.col("b").alias("node"), "size").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = e.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("tile")
-    e = e.join(mixed, "tile").join(nodes.select("node", "bits"), "node")
-    place = F.floor((F.row_number().over(W.partitionBy("tile").orderBy("size", "node")) - 1) / BLOCK).cast("int")
+    mixed = e.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("key")).where("lo < hi")
+    e = e.join(mixed.select("tile", "key"), "tile").select("key", "node", "size", "component").distinct()
+    place = F.floor((F.row_number().over(W.partitionBy("key").orderBy("size", "node")) - 1) / BLOCK).cast("int")
     e = materialize(e.withColumn("block", place), "mixed")
-    span = e.groupBy("tile", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    two = span.select("tile", F.col("block").alias("c"), F.col("least").alias("least2"))
-    meet = span.join(two, "tile").where((F.col("c") >= F.col("block")) & (F.col("most") * similar[1] >= F.col("least2") * similar[0])).select("tile", "block", "c")
-    left = e.join(meet, ["tile", "block"]).withColumn("side", F.lit(0))
-    turned = meet.select("tile", F.col("block").alias("first"), F.col("c").alias("block"))
-    right = e.join(turned, ["tile", "block"]).select("tile", F.col("first").alias("block"), F.col("block").alias("c"), "node", "size", "component", "bits", F.lit(1).alias("side"))
-    dealt = left.select("tile", "block", "c", "node", "size", "component", "bits", "side").union(right)
+    span = e.groupBy("key", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    two = span.select("key", F.col("block").alias("c"), F.col("least").alias("least2"))
+    meet = span.join(two, "key").where((F.col("c") >= F.col("block")) & (F.col("most") * similar[1] >= F.col("least2") * similar[0])).select("key", "block", "c")
+    turned = meet.where("block < c").select("key", F.col("block").alias("first"), F.col("c").alias("block"))
+    left = e.join(meet, ["key", "block"]).withColumn("side", F.lit(0))
+    right = e.join(turned, ["key", "block"]).select("key", F.col("first").alias("block"), F.col("block").alias("c"), "node", "size", "component", F.lit(1).alias("side"))
+    dealt = left.select("key", "block", "c", "node", "size", "component", "side").union(right).join(nodes.select("node", "bits"), "node")
+    groups = max(12, -(-e.count() // 20_000))
+
+    def block_pairs(x: pd.DataFrame, y: pd.DataFrame | None) -> pd.DataFrame | None:
+        """Pairs within x, or of x and y, sorted by size."""
+        own = y is None
+        y = x if own else y
+        if own and x["component"].nunique() < 2:
+            return None
+        nx, ny, kx, ky, cx, cy = x["size"].to_numpy(), y["size"].to_numpy(), x["node"].to_numpy(), y["node"].to_numpy(), x["component"].to_numpy(), y["component"].to_numpy()
+        # widths grow with sizes, so the sets of one width stand together; each width is also kept folded to half
+        width = np.array([len(b) for b in y["bits"]])
+        rows = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            m = np.stack([np.frombuffer(b, np.uint8) for b in y["bits"].iloc[at]])
+            rows[w] = [(int(at[0]), m.view(np.uint64))] + rows.get(w, [])
+            if w > 8:
+                rows.setdefault(w // 2, []).append((int(at[0]), _fold(m, w // 2).view(np.uint64)))
+        out = []
+        for i in range(len(x)):
+            lo = i + 1 if own else 0
+            hi = int(np.searchsorted(ny, nx[i] * similar[1] // similar[0], "right"))
+            mine = np.frombuffer(x["bits"].iloc[i], np.uint64)
+            for first, m in rows.get(mine.nbytes, []):
+                j = np.arange(max(lo, first), min(hi, first + len(m)))
+                j = j[cx[i] != cy[j]]
+                if not j.size:
+                    continue
+                theirs = m[j - first]
+                only = np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64)
+                other = np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64)
+                top = np.minimum(nx[i] - only, ny[j] - other)
+                ok = similar[1] * top >= similar[0] * (nx[i] + ny[j] - top)
+                j, top = j[ok], top[ok]
+                if j.size:
+                    flip = kx[i] < ky[j]
+                    out.append(np.stack([np.where(flip, kx[i], ky[j]), np.where(flip, ky[j], kx[i]), np.where(flip, nx[i], ny[j]), np.where(flip, ny[j], nx[i]), np.minimum(cx[i], cy[j]), np.maximum(cx[i], cy[j]), top * 1_000_000 // (nx[i] + ny[j])], 1))
+        return pd.DataFrame(np.concatenate(out), columns=names) if out else None
+
+    names = ["a", "b", "na", "nb", "p", "q", "room"]
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        x, y = f[f["side"] == 0], f[f["side"] == 1]
-        width = min((len(b) for b in f["bits"]), default=8)
-        bx, by = (np.stack([_fold(np.frombuffer(b, np.uint8), width) for b in g["bits"]]).view(np.uint64) for g in (x, y))
-        nx, ny = x["size"].to_numpy(), y["size"].to_numpy()
-        kx, ky, cx, cy = x["node"].to_numpy(), y["node"].to_numpy(), x["component"].to_numpy(), y["component"].to_numpy()
         out = []
-        for i in range(len(x)):
-            only = np.bitwise_count(bx[i] & ~by).sum(1, dtype=np.int64)
-            other = np.bitwise_count(by & ~bx[i]).sum(1, dtype=np.int64)
-            top = np.minimum(nx[i] - only, ny - other)
-            ok = (cx[i] != cy) & (similar[1] * top >= similar[0] * (nx[i] + ny - top)) & ((kx[i] < ky) | (int(f["block"].iloc[0]) != int(f["c"].iloc[0])))
-            j = np.flatnonzero(ok)
-            out.append(pd.DataFrame({"a": np.minimum(kx[i], ky[j]), "b": np.maximum(kx[i], ky[j]), "na": np.where(kx[i] < ky[j], nx[i], ny[j]), "nb": np.where(kx[i] < ky[j], ny[j], nx[i]), "p": np.minimum(cx[i], cy[j]), "q": np.maximum(cx[i], cy[j]), "room": top[j] / (nx[i] + ny[j])}))
-            if most and sum(map(len, out)) > 50_000:
-                out = [pd.concat(out).sort_values("room", ascending=False).groupby(["p", "q"]).head(most)]
+        for (_, b, c), g in f.sort_values(["size", "node"]).groupby(["key", "block", "c"], sort=False):
+            found = block_pairs(g, None) if b == c else block_pairs(g[g["side"] == 0], g[g["side"] == 1])
+            if found is not None:
+                out.append(found)
+        if not out:
+            return pd.DataFrame(columns=names)
         found = pd.concat(out).drop_duplicates(["a", "b"])
-        return found.sort_values("room", ascending=False).groupby(["p", "q"]).head(most) if most else found
+        return found.sort_values(["room", "a", "b"], ascending=[False, True, True]).groupby(["p", "q"]).head(most) if most else found
 
-    found = dealt.groupBy("tile", "block", "c").applyInPandas(run, "a long, b long, na long, nb long, p long, q long, room double")
-    return found.select("a", "b", "na", "nb").dropDuplicates(["a", "b"]).join(tried, ["a", "b"], "left_anti")
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("key", "block", "c"), F.lit(groups)).cast("int"))
+    found = dealt.groupBy("group").applyInPandas(run, "a long, b long, na long, nb long, p long, q long, room long")
+    found = found.dropDuplicates(["a", "b"]).join(tried, ["a", "b"], "left_anti")
+    if most:
+        found = found.withColumn("turn", F.row_number().over(W.partitionBy("p", "q").orderBy(F.desc("room"), "a", "b"))).where(F.col("turn") <= most)
+    return found.select("a", "b", "na", "nb")
 
 
-def join_components(docs: DataFrame, n: int = WORDS, similar: tuple[int, int] = SIMILAR, star_over: int = STAR_OVER, per_tile: int = ENTRIES_PER_TILE) -> DataFrame:
+def join_components(docs: DataFrame, n: int = WORDS, similar: tuple[int, int] = SIMILAR, per_tile: int = ENTRIES_PER_TILE) -> DataFrame:
     """doc_id, n_shingles, node, component_id: one row per row of docs.
 
     Two documents link when similar[1] * intersection >= similar[0] * union of their sets. component_id is the
@@ -335,31 +374,29 @@ def join_components(docs: DataFrame, n: int = WORDS, similar: tuple[int, int] =
     nodes = materialize(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep")), "nodes")
     often = first.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).select("node").toPandas()["node"].to_numpy(np.int64)
     entries = nodes.agg(F.coalesce(F.sum(F.floor(F.col("size") * (1 - similar[0] / similar[1])) + 1), F.lit(0))).first()[0]
-    found = materialize(_candidates(tiles(docs, np.sort(often.astype(np.uint64)), max(12, -(-int(entries) // per_tile)), n, similar), similar, star_over), "candidates")
+    found = materialize(_candidates(tiles(docs, np.sort(often.astype(np.uint64)), max(12, -(-int(entries) // per_tile)), n, similar), similar), "candidates")
 
-    nothing = spark.createDataFrame([], "a long, b long")
     pairs = materialize(_bounded(found.where("kind = 0").select("a", "b").distinct(), nodes.drop("rep"), similar), "pairs")
     large = found.where("kind = 1")
-    links, tried, labels, known = nothing, nothing, None, None
-    for most in (4, 4, 64, None):
+    links = tried = known = labels = None
+    for step in range(3):
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        if known is not None:
-            ends = ends.join(known.select("node"), "node", "left_anti")
+        ends = ends if known is None else ends.join(known.select("node"), "node", "left_anti")
         new = materialize(_sets(docs, ends, nodes.select("node", "rep"), n), "sets")
         known = new if known is None else known.union(new)
-        links = links.union(materialize(_verified(pairs, known, similar), "links"))
-        tried = tried.union(pairs.select("a", "b"))
-        labels = materialize(components(links), "labels")
-        if large.isEmpty():
+        fresh = materialize(_verified(pairs, known, similar), "links")
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        if labels is None or not fresh.isEmpty():
+            # components found so far stand for their links
+            links = fresh if labels is None else fresh.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))
+            labels = materialize(components(links), "labels")
+        tidy(spark)
+        if step == 2:
             break
-        pairs = materialize(_across(large, nodes, labels, tried, similar, most), "pairs")
+        # first a few pairs of each two components: what these link needs no further pairs; then all that is left
+        pairs = materialize(_across(large, nodes, labels, tried, similar, None if step else 2), "pairs")
         if pairs.isEmpty():
             break
-    else:  # all pairs that were left
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(known.select("node"), "node", "left_anti")
-        known = known.union(materialize(_sets(docs, ends, nodes.select("node", "rep"), n), "sets"))
-        links = links.union(_verified(pairs, known, similar))
-        labels = materialize(components(links), "labels")
 
     placed = nodes.select("node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -371,14 +408,14 @@ def join_components(docs: DataFrame, n: int = WORDS, similar: tuple[int, int] =
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of docs for each group of linked documents: the one of smallest doc_id, which names the group.
 
-    Documents with the empty set are in no group and all stay. Of repeated rows one stays; rows of one doc_id with unlike texts stay apart.
+    Documents with the empty set are in no group and stay, as do rows without doc_id. Of repeated rows one stays; rows
+    of one doc_id with unlike texts stay apart.
     """
     found = join_components(docs, **options)
-    kept = materialize(found.where("node IS NOT NULL").select(F.col("component_id").alias("_id")).distinct(), "kept")
-    worded = docs.where(F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)))
-    rest = docs.where(~F.regexp_like(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)))
-    one = worded.join(kept, worded["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.unionByName(rest)
+    gone = materialize(found.where("node IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    kept = docs.join(if_small(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

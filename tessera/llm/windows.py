@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, mix64
+from tessera.llm.common import materialize, mix64, tidy
 
 PLACE = np.uint64((1 << 28) - 1)
 _R = 0x9E3779B97F4A7C15 | 1
@@ -188,14 +188,6 @@ def cover(spans: list[bytes] | None) -> np.ndarray:
     return np.stack([s[edge, 0], end[np.append(edge[1:], len(s)) - 1]], 1)
 
 
-def tidy(spark) -> None:
-    """Shuffle files of finished jobs go once the driver's JVM has collected what refers to them."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def part_count(units: int, window: int, k: int, per_part: int) -> int:
     return max(12, -(-int(units * 2 / (window - k + 2)) // per_part))
 
