@@ -27,6 +27,11 @@ def _strings(xs) -> Column:
     return F.array(*[F.lit(x) for x in xs])
 
 
+def strip(text) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+
+
 def sanitize_folder_name(name) -> Column:
     """Lower case, runs of other characters to one `_`, at most 100 characters, `untitled` if nothing is left."""
     trimmed = lambda c: F.regexp_replace(c, "^_+|_+$", "")
@@ -110,7 +115,7 @@ def frequency(text, needle) -> Column:
 def sentence_segments(text) -> Column:
     """Sentences of at least eight characters; `...` parts them too."""
     parts = F.split(_col(text), r"\s*\.{3}\s*")
-    return F.filter(F.transform(F.flatten(F.transform(parts, lambda p: F.split(F.trim(p), r"(?<=\.)\s+(?=[A-Z])"))), F.trim), lambda s: F.length(s) >= 8)
+    return F.filter(F.transform(F.flatten(F.transform(parts, lambda p: F.split(strip(p), r"(?<=\.)\s+(?=[A-Z])"))), strip), lambda s: F.length(s) >= 8)
 
 
 def word_range(text, start, end) -> Column:
@@ -134,7 +139,7 @@ def fenced_json(text) -> Column:
     """What stands in the first fence of a reply, or else from its first brace to its last."""
     t = _col(text)
     fence = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.when(fence != "", F.trim(fence)).otherwise(F.regexp_extract(t, r"(?s)[\[{].*[\]}]", 0))
+    return F.when(fence != "", strip(fence)).otherwise(F.regexp_extract(t, r"(?s)[\[{].*[\]}]", 0))
 
 
 def filename_key(path) -> Column:

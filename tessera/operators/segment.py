@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.text import word_count
+from tessera.functions.text import strip, word_count
 
 MAX_WORDS, MIN_WORDS, TARGET_WORDS = 3000, 500, 2000
 
@@ -40,7 +40,7 @@ def heading_chunks(docs: DataFrame) -> DataFrame:
     n = F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0))
     own = lines.withColumn("n", n).where("n > 0")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("level").isNull(), F.struct("ord", "line")))), lambda x: x["line"]), "\n")
-    return own.groupBy("doc_id", "n").agg(F.max("title").alias("title"), F.max("level").alias("level"), F.trim(text).alias("content"))
+    return own.groupBy("doc_id", "n").agg(F.max("title").alias("title"), F.max("level").alias("level"), strip(text).alias("content"))
 
 
 def section_paths(headings: DataFrame) -> DataFrame:

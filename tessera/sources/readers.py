@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.functions.text import graph_key
+from tessera.functions.text import graph_key, strip
 
 EXTENSIONS = [".md", ".txt", ".csv", ".tsv", ".xlsx", ".docx", ".pdf"]
 
@@ -63,14 +63,14 @@ def chunk_index(metadata: DataFrame) -> DataFrame:
 
 def chunk_text_index(chunks: DataFrame, limit: int = 1200) -> DataFrame:
     """chunks with the first characters of their text, headings left out."""
-    return chunks.withColumn("content_snippet", F.substring(F.trim(F.regexp_replace("content", r"(?m)^#+\s.*$", "")), 1, limit))
+    return chunks.withColumn("content_snippet", F.substring(strip(F.regexp_replace("content", r"(?m)^#+\s.*$", "")), 1, limit))
 
 
 def chunk_header(content: str = "content") -> list:
     """Columns of a written chunk: title, source, chunk_id, section_path and the body after the line `---`."""
     c = F.col(content)
     one = lambda p: F.regexp_extract(c, p, 1)
-    return [one(r"(?m)\A# (.*)$").alias("title"), one(r"(?m)^Source: (.*)$").alias("source"), one(r"(?m)^Chunk ID: (.*)$").alias("chunk_id"), one(r"(?m)^Section Path: (.*)$").alias("section_path"), F.trim(F.regexp_extract(c, r"(?s)\n---\n(.*)", 1)).alias("body")]
+    return [one(r"(?m)\A# (.*)$").alias("title"), one(r"(?m)^Source: (.*)$").alias("source"), one(r"(?m)^Chunk ID: (.*)$").alias("chunk_id"), one(r"(?m)^Section Path: (.*)$").alias("section_path"), strip(F.regexp_extract(c, r"(?s)\n---\n(.*)", 1)).alias("body")]
 
 
 def decoded(files: DataFrame) -> DataFrame:
