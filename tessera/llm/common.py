@@ -63,6 +63,16 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with all columns but the used ones renamed, so that none clashes with what an operator adds."""
+    return docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c not in used})
+
+
+def restored(df: DataFrame, columns: list[str], *used: str) -> DataFrame:
+    """The columns of docs again, in order, after set_aside()."""
+    return df.select(*[F.col(f"`{c}`") if c in used else F.col(f"`_own_{c}`").alias(c) for c in columns])
+
+
 def word_count(text):
     """Words of a text; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

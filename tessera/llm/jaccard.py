@@ -413,7 +413,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     found = join_components(docs, **options)
     gone = materialize(found.where("node IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(if_small(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(if_small(gone), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tessera.llm.common import restored, set_aside
+
 DIMS = 4096
 #: The classifier is fitted on at most so many labelled rows in all, shared evenly among the labels.
 MAX_TRAIN = 3000
@@ -183,8 +185,9 @@ def accept(docs: DataFrame, least: float = 0.25, model: dict | None = None) -> D
 
     A null lang is filled with the prediction; a given one stays.
     """
-    out = identify(docs, train(docs) if model is None else model).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least))
-    return out.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    used = ("text", "lang")
+    out = identify(set_aside(docs, *used), train(docs) if model is None else model).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least))
+    return restored(out.withColumn("lang", F.coalesce("lang", "_lang_pred")), docs.columns, *used)
 
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:

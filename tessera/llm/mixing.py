@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, word_count
+from tessera.llm.common import materialize, restored, set_aside, word_count
 
 #: One row per source; up to so many rows the table is joined by broadcast, beyond that by Spark's own choice.
 BROADCAST_ROWS = 100_000
@@ -49,8 +49,9 @@ def mix_plan(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, cap: float
     """docs with _size, _source_size, _target and _copies (how often the mix takes the document).
 
     Null text counts no words; null source is a source of its own, last in order. Rows with equal doc_id (null too)
-    draw the same number. An empty table gives an empty one. Columns of docs keep their names.
+    draw the same number. An empty table gives an empty one. Columns of docs with the names of added ones are replaced.
     """
+    docs = docs.drop("_size", "_source", "_source_size", "_target", "_copies")
     targets = materialize(source_targets(docs, weights, budget, cap), "targets")
     few = targets.count() <= BROADCAST_ROWS
     t = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
@@ -63,8 +64,9 @@ def mix_plan(docs: DataFrame, weights=(5, 2, 1), budget: float = 1.5, cap: float
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs, each as often as mix_plan says, with the columns of docs."""
-    plan = mix_plan(docs, **options).where(F.col("_copies") > 0)
-    return plan.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    used = ("doc_id", "text", "source")
+    plan = mix_plan(set_aside(docs, *used), **options).where(F.col("_copies") > 0)
+    return restored(plan.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))), docs.columns, *used)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

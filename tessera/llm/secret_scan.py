@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch
+from tessera.llm.common import scratch, set_aside
 
 #: Kind, pattern, group whose length counts (0: the whole match), least length.
 RULES = {
@@ -68,7 +68,7 @@ def scan(spark: SparkSession, versions: DataFrame, ledger: str | None = None, ru
 
     versions: one row per path and historical version, with a column text (null is empty). `ledger` is a Parquet
     folder of scanned (blob, rules) pairs; it is read if it exists and gets a row for each pair scanned now. Without
-    one, a new ledger in the shared folder is used. Copies, repeated rows and unchanged versions are scanned once. An
+    one, a new ledger in the shared folder is used. Columns of versions with the names of added ones are replaced. Copies, repeated rows and unchanged versions are scanned once. An
     empty table gives an empty one.
     """
     path = ledger or scratch(spark, "ledger")
@@ -81,10 +81,14 @@ def scan(spark: SparkSession, versions: DataFrame, ledger: str | None = None, ru
     fresh = at.groupBy("blob").agg(F.first("text").alias("text"))
     scan_blobs(fresh, rules).write.mode("append").parquet(path)
     held = spark.read.schema(LEDGER).parquet(path).where((F.col("rules") == rules) & (F.col("spans") != "")).drop("rules")
-    held = held.select(F.col("blob").alias("_held"), *[F.col(f"n_{k}").alias(f"_n_{k}") for k in KINDS], F.col("spans").alias("_spans"))
-    kept = [c for c in versions.columns if c not in {"n_assign", "n_access", "n_hex", "spans", "_blob"}]
-    out = versions.withColumn("_blob", address(versions["text"])).join(held, F.col("_blob") == F.col("_held"), "left")
-    return out.select(*[versions[c] for c in kept], "_blob", *[F.coalesce(F.col(f"_n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.coalesce(F.col("_spans"), F.lit("")).alias("spans"))
+    held = held.select(F.col("blob").alias("_ledger_blob"), *[F.col(f"n_{k}").alias(f"_ledger_{k}") for k in KINDS], F.col("spans").alias("_ledger_spans"))
+    used = ("text",)
+    kept = versions.drop("n_assign", "n_access", "n_hex", "spans", "_blob")
+    own = set_aside(kept, *used).withColumn("_blob", address(F.col("text")))
+    out = own.join(held, F.col("_blob") == F.col("_ledger_blob"), "left")
+    added = [F.coalesce(F.col(f"_ledger_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
+    names = [F.col(f"`{c}`") if c in used else F.col(f"`_own_{c}`").alias(c) for c in kept.columns]
+    return out.select(*names, "_blob", *added, F.coalesce(F.col("_ledger_spans"), F.lit("")).alias("spans"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rules: str = "base-1", mark: str = "[SECRET]") -> DataFrame:
@@ -92,7 +96,7 @@ def redact(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rule
 
     Texts without findings stay as they are, null too. All rows stay.
     """
-    found = scan(spark, docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c != "text"}), ledger, rules)
+    found = scan(spark, set_aside(docs, "text"), ledger, rules)
     spans = F.transform(F.split("spans", ","), lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), F.split(x, ":")[2].cast("int").alias("e")))
     text = F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -89,8 +89,10 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, group_byte
 
     Law `bytes`: each cut lies within `tolerance` of a shard's share from its ideal place, as far as rows allow. Null
     text has no bytes. Rows with equal text and doc_id stay together; null doc_id sorts first. An empty table gives an
-    empty one. Within a shard rows are dealt to parts of about `group_bytes`, each sorted and numbered by itself.
+    empty one. Within a shard rows are dealt to parts of about `group_bytes`, each sorted and numbered by itself. Columns
+    of docs named _size, _shard, _slot, _h, _d, _part, _turn, _s, _p or _first are left out.
     """
+    docs = docs.drop("_size", "_shard", "_slot", "_h", "_d", "_part", "_turn", "_s", "_p", "_first")
     text, doc_id = docs["text"], docs["doc_id"]
     keys = materialize(docs.select(_key(text).alias("_h"), _order(doc_id).alias("_d"), _size(text).alias("_size")), "keys")
     splitters, total = find_splitters(keys, shards, tolerance)
