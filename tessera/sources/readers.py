@@ -19,7 +19,8 @@ EXTENSIONS = [".md", ".txt", ".csv", ".tsv", ".xlsx", ".docx", ".pdf"]
 
 
 def discover(spark: SparkSession, path: str, extensions: list[str] = EXTENSIONS, only: list[str] | None = None) -> DataFrame:
-    """path, extension, length of files below a folder; contents are not read."""
+    """path, extension, length of files below a folder; contents are not read. Names that begin with `_` or `.` are not seen,
+    as by all of Spark's file sources."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     files = files.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).where(F.col("extension").isin(extensions))
     return files.where(F.regexp_extract("path", r"([^/]+)$", 1).isin(only)) if only else files
