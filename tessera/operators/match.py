@@ -187,3 +187,47 @@ def canonical_names(rules: DataFrame, entities: DataFrame, relationships: DataFr
 def orphans(rules: DataFrame, names: DataFrame) -> DataFrame:
     """Rules whose entity or relationship is in no catalog."""
     return rules.join(names.select(F.col("name").alias("entity_or_relationship")), "entity_or_relationship", "left_anti")
+
+
+def collected_references(rules: DataFrame, groups: DataFrame) -> DataFrame:
+    """primary, references: those of each primary and of the rules it stands for, the primary's first.
+
+    rules: rule_id, source_reference (array of struct; a single one is an array of one).
+    """
+    members = groups.select("primary", F.col("duplicate").alias("rule_id"), F.lit(1).alias("o")).unionByName(groups.select("primary", F.col("primary").alias("rule_id"), F.lit(0).alias("o")).distinct())
+    got = members.join(rules.select("rule_id", "source_reference"), "rule_id").groupBy("primary").agg(F.sort_array(F.collect_list(F.struct("o", "rule_id", "source_reference"))).alias("r"))
+    return got.select("primary", F.flatten(F.filter(F.col("r.source_reference"), lambda x: x.isNotNull())).alias("references"))
+
+
+def key_features(rules: DataFrame, cut: int = 500) -> DataFrame:
+    """What a judge is told of a rule, as one JSON text."""
+    fields = [c for c in ("rule_id", "rule_name", "rule_type", "rule_behavior", "conditions", "consequences") if c in rules.columns]
+    return rules.select("rule_id", F.to_json(F.struct(*fields, F.substring("description", 1, cut).alias("description"))).alias("features"))
+
+
+def rebucketed(rules: DataFrame, names: DataFrame, judge, attempts: int = 3) -> DataFrame:
+    """Rules whose entity or relationship is in no catalog go to a judge up to `attempts` times: rows of orphans in, the same
+    with `suggestion` out (a catalog name, null for none, `DROP` to drop the rule). What stays unknown is returned as it is."""
+    known = names.select(F.col("name").alias("_known")).distinct()
+    for _ in range(attempts):
+        lost = orphans(rules, names)
+        if lost.isEmpty():
+            break
+        told = judge(lost.select("rule_id", "entity_or_relationship")).select("rule_id", "suggestion")
+        good = told.join(known, told["suggestion"] == known["_known"], "left_semi").unionByName(told.where("suggestion = 'DROP'"))
+        out = rules.join(good, "rule_id", "left")
+        out = out.where(~F.coalesce(F.col("suggestion") == "DROP", F.lit(False)))
+        rules = out.withColumn("entity_or_relationship", F.coalesce("suggestion", "entity_or_relationship")).select(*rules.columns)
+    return rules
+
+
+def nested_by_bucket(rules: DataFrame) -> DataFrame:
+    """bucket, rules: flat rules under their relationship, else their entity."""
+    return rules.withColumn("bucket", F.coalesce(F.nullif(F.col("relationship"), F.lit("")), F.col("entity"))).groupBy("bucket").agg(F.sort_array(F.collect_list("rule_id")).alias("rules"))
+
+
+def behavior_counts(rules: DataFrame, behaviors: list[str]) -> DataFrame:
+    """behavior, graph 1 and graph 2 counts of every known behaviour, zeros kept, `unknown` left out."""
+    n = rules.groupBy("behavior").agg(F.count_if(F.col("graph") == 1).alias("g1"), F.count_if(F.col("graph") == 2).alias("g2"))
+    all_ = rules.sparkSession.createDataFrame([(b,) for b in behaviors], "behavior string")
+    return all_.join(n, "behavior", "left").fillna(0, ["g1", "g2"])

@@ -112,3 +112,55 @@ def drift(live: DataFrame, files: DataFrame) -> DataFrame:
     """graph, live, filed, drifted: rule counts of loaded graphs against those of their files."""
     a, b = live.groupBy("graph").agg(F.count("*").alias("live")), files.groupBy("graph").agg(F.count("*").alias("filed"))
     return a.join(b, "graph", "full").fillna(0).withColumn("drifted", F.col("live") != F.col("filed"))
+
+
+def named_annotations(annotations: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Annotations that aren't deleted, with the name of their vertex, or `vertex:<id>`."""
+    a = annotations.where(~F.coalesce("deleted", F.lit(False)))
+    v = vertices.select("vertex_id", F.col("name").alias("vertex_name"))
+    return a.join(v, "vertex_id", "left").withColumn("vertex_name", F.coalesce("vertex_name", F.concat(F.lit("vertex:"), F.col("vertex_id").cast("string"))))
+
+
+def orphaned_annotations(annotations: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Annotations of vertices that no graph has."""
+    return annotations.join(vertices.select("vertex_id"), "vertex_id", "left_anti")
+
+
+def consistency(graphs: DataFrame, embeddings: DataFrame, annotations: DataFrame, vertices: DataFrame, rules: DataFrame) -> DataFrame:
+    """check, subject, ok, detail: rules per graph, index freshness, orphaned annotations, share of verified references."""
+    from tessera.operators.search import fresh
+
+    n = graphs.select(F.lit("graph").alias("check"), F.col("graph").alias("subject"), (F.col("rules") > 0).alias("ok"), F.col("rules").cast("string").alias("detail"))
+    f = fresh(embeddings, vertices).select(F.lit("embeddings"), "graph", "fresh", F.concat_ws("/", F.col("embeddings").cast("string"), F.col("vertices").cast("string")))
+    o = orphaned_annotations(annotations, vertices).agg(F.count("*").alias("n")).select(F.lit("annotations"), F.lit("all"), F.col("n") == 0, F.col("n").cast("string"))
+    share = F.count_if("reference_verified") / F.greatest(F.count("*"), F.lit(1))
+    r = rules.groupBy("graph").agg(share.alias("s")).select(F.lit("references"), "graph", F.col("s") >= 0.75, F.format_number("s", 2))
+    return n.union(f).union(o).union(r)
+
+
+def reconciled_runs(runs: DataFrame, alive: DataFrame) -> DataFrame:
+    """runs with those that are running, but not among the alive ones, failed."""
+    a = alive.select("run_id", F.lit(True).alias("_alive")).distinct()
+    r = runs.join(a, "run_id", "left")
+    return r.withColumn("status", F.when((F.col("status") == "running") & F.col("_alive").isNull(), "failed").otherwise(F.col("status"))).drop("_alive")
+
+
+def publish(rows: DataFrame, path: str, accept) -> bool:
+    """Write rows beside path, look at them again with accept(DataFrame) -> bool, and only then put them in its place; else
+    what was there stays. True if published."""
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    staged, old = f"{path}.staged", f"{path}.old"
+    rows.write.mode("overwrite").parquet(staged)
+    if not accept(spark.read.parquet(staged)):
+        fs.delete(hadoop(staged), True)
+        return False
+    fs.delete(hadoop(old), True)
+    if fs.exists(hadoop(path)):
+        fs.rename(hadoop(path), hadoop(old))
+    if not fs.rename(hadoop(staged), hadoop(path)):
+        fs.rename(hadoop(old), hadoop(path))
+        return False
+    fs.delete(hadoop(old), True)
+    return True

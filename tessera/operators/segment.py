@@ -159,3 +159,63 @@ def batch_pairs(batched: DataFrame, size: int) -> DataFrame:
 
 def words_of(df: DataFrame, column: str = "content") -> DataFrame:
     return df.withColumn("word_count", word_count(column))
+
+
+def recursive_split(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
+    """Parts of up to `size` characters, cut at the first separator that occurs; parts still too long are cut at the next
+    ones. Neighbouring pieces are joined up to the size, and a part begins with up to `overlap` characters of the last."""
+    sep = next((s for s in separators if s == "" or s in text), "")
+    rest = separators[separators.index(sep) + 1 :] if sep in separators else ()
+    pieces = list(text) if sep == "" else [p for p in text.split(sep) if p]
+    out, now = [], []
+
+    def close() -> None:
+        joined = sep.join(now).strip()
+        if joined:
+            out.append(joined)
+
+    for p in pieces:
+        if len(p) > size and rest:
+            close()
+            now = []
+            out += recursive_split(p, size, overlap, rest)
+            continue
+        if now and len(sep.join([*now, p])) > size:
+            close()
+            while now and (len(sep.join(now)) > overlap or len(sep.join([*now, p])) > size):
+                now.pop(0)
+        now.append(p)
+    close()
+    return out
+
+
+def markdown_chunks(docs: DataFrame, size: int = 10_000, overlap: int = 200) -> DataFrame:
+    """doc_id, n, path, content of sections under headings of levels 1 to 4, headings kept in the text; if any section of a
+    document is longer than `size`, all are split. Text before the first heading is a section without path."""
+    import re
+
+    def sections(text: str) -> list[tuple[list[str], str]]:
+        path: list[tuple[int, str]] = []
+        out: list[tuple[list[str], list[str]]] = [([], [])]
+        fenced = False
+        for line in text.split("\n"):
+            fenced ^= line.lstrip().startswith("```")
+            h = None if fenced else re.match(r"(#{1,4})\s+(.*)$", line)
+            if h:
+                path = [p for p in path if p[0] < len(h[1])] + [(len(h[1]), h[2].strip())]
+                out.append(([t for _, t in path], []))
+            out[-1][1].append(line)
+        return [(p, "\n".join(ls).strip()) for p, ls in out if "\n".join(ls).strip()]
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for d, text in zip(f["doc_id"], f["text"]):
+                own = sections(text or "")
+                if any(len(t) > size for _, t in own):
+                    own = [(p, s) for p, t in own for s in recursive_split(t, size, overlap)]
+                rows += [(d, i, p, t) for i, (p, t) in enumerate(own, 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "path", "content"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n int, path array<string>, content string")

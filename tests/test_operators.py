@@ -222,3 +222,67 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert ("run1", "1", "completed") in rows(spark.table("steps")) and ("run1", "2", "running") in rows(spark.table("steps"))
     assert logs.advance((0, ("pending",) * 2), "Step 3.5 completed", ["3", "3.5"])[0] == 0
+
+
+def test_path_resolution(spark):
+    refs = spark.createDataFrame([(1, "b/c/one.txt"), (2, "zz/two.txt"), (3, "q/c/three.txt"), (4, "nope.txt")], "ref_id int, path string")
+    chunks = spark.createDataFrame([("b/c/one.txt",), ("x/y/two.txt",), ("a/c/three.txt",), ("b/c/three.txt",), ("r/q/c/three.txt",)], "path string")
+    assert rows(search.resolve_chunks(refs, chunks), "ref_id", "chunk") == [(1, "b/c/one.txt"), (2, "x/y/two.txt"), (3, "a/c/three.txt"), (4, None)]
+    index = chunks.withColumn("ord", F.monotonically_increasing_id())
+    assert rows(search.resolve_path(refs, index), "ref_id", "entry") == [(1, "b/c/one.txt"), (3, "r/q/c/three.txt")]
+    got = rows(search.resolve_segments(refs.where("ref_id = 1"), chunks), "entry", "hits")
+    assert ("b/c/one.txt", 3) in got and ("b/c/three.txt", 2) in got
+
+
+def test_mappings(spark):
+    m = spark.createDataFrame([(0, "i1", "FULL", [("R1", 2.0)]), (1, "i1", "NONE", [("R1", 0.5), ("R1", 0.9), ("XX", 1.0)])], "ord int, item_id string, coverage string, matched array<struct<rule_id:string,confidence:double>>")
+    items = spark.createDataFrame([("i1",), ("i2",)], "item_id string")
+    r = spark.createDataFrame([("R1",), ("R2",)], "rule_id string")
+    got = {x["item_id"]: x for x in search.normalised_mappings(m, items, r).collect()}
+    assert got["i1"]["coverage"] == "PARTIAL" and [tuple(y) for y in got["i1"]["matched"]] == [(0.5, "R1")] and got["i2"]["coverage"] == "NONE"
+    u = spark.createDataFrame([("BR_LOAN_FILE_CONSTRAINT_001",), ("BR_PROCESS_1",), ("BR_USED_PROCESS_1",)], "rule_id string")
+    assert rows(search.unused_rules(u, u.where("rule_id LIKE '%USED%'"), ["CONSTRAINT", "PROCESS"])) == [("LOAN_FILE", 1), ("UNKNOWN", 1)]
+    c = spark.createDataFrame([("i", "R2", 0.5), ("i", "R1", 0.5)], "item_id string, rule_id string, lexical_score double")
+    assert rows(search.fallback_mapping(c), "rule_id", "confidence") == [("R1", 0.35)]
+
+
+def test_rebucketing_and_publish(spark, tmp_path):
+    r = spark.createDataFrame([("R1", "A"), ("R2", "lost"), ("R3", "bad"), ("R4", "keep")], "rule_id string, entity_or_relationship string")
+    names = spark.createDataFrame([("A",)], "name string")
+    judge = lambda rows_: rows_.withColumn("suggestion", F.when(F.col("rule_id") == "R2", "A").when(F.col("rule_id") == "R3", "DROP").otherwise("nonsense"))
+    assert rows(match.rebucketed(r, names, judge), "rule_id", "entity_or_relationship") == [("R1", "A"), ("R2", "A"), ("R4", "keep")]
+    path = str(tmp_path / "g")
+    assert register.publish(r, path, lambda d: d.count() == 4) and not register.publish(r.limit(1), path, lambda d: d.count() == 4)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_splitting(spark):
+    text = "aaa bbb ccc\n\nddd eee"
+    assert segment.recursive_split(text, 12, 0) == ["aaa bbb ccc", "ddd eee"]
+    assert segment.recursive_split("aa bb cc dd", 5, 2) == ["aa bb", "bb cc", "cc dd"]
+    assert segment.recursive_split("x" * 7, 3, 0) == ["xxx", "xxx", "x"]
+    d = spark.createDataFrame([(1, "intro\n# A\nx\n## B\n```\n# no\n```\ny")], "doc_id int, text string")
+    assert rows(segment.markdown_chunks(d), "n", "path") == [(1, []), (2, ["A"]), (3, ["A", "B"])]
+
+
+def test_annotations(spark):
+    a = spark.createDataFrame([(1, "yes", None, None), (2, None, None, True), (9, "yes", "yes", False)], "vertex_id int, reviewed string, approved string, deleted boolean")
+    v = spark.createDataFrame([(1, "one"), (2, "two")], "vertex_id int, name string")
+    assert rows(register.named_annotations(a, v), "vertex_id", "vertex_name") == [(1, "one"), (9, "vertex:9")]
+    assert rows(register.orphaned_annotations(a, v), "vertex_id") == [(9,)]
+    assert tuple(register.review_counts(a).first()) == (2, 1, 0, 1)
+    new = spark.createDataFrame([(1, "no")], "vertex_id int, approved string")
+    assert [(r["reviewed"], r["approved"]) for r in register.merge_annotations(a, new).where("vertex_id = 1").collect()] == [("yes", "no")]
+    runs = spark.createDataFrame([("a", "running"), ("b", "running"), ("c", "completed")], "run_id string, status string")
+    assert rows(register.reconciled_runs(runs, runs.where("run_id = 'a'"))) == [("a", "running"), ("b", "failed"), ("c", "completed")]
+
+
+def test_references_and_features(spark):
+    r = spark.createDataFrame([("P", [("a",)]), ("D", [("b",), ("c",)])], "rule_id string, source_reference array<struct<chunk_path:string>>")
+    g = spark.createDataFrame([("P", "D")], "primary string, duplicate string")
+    assert [x["chunk_path"] for x in match.collected_references(r, g).first()["references"]] == ["a", "b", "c"]
+    f = spark.createDataFrame([("R", "n", "d" * 600)], "rule_id string, rule_name string, description string")
+    assert len(match.key_features(f).first()["features"]) < 600
+    assert rows(match.apply_duplicates(spark.createDataFrame([("P",), ("D",), ("X",)], "rule_id string"), g), "rule_id", "merge_count") == [("P", 1), ("X", 0)]
+    b = spark.createDataFrame([("k", 0, 0, "R1", "a"), ("k", 0, 1, "R1", "a"), ("k", 1, 2, "R1", "b"), ("k", 1, 3, "R9", "A"), ("k", 1, 4, "R8", "c")], "bucket string, batch int, ord int, rule_id string, rule_name string")
+    assert rows(match.merge_batches(b), "ord") == [(0,), (1,), (4,)]
