@@ -63,6 +63,13 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: batches to Python hold at most 2,000 rows or 8 MB, unless the session asks for something else."""
+    for key, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864", "8388608")):
+        if spark.conf.get(key, usual) in (usual, "64MB", "64m"):
+            spark.conf.set(key, own)
+
+
 def set_aside(docs: DataFrame, *used: str) -> DataFrame:
     """docs with all columns but the used ones renamed, so that none clashes with what an operator adds."""
     return docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c not in used})
@@ -78,7 +85,7 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def text_batches(texts: list[bytes], limit: int = 1 << 20):
+def text_batches(texts: list[bytes], limit: int = 1 << 18):
     """Ranges of texts of about `limit` bytes together; a longer text stands alone."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, small_batches
 from tessera.llm.vectors import stack, usable
 
 SHARD_ROWS = 8192
@@ -199,6 +199,7 @@ def nearest(queries: DataFrame, shards: DataFrame, k: int, ef: int = EF_SEARCH)
     Ties go to the smaller vec_id; the query's own id is left out. Queries whose vector is null, zero or not finite
     have no results; repeated queries count once. With no shard there is no result.
     """
+    small_batches(queries.sparkSession)
     good = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda v: v != 0))
     good = good.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<double>")).alias("e"))
     blocks = max(1, -(-good.count() // QUERIES_PER_BLOCK))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import if_small, materialize, mix64, ngram_hashes, text_batches, tidy, word_hashes
+from tessera.llm.common import if_small, materialize, mix64, ngram_hashes, small_batches, text_batches, tidy, word_hashes
 from tessera.llm.components import components
 
 WORDS, SIMILAR = 5, (75, 100)
@@ -109,7 +109,7 @@ def cards(docs: DataFrame, n: int = WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([bitmap(s) if s.size else None for s in sets], pa.binary())], names=names)
                 held += sets
                 many += sum(s.size for s in sets)
-                if many > 2_000_000:
+                if many > 1_000_000:
                     yield counted()
                     held, many = [], 0
         if many:
@@ -368,6 +368,7 @@ def join_components(docs: DataFrame, n: int = WORDS, similar: tuple[int, int] =
     sets, so they are in one component. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     first = materialize(cards(docs, n), "cards")
     own = first.where("kind = 0").drop("kind")
     sets = own.where("size > 0")

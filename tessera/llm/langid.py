@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.common import restored, set_aside
+from tessera.llm.common import restored, set_aside, small_batches
 
 DIMS = 4096
 #: The classifier is fitted on at most so many labelled rows in all, shared evenly among the labels.
@@ -134,6 +134,7 @@ def train(docs: DataFrame, limit: int = MAX_TRAIN) -> dict:
 
     Rows are chosen by a hash of doc_id, so reruns agree. Without such rows the model knows no language.
     """
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -163,6 +164,7 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     Null text and text without a letter are `und` with score 0; so is all text if nothing could be learned. An empty
     table gives an empty one. Nothing but the text decides.
     """
+    small_batches(docs.sparkSession)
     model = train(docs) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop("_lang_pred", "_score")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, small_batches
 
 CAPACITY, END = 2048, 0
 PIECES_PER_PART = 100_000
@@ -79,6 +79,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
     `capacity` is cut: all its pieces but the first are full.
     """
     path = tokenizer or _tokenizer_file()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         encode = encoder(path)
