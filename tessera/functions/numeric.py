@@ -34,13 +34,35 @@ PRICES = {
     "o4-mini": (1.10, 4.40),
 }
 BEHAVIOR_OF_TYPE = {
-    "threshold": "eligibility constraint credit_policy collateral covenant pricing",
-    "mandate": "compliance documentation reporting clinical_guideline hipaa_privacy consent_requirement credentialing regulatory",
-    "method": "validation monitoring screening billing_compliance quality_measure underwriting risk_assessment",
-    "sequence": "process investigation onboarding",
-    "formula": "calculation",
-    "prohibition": "prohibition patient_safety",
-    "classification": "definition exception",
+    "eligibility": "threshold",
+    "constraint": "threshold",
+    "compliance": "mandate",
+    "validation": "method",
+    "documentation": "mandate",
+    "process": "sequence",
+    "calculation": "formula",
+    "prohibition": "prohibition",
+    "definition": "classification",
+    "exception": "classification",
+    "reporting": "mandate",
+    "monitoring": "method",
+    "screening": "method",
+    "investigation": "sequence",
+    "onboarding": "sequence",
+    "clinical_guideline": "mandate",
+    "patient_safety": "prohibition",
+    "hipaa_privacy": "mandate",
+    "billing_compliance": "method",
+    "consent_requirement": "mandate",
+    "credentialing": "mandate",
+    "quality_measure": "method",
+    "regulatory": "mandate",
+    "credit_policy": "threshold",
+    "collateral": "threshold",
+    "covenant": "threshold",
+    "underwriting": "method",
+    "risk_assessment": "method",
+    "pricing": "threshold",
 }
 BEHAVIORS = ["formula", "classification", "threshold", "prohibition", "timing", "sequence", "method", "mandate"]
 REVIEW_BELOW = 70.0
@@ -135,5 +157,4 @@ def token_cost(model, prompt, completion, prices: dict = PRICES) -> Column:
 def behavior(rule_behavior, rule_type) -> Column:
     """A valid behaviour as it is, else that of the legacy type, else `unknown`."""
     b = F.lower(F.coalesce(_col(rule_behavior), F.lit("")))
-    legacy = {t: k for k, ts in BEHAVIOR_OF_TYPE.items() for t in ts.split()}
-    return F.when(b.isin(BEHAVIORS), b).otherwise(F.coalesce(lookup(legacy, F.lower(F.coalesce(_col(rule_type), F.lit("")))), F.lit("unknown")))
+    return F.when(b.isin(BEHAVIORS), b).otherwise(F.coalesce(lookup(BEHAVIOR_OF_TYPE, F.lower(F.coalesce(_col(rule_type), F.lit("")))), F.lit("unknown")))

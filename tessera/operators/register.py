@@ -6,24 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["graph_name", "provider", "rule_id"]
-# Controls by rule type, risk level and words of the name; (name, type).
+# Controls by rule type, by risk level and by words of the name: (name, type, description).
 CONTROLS_BY_TYPE = {
-    "compliance": [("Regulatory Compliance Review", "procedure"), ("Compliance Training Program", "training")],
-    "eligibility": [("Eligibility Verification Checklist", "procedure"), ("Automated Eligibility Screening", "technical-control")],
-    "validation": [("Data Validation Rules", "technical-control"), ("QC Sampling Procedure", "procedure")],
-    "process": [("Standard Operating Procedure", "procedure"), ("Process Audit Trail", "technical-control")],
-    "prohibition": [("Prohibited Activity Monitoring", "technical-control"), ("Prohibition Compliance Policy", "policy")],
-    "calculation": [("Calculation Validation Engine", "technical-control"), ("Manual Calculation Review", "manual-control")],
-    "documentation": [("Document Retention Policy", "policy"), ("Document Completeness Checklist", "procedure")],
+    "compliance": [
+        ("Regulatory Compliance Review", "procedure", "Periodic review of regulatory requirements against internal policies"),
+        ("Compliance Training Program", "training", "Annual compliance training for all relevant staff"),
+    ],
+    "eligibility": [
+        ("Eligibility Verification Checklist", "procedure", "Systematic verification of eligibility criteria before processing"),
+        ("Automated Eligibility Screening", "technical-control", "System-enforced eligibility checks at point of entry"),
+    ],
+    "validation": [
+        ("Data Validation Rules", "technical-control", "Automated validation rules in processing systems"),
+        ("QC Sampling Procedure", "procedure", "Quality control sampling of validated records"),
+    ],
+    "process": [
+        ("Standard Operating Procedure", "procedure", "Documented SOP covering the required process steps"),
+        ("Process Audit Trail", "technical-control", "System-generated audit trail for process execution"),
+    ],
+    "prohibition": [
+        ("Prohibited Activity Monitoring", "technical-control", "Automated monitoring and alerting for prohibited activities"),
+        ("Prohibition Compliance Policy", "policy", "Written policy explicitly prohibiting the activity"),
+    ],
+    "calculation": [
+        ("Calculation Validation Engine", "technical-control", "Automated calculation verification with audit logging"),
+        ("Manual Calculation Review", "manual-control", "Secondary review of calculations exceeding threshold"),
+    ],
+    "documentation": [
+        ("Document Retention Policy", "policy", "Document retention and accessibility requirements"),
+        ("Document Completeness Checklist", "procedure", "Pre-submission checklist for required documentation"),
+    ],
 }
 CONTROLS_BY_RISK = {
-    "critical": [("Executive Review & Sign-off", "manual-control"), ("Independent Audit Verification", "audit")],
-    "high": [("Supervisory Review", "manual-control")],
+    "critical": [
+        ("Executive Review & Sign-off", "manual-control", "Senior management review for critical risk items"),
+        ("Independent Audit Verification", "audit", "Annual independent audit of critical compliance controls"),
+    ],
+    "high": [("Supervisory Review", "manual-control", "Supervisor-level review and approval")],
 }
 CONTROLS_BY_WORD = [
-    ("appraisal|property|valuation", ("Appraisal Independence Policy", "policy")),
-    ("wire|fund|disburs", ("Wire Transfer Authorization", "technical-control")),
-    ("aml|suspicious|transaction monitoring", ("Transaction Monitoring System", "technical-control")),
+    ("appraisal|property|valuation", ("Appraisal Independence Policy", "policy", "Ensures appraiser independence per FIRREA requirements")),
+    ("wire|fund|disburs", ("Wire Transfer Authorization", "technical-control", "Dual-authorization required for wire transfers")),
+    ("aml|suspicious|transaction monitoring", ("Transaction Monitoring System", "technical-control", "Automated suspicious activity detection and SAR filing")),
 ]
 
 
@@ -64,9 +88,9 @@ def compliance_score(register: DataFrame) -> DataFrame:
 
 
 def suggestions(register: DataFrame) -> DataFrame:
-    """rule_id, ord, control_name, control_type: by type, then risk, then words of the name; the first of a name counts."""
-    pair = lambda c: F.struct(F.lit(c[0]).alias("control_name"), F.lit(c[1]).alias("control_type"))
-    none = F.array().cast("array<struct<control_name:string,control_type:string>>")
+    """rule_id, ord, control_name, control_type, description: by type, then risk, then words of the name; the first of a name counts."""
+    pair = lambda c: F.struct(F.lit(c[0]).alias("control_name"), F.lit(c[1]).alias("control_type"), F.lit(c[2]).alias("description"))
+    none = F.array().cast("array<struct<control_name:string,control_type:string,description:string>>")
     parts = [F.when(F.lower("rule_type") == k, F.array(*map(pair, v))).otherwise(none) for k, v in CONTROLS_BY_TYPE.items()]
     parts += [F.when(F.lower("risk_level") == k, F.array(*map(pair, v))).otherwise(none) for k, v in CONTROLS_BY_RISK.items()]
     parts += [F.when(F.regexp_like(F.lower("rule_name"), F.lit(w)), F.array(pair(c))).otherwise(none) for w, c in CONTROLS_BY_WORD]
