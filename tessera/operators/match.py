@@ -69,6 +69,79 @@ def assign(judged: DataFrame, rounds: int = 60) -> DataFrame:
     return done if done is not None else spark.createDataFrame([], left.schema)
 
 
+def greedy_members(left: list[tuple], right: list[tuple]) -> list[tuple]:
+    """(g1, g2, identical) of one group of equal token sets, as assign(default_judge(pairs)) gives it, without its pairs.
+
+    left, right: (id, text hash, quality or None) in order of id. Members of one text and quality are interchangeable, so
+    each side keeps a queue per class; a rule takes the smallest id of the classes that don't contradict it, of its own
+    text in a first pass, of any in a second.
+    """
+    from collections import deque
+
+    def classes(rows, key):
+        out: dict = {}
+        for i, text, q in rows:
+            out.setdefault(key(text, q), deque()).append(i)
+        return out
+
+    texts = {i: t for i, t, _ in right}
+    taken: set = set()
+
+    def take(queues, own, q):
+        best = None
+        for k in (None, 0, 1) if q is None else (None, q):
+            d = queues.get((own, k)) if own is not None else queues.get(k)
+            while d and d[0] in taken:
+                d.popleft()
+            if d and (best is None or d[0] < best):
+                best = d[0]
+        if best is not None:
+            taken.add(best)
+        return best
+
+    out, rest = [], []
+    same = classes(right, lambda t, q: (t, q))
+    for i, t, q in left:
+        g2 = take(same, t, q)
+        out += [(i, g2, True)] if g2 is not None else []
+        rest += [(i, t, q)] if g2 is None else []
+    any_ = classes(right, lambda t, q: q)
+    for i, t, q in rest:
+        g2 = take(any_, None, q)
+        out += [(i, g2, texts[g2] == t)] if g2 is not None else []
+    return out
+
+
+def match_members(g1: DataFrame, g2: DataFrame) -> DataFrame:
+    """behavior, g1, g2, relationship, confidence: the one-to-one matches of the default judge, group by group of equal
+    token sets. A group holds ids and hashes only, and its size counts once, not squared."""
+    import pandas as pd
+
+    def side(g: DataFrame, n: int) -> DataFrame:
+        key = F.xxhash64(F.array_sort(F.array_distinct(tokens("text"))))
+        return g.select("behavior", key.alias("k"), F.lit(n).alias("side"), "rule_id", F.xxhash64(normal(F.col("text"))).alias("t"), F.col("quality").cast("int").alias("q"))
+
+    one, two = side(g1, 1), side(g2, 2)
+    both = one.unionByName(two)
+    shared = both.groupBy("behavior", "k").agg(F.count_distinct("side").alias("s")).where("s = 2").select("behavior", "k")
+    kind = dict(g1.dtypes)["rule_id"]
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("rule_id", kind="stable")
+        rows = [(s, (i, t, None if pd.isna(q) else int(q))) for s, i, t, q in zip(f["side"], f["rule_id"], f["t"], f["q"])]
+        got = greedy_members([r for s, r in rows if s == 1], [r for s, r in rows if s == 2])
+        return pd.DataFrame([(f["behavior"].iloc[0], a, b, "IDENTICAL" if same else "EQUIVALENT", 1.0 if same else 0.9) for a, b, same in got], columns=["behavior", "g1", "g2", "relationship", "confidence"])
+
+    return both.join(shared, ["behavior", "k"], "left_semi").groupBy("behavior", "k").applyInPandas(run, f"behavior string, g1 {kind}, g2 {kind}, relationship string, confidence double")
+
+
+def member_conflicts(g1: DataFrame, g2: DataFrame, matches: DataFrame) -> DataFrame:
+    """The contradictions of the default judge: unmatched rules of equal token sets whose qualities differ."""
+    a = g1.where("quality IS NOT NULL").join(matches.select("behavior", F.col("g1").alias("rule_id")), ["behavior", "rule_id"], "left_anti")
+    b = g2.where("quality IS NOT NULL").join(matches.select("behavior", F.col("g2").alias("rule_id")), ["behavior", "rule_id"], "left_anti")
+    return candidate_pairs(a, b).where("g1_quality <> g2_quality").select("behavior", "g1", "g2", F.lit(0.5).alias("confidence"))
+
+
 def contradictions(judged: DataFrame, matches: DataFrame) -> DataFrame:
     """Contradictory pairs neither of whose rules is matched; a rule may be in many."""
     c = judged.where("relationship = 'CONTRADICTORY'").select("behavior", "g1", "g2", "confidence")

@@ -143,9 +143,26 @@ def word_batches(files: DataFrame, target: int = 8000, most: int = 8) -> DataFra
     return got.select("group", F.explode("z").alias("z")).select("group", "z.file_id", "z.batch")
 
 
+def numbered(df: DataFrame, order: str, name: str, ranges: int = 64) -> DataFrame:
+    """df with name, the place of each row (from 0) in order of a numeric column, ties in any order.
+
+    Rows are numbered by ranges, each on top of what the ranges before it hold, so no task sorts all rows.
+    """
+    bounds = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
+    at = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    own = df.withColumn("_range", at)
+    held = {r["_range"]: r["n"] for r in own.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    first, total = [], 0
+    for i in range(len(bounds) + 1):
+        first += [F.lit(i), F.lit(total)]
+        total += held.get(i, 0)
+    turn = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
+    return own.withColumn(name, F.element_at(F.create_map(*first), F.col("_range")) + turn).drop("_range")
+
+
 def rule_batches(rules: DataFrame, size: int) -> DataFrame:
     """rules (ord) with batch and place in it."""
-    n = rules.withColumn("_n", F.row_number().over(W.orderBy("ord")) - 1)
+    n = numbered(rules, "ord", "_n")
     return n.withColumn("batch", F.floor(F.col("_n") / size).cast("int")).withColumn("place", (F.col("_n") % size).cast("int")).drop("_n")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import numeric as N
 from tessera.functions import text as T
 from tessera.operators import graph, impact, load, match, register, search, segment, stats, validate
+from tessera.operators.graph import _cut
 from tessera.plans import adaptor as A
 from tessera.plans.adaptor import sql
 from tessera.streaming import logs
@@ -257,20 +258,23 @@ def cluster_sizes(s, d):
 
 @query()
 def matches(s, d):
-    return match.assign(_judged(s, d))
+    r = A.graph_rules(s, d)
+    return match.match_members(r.where("graph = 1"), r.where("graph = 2"))
 
 
 @query()
 def set_operation_sizes(s, d):
-    r, j = A.graph_rules(s, d), _judged(s, d)
-    m = match.assign(j)
-    return match.set_sizes(r.where("graph = 1"), r.where("graph = 2"), m, match.contradictions(j, m))
+    r = A.graph_rules(s, d)
+    one, two = r.where("graph = 1"), r.where("graph = 2")
+    m = _cut(match.match_members(one, two))
+    return match.set_sizes(one, two, m, match.member_conflicts(one, two, m))
 
 
 @query()
 def union_graph(s, d):
     r = A.graph_rules(s, d)
-    return match.union_all(r.where("graph = 1"), r.where("graph = 2"), match.assign(_judged(s, d)))
+    one, two = r.where("graph = 1"), r.where("graph = 2")
+    return match.union_all(one, two, _cut(match.match_members(one, two)))
 
 
 @query("""SELECT p AS "primary", doc_id AS duplicate FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ')) AS p FROM documents) WHERE p <> doc_id""".replace("\\\\", "\\"))
@@ -464,3 +468,99 @@ def run_steps(s, d):
 def transcripts(s, d):
     c = A.table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"), F.count("*").alias("turns"))
     return c.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("transcript"), "turns")
+
+
+# ---- more of text, scores and segmentation
+
+@query("SELECT p_partkey AS rule_id, coalesce(nullif(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled') AS folder FROM part")
+def folder_names(s, d):
+    return A.table(s, d, "part").select(F.col("p_partkey").alias("rule_id"), T.sanitize_folder_name("p_name").alias("folder"))
+
+
+@query("""SELECT doc_id, array_to_string(list_concat(regexp_extract_all(text, '\\d+\\.?\\d*\\s*%'), regexp_extract_all(text, '\\$[\\d,]+\\.?\\d*'), regexp_extract_all(text, '(?i)\\d+\\s*(?:year|month|day|week)s?'),
+  list_transform(regexp_extract_all(text, '(?i)(?:score|fico|credit)\\s*(?:of|>=?|<=?|minimum|maximum)?\\s*(\\d{3})', 1), lambda x: 'score:' || x),
+  list_transform(regexp_extract_all(text, '(?i)(?:ctr|sar|currency\\s+transaction|suspicious\\s+activity)[^\\d$]{0,50}\\$?([\\d,]{3,})', 1), lambda x: 'ctr_sar:$' || x),
+  list_transform(regexp_extract_all(text, '(?i)(?:beneficial\\s*owner(?:ship)?)[^%]{0,60}?(\\d+)\\s*%', 1), lambda x: 'bo_pct:' || x || '%'),
+  CASE WHEN regexp_matches(text, '(?i)(?:fatf|grey.?list|high.?risk\\s+jurisdiction|non.?cooperative)') THEN ['fatf_ref'] ELSE [] END, CASE WHEN regexp_matches(text, '(?i)(?:ofac|sdn|sanctions?\\s+list|specially\\s+designated)') THEN ['sanctions_ref'] ELSE [] END), ';') AS thresholds FROM documents""".replace("\\\\", "\\"))
+def threshold_texts(s, d):
+    return A.table(s, d, "documents").select("doc_id", F.array_join(T.thresholds("text"), ";").alias("thresholds"))
+
+
+@query("SELECT event_id, coalesce(CAST(trunc(try_cast(props ->> 'k' AS DOUBLE)) AS INTEGER), 0) AS k FROM events")
+def safe_integers(s, d):
+    return A.table(s, d, "events").select("event_id", N.safe_int(F.get_json_object("props", "$.k")).alias("k"))
+
+
+@query(sql("rules", """SELECT rule_id, 0.5 * (confidence_score / 100.0::DOUBLE) + 0.3 * (CASE WHEN entity_type = 'economy' THEN 0.5 ELSE 0.0 END + CASE WHEN category = 'Brand#7' THEN 0.3 ELSE 0.0 END + CASE WHEN rule_type = 'constraint' THEN 0.2 ELSE 0.0 END)
+  + 0.2 * CASE rule_type WHEN 'constraint' THEN 0.5 WHEN 'validation' THEN 0.9 WHEN 'eligibility' THEN 0.8 WHEN 'prohibition' THEN 0.7 ELSE 0.3 END AS score FROM rules"""))
+def suggestion_scores(s, d):
+    r = A.rules(s, d).withColumn("a", N.type_affinity(F.lit("constraint"), "rule_type")).withColumn("sim", F.col("confidence_score") / 100)
+    return r.select("rule_id", N.suggestion_score("sim", F.col("entity_type") == "economy", F.col("category") == "Brand#7", F.col("rule_type") == "constraint", "a").alias("score"))
+
+
+@query(sql("rules", """r AS (SELECT rule_id, list_distinct(list_filter(string_split(regexp_replace(lower(description), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) > 2 AND NOT list_contains(STOPS, x))) AS w, ['small', 'ring', 'economy'] AS own FROM rules)
+SELECT rule_id, 0.7::DOUBLE * (len(list_intersect(own, w)) / 3.0::DOUBLE) + 0.3::DOUBLE * (len(list_intersect(own, w)) / CAST(len(list_distinct(list_concat(own, w))) AS DOUBLE)) AS lexical_score FROM r ORDER BY lexical_score DESC, rule_id LIMIT 30""".replace("STOPS", str(T.TOKEN_STOP_WORDS))))
+def lexical_candidates(s, d):
+    return search.lexical_candidates("small ring economy", A.rules(s, d)).select("rule_id", "lexical_score")
+
+
+@query(sql("rules", """h AS (SELECT mandatory AS graph, rule_id, confidence_score / 100 AS similarity, contains(lower(description), 'small ring') AS w, contains(lower(description), 'small') AS p FROM rules)
+SELECT graph, rule_id, similarity FROM (SELECT *, max(w::INT) OVER (PARTITION BY graph) AS a FROM h WHERE w OR p) WHERE w OR a = 0"""))
+def cross_graph_search(s, d):
+    r = A.rules(s, d).withColumns({"graph": F.col("mandatory"), "content": F.col("description")})
+    return search.cross_graph_text(r, "Small ring").select("graph", "rule_id", "similarity")
+
+
+@query(sql("rules", "SELECT category AS doc_id, CAST(i // 50 AS INTEGER) AS part, 'Columns: rule_id, rule_type' || chr(10) || chr(10) || string_agg('Row ' || (rule_id + 1) || ': rule_id: ' || rule_id || ' | rule_type: ' || rule_type, chr(10) ORDER BY rule_id) AS content FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rule_id) - 1 AS i FROM rules) GROUP BY category, i // 50"))
+def row_group_chunks(s, d):
+    r = A.rules(s, d).withColumns({"doc_id": F.col("category"), "ord": F.col("rule_id")})
+    return segment.row_groups(r, ["rule_id", "rule_type"])
+
+
+@query("SELECT page_id, regexp_extract(html, '(?s)(<title>.*?)</title>', 1) AS title FROM pages WHERE contains(html, '</title>')")
+def page_titles(s, d):
+    return A.table(s, d, "pages").where(F.contains("html", F.lit("</title>"))).select("page_id", segment.between_markers("html", "<title>", "</title>").alias("title"))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS ord, t AS text FROM (SELECT doc_id, i, regexp_replace(parts[i], '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))) WHERE length(t) > 20".replace("\\\\", "\\"))
+def provision_lines(s, d):
+    return impact.provisions(A.table(s, d, "documents"), "\n")
+
+
+@query(sql("chunks", "SELECT 'removed' AS change_type, count(*) AS n FROM (SELECT content FROM chunks WHERE doc_id % 2 = 0 EXCEPT SELECT content FROM chunks WHERE doc_id % 2 = 1) UNION ALL SELECT 'added', count(*) FROM (SELECT content FROM chunks WHERE doc_id % 2 = 1 EXCEPT SELECT content FROM chunks WHERE doc_id % 2 = 0)"))
+def set_difference_of_lines(s, d):
+    c = A.chunks(s, d).withColumnRenamed("content", "text")
+    return impact.set_diff(c.where("doc_id % 2 = 0"), c.where("doc_id % 2 = 1")).groupBy("change_type").agg(F.count("*").alias("n"))
+
+
+@query(sql("log_lines", "SELECT date_trunc('hour', ts) AS start, CASE WHEN regexp_matches(line, 'ERROR|FAILED') THEN 'ERROR' WHEN contains(line, 'WARNING') THEN 'WARN' ELSE 'INFO' END AS level, count(*) AS n FROM log_lines GROUP BY 1, 2"))
+def levels_by_hour(s, d):
+    return logs.level_windows(A.log_lines(s, d))
+
+
+@query(sql("rules", "b AS (SELECT rule_id, (row_number() OVER (ORDER BY rule_id) - 1) // 400 AS batch, (row_number() OVER (ORDER BY rule_id) - 1) % 400 AS place FROM rules) SELECT CAST(x.batch AS INTEGER) AS i, CAST(y.batch AS INTEGER) AS j, b.rule_id FROM (SELECT DISTINCT batch FROM b) x JOIN (SELECT DISTINCT batch FROM b) y ON x.batch < y.batch JOIN b ON b.batch IN (x.batch, y.batch) AND place < 20"))
+def batch_pair_samples(s, d):
+    r = A.rules(s, d).select("rule_id", F.col("rule_id").alias("ord"))
+    return segment.batch_pairs(segment.rule_batches(r, 400), 400)
+
+
+@query("WITH f AS (SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN CAST(event_id AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM events), g AS (SELECT *, coalesce(p, 1) AS first FROM f) SELECT user_id AS doc_id, event_id AS ord, first, greatest(first, coalesce(lead(first) OVER (PARTITION BY user_id ORDER BY event_id) - 1, 100000)) AS last FROM g")
+def page_ranges(s, d):
+    t = A.table(s, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "purchase", F.col("event_id").cast("int")).alias("page"), F.lit(100000).alias("total_pages"))
+    return segment.fill_pages(t).select("doc_id", "ord", "first", "last")
+
+
+@query(sql("graph_rules", "SELECT b.behavior, count(*) FILTER (WHERE graph = 1) AS g1, count(*) FILTER (WHERE graph = 2) AS g2 FROM (SELECT unnest(['en', 'de', 'xx']) AS behavior) b LEFT JOIN graph_rules r ON r.behavior = b.behavior GROUP BY 1"))
+def behavior_counts(s, d):
+    return match.behavior_counts(A.graph_rules(s, d), ["en", "de", "xx"])
+
+
+@query(sql("graph_rules", "SELECT graph, count(*) AS live, count(*) FILTER (WHERE quality IS NOT NULL) AS filed, count(*) <> count(*) FILTER (WHERE quality IS NOT NULL) AS drifted FROM graph_rules GROUP BY 1"))
+def graph_drift(s, d):
+    r = A.graph_rules(s, d)
+    return register.drift(r, r.where("quality IS NOT NULL"))
+
+
+@query(sql("rules dependencies", """SELECT rule_id, n AS connectivity FROM (SELECT rule_id, (SELECT count(*) FROM dependencies WHERE src = rule_id) + (SELECT count(*) FROM dependencies WHERE dst = rule_id) AS n FROM rules) ORDER BY n DESC, rule_id LIMIT 10"""))
+def connectivity(s, d):
+    return stats.connectivity(match.apply_dependencies(A.rules(s, d), A.dependencies(s, d))).withColumn("connectivity", F.col("connectivity").cast("long"))

@@ -37,6 +37,24 @@ def test_assignment_is_greedy(spark, seed):
     assert rows(match.assign(df), "g1", "g2") == greedy(pairs)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_members_match_as_their_pairs_do(spark, seed):
+    r = random.Random(seed)
+    texts = ["alpha beta gamma", "Alpha  beta gamma", "gamma beta alpha", "delta epsilon"]
+    rows_ = [(r.choice([1, 2]), i, "b", r.choice(texts), r.choice([None, 0, 1])) for i in range(30)]
+    g = spark.createDataFrame(rows_, "graph int, rule_id int, behavior string, text string, quality int")
+    one, two = g.where("graph = 1"), g.where("graph = 2")
+    judged = match.default_judge(match.candidate_pairs(one, two))
+    m = match.match_members(one, two)
+    assert rows(m, "g1", "g2", "relationship") == rows(match.assign(judged), "g1", "g2", "relationship")
+    assert rows(match.member_conflicts(one, two, m), "g1", "g2") == rows(match.contradictions(judged, m), "g1", "g2")
+
+
+def test_numbering(spark):
+    df = spark.createDataFrame([(float(x),) for x in (5, 1, 9, 9, 3, 7)], "ord double")
+    assert [o for _, o in sorted((r["n"], r["ord"]) for r in segment.numbered(df, "ord", "n", 3).collect())] == [1, 3, 5, 7, 9, 9]
+
+
 def test_set_identity(spark):
     j = spark.createDataFrame([("b", 1, 2, "IDENTICAL", 1.0), ("b", 3, 2, "EQUIVALENT", 0.9), ("b", 3, 4, "CONTRADICTORY", 0.5), ("b", 1, 4, "CONTRADICTORY", 0.5)], "behavior string, g1 int, g2 int, relationship string, confidence double")
     g1 = spark.createDataFrame([(1, "b"), (3, "b"), (5, "b")], "rule_id int, behavior string")
