@@ -19,6 +19,8 @@ from tessera.llm.common import restored, set_aside, small_batches
 DIMS = 4096
 #: The classifier is fitted on at most so many labelled rows in all, shared evenly among the labels.
 MAX_TRAIN = 3000
+#: Of the labels, so many of the most frequent ones are learned.
+MAX_LABELS = 300
 UNKNOWN = "und"
 #: Families by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -66,20 +68,23 @@ def features(text: bytes) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
     """Weights of a linear support vector machine (the last is the bias), by dual coordinate descent. y: +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    norm, w, alpha = (x * x).sum(1), np.zeros(x.shape[1]), np.zeros(len(x))
+    norm = np.einsum("ij,ij->i", x, x) + 1.0
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(x))
     order = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / norm[i], 0.0), c)
+            own = x[i].astype(np.float64)
+            new = min(max(alpha[i] - (y[i] * (w @ own + bias) - 1) / norm[i], 0.0), c)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * own
+                bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 def fit(x: np.ndarray, labels: list[str]) -> dict:
@@ -136,7 +141,7 @@ def train(docs: DataFrame, limit: int = MAX_TRAIN) -> dict:
     """
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LABELS).collect()}
     if not counts:
         return fit(np.zeros((0, DIMS), np.float32), [])
     share = limit // len(counts)
@@ -154,8 +159,12 @@ def train(docs: DataFrame, limit: int = MAX_TRAIN) -> dict:
 
     rows = known.where(chosen).select("lang", "text").mapInArrow(run, "lang string, x binary").limit(limit + limit // 4).collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), DIMS)
-    return fit(x, [r["lang"] for r in rows])
+    x = np.zeros((len(rows), DIMS), np.float32)
+    labels = [r["lang"] for r in rows]
+    for i in range(len(rows)):
+        x[i] = np.frombuffer(rows[i]["x"], np.float16)
+        rows[i] = None  # bytes go as they are taken over
+    return fit(x, labels)
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
