@@ -5,9 +5,9 @@ their sizes are close and if they share one of their first tokens in a common or
 deal the sets into tiles. In a tile only sets of compatible size meet; the counts of bits that only one of their
 bitmaps has bound the overlap from above; what is left is decided by intersecting sorted arrays.
 
-Large tiles would give all pairs of a group of copies. There each set first meets one hub of its size band; sets
+A tile would give all pairs of a group of copies. So each set first meets one hub of its size band in the tile; sets
 that verified links have joined by then need no further comparison, and only pairs across components go on, blocks
-of size-sorted sets against blocks.
+of size-sorted sets against blocks of compatible size.
 """
 
 from __future__ import annotations

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,17 +21,3 @@ def stack(rows: list[bytes], dtype) -> np.ndarray:
     for i, p in enumerate(parts):
         out[i, : p.size] = p
     return out
-
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column as a float64 matrix, shorter rows filled with zeros."""
-    offsets = np.asarray(column.offsets)
-    flat = np.asarray(column.values.cast(pa.float64()), np.float64)
-    length = np.diff(offsets)
-    width = int(length.max(initial=0))
-    if length.size and (length == width).all():
-        return flat[offsets[0] : offsets[-1]].reshape(length.size, width)
-    out = np.zeros((length.size, width))
-    for i in range(length.size):
-        out[i, : length[i]] = flat[offsets[i] : offsets[i + 1]]
-    return out
