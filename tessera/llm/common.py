@@ -25,9 +25,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+#: Scratch paths of each application, for release().
+_written: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. To be called when results that read them have been written."""
+    for p in _written.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -59,6 +72,8 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         spark = df.sparkSession
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if "/tessera/" not in f:  # only what materialize() wrote
+                raise ValueError(f)
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

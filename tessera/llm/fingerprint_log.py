@@ -150,6 +150,9 @@ class FingerprintLog:
         for p in old:
             self._fs.delete(self._path(p), True)
 
+    def drop(self) -> None:
+        self._fs.delete(self._path(self.path), True)
+
 
 def repeated_spans(log: FingerprintLog, docs: DataFrame, batch: int = 0, history: DataFrame | None = None) -> DataFrame:
     """kind 0 rows of spans (in words) of docs that repeat an earlier window: of an earlier batch in the log, or of docs
@@ -177,11 +180,16 @@ def dedup(docs: DataFrame, log: FingerprintLog | None = None, batch: int = 0, hi
     """
     spark = docs.sparkSession
     own = win.keyed(docs)
-    if log is None:
+    passing = log is None
+    if passing:
         size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         log = FingerprintLog(spark, parts=win.part_count(size // 6, window, GRAM, win.RUNS_PER_PART), window=window)
-    found = repeated_spans(log, own, batch, history)
-    log.compact()
+    later, whole = win.copies(own, True)
+    found = repeated_spans(log, win.without(own, later), batch, history).unionByName(whole)
+    if passing:
+        log.drop()  # what it told is written; a log that is kept is given by the caller
+    else:
+        log.compact()
     kept = [c for c in docs.columns if c not in {"_n_words", "_n_removed", "_kept", "_uid", "_ord", "_spans", "_u"}]
     spans = win.with_spans(docs.select(*kept).withColumn("_uid", F.xxhash64(docs["doc_id"], docs["text"])), found)
     at, names = kept.index("text"), [*kept, "_n_words", "_n_removed", "_kept"]
@@ -193,7 +201,7 @@ def dedup(docs: DataFrame, log: FingerprintLog | None = None, batch: int = 0, hi
                 total, gone, left = [], [], []
                 for text, s in zip(b.column(at), b.column(b.num_columns - 1)):
                     words = (text.as_py() or "").encode().split()
-                    c = win.cover(s.as_py())
+                    c = win.cover(s.as_py(), len(words), window)
                     total.append(len(words))
                     gone.append(int((c[:, 1] - c[:, 0]).sum()))
                     edge = [0, *c.ravel().tolist(), len(words)]

@@ -10,7 +10,7 @@ from tessera.llm.mixing import OP9_SQL, op9_mixing
 from tessera.llm.packing import op6_packing
 from tessera.llm.secret_scan import OP3_SQL, op3_secrets
 from tessera.llm.sharding import op8_sharding
-from tessera.llm.suffix_dedup import op10_suffixes
+from tessera.llm.suffix_dedup import OP10_SQL, op10_suffixes
 from tessera.llm.voronoi import OP7_SQL, op7_topk
 
 QUERIES = {
@@ -23,5 +23,5 @@ QUERIES = {
     "op7_topk": (op7_topk, OP7_SQL),
     "op8_sharding": (op8_sharding, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
-    "op10_suffixes": (op10_suffixes, None),
+    "op10_suffixes": (op10_suffixes, OP10_SQL),
 }

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import windows as win
-from tessera.llm.common import mix64
+from tessera.llm.common import discard, mix64
 
 WINDOW, GRAM = 400, 64
-SORT_BLOCK, BYTES_PER_ARRAY = 60_000, 1 << 20
+SORT_BLOCK, BYTES_PER_ARRAY = 20_000, 1 << 19
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -110,8 +110,8 @@ def repeats(text: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
         pairs = pairs[(_slices(buf, sa[pairs] + w, 8) == _slices(buf, sa[pairs + 1] + w, 8)).all(1)]
         if w == 32:
             break
-    for a in range(0, pairs.size, 20_000):
-        p = pairs[a : a + 20_000]
+    for a in range(0, pairs.size, 5_000):
+        p = pairs[a : a + 5_000]
         p = p[(_slices(buf, sa[p], window) == _slices(buf, sa[p + 1], window)).all(1)]
         out[sa[p]] = out[sa[p + 1]] = True
     return out
@@ -142,7 +142,7 @@ def _bodies(open_: DataFrame, window: int) -> DataFrame:
                     body = b"".join(text[s : s + c - 1 + window] for s, c in f[:, :2].tolist())
                     held.setdefault(g["part"], []).append((f[:, 3], np.full(len(f), uid, np.int64), f[:, 0], f[:, 1], f[:, 2].astype(np.uint8), body))
                     size += len(body) + 32 * len(f)
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield blobs()
                     held, size = {}, 0
         if held:
@@ -210,12 +210,15 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     own = win.keyed(docs)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = win.part_count(size, window, GRAM, 400_000)
-    blobs = win.sorted_runs(own, byte_units, window, GRAM, parts)
+    parts = win.part_count(size, window, GRAM, 200_000)
+    later, whole = win.copies(own, False)
+    own = win.without(own, later)
+    blobs = win.stored(win.sorted_runs(own, byte_units, window, GRAM, parts), "runs")
     found = win.stored(win.settle(blobs, window, False), "settled")
     compared = win.stored(_compare(_bodies(win.fetch(found, own), window), window), "compared")
+    discard(blobs)
     kept = [c for c in docs.columns if c not in {"_n_bytes", "_n_removed", "_removed", "_kept", "_uid", "_ord", "_spans", "_u"}]
-    spans = win.with_spans(docs.select(*kept).withColumn("_uid", F.xxhash64(docs["doc_id"], docs["text"])), found.where("kind = 0").unionByName(compared))
+    spans = win.with_spans(docs.select(*kept).withColumn("_uid", F.xxhash64(docs["doc_id"], docs["text"])), found.where("kind = 0").unionByName(compared).unionByName(whole))
     at, names = kept.index("text"), [*kept, "_n_bytes", "_n_removed", "_removed", "_kept"]
 
     def run(batches):
@@ -225,7 +228,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out = [[], [], [], []]
                 for text, s in zip(b.column(at), b.column(b.num_columns - 1)):
                     t = (text.as_py() or "").encode()
-                    c = win.cover(s.as_py())
+                    c = win.cover(s.as_py(), len(t), window)
                     edge = [0, *c.ravel().tolist(), len(t)]
                     for o, v in zip(out, (len(t), int((c[:, 1] - c[:, 0]).sum()), c.tobytes(), b"".join(t[edge[i] : edge[i + 1]] for i in range(0, len(edge), 2)))):
                         o.append(v)
@@ -240,3 +243,20 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op10_suffixes(spark, sf_dir: str) -> DataFrame:
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), (F.octet_length("_removed") / 16).cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, encode(COALESCE(text, '')) AS b FROM documents
+), w AS (
+  SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400)
+), hit AS (
+  SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1
+), runs AS (
+  SELECT doc_id, r, min(i) AS s, max(i) + 399 AS e FROM (SELECT doc_id, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit) GROUP BY doc_id, r
+), per AS (
+  SELECT doc_id, sum(e - s + 1) AS n_removed, count(*) AS n_spans, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE list_reduce(list_transform(range(0, n_spans + 1), lambda k: b[(CASE WHEN k = 0 THEN 1 ELSE es[k] + 1 END):(CASE WHEN k = n_spans THEN octet_length(b) ELSE ss[k + 1] - 1 END)]), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, mix64, tidy
+from tessera.llm.common import if_small, materialize, mix64, small_batches, tidy
 
 PLACE = np.uint64((1 << 28) - 1)
 _R = 0x9E3779B97F4A7C15 | 1
@@ -58,6 +58,7 @@ def runs(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray
 
 def keyed(docs: DataFrame) -> DataFrame:
     """_uid, _ord, text: a row is known by a hash of doc_id and text, and ordered by doc_id (null first)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.xxhash64("doc_id", "text").alias("_uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_ord"), F.col("text"))
 
 
@@ -118,50 +119,108 @@ def _by_uid(uid: np.ndarray, kind: int, fields: np.ndarray, part: int) -> pd.Dat
 _FOUND = "uid long, kind int, part int, fields binary"
 
 
-def settle(blobs: DataFrame, window: int, keep_first: bool, batch: int = 0) -> DataFrame:
-    """Merge the sorted runs of each part. kind 0: spans (start, end) all of whose windows are repeats, of documents of
-    `batch`; kind 1: runs (first, count, settled, anchor) to compare by window, one of each body, of any batch.
+_HEAD = np.dtype([("anchor", "<u4"), ("body", "<u8"), ("age", "<i8"), ("ord", "<i8"), ("uid", "<i8"), ("first", "<i4"), ("count", "<u2"), ("many", "u1")])
 
-    keep_first: of equal windows the earliest (by batch, doc_id, place) stays; else all are repeats.
-    """
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in f[c]])
-        anchor, body, first, count = cat("anchor", np.uint32), cat("body", np.uint64), cat("first", np.int32), cat("count", np.uint16)
-        uid = np.concatenate([np.frombuffer(u, np.int64)[np.frombuffer(i, np.uint16)] for u, i in zip(f["uid"], f["local"])])
-        ord_ = np.concatenate([np.frombuffer(u, np.int64)[np.frombuffer(i, np.uint16)] for u, i in zip(f["ord"], f["local"])])
-        age = np.concatenate([np.full(len(x) // 4, b, np.int64) for x, b in zip(f["anchor"], f["batch"])])
-        many = np.argsort(anchor, kind="stable")
-        a = anchor[many]
+def _loaded(f: pd.DataFrame) -> np.ndarray:
+    """The runs of blobs, one record each."""
+    cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in f[c]])
+    anchor = cat("anchor", np.uint32)
+    out = np.zeros(anchor.size, _HEAD)
+    out["anchor"], out["body"], out["first"], out["count"] = anchor, cat("body", np.uint64), cat("first", np.int32), cat("count", np.uint16)
+    out["uid"], out["ord"] = (np.concatenate([np.frombuffer(u, np.int64)[np.frombuffer(i, np.uint16)] for u, i in zip(f[c], f["local"])]) for c in ("uid", "ord"))
+    out["age"] = np.concatenate([np.full(len(x) // 4, b, np.int64) for x, b in zip(f["anchor"], f["batch"])])
+    return out
+
+
+def _heads(runs_: np.ndarray, alone: bool = True) -> np.ndarray:
+    """The earliest run of each anchor and body; many: there are several. Unless alone, anchors of a single run are left out."""
+    if not alone and runs_.size:
+        at = np.argsort(runs_["anchor"], kind="stable")
+        a = runs_["anchor"][at]
         shared = np.zeros(a.size, bool)
         shared[1:] = a[1:] == a[:-1]
         shared[:-1] |= shared[1:]
-        at = many[shared]  # a run without company has no repeats
-        at = at[np.lexsort((first[at], uid[at], ord_[at], age[at], body[at], anchor[at]))]
-        anchor, body, first, count, uid, ord_, age = (x[at] for x in (anchor, body, first, count, uid, ord_, age))
-        new_anchor = np.diff(anchor.astype(np.int64), prepend=-1) != 0
-        new_body = new_anchor.copy()
-        new_body[1:] |= body[1:] != body[:-1]
-        group, which = np.cumsum(new_anchor) - 1, np.cumsum(new_body) - 1
-        lead = np.flatnonzero(new_body)
-        copies = np.diff(np.append(lead, anchor.size))
-        kinds = np.bincount(group[lead]) if lead.size else np.zeros(0, int)
-        if keep_first:  # a repeated row is the same document, so it is no earlier than itself
-            h = lead[which]
-            repeat = ~((ord_ == ord_[h]) & (uid == uid[h]) & (first == first[h]) & (age == age[h]))
-        else:
-            repeat = (copies > 1)[which]
+        shared |= runs_["many"][at] > 0
+        runs_ = runs_[at[shared]]
+    r = runs_[np.lexsort([runs_[k] for k in ("first", "uid", "ord", "age", "body", "anchor")])]
+    new = np.append(True, (r["anchor"][1:] != r["anchor"][:-1]) | (r["body"][1:] != r["body"][:-1])) if r.size else np.zeros(0, bool)
+    lead = np.flatnonzero(new)
+    out = r[lead]
+    if lead.size:
+        out["many"] = (np.diff(np.append(lead, r.size)) > 1) | np.maximum.reduceat(r["many"], lead)
+    return out
+
+
+def _unlike(heads: np.ndarray, keep_first: bool) -> np.ndarray:
+    """Heads whose anchor has other bodies; where no first run stays, only if one of these has a single run."""
+    if not heads.size:
+        return heads
+    group = np.cumsum(np.append(True, heads["anchor"][1:] != heads["anchor"][:-1])) - 1
+    ok = (np.bincount(group) > 1)[group]
+    return heads[ok if keep_first else ok & (np.bincount(group, weights=heads["many"] == 0) > 0)[group]]
+
+
+def _open_rows(heads: np.ndarray, keep_first: bool, part: int) -> pd.DataFrame:
+    o = _unlike(heads, keep_first)
+    return _by_uid(o["uid"], 1, np.stack([o["first"], o["count"].astype(np.int32), o["many"].astype(np.int32), o["anchor"].copy().view(np.int32)], 1), part)
+
+
+def _repeat_rows(runs_: np.ndarray, heads: np.ndarray, window: int, keep_first: bool, batch: int, part: int) -> pd.DataFrame:
+    """Spans of the runs of `batch` that are repeats, given the heads."""
+    key = lambda x: mix64(x["body"] ^ mix64(x["anchor"].astype(np.uint64)))
+    hk = key(heads)
+    order = np.argsort(hk, kind="stable")
+    hk, heads = hk[order], heads[order]
+    k = key(runs_)
+    at = np.minimum(np.searchsorted(hk, k), max(hk.size - 1, 0))
+    hit = hk[at] == k if hk.size else np.zeros(k.size, bool)
+    h = heads[at] if hk.size else runs_
+    if keep_first:  # a repeated row is the same document, so it is no earlier than itself
+        hit &= ~((runs_["ord"] == h["ord"]) & (runs_["uid"] == h["uid"]) & (runs_["first"] == h["first"]) & (runs_["age"] == h["age"]))
+    else:
+        hit &= h["many"] > 0
+    r = runs_[hit & (runs_["age"] == batch)]
+    return _by_uid(r["uid"], 0, np.stack([r["first"], r["first"] + r["count"].astype(np.int64) - 1 + window], 1), part)
+
+
+def settle(blobs: DataFrame, window: int, keep_first: bool, batch: int = 0, most: int = 4 * RUNS_PER_PART) -> DataFrame:
+    """Merge the sorted runs of each part. kind 0: spans (start, end) all of whose windows are repeats, of documents of
+    `batch`; kind 1: runs (first, count, several, anchor) to compare by window, one of each body, of any batch.
+
+    keep_first: of equal windows the earliest (by batch, doc_id, place) stays; else all are repeats. blobs should be
+    written. A part is one group; if one holds more than `most` runs, as a group of near copies can make it, all parts
+    are dealt to several tasks, which first agree on the earliest run of each body.
+    """
+    largest = blobs.groupBy("part").agg(F.sum(F.octet_length("anchor") / 4).alias("n")).agg(F.max("n")).first()[0] or 0
+    deal = -(-int(largest) // most)
+
+    def whole(f: pd.DataFrame) -> pd.DataFrame:
+        own, part = _loaded(f), int(f["part"].iloc[0])
+        heads = _heads(own, alone=False)
+        return pd.concat([_repeat_rows(own, heads, window, keep_first, batch, part), _open_rows(heads, keep_first, part)])
+
+    if deal <= 1:
+        return blobs.groupBy("part").applyInPandas(whole, _FOUND)
+
+    def summary(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [f["part"].iloc[0]], "heads": [_heads(_loaded(f)).tobytes()]})
+
+    def agreed(f: pd.DataFrame) -> pd.DataFrame:
         part = int(f["part"].iloc[0])
-        r = np.flatnonzero(repeat & (age == batch))
-        spans = _by_uid(uid[r], 0, np.stack([first[r], first[r] + count[r].astype(np.int64) - 1 + window], 1), part)
-        open_ = lead[(kinds > 1)[group[lead]]]
-        if not keep_first and open_.size:
-            alone = np.bincount(group[lead], weights=copies == 1)
-            open_ = open_[(alone > 0)[group[open_]]]
-        fields = np.stack([first[open_], count[open_], (copies > 1)[which[open_]], anchor[open_].view(np.int32)], 1) if open_.size else np.zeros((0, 4), np.int32)
-        return pd.concat([spans, _by_uid(uid[open_], 1, fields, part)])
+        heads = _heads(np.concatenate([np.frombuffer(h, _HEAD) for h in f["heads"]]), alone=False)
+        return pd.concat([pd.DataFrame({"uid": [0], "kind": [2], "part": [part], "fields": [heads.tobytes()]}), _open_rows(heads, keep_first, part)])
 
-    return blobs.groupBy("part").applyInPandas(run, _FOUND)
+    def flagged(f: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        if not len(f) or not len(h):
+            return pd.DataFrame({"uid": [], "kind": [], "part": [], "fields": []})
+        return _repeat_rows(_loaded(f), np.frombuffer(h["fields"].iloc[0], _HEAD), window, keep_first, batch, int(f["part"].iloc[0]))
+
+    dealt = blobs.withColumn("salt", F.pmod(F.xxhash64("body", "uid"), F.lit(deal)).cast("int"))
+    told = materialize(dealt.groupBy("part", "salt").applyInPandas(summary, "part int, heads binary").groupBy("part").applyInPandas(agreed, _FOUND), "heads")
+    heads = told.where("kind = 2").select("part", "fields", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))).alias("salt"))
+    spans = dealt.groupBy("part", "salt").cogroup(heads.groupBy("part", "salt")).applyInPandas(flagged, _FOUND)
+    return spans.unionByName(told.where("kind = 1"))
 
 
 def fetch(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -176,11 +235,31 @@ def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(own, docs["_uid"] == F.col("_u"), "left").drop("_u")
 
 
-def cover(spans: list[bytes] | None) -> np.ndarray:
-    """Maximal runs (start, end) that packed spans cover, in order."""
-    if not spans:
+def copies(own: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
+    """(_uid of rows that need no look of their own, found rows of whole texts), settled by 128 bits of a hash of the text.
+
+    One row of each group of equal texts, the first, stands for all. With keep_first the others are repeats from end to
+    end; else all of the group are. However large a group is, it is only counted.
+    """
+    key = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("copy"), F.col("text")).alias("h2")]
+    keyed_ = own.where(F.octet_length("text") > 0).select("_uid", "_ord", *key)
+    groups = keyed_.groupBy("h1", "h2").agg(F.min(F.struct("_ord", "_uid")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", F.col("f._uid").alias("_first"))
+    members = materialize(keyed_.join(if_small(materialize(groups, "groups")), ["h1", "h2"]).select("_uid", "_first").distinct(), "members")
+    later = members.where("_uid <> _first").select("_uid").distinct()
+    whole = later if keep_first else members.select("_uid").distinct()
+    end = F.unhex(F.lit("00000000FFFFFF7F"))  # from 0 to the largest number, little-endian
+    return materialize(later, "later"), whole.select(F.col("_uid").alias("uid"), F.lit(0).alias("kind"), F.lit(-1).alias("part"), end.alias("fields"))
+
+
+def without(own: DataFrame, later: DataFrame) -> DataFrame:
+    return own.join(if_small(later), "_uid", "left_anti")
+
+
+def cover(spans: list[bytes] | None, size: int, window: int) -> np.ndarray:
+    """Maximal runs (start, end) that packed spans cover in a text of `size` units, in order."""
+    if not spans or size < window:
         return np.zeros((0, 2), np.int64)
-    s = np.concatenate([np.frombuffer(x, np.int32) for x in spans]).reshape(-1, 2).astype(np.int64)
+    s = np.minimum(np.concatenate([np.frombuffer(x, np.int32) for x in spans]).reshape(-1, 2).astype(np.int64), size)
     s = s[np.argsort(s[:, 0], kind="stable")]
     end = np.maximum.accumulate(s[:, 1])
     fresh = np.append(True, s[1:, 0] > end[:-1])

@@ -77,6 +77,22 @@ def test_star_components(spark):
     assert components(e.limit(0)).count() == 0
 
 
+def test_scratch_is_released(spark):
+    from tessera.llm import common
+
+    df = common.materialize(spark.range(3).toDF("x"), "t")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    import os
+
+    held = common._written.pop(spark.sparkContext.applicationId)
+    common._written[spark.sparkContext.applicationId] = held[-1:]
+    assert df.count() == 3 and os.path.isdir(path)
+    common.release(spark)
+    assert not os.path.isdir(path)
+    with pytest.raises(ValueError):
+        common.discard(spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/region.parquet"))
+
+
 # ---- 5
 
 def brute_words(rows, window=20):
@@ -101,6 +117,19 @@ def test_substrings(docs, rows):
     assert got == brute_words(rows) and sum(x[1] for x in got.values()) > 500
 
 
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_dealt_parts_settle_alike(docs, odd, keep_first):
+    """A part that is dealt to several tasks gives what it gives as one."""
+    own = windows.keyed(docs.unionByName(odd.select(docs.columns)))
+    blobs = windows.stored(windows.sorted_runs(own, fingerprint_log.word_units, 20, 6, 3), "runs")
+    one, two = (sorted((r["kind"], r["uid"], r["part"], tuple(sorted(map(tuple, np.frombuffer(r["fields"], np.int32).reshape(-1, 4 if r["kind"] else 2).tolist())))) for r in windows.settle(blobs, 20, keep_first, 0, most).collect()) for most in (10**9, 20))
+
+    def flat(found):
+        return sorted({(k, u, p, x) for k, u, p, xs in found for x in xs})
+
+    assert flat(one) == flat(two) and len(flat(one)) > 20
+
+
 def test_substrings_by_batch(spark, docs, rows):
     """Batches in order of doc_id give what one batch gives, with runs compacted between them."""
     old = fingerprint_log.FANOUT
