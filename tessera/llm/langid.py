@@ -1,7 +1,8 @@
 """Language identification by hierarchical discrimination.
 
 A linear classifier names the language family; within a family, one-versus-one linear support vector machines tell
-the closely related languages apart by vote. Features are hashed byte n-grams of the whole text.
+the closely related languages apart by vote. Features are hashed byte n-grams of the whole text. Margins only rank the
+languages that were learned; whether a text is in the winner at all is told by its mean log-likelihood per n-gram.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tessera.llm.common import restored, set_aside, small_batches
 DIMS = 4096
 #: The classifier is fitted on at most so many labelled rows in all, shared evenly among the labels.
 MAX_TRAIN = 3000
+#: Rejection floors are set on at most so many held-out labelled rows in all.
+MAX_FLOOR = 1000
 #: Of the labels, so many of the most frequent ones are learned.
 MAX_LABELS = 300
 UNKNOWN = "und"
@@ -38,6 +41,9 @@ FAMILIES = {
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 LETTER = re.compile(r"[^\W\d_]")
+#: Bits per n-gram. A floor is so far below the median of held-out rows at least; chance in a text of n letters is worth
+#: CHANCE standard deviations over sqrt(n).
+SLACK, CHANCE = 2.0, 3.0
 
 # letters in lower case and bytes over 127 stand for themselves, all else is a gap
 _FOLD = np.full(256, 32, np.uint8)
@@ -66,6 +72,11 @@ def features(text: bytes) -> np.ndarray:
     return (total / max(np.linalg.norm(total), 1e-12)).astype(np.float32)
 
 
+def n_letters(text: bytes) -> int:
+    """Bytes that are letters."""
+    return sum(int(np.count_nonzero(_FOLD[np.frombuffer(text, np.uint8, min(len(text), at + (1 << 20)) - at, at)] != 32)) for at in range(0, len(text), 1 << 20))
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
     """Weights of a linear support vector machine (the last is the bias), by dual coordinate descent. y: +1 or -1."""
     norm = np.einsum("ij,ij->i", x, x) + 1.0
@@ -87,8 +98,62 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) ->
     return np.append(w, bias)
 
 
+def likelihoods(x: np.ndarray) -> np.ndarray:
+    """Log2 of the n-gram shares of one label's rows; the less text was seen, the more goes to unseen n-grams."""
+    share, grams = np.zeros(DIMS), 0.0
+    for row in x:
+        one = row.astype(np.float64) ** 2  # features are square roots of shares
+        share += one
+        grams += 1 / max(one[one > 0].min(initial=1.0), 1e-9)
+    share /= max(share.sum(), 1e-12)
+    seen = min(0.95, grams / (grams + np.count_nonzero(share)))
+    return np.log2(seen * share + (1 - seen) / DIMS).astype(np.float32)
+
+
+def evidence(model: dict, label: str, x: np.ndarray, letters: int) -> float:
+    """Mean log2-likelihood per n-gram of a text of so many letters in a label, with what chance can take from it."""
+    i = model["names"].index(label)
+    return float(np.square(x, dtype=np.float64) @ model["log"][i] + CHANCE * model["spread"][i] / np.sqrt(max(letters, 1)))
+
+
+def above_floor(model: dict, label: str, x: np.ndarray, letters: int) -> float:
+    """How far a text's evidence is above the floor: of its label, or of the mixture of learned labels that fits it best,
+    as a text may hold several of them."""
+    over = evidence(model, label, x, letters) - float(model["floor"][model["names"].index(label)])
+    if over >= 0 or len(model["names"]) < 2:
+        return over
+    at = np.flatnonzero(x)
+    weight, p = np.square(x[at], dtype=np.float64), np.exp2(model["log"][:, at], dtype=np.float64)
+    w = np.full(len(p), 1 / len(p))
+    for _ in range(20):
+        w = w * ((p / (w @ p)) @ weight)
+        w /= w.sum()
+    mixed = weight @ np.log2(w @ p) + w @ (CHANCE * model["spread"] / np.sqrt(max(letters, 1)) - model["floor"])
+    return max(over, float(mixed))
+
+
+def set_floors(model: dict, x: np.ndarray, labels: list[str], letters: list[int]) -> dict:
+    """The model with each label's least evidence, from labelled rows that it was not fitted on and names rightly.
+
+    A floor is the lower end (0.1 %) of such rows over all labels, held against the label's median: SLACK below that
+    median at least, and beyond it never under what n-grams drawn at random would give.
+    """
+    found: dict[str, list[float]] = {n: [] for n in model["names"]}
+    for row, label, n in zip(x, labels, letters):
+        if label in found and predict(model, row)[0] == label:
+            found[label].append(evidence(model, label, row, n))
+    middle = {n: float(np.median(v)) for n, v in found.items() if v}
+    off = [e - middle[n] for n, v in found.items() for e in v]
+    low = float(np.quantile(off, 0.001)) if off else -SLACK
+    for i, n in enumerate(model["names"]):  # a label without such rows: what its own shares give
+        m = middle.get(n, float(np.exp2(model["log"][i], dtype=np.float64) @ model["log"][i]))
+        model["floor"][i] = min(m - SLACK, max(m + low, -np.log2(DIMS)))
+    return model
+
+
 def fit(x: np.ndarray, labels: list[str]) -> dict:
-    """The model: labels, families, weights of families, and of each pair of labels of one family."""
+    """The model: labels, families, weights of families, and of each pair of labels of one family; log-likelihoods of
+    n-grams by label, their spread and the floors of evidence (none before set_floors)."""
     names = sorted(set(labels))
     family = [FAMILY.get(n.lower().split("-")[0], n) for n in names]
     kinds = sorted(set(family))
@@ -102,7 +167,10 @@ def fit(x: np.ndarray, labels: list[str]) -> dict:
                 both = (at == i) | (at == j)
                 pairs.append((i, j))
                 rows.append(fit_svm(x[both], np.where(at[both] == i, 1.0, -1.0)))
-    return {"names": names, "of": of, "kinds": kinds, "top": np.array(top), "pairs": pairs, "rows": np.array(rows)}
+    log = np.array([likelihoods(x[at == i]) for i in range(len(names))]).reshape(len(names), DIMS)
+    p = np.exp2(log, dtype=np.float64)
+    spread = np.sqrt(np.maximum((p * np.square(log)).sum(1) - np.square((p * log).sum(1)), 0.0))
+    return {"names": names, "of": of, "kinds": kinds, "top": np.array(top), "pairs": pairs, "rows": np.array(rows), "log": log, "spread": spread, "floor": np.full(len(names), -np.inf)}
 
 
 def predict(model: dict, x: np.ndarray) -> tuple[str, float]:
@@ -130,41 +198,45 @@ def predict(model: dict, x: np.ndarray) -> tuple[str, float]:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that are never learned from. A null doc_id counts as the text `null`."""
+    """Rows that no classifier is fitted on; floors of rejection are set on them. A null doc_id counts as the text `null`."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 4 == 2
 
 
 def train(docs: DataFrame, limit: int = MAX_TRAIN) -> dict:
-    """Fit on at most `limit` rows that are not held out and have text with a letter and lang, an even share per lang.
+    """Fit on at most `limit` rows that are not held out and have text with a letter and lang, an even share per lang;
+    set the floors of rejection on at most MAX_FLOOR held-out ones.
 
     Rows are chosen by a hash of doc_id, so reruns agree. Without such rows the model knows no language.
     """
     small_batches(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LABELS).collect()}
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_held", held_out(F.col("doc_id")))
+    counts = {r["lang"]: (r["n"], r["h"]) for r in known.groupBy("lang").agg(F.count_if(~F.col("_held")).alias("n"), F.count_if("_held").alias("h")).where("n > 0").orderBy(F.desc("n"), "lang").limit(MAX_LABELS).collect()}
     if not counts:
         return fit(np.zeros((0, DIMS), np.float32), [])
-    share = limit // len(counts)
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1_000_000))
     chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (spread < int(min(1.0, share / n) * 1_000_000)))
+    for lang, (n, h) in counts.items():
+        own = F.when(F.col("_held"), int(min(1.0, MAX_FLOOR // len(counts) / max(h, 1)) * 1_000_000)).otherwise(int(min(1.0, limit // len(counts) / n) * 1_000_000))
+        chosen = chosen | ((F.col("lang") == lang) & (spread < own))
 
     def run(batches):
         for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1)):
+            for lang, text, held in zip(batch.column(0), batch.column(1), batch.column(2)):
                 text = text.as_py()
                 if LETTER.search(text):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([features(text.encode()).astype(np.float16).tobytes()])], names=["lang", "x"])
+                    text = text.encode()
+                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([features(text).astype(np.float16).tobytes()]), pa.array([held.as_py()]), pa.array([n_letters(text)])], names=["lang", "x", "held", "letters"])
 
-    rows = known.where(chosen).select("lang", "text").mapInArrow(run, "lang string, x binary").limit(limit + limit // 4).collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
+    most = limit + MAX_FLOOR
+    rows = known.where(chosen).select("lang", "text", "_held").mapInArrow(run, "lang string, x binary, held boolean, letters long").limit(most + most // 4).collect()
+    rows.sort(key=lambda r: (r["held"], r["lang"], bytes(r["x"])))
     x = np.zeros((len(rows), DIMS), np.float32)
-    labels = [r["lang"] for r in rows]
+    labels, letters = [r["lang"] for r in rows], [r["letters"] for r in rows]
+    fitted = sum(not r["held"] for r in rows)
     for i in range(len(rows)):
         x[i] = np.frombuffer(rows[i]["x"], np.float16)
         rows[i] = None  # bytes go as they are taken over
-    return fit(x, labels)
+    return set_floors(fit(x[:fitted], labels[:fitted]), x[fitted:], labels[fitted:], letters[fitted:])
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -173,31 +245,44 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     Null text and text without a letter are `und` with score 0; so is all text if nothing could be learned. An empty
     table gives an empty one. Nothing but the text decides.
     """
+    return _identified(docs, model, [])
+
+
+def _identified(docs: DataFrame, model: dict | None, more: list[str]) -> DataFrame:
+    """identify(); with more = [`_over`] also how far the evidence for the label is above its floor, null for `und`."""
     small_batches(docs.sparkSession)
     model = train(docs) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("_lang_pred", "_score")
-    schema = StructType([*kept.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+    kept = docs.drop("_lang_pred", "_score", *more)
+    schema = StructType([*kept.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType()), *(StructField(c, DoubleType()) for c in more)])
     at = kept.columns.index("text")
 
+    def one(text: bytes) -> tuple[str, float, float | None]:
+        x, model = features(text), shared.value
+        label, score = predict(model, x)
+        return label, score, None if label not in model["names"] or not more else above_floor(model, label, x, n_letters(text))
+
     def run(batches):
         for batch in batches:
             found = []
             for text in batch.column(at):
                 text = text.as_py()
-                found.append(predict(shared.value, features(text.encode())) if text and LETTER.search(text) else (UNKNOWN, 0.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*batch.schema.names, "_lang_pred", "_score"])
+                found.append(one(text.encode()) if text and LETTER.search(text) else (UNKNOWN, 0.0, None))
+            told = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64())[: 2 + len(more)])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[*batch.schema.names, "_lang_pred", "_score", *more])
 
     return kept.mapInArrow(run, schema)
 
 
 def accept(docs: DataFrame, least: float = 0.25, model: dict | None = None) -> DataFrame:
-    """The rows of docs whose language can be told: not `und`, and with a score of `least` or more.
+    """The rows of docs whose language can be told: not `und`, with a score of `least` or more, and with no less evidence
+    for the language, or for a mixture of learned ones, than its floor. Scores rank the learned languages and hardly fall below 0.25; text in none of them
+    (other languages, code, random letters) goes by its evidence.
 
     A null lang is filled with the prediction; a given one stays.
     """
     used = ("text", "lang")
-    out = identify(set_aside(docs, *used), train(docs) if model is None else model).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least))
+    out = _identified(set_aside(docs, *used), train(docs) if model is None else model, ["_over"]).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least) & (F.col("_over") >= 0))
     return restored(out.withColumn("lang", F.coalesce("lang", "_lang_pred")), docs.columns, *used)
 
 

@@ -390,6 +390,27 @@ def test_language(spark):
     assert kept.columns == df.columns and kept.where("doc_id IN (900, 901, 903)").count() == 0 and kept.where("doc_id = 902").first()["lang"] == "en"
 
 
+@pytest.mark.parametrize("langs", ["en de fr es", "en de", "en"])
+def test_language_rejects(spark, langs):
+    words = {"en": "the of and that with house water nothing green morning should people", "de": "der die und nicht haus wasser über grün morgen sollen leute nichts", "fr": "le la les avec maison être où matin vert rien gens devoir", "es": "el los con para casa agua año verde mañana nada gente deber"}
+    import base64
+    import random
+
+    r = random.Random(4)
+    langs = langs.split()
+    rows = [(i, " ".join(r.choice(words[k].split()) for _ in range(r.randint(2, 60))), k) for i, k in enumerate(langs * (240 // len(langs)))]
+    clean = ["the house and the water", "green morning", *(["über der leute haus"] if "de" in langs else [])]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [" ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (12, 60, 400)]
+    junk += [base64.b64encode(r.randbytes(600)).decode(), r.randbytes(300).hex(), "def f(x, y):\n    if x[3] > y['k1']:\n        return {v: k for k, v in zip(x, y)}\n    raise ValueError('no')\n"]
+    junk += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心"]
+    rows += [(1000 + i, t, None) for i, t in enumerate(clean)] + [(2000 + i, t, None) for i, t in enumerate(junk)]
+    kept = {r["doc_id"] for r in langid.accept(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not [t for i, t in enumerate(junk) if 2000 + i in kept]
+    assert not [t for i, t in enumerate(clean) if 1000 + i not in kept]
+    assert sum(i < 1000 for i in kept) >= 0.99 * 240
+
+
 def test_language_odd(odd, empty):
     assert langid.identify(odd).count() == odd.count() and langid.identify(empty).count() == 0
     nothing = odd.withColumn("lang", F.lit(None).cast("string"))
