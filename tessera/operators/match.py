@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import strength_confidence
-from tessera.functions.text import tokens
+from tessera.functions.text import thresholds, tokens
 
 #: A judge turns candidate pairs (g1, g2, behavior, texts and qualities) into relationship and confidence columns.
 Judge = Callable[[DataFrame], DataFrame]
@@ -19,23 +19,102 @@ def normal(text) -> F.Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def candidate_pairs(g1: DataFrame, g2: DataFrame) -> DataFrame:
-    """Pairs of one behaviour that can be alike: equal token sets. Deals pairs by content instead of pairing whole
-    clusters, whose pairs grow with the square of the cluster."""
+#: Token sets are alike from this Jaccard similarity on (numerator, denominator).
+SIMILAR = (3, 4)
+
+
+def token_key(text="text") -> F.Column:
+    return F.xxhash64(F.array_sort(F.array_distinct(tokens(text))))
+
+
+def similar_sets(one: DataFrame, two: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """g, a, b, both: pairs of sets of one group whose Jaccard similarity is `similar` or more; both: what they share.
+
+    one, two: g, id, w (array of long, no repeats). Sets of that similarity share one of their first elements in any
+    common order (rare first), so only these are joined; then whole sets are intersected. Exact.
+    """
+    from tessera.operators.graph import _cut
+
+    num, den = similar
+    x = one.select(F.lit(1).alias("side"), "g", "id", "w").unionByName(two.select(F.lit(2).alias("side"), "g", "id", "w")).where(F.size("w") > 0)
+    each = x.select("side", "g", "id", F.explode("w").alias("t"))
+    often = each.groupBy("g", "t").agg(F.count("*").alias("c"))
+    sets = _cut(each.join(often, ["g", "t"]).groupBy("side", "g", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "t"))), lambda e: e["t"]).alias("w")).withColumn("n", F.size("w")))
+    lead = F.expr(f"slice(w, 1, n - int(({num} * bigint(n) + {den - 1}) div {den}) + 1)")
+    first = sets.select("side", "g", "id", F.col("n").cast("long").alias("n"), F.posexplode(lead).alias("at", "t"))
+
+    def side(df: DataFrame, n: int, tag: str, *more: str) -> DataFrame:
+        return df.where(F.col("side") == n).select("g", F.col("id").alias(tag), *[F.col(c).alias(f"{tag}_{c}") for c in more if c != "t"], *[c for c in more if c == "t"])
+
+    met = side(first, 1, "a", "n", "at", "t").join(side(first, 2, "b", "n", "at", "t"), ["g", "t"])
+    most = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    met = met.where((den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n")) & ((num + den) * most >= num * (F.col("a_n") + F.col("b_n"))))
+    found = met.select("g", "a", "b").distinct().join(side(sets, 1, "a", "w", "n"), ["g", "a"]).join(side(sets, 2, "b", "w", "n"), ["g", "b"])
+    found = found.withColumn("both", F.size(F.array_intersect("a_w", "b_w")))
+    return found.where(den * F.col("both") >= num * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("g", "a", "b", "both")
+
+
+def values(text) -> F.Column:
+    """The thresholds of a text as they are compared: without blanks, commas and plural, list references left out."""
+    plain = F.transform(thresholds(F.coalesce(text, F.lit(""))), lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"[\s,]", ""), r"(?<=[a-z])s$|\.$", ""))
+    return F.array_sort(F.array_distinct(F.filter(plain, lambda x: ~x.isin("fatf_ref", "sanctions_ref"))))
+
+
+def values_conflict(a, b) -> F.Column:
+    """Each side has a value of one kind (percent, amount, days, ...) that the other lacks."""
+    kinds = lambda x, y: F.transform(F.array_except(x, y), lambda v: F.regexp_replace(v, r"[\d.]+", ""))
+    return F.arrays_overlap(kinds(a, b), kinds(b, a))
+
+
+def similar_keys(g1: DataFrame, g2: DataFrame) -> DataFrame:
+    """behavior, k1, k2, jaccard: unlike token sets (token_key) of one behaviour, alike in all tokens or in those that are
+    no number. Copies count once; pairs that are alike without their numbers only can contradict but not match."""
+    from tessera.operators.graph import _cut
+
+    def side(g: DataFrame) -> DataFrame:
+        own = g.where("behavior IS NOT NULL").select(F.col("behavior").alias("g"), token_key().alias("id"), F.array_distinct(tokens("text")).alias("w")).dropDuplicates(["g", "id"])
+        digits = lambda x: x.rlike("^[0-9]+$")
+        return own.select("g", "id", F.transform(F.filter("w", lambda x: ~digits(x)), lambda x: F.xxhash64(x)).alias("w"), F.transform(F.filter("w", digits), lambda x: F.xxhash64(x)).alias("u"))
+
+    one, two = _cut(side(g1)), _cut(side(g2))
+    whole = lambda x: x.where(F.size("u") > 0).select("g", "id", F.concat("w", "u").alias("w"))
+    # where one side has no number, all tokens are no more alike than those without numbers
+    found = similar_sets(one, two).select("g", "a", "b").union(similar_sets(whole(one), whole(two)).select("g", "a", "b")).where("a <> b").distinct()
+    sets = lambda x, tag: x.select("g", F.col("id").alias(tag), F.concat("w", "u").alias(f"{tag}_w"))
+    both = F.size(F.array_intersect("a_w", "b_w"))
+    found = found.join(sets(one, "a"), ["g", "a"]).join(sets(two, "b"), ["g", "b"]).withColumn("jaccard", both / (F.size("a_w") + F.size("b_w") - both))
+    return found.select(F.col("g").alias("behavior"), F.col("a").alias("k1"), F.col("b").alias("k2"), "jaccard")
+
+
+def candidate_pairs(g1: DataFrame, g2: DataFrame, near: bool = True) -> DataFrame:
+    """Pairs of one behaviour that can be alike: of equal token sets and, if near, of similar ones. Deals pairs by content
+    instead of pairing whole clusters, whose pairs grow with the square of the cluster."""
     def side(g: DataFrame, tag: str) -> DataFrame:
-        key = F.xxhash64(F.array_sort(F.array_distinct(tokens("text"))))
-        return g.select("behavior", key.alias("k"), F.col("rule_id").alias(tag), F.col("text").alias(f"{tag}_text"), F.col("quality").alias(f"{tag}_quality"))
+        return g.select("behavior", token_key().alias("k"), F.col("rule_id").alias(tag), F.col("text").alias(f"{tag}_text"), F.col("quality").alias(f"{tag}_quality"))
 
-    return side(g1, "g1").join(side(g2, "g2"), ["behavior", "k"]).drop("k")
+    one, two = side(g1, "g1"), side(g2, "g2")
+    pairs = one.join(two, ["behavior", "k"]).drop("k")
+    if not near:
+        return pairs
+    more = one.withColumnRenamed("k", "k1").join(similar_keys(g1, g2).drop("jaccard"), ["behavior", "k1"]).join(two.withColumnRenamed("k", "k2"), ["behavior", "k2"])
+    return pairs.unionByName(more.drop("k1", "k2"))
 
 
-def default_judge(pairs: DataFrame) -> DataFrame:
-    """IDENTICAL (equal normalised text, 1.0) or EQUIVALENT (equal token sets, 0.9); CONTRADICTORY where both have a
-    quality and these differ; UNRELATED (0.5) else."""
+def default_judge(pairs: DataFrame, by_value: bool = True) -> DataFrame:
+    """IDENTICAL (equal normalised text, 1.0) or EQUIVALENT (equal token sets, 0.9; similar ones, 0.9 times their Jaccard
+    similarity); CONTRADICTORY where both have a quality and these differ or, by_value, where the thresholds of alike
+    texts conflict; UNRELATED (0.5) else."""
     same = normal(F.col("g1_text")) == normal(F.col("g2_text"))
-    alike = F.array_sort(F.array_distinct(tokens("g1_text"))) == F.array_sort(F.array_distinct(tokens("g2_text")))
-    kind = F.when(F.col("g1_quality") != F.col("g2_quality"), "CONTRADICTORY").when(same, "IDENTICAL").when(alike, "EQUIVALENT").otherwise("UNRELATED")
-    return pairs.withColumn("relationship", kind).withColumn("confidence", F.when(F.col("relationship") == "IDENTICAL", 1.0).when(F.col("relationship") == "EQUIVALENT", 0.9).otherwise(0.5))
+    a, b = F.array_distinct(tokens("g1_text")), F.array_distinct(tokens("g2_text"))
+    both = F.size(F.array_intersect(a, b))
+    jaccard = F.when(F.array_sort(a) == F.array_sort(b), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    alike = F.col("_j") >= SIMILAR[0] / SIMILAR[1]
+    clash = F.col("g1_quality") != F.col("g2_quality")
+    if by_value:
+        clash = F.coalesce(clash, F.lit(False)) | values_conflict(values(F.col("g1_text")), values(F.col("g2_text")))
+    kind = F.when(clash, "CONTRADICTORY").when(same, "IDENTICAL").when(alike, "EQUIVALENT").otherwise("UNRELATED")
+    out = pairs.withColumn("_j", jaccard).withColumn("relationship", kind)
+    return out.withColumn("confidence", F.when(F.col("relationship") == "IDENTICAL", 1.0).when(F.col("relationship") == "EQUIVALENT", 0.9 * F.col("_j")).otherwise(0.5)).drop("_j")
 
 
 def aligned(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -69,77 +148,108 @@ def assign(judged: DataFrame, rounds: int = 60) -> DataFrame:
     return done if done is not None else spark.createDataFrame([], left.schema)
 
 
-def greedy_members(left: list[tuple], right: list[tuple]) -> list[tuple]:
-    """(g1, g2, identical) of one group of equal token sets, as assign(default_judge(pairs)) gives it, without its pairs.
+def _conflict(a: tuple, b: tuple) -> bool:
+    """Whether two rules of (quality or None, values) contradict, as values_conflict() has it."""
+    import re
 
-    left, right: (id, text hash, quality or None) in order of id. Members of one text and quality are interchangeable, so
-    each side keeps a queue per class; a rule takes the smallest id of the classes that don't contradict it, of its own
-    text in a first pass, of any in a second.
+    if a[0] is not None and b[0] is not None and a[0] != b[0]:
+        return True
+    kinds = lambda x, y: {re.sub(r"[0-9.]+", "", v) for v in set(x) - set(y)}
+    return bool(kinds(a[1], b[1]) & kinds(b[1], a[1]))
+
+
+def greedy_members(left: list[tuple], right: list[tuple], links: dict) -> list[tuple]:
+    """(g1, g2, confidence) of rules, as assign() gives it from all their pairs, without these pairs.
+
+    left, right: (id, class). links: for a class of the left the (confidence, class of the right) that it may match.
+    Members of a class are interchangeable: by falling confidence, each rule in order of id takes the smallest free id.
     """
-    from collections import deque
-
-    def classes(rows, key):
-        out: dict = {}
-        for i, text, q in rows:
-            out.setdefault(key(text, q), deque()).append(i)
-        return out
-
-    texts = {i: t for i, t, _ in right}
-    taken: set = set()
-
-    def take(queues, own, q):
-        best = None
-        for k in (None, 0, 1) if q is None else (None, q):
-            d = queues.get((own, k)) if own is not None else queues.get(k)
-            while d and d[0] in taken:
-                d.popleft()
-            if d and (best is None or d[0] < best):
-                best = d[0]
-        if best is not None:
-            taken.add(best)
-        return best
-
-    out, rest = [], []
-    same = classes(right, lambda t, q: (t, q))
-    for i, t, q in left:
-        g2 = take(same, t, q)
-        out += [(i, g2, True)] if g2 is not None else []
-        rest += [(i, t, q)] if g2 is None else []
-    any_ = classes(right, lambda t, q: q)
-    for i, t, q in rest:
-        g2 = take(any_, None, q)
-        out += [(i, g2, texts[g2] == t)] if g2 is not None else []
+    from collections import defaultdict, deque
+
+    mine, free = defaultdict(list), defaultdict(deque)
+    for i, c in sorted(left):
+        mine[c].append(i)
+    for i, c in sorted(right):
+        free[c].append(i)
+    by_level: dict = defaultdict(lambda: defaultdict(list))
+    for c, to in links.items():
+        for confidence, d in to:
+            by_level[confidence][c].append(d)
+    out, matched = [], set()
+    for confidence in sorted(by_level, reverse=True):
+        level = by_level[confidence]
+        for i, c in sorted((i, c) for c in level for i in mine[c] if i not in matched):
+            best = min((d for d in level[c] if free[d]), key=lambda d: free[d][0], default=None)
+            if best is not None:
+                out.append((i, free[best].popleft(), confidence))
+                matched.add(i)
     return out
 
 
 def match_members(g1: DataFrame, g2: DataFrame) -> DataFrame:
-    """behavior, g1, g2, relationship, confidence: the one-to-one matches of the default judge, group by group of equal
-    token sets. A group holds ids and hashes only, and its size counts once, not squared."""
+    """behavior, g1, g2, relationship, confidence: the one-to-one matches of the default judge. Groups of equal token sets
+    go first, one by one, as no match is better than theirs; what they leave is matched over similar sets, a behaviour at
+    a time. Tasks hold ids, hashes and values only, and a class of copies counts once, not squared."""
     import pandas as pd
 
+    from tessera.operators.graph import _cut
+
     def side(g: DataFrame, n: int) -> DataFrame:
-        key = F.xxhash64(F.array_sort(F.array_distinct(tokens("text"))))
-        return g.select("behavior", key.alias("k"), F.lit(n).alias("side"), "rule_id", F.xxhash64(normal(F.col("text"))).alias("t"), F.col("quality").cast("int").alias("q"))
+        return g.select("behavior", token_key().alias("k"), F.lit(n).alias("side"), "rule_id", F.xxhash64(normal(F.col("text"))).alias("t"), F.col("quality").cast("int").alias("q"), F.array_join(values(F.col("text")), " ").alias("v"))
 
-    one, two = side(g1, 1), side(g2, 2)
-    both = one.unionByName(two)
+    both = _cut(side(g1, 1).unionByName(side(g2, 2)))
     shared = both.groupBy("behavior", "k").agg(F.count_distinct("side").alias("s")).where("s = 2").select("behavior", "k")
     kind = dict(g1.dtypes)["rule_id"]
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rule_id", kind="stable")
-        rows = [(s, (i, t, None if pd.isna(q) else int(q))) for s, i, t, q in zip(f["side"], f["rule_id"], f["t"], f["q"])]
-        got = greedy_members([r for s, r in rows if s == 1], [r for s, r in rows if s == 2])
-        return pd.DataFrame([(f["behavior"].iloc[0], a, b, "IDENTICAL" if same else "EQUIVALENT", 1.0 if same else 0.9) for a, b, same in got], columns=["behavior", "g1", "g2", "relationship", "confidence"])
-
-    return both.join(shared, ["behavior", "k"], "left_semi").groupBy("behavior", "k").applyInPandas(run, f"behavior string, g1 {kind}, g2 {kind}, relationship string, confidence double")
+    names = ["behavior", "g1", "g2", "relationship", "confidence"]
+    schema = f"behavior string, g1 {kind}, g2 {kind}, relationship string, confidence double"
+
+    def members(f: pd.DataFrame):
+        classes = [(k, t, None if pd.isna(q) else int(q), tuple(v.split())) for k, t, q, v in zip(f["k"], f["t"], f["q"], f["v"])]
+        rows = list(zip(f["side"], f["rule_id"], classes))
+        return [(i, c) for s, i, c in rows if s == 1], [(i, c) for s, i, c in rows if s == 2]
+
+    def equal(f: pd.DataFrame) -> pd.DataFrame:
+        left, right = members(f)
+        to = {c for _, c in right}
+        links = {c: [(1.0 if c[1] == d[1] else 0.9, d) for d in to if not _conflict(c[2:], d[2:])] for c in {c for _, c in left}}
+        return pd.DataFrame([(f["behavior"].iloc[0], a, b, "IDENTICAL" if p == 1.0 else "EQUIVALENT", p) for a, b, p in greedy_members(left, right, links)], columns=names)
+
+    def near(f: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        left, right = members(f)
+        one, two, links = {}, {}, {}
+        for place, rows in ((one, left), (two, right)):
+            for c in {c for _, c in rows}:
+                place.setdefault(c[0], []).append(c)
+        for k1, k2, j in zip(pairs["k1"], pairs["k2"], pairs["jaccard"]):
+            for c in one.get(k1, ()):
+                links.setdefault(c, []).extend((0.9 * j, d) for d in two.get(k2, ()) if not _conflict(c[2:], d[2:]))
+        return pd.DataFrame([(f["behavior"].iloc[0], a, b, "EQUIVALENT", p) for a, b, p in greedy_members(left, right, links)], columns=names)
+
+    first = _cut(both.join(shared, ["behavior", "k"], "left_semi").groupBy("behavior", "k").applyInPandas(equal, schema))
+    pairs = _cut(similar_keys(g1, g2).where(F.col("jaccard") >= SIMILAR[0] / SIMILAR[1]))
+    left = both
+    for n, tag, k in ((1, "g1", "k1"), (2, "g2", "k2")):
+        done = first.select("behavior", F.col(tag).alias("rule_id"), F.lit(n).alias("side"))
+        left = left.join(done, ["behavior", "rule_id", "side"], "left_anti")
+    keys = pairs.select("behavior", F.col("k1").alias("k"), F.lit(1).alias("side")).union(pairs.select("behavior", F.col("k2").alias("k"), F.lit(2).alias("side"))).distinct()
+    left = left.join(keys, ["behavior", "k", "side"], "left_semi").select(*both.columns)
+    return first.unionByName(left.groupBy("behavior").cogroup(pairs.groupBy("behavior")).applyInPandas(lambda f, p: near(f, p) if len(f) and len(p) else pd.DataFrame(columns=names), schema))
 
 
 def member_conflicts(g1: DataFrame, g2: DataFrame, matches: DataFrame) -> DataFrame:
-    """The contradictions of the default judge: unmatched rules of equal token sets whose qualities differ."""
-    a = g1.where("quality IS NOT NULL").join(matches.select("behavior", F.col("g1").alias("rule_id")), ["behavior", "rule_id"], "left_anti")
-    b = g2.where("quality IS NOT NULL").join(matches.select("behavior", F.col("g2").alias("rule_id")), ["behavior", "rule_id"], "left_anti")
-    return candidate_pairs(a, b).where("g1_quality <> g2_quality").select("behavior", "g1", "g2", F.lit(0.5).alias("confidence"))
+    """The contradictions of the default judge: unmatched rules of equal or similar token sets whose qualities differ or
+    whose thresholds conflict."""
+    def side(g: DataFrame, tag: str, k: str) -> DataFrame:
+        left = g.join(matches.select("behavior", F.col(tag).alias("rule_id")), ["behavior", "rule_id"], "left_anti")
+        own = left.select("behavior", token_key().alias(k), F.col("rule_id").alias(tag), F.col("quality").alias(f"{tag}_q"), values(F.col("text")).alias(f"{tag}_v"))
+        return own.where(F.col(f"{tag}_q").isNotNull() | (F.size(f"{tag}_v") > 0))
+
+    one, two = side(g1, "g1", "k1"), side(g2, "g2", "k2")
+    equal = one.join(two.withColumnRenamed("k2", "k1"), ["behavior", "k1"])
+    near = one.join(similar_keys(g1, g2), ["behavior", "k1"]).join(two, ["behavior", "k2"])
+    pairs = equal.select("behavior", *one.columns[2:], *two.columns[2:]).unionByName(near.select("behavior", *one.columns[2:], *two.columns[2:]))
+    clash = F.coalesce(F.col("g1_q") != F.col("g2_q"), F.lit(False)) | values_conflict(F.col("g1_v"), F.col("g2_v"))
+    return pairs.where(clash).select("behavior", "g1", "g2", F.lit(0.5).alias("confidence"))
 
 
 def contradictions(judged: DataFrame, matches: DataFrame) -> DataFrame:

@@ -242,7 +242,7 @@ judged AS (SELECT a.behavior, a.rule_id AS g1, b.rule_id AS g2, CASE WHEN a.qual
 
 def _judged(s, d):
     r = A.graph_rules(s, d)
-    return match.default_judge(match.candidate_pairs(r.where("graph = 1"), r.where("graph = 2")))
+    return match.default_judge(match.candidate_pairs(r.where("graph = 1"), r.where("graph = 2"), near=False), by_value=False)
 
 
 @query(sql("graph_rules", _PAIRS.lstrip(", ") + " SELECT behavior, g1, g2, relationship FROM judged"))

@@ -50,6 +50,38 @@ def test_members_match_as_their_pairs_do(spark, seed):
     assert rows(match.member_conflicts(one, two, m), "g1", "g2") == rows(match.contradictions(judged, m), "g1", "g2")
 
 
+def test_near_rules_meet_and_values_conflict(spark):
+    s = "behavior string, rule_id int, text string, quality int"
+    one = spark.createDataFrame([("b", 1, "borrower income documents kept seven files complete archive", None), ("b", 3, "late payment fee equals $1,200 per account", None), ("b", 5, "ownership above 25% needs approval", None), ("b", 7, "gamma delta epsilon zeta", 1), ("b", 9, "notice within 30 days of closing", None)], s)
+    two = spark.createDataFrame([("b", 2, "borrower income documents kept seven files complete folder", None), ("b", 4, "late payment fee equals $1,500 per account", None), ("b", 6, "ownership above 40% needs approval", None), ("b", 8, "nothing alike here whatever", 1), ("b", 10, "Notice within 30 day of closing", None), ("c", 12, "gamma delta epsilon zeta", 1)], s)
+    judged = match.default_judge(match.candidate_pairs(one, two))
+    assert rows(judged, "g1", "g2", "relationship") == [(1, 2, "EQUIVALENT"), (3, 4, "CONTRADICTORY"), (5, 6, "CONTRADICTORY")]
+    m = match.match_members(one, two)
+    assert rows(m, "g1", "g2", "relationship") == [(1, 2, "EQUIVALENT")] == rows(match.assign(judged), "g1", "g2", "relationship")
+    assert rows(match.member_conflicts(one, two, m), "g1", "g2") == [(3, 4), (5, 6)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_matches_against_all_pairs(spark, seed):
+    r = random.Random(seed)
+    vocab = [f"word{c}" for c in "abcdefghijkl"]
+    base = [[r.choice(vocab) for _ in range(9)] + [r.choice(["", "10%", "20%", "300"])] for _ in range(4)]
+    def text():
+        w = list(r.choice(base))
+        w[r.randrange(9)] = r.choice(vocab)
+        return " ".join(w)
+    rows_ = [(r.choice([1, 2]), i, "b", text(), r.choice([None, None, 0, 1])) for i in range(40)]
+    g = spark.createDataFrame(rows_, "graph int, rule_id int, behavior string, text string, quality int")
+    one, two = g.where("graph = 1"), g.where("graph = 2")
+    every = match.default_judge(one.select("behavior", F.col("rule_id").alias("g1"), F.col("text").alias("g1_text"), F.col("quality").alias("g1_quality")).join(two.select("behavior", F.col("rule_id").alias("g2"), F.col("text").alias("g2_text"), F.col("quality").alias("g2_quality")), "behavior"))
+    near = match.default_judge(match.candidate_pairs(one, two))
+    good = "relationship IN ('IDENTICAL', 'EQUIVALENT')"
+    assert rows(every.where(good), "g1", "g2", "relationship") == rows(near.where(good), "g1", "g2", "relationship")
+    m = match.match_members(one, two)
+    assert rows(m, "g1", "g2", "relationship") == rows(match.assign(every), "g1", "g2", "relationship")
+    assert rows(match.member_conflicts(one, two, m), "g1", "g2") == rows(match.contradictions(near, m), "g1", "g2")
+
+
 def test_numbering(spark):
     df = spark.createDataFrame([(float(x),) for x in (5, 1, 9, 9, 3, 7)], "ord double")
     assert [o for _, o in sorted((r["n"], r["ord"]) for r in segment.numbered(df, "ord", "n", 3).collect())] == [1, 3, 5, 7, 9, 9]
