@@ -321,12 +321,37 @@ def apply_duplicates(rules: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(rules: DataFrame, text: str = "text") -> DataFrame:
-    """The default verdict: rules of equal normalised text; the smallest id is primary."""
+    """The exact part of the default verdict: rules of equal normalised text; the smallest id is primary."""
     r = rules.select("rule_id", F.xxhash64(normal(F.col(text))).alias("k"), F.md5(normal(F.col(text))).alias("m"))
     p = r.groupBy("k", "m").agg(F.min("rule_id").alias("primary"), F.count("*").alias("c")).where("c > 1")
     return r.join(p, ["k", "m"]).where(F.col("rule_id") != F.col("primary")).select("primary", F.col("rule_id").alias("duplicate"))
 
 
+def near_duplicate_groups(rules: DataFrame, text: str = "text", n: int = 5) -> DataFrame:
+    """The whole default verdict: rules of equal normalised text, then of sets of n-word shingles whose Jaccard similarity
+    is SIMILAR or more (a text of fewer words is one shingle). Groups are connected components; the smallest id is primary.
+    """
+    from tessera.operators.graph import _cut
+
+    w = F.filter(F.split(normal(F.col(text)), " "), lambda x: x != "")
+    r = _cut(rules.where(F.col(text).isNotNull()).select("rule_id", F.md5(normal(F.col(text))).alias("m"), w.alias("w")))
+    one = r.groupBy("m").agg(F.min("rule_id").alias("id"), F.min_by("w", "rule_id").alias("w"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    sets = _cut(one.where(F.size("w") > 0).select(F.lit(0).alias("g"), "id", F.array_distinct(grams).alias("w")))
+    found = similar_sets(sets, sets).where("a <> b").select("a", "b")
+    edges = _cut(found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    least = _cut(edges.select(F.col("a").alias("id")).distinct().withColumn("p", F.col("id")))
+    while True:  # each takes the least primary of its neighbours, and then the primary of that
+        near = edges.join(least.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("p").alias("q"))
+        step = least.join(near, "id").select("id", "p", F.least("p", "q").alias("q"))
+        step = _cut(step.join(least.select(F.col("id").alias("q"), F.col("p").alias("_up")), "q").select("id", "p", F.least("q", "_up").alias("q")))
+        least = step.select("id", F.col("q").alias("p"))
+        if step.where("q <> p").isEmpty():
+            break
+    primary = one.select("m", "id").join(least, "id", "left").select("m", F.coalesce("p", "id").alias("primary"))
+    return r.select("rule_id", "m").join(primary, "m").where(F.col("rule_id") != F.col("primary")).select("primary", F.col("rule_id").alias("duplicate"))
+
+
 def surviving(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """Dependencies both of whose ends are still there."""
     ids = rules.select("rule_id")

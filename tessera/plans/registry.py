@@ -282,6 +282,11 @@ def duplicate_rules(s, d):
     return match.duplicate_groups(A.table(s, d, "documents").withColumnRenamed("doc_id", "rule_id"))
 
 
+@query()
+def near_duplicate_rules(s, d):
+    return match.near_duplicate_groups(A.table(s, d, "documents").withColumnRenamed("doc_id", "rule_id"))
+
+
 @query(sql("rules", "SELECT rule_id, CASE WHEN n = 1 THEN rule_name ELSE rule_name || ' (Variant ' || n || ')' END AS new_name FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(rule_name, ' ')) ORDER BY rule_id) AS n FROM rules)"))
 def unique_names(s, d):
     r = A.rules(s, d).select(F.col("rule_id").alias("ord"), F.col("rule_id").cast("string").alias("rule_id"), "rule_name")

@@ -82,6 +82,14 @@ def test_near_matches_against_all_pairs(spark, seed):
     assert rows(match.member_conflicts(one, two, m), "g1", "g2") == rows(match.contradictions(near, m), "g1", "g2")
 
 
+def test_near_duplicates(spark):
+    w = [f"w{i}" for i in range(60)]
+    text = lambda *at: " ".join("changed" if i in at else x for i, x in enumerate(w))
+    data = [(4, text()), (2, text(30)), (3, text(30).upper()), (5, text(0, 30)), (6, " ".join(reversed(w))), (7, "short one"), (8, "Short  one"), (9, None), (10, ""), (1, text(5, 12, 20, 28, 36, 44, 52))]
+    df = spark.createDataFrame(data, "rule_id int, text string")
+    assert rows(match.near_duplicate_groups(df), "primary", "duplicate") == [(2, 3), (2, 4), (2, 5), (7, 8)]
+
+
 def test_numbering(spark):
     df = spark.createDataFrame([(float(x),) for x in (5, 1, 9, 9, 3, 7)], "ord double")
     assert [o for _, o in sorted((r["n"], r["ord"]) for r in segment.numbered(df, "ord", "n", 3).collect())] == [1, 3, 5, 7, 9, 9]
