@@ -410,13 +410,24 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of docs for each group of linked documents: the one of smallest doc_id, which names the group.
 
     Documents with the empty set are in no group and stay, as do rows without doc_id. Of repeated rows one stays; rows
-    of one doc_id with unlike texts stay apart.
+    of one doc_id with unlike texts stay apart: each goes or stays by its own text.
     """
+    repeated = materialize(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_again")).count().where("count > 1").select("_again"), "repeated")
     found = join_components(docs, **options)
-    gone = materialize(found.where("node IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(if_small(gone), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    gone = materialize(found.where("node IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("node").alias("_set")).distinct(), "gone")
+    if repeated.isEmpty():
+        return docs.join(if_small(gone.select("_gone")), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+    @F.pandas_udf("long")
+    def key(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_key(h) for h in shingle_sets([(t or "").encode() for t in texts], options.get("n", WORDS))], dtype="int64")
+
+    # a row of a repeated doc_id goes by its own set, which is known by its key
+    again = docs.join(if_small(repeated), docs["doc_id"].cast("long") == repeated["_again"], "left_semi")
+    rest = docs.join(if_small(repeated), docs["doc_id"].cast("long") == repeated["_again"], "left_anti")
+    rest = rest.join(if_small(gone.select("_gone").distinct()), rest["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    again = again.join(gone, (again["doc_id"].cast("long") == gone["_gone"]) & (key(again["text"]) == gone["_set"]), "left_anti")
+    return rest.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

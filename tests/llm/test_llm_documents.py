@@ -390,6 +390,14 @@ def test_language(spark):
     assert kept.columns == df.columns and kept.where("doc_id IN (900, 901, 903)").count() == 0 and kept.where("doc_id = 902").first()["lang"] == "en"
 
 
+def test_one_id_with_unlike_texts(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    clean = " ".join(f"v{i}" for i in range(60))
+    df = spark.createDataFrame([(1, near), (5, near + " end"), (5, clean), (5, clean), (7, near), (None, near), (8, "other text of few words here")], "doc_id long, text string")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in jaccard.keep_one(df).collect())
+    assert kept == [(0, near), (1, near), (5, clean), (8, "other text of few words here")]
+
+
 @pytest.mark.parametrize("langs", ["en de fr es", "en de", "en"])
 def test_language_rejects(spark, langs):
     words = {"en": "the of and that with house water nothing green morning should people", "de": "der die und nicht haus wasser über grün morgen sollen leute nichts", "fr": "le la les avec maison être où matin vert rien gens devoir", "es": "el los con para casa agua año verde mañana nada gente deber"}
