@@ -12,18 +12,18 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.common import restored, set_aside, small_batches
+from tessera.llm.common import if_small, materialize, restored, set_aside, small_batches
 
 DIMS = 4096
-#: The classifier is fitted on at most so many labelled rows in all, shared evenly among the labels.
+#: The classifier is fitted on at most so many labelled rows in all, shared evenly among the labels; where there are
+#: more labels than that, on one row of each.
 MAX_TRAIN = 3000
 #: Rejection floors are set on at most so many held-out labelled rows in all.
 MAX_FLOOR = 1000
-#: Of the labels, so many of the most frequent ones are learned.
-MAX_LABELS = 300
 UNKNOWN = "und"
 #: Families by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -173,28 +173,40 @@ def fit(x: np.ndarray, labels: list[str]) -> dict:
     return {"names": names, "of": of, "kinds": kinds, "top": np.array(top), "pairs": pairs, "rows": np.array(rows), "log": log, "spread": spread, "floor": np.full(len(names), -np.inf)}
 
 
-def predict(model: dict, x: np.ndarray) -> tuple[str, float]:
-    """Label and score from 0 to 1 of one feature vector."""
+def predict_many(model: dict, x: np.ndarray) -> list[tuple[str, float]]:
+    """Label and score from 0 to 1 of each row of features: all margins in two products, then the votes of each family."""
     names, of = model["names"], model["of"]
-    if not names:
-        return UNKNOWN, 0.0
-    x = np.append(x, 1.0)
-    sure, kind = 1.0, 0
+    if not names or not len(x):
+        return [(UNKNOWN, 0.0)] * len(x)
+    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
+    kind, sure = np.zeros(len(x), int), np.ones(len(x))
     if len(model["kinds"]) > 1:
-        m = model["top"] @ x
-        kind = int(np.argmax(m))
-        sure = 1 / (1 + np.exp(-2 * (m[kind] - np.delete(m, kind).max())))
-    inside = [i for i in range(len(names)) if of[i] == kind]
-    if len(inside) == 1:
-        return names[inside[0]], float(sure)
-    votes, margin = dict.fromkeys(inside, 0), dict.fromkeys(inside, np.inf)
-    for (i, j), w in zip(model["pairs"], model["rows"]):
-        if i in votes:
-            m = float(w @ x)
-            votes[i if m >= 0 else j] += 1
-            margin[i], margin[j] = min(margin[i], m), min(margin[j], -m)
-    best = max(inside, key=lambda i: (votes[i], margin[i], -i))
-    return names[best], float(sure / (1 + np.exp(-2 * max(margin[best], -20.0))))
+        m = x @ model["top"].T
+        kind = m.argmax(1)
+        second = np.partition(m, -2, axis=1)[:, -2]
+        sure = 1 / (1 + np.exp(-2 * (m.max(1) - second)))
+    best, margin = np.zeros(len(x), int), np.full(len(x), np.inf)
+    ends = np.array(model["pairs"], int).reshape(-1, 2)
+    for k in np.unique(kind):
+        rows, inside = np.flatnonzero(kind == k), np.flatnonzero(of == k)
+        own = np.flatnonzero(of[ends[:, 0]] == k)
+        votes, least = np.zeros((rows.size, inside.size)), np.full((rows.size, inside.size), np.inf)
+        m = x[rows] @ model["rows"][own].T if own.size else np.zeros((rows.size, 0))
+        for j, (a, b) in enumerate(np.searchsorted(inside, ends[own])):
+            won = m[:, j] >= 0
+            votes[:, a] += won
+            votes[:, b] += ~won
+            least[:, a], least[:, b] = np.minimum(least[:, a], m[:, j]), np.minimum(least[:, b], -m[:, j])
+        # most votes, then the larger least margin, then the first label
+        top = np.where(votes == votes.max(1, keepdims=True), least, -np.inf).argmax(1)
+        best[rows], margin[rows] = inside[top], least[np.arange(rows.size), top]
+    score = sure / (1 + np.exp(-2 * np.maximum(margin, -20.0)))
+    return [(names[i], float(v)) for i, v in zip(best, score)]
+
+
+def predict(model: dict, x: np.ndarray) -> tuple[str, float]:
+    """Label and score from 0 to 1 of one feature vector."""
+    return predict_many(model, x[None, :])[0]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -202,33 +214,45 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, limit: int = MAX_TRAIN) -> dict:
-    """Fit on at most `limit` rows that are not held out and have text with a letter and lang, an even share per lang;
-    set the floors of rejection on at most MAX_FLOOR held-out ones.
+def _bound(share: Column, rows: Column) -> Column:
+    """Least signed hash of a row that is left out, so that some four times `share` of `rows` rows stay, or all."""
+    part = F.least(F.lit(1.0), (share * 4.0 + 64.0) / F.greatest(rows.cast("double"), F.lit(1.0)))
+    return F.when(part >= 1.0, F.lit((1 << 63) - 1)).otherwise((F.lit(-float(1 << 63)) + part * float(1 << 63) * 2.0).cast("long"))
+
 
-    Rows are chosen by a hash of doc_id, so reruns agree. Without such rows the model knows no language.
+def chosen_rows(docs: DataFrame, limit: int, floor: int) -> DataFrame:
+    """lang, text, _held: of each label at most its share of `limit` rows that are not held out, and of `floor` held-out
+    ones: those of smallest hash, whatever the label's size. At least one row of each label, so that all are learned.
+
+    Repeated rows count once. First a bound on the hash leaves some more than the share of each label (from its estimated
+    number of rows, so one aggregation with a bounded sketch), and only these are ranked.
+    """
+    h = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("train"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", held_out(F.col("doc_id")).alias("_held"), h.alias("_h"))
+    sizes = materialize(known.groupBy("lang", "_held").agg(F.approx_count_distinct("_h").alias("_n")), "sizes")
+    labels = max(1, sizes.select("lang").distinct().count())
+    share = F.when(F.col("_held"), max(1, floor // labels) if floor else 0).otherwise(max(1, limit // labels))
+    bounds = sizes.select(F.col("lang").alias("_l"), F.col("_held").alias("_b"), share.alias("_share"), _bound(share, F.col("_n")).alias("_most")).where("_share > 0")
+    near = known.join(if_small(bounds), (known["lang"] == F.col("_l")) & (known["_held"] == F.col("_b")) & (known["_h"] <= F.col("_most"))).dropDuplicates(["lang", "_held", "_h"])
+    turn = F.row_number().over(W.partitionBy("lang", "_held").orderBy("_h"))
+    return near.withColumn("_turn", turn).where("_turn <= _share").select("lang", "text", "_held")
+
+
+def train(docs: DataFrame, limit: int = MAX_TRAIN, floor: int = MAX_FLOOR) -> dict:
+    """Fit on at most `limit` rows that are not held out and have text with a letter and lang, an even share per lang; set
+    the floors of rejection on at most `floor` held-out ones (0: no floors, and nothing is learned from held-out rows).
+
+    Rows are chosen by a hash of doc_id and text, so reruns agree. Without such rows the model knows no language.
     """
     small_batches(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_held", held_out(F.col("doc_id")))
-    counts = {r["lang"]: (r["n"], r["h"]) for r in known.groupBy("lang").agg(F.count_if(~F.col("_held")).alias("n"), F.count_if("_held").alias("h")).where("n > 0").orderBy(F.desc("n"), "lang").limit(MAX_LABELS).collect()}
-    if not counts:
-        return fit(np.zeros((0, DIMS), np.float32), [])
-    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("train")), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, (n, h) in counts.items():
-        own = F.when(F.col("_held"), int(min(1.0, MAX_FLOOR // len(counts) / max(h, 1)) * 1_000_000)).otherwise(int(min(1.0, limit // len(counts) / n) * 1_000_000))
-        chosen = chosen | ((F.col("lang") == lang) & (spread < own))
 
     def run(batches):
         for batch in batches:
             for lang, text, held in zip(batch.column(0), batch.column(1), batch.column(2)):
-                text = text.as_py()
-                if LETTER.search(text):
-                    text = text.encode()
-                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([features(text).astype(np.float16).tobytes()]), pa.array([held.as_py()]), pa.array([n_letters(text)])], names=["lang", "x", "held", "letters"])
+                text = text.as_py().encode()
+                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([features(text).astype(np.float16).tobytes()]), pa.array([held.as_py()]), pa.array([n_letters(text)])], names=["lang", "x", "held", "letters"])
 
-    most = limit + MAX_FLOOR
-    rows = known.where(chosen).select("lang", "text", "_held").mapInArrow(run, "lang string, x binary, held boolean, letters long").limit(most + most // 4).collect()
+    rows = chosen_rows(docs, limit, floor).mapInArrow(run, "lang string, x binary, held boolean, letters long").collect()  # bounded: limit + floor, or one a label
     rows.sort(key=lambda r: (r["held"], r["lang"], bytes(r["x"])))
     x = np.zeros((len(rows), DIMS), np.float32)
     labels, letters = [r["lang"] for r in rows], [r["letters"] for r in rows]
@@ -257,17 +281,20 @@ def _identified(docs: DataFrame, model: dict | None, more: list[str]) -> DataFra
     schema = StructType([*kept.schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType()), *(StructField(c, DoubleType()) for c in more)])
     at = kept.columns.index("text")
 
-    def one(text: bytes) -> tuple[str, float, float | None]:
-        x, model = features(text), shared.value
-        label, score = predict(model, x)
-        return label, score, None if label not in model["names"] or not more else above_floor(model, label, x, n_letters(text))
+    def told_of(texts: list[str | None]) -> list[tuple[str, float, float | None]]:
+        model, found = shared.value, [(UNKNOWN, 0.0, None)] * len(texts)
+        own = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        if own and model["names"]:
+            x = np.stack([features(texts[i].encode()) for i in own])
+            for i, row, (label, score) in zip(own, x, predict_many(model, x)):
+                found[i] = label, score, above_floor(model, label, row, n_letters(texts[i].encode())) if more else None
+        return found
 
     def run(batches):
         for batch in batches:
             found = []
-            for text in batch.column(at):
-                text = text.as_py()
-                found.append(one(text.encode()) if text and LETTER.search(text) else (UNKNOWN, 0.0, None))
+            for a in range(0, batch.num_rows, 256):
+                found += told_of(batch.column(at).slice(a, 256).to_pylist())
             told = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64())[: 2 + len(more)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[*batch.schema.names, "_lang_pred", "_score", *more])
 
@@ -276,8 +303,8 @@ def _identified(docs: DataFrame, model: dict | None, more: list[str]) -> DataFra
 
 def accept(docs: DataFrame, least: float = 0.25, model: dict | None = None) -> DataFrame:
     """The rows of docs whose language can be told: not `und`, with a score of `least` or more, and with no less evidence
-    for the language, or for a mixture of learned ones, than its floor. Scores rank the learned languages and hardly fall below 0.25; text in none of them
-    (other languages, code, random letters) goes by its evidence.
+    for the language, or for a mixture of learned ones, than its floor. Scores rank the learned languages and hardly fall
+    below 0.25; text in none of them (other languages, code, random letters) goes by its evidence.
 
     A null lang is filled with the prediction; a given one stays.
     """
@@ -288,5 +315,5 @@ def accept(docs: DataFrame, least: float = 0.25, model: dict | None = None) -> D
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    out = identify(docs.select("doc_id", "text"), train(docs))
+    out = identify(docs.select("doc_id", "text"), train(docs, floor=0))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
