@@ -20,7 +20,9 @@ from tessera.llm.vectors import stack, usable
 
 SHARD_ROWS = 8192
 M, EF_BUILD, EF_SEARCH, WIDTH = 16, 96, 320, 4
-QUERIES_PER_BLOCK = 1024
+QUERIES_PER_BLOCK, BLOCKS_PER_LOAD = 1024, 16
+#: Shards are built in at most so many tasks.
+MAX_TASKS = 20_000
 
 
 def beam(x: np.ndarray, near: np.ndarray, q: np.ndarray, start: np.ndarray, ef: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -169,10 +171,11 @@ def _packed(**arrays) -> bytes:
 
 
 def index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per shard: shard, index (flat arrays). rows: vec_id, embedding.
+    """One row per shard: shard, index (flat arrays). rows: vec_id, embedding; other columns are not looked at.
 
     Equal vectors are one node that keeps the k + 1 smallest ids, which is all that k results for any query can use.
-    A shard gets its vectors by a hash, about shard_rows of them.
+    A shard gets its vectors by a hash, about shard_rows of them. Rows without id, and vectors that are null, zero or hold
+    null or non-finite components, are in no shard; shorter vectors are filled with zeros. An empty table has no shard.
     """
     good = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & F.exists("embedding", lambda v: v != 0))
     good = good.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("e"))
@@ -190,11 +193,13 @@ def index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
         return pd.DataFrame({"shard": [int(f["shard"].iloc[0])], "index": [blob]})
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("e", F.lit("shard")), F.lit(shards)).cast("int"))
+    dealt = dealt.repartition(min(2 * shards, MAX_TASKS), "shard")  # a shard is seconds of work, so tasks are not coalesced
     return materialize(dealt.groupBy("shard").applyInPandas(run, "shard int, index binary"), "index")
 
 
 def nearest(queries: DataFrame, shards: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
-    """query_id, rank, vec_id, score: each query against all shards, in blocks of queries, merged.
+    """query_id, rank, vec_id, score: each query against all shards, in blocks of queries, merged. A task loads one shard for
+    up to BLOCKS_PER_LOAD blocks. Work grows with queries times shards.
 
     Ties go to the smaller vec_id; the query's own id is left out. Queries whose vector is null, zero or not finite
     have no results; repeated queries count once. With no shard there is no result.
@@ -210,34 +215,38 @@ def nearest(queries: DataFrame, shards: DataFrame, k: int, ef: int = EF_SEARCH)
 
     asked = good.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(pack, "block int, queries binary")
     last = shards.agg(F.max("shard")).first()[0]
-    asked = asked.withColumn("shard", F.lit(-1) if last is None else F.explode(F.sequence(F.lit(0), F.lit(last))))
-
-    def run(frames):
-        for f in frames:
-            for blob, own in zip(f["index"], f["queries"]):
-                s, q = np.load(io.BytesIO(blob)), np.load(io.BytesIO(own))
-                e, qe = s["e"], q["e"]
-                width = max(e.shape[1], qe.shape[1])
-                ids, start, qid = s["ids"], s["start"], q["ids"]
-                g = {"x": s["x"], "entry": int(s["entry"]), "near": [s[f"near{i}"] for i in range(int(s["levels"]))]}
-                fit = np.zeros((len(qe), e.shape[1]))
-                fit[:, : min(width, qe.shape[1], e.shape[1])] = qe[:, : e.shape[1]]
-                found = search(g, fit, k + 1, ef)
-                score = np.einsum("qd,qkd->qk", fit, e[found])
-                rows = []
-                for i in range(len(qid)):
-                    ok = found[i] >= 0
-                    at, sc = found[i][ok], score[i][ok]
-                    many = start[at + 1] - start[at]
-                    members = np.concatenate([ids[start[a] : start[a + 1]] for a in at]) if at.size else np.zeros(0, np.int64)
-                    sc = np.repeat(sc, many)
-                    keep = members != qid[i]
-                    members, sc = members[keep], sc[keep]
-                    order = np.lexsort((members, -sc))[:k]
-                    rows.append((np.full(order.size, qid[i]), members[order], sc[order]))
-                yield pd.DataFrame({c: np.concatenate([r[n] for r in rows]) for n, c in enumerate(("query_id", "vec_id", "score"))})
-
-    found = asked.join(shards, "shard").select("index", "queries").mapInPandas(run, "query_id long, vec_id long, score double")
+    load = F.floor(F.col("block") / BLOCKS_PER_LOAD).cast("int")
+    asked = asked.select("queries", load.alias("load"), (F.lit(-1) if last is None else F.explode(F.sequence(F.lit(0), F.lit(last)))).alias("shard"))
+    shards = shards.select("shard", "index", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // BLOCKS_PER_LOAD))).alias("load"))
+    none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    def run(asked_: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked_) or not len(shard):
+            return none
+        s = np.load(io.BytesIO(shard["index"].iloc[0]))
+        e, ids, start = s["e"], s["ids"], s["start"]
+        g = {"x": s["x"], "entry": int(s["entry"]), "near": [s[f"near{i}"] for i in range(int(s["levels"]))]}
+        rows = []
+        for own in asked_["queries"]:
+            q = np.load(io.BytesIO(own))
+            qe, qid = q["e"], q["ids"]
+            fit = np.zeros((len(qe), e.shape[1]))
+            fit[:, : min(qe.shape[1], e.shape[1])] = qe[:, : e.shape[1]]
+            found = search(g, fit, k + 1, ef)
+            score = np.einsum("qd,qkd->qk", fit, e[found])
+            for i in range(len(qid)):
+                ok = found[i] >= 0
+                at, sc = found[i][ok], score[i][ok]
+                many = start[at + 1] - start[at]
+                members = np.concatenate([ids[start[a] : start[a + 1]] for a in at]) if at.size else np.zeros(0, np.int64)
+                sc = np.repeat(sc, many)
+                keep = members != qid[i]
+                members, sc = members[keep], sc[keep]
+                order = np.lexsort((members, -sc))[:k]
+                rows.append((np.full(order.size, qid[i]), members[order], sc[order]))
+        return pd.DataFrame({c: np.concatenate([r[n] for r in rows]) for n, c in enumerate(("query_id", "vec_id", "score"))})
+
+    found = asked.groupBy("shard", "load").cogroup(shards.groupBy("shard", "load")).applyInPandas(run, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
