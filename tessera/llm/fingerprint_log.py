@@ -1,9 +1,9 @@
 """Substring dedup over a log-structured fingerprint index.
 
 The index is a folder of immutable sorted runs of window fingerprints: a level-0 run for each batch that came in, and
-merged runs. A batch is fingerprinted, merge-joined with all runs by part of the fingerprint space, and what
-matches is verified window by window with fingerprints of 128 bits over the words themselves; then its own runs are
-added, and runs are compacted when there are too many.
+merged runs. A batch is fingerprinted and added, and its anchors are merge-joined with the runs of all earlier batches, by
+part of the fingerprint space. What matches is verified window by window with fingerprints of 128 bits over the words
+themselves; of earlier batches only the documents that match are read again. Runs are compacted when there are too many.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tessera.llm import windows as win
 from tessera.llm.common import mix64, scratch, word_hashes
 
 WINDOW, GRAM, FANOUT = 20, 6, 8
+#: dedup_in_batches() loads this share of the documents first, and then the others in batches of these shares.
+SHARES = (0.7, 0.15, 0.15)
 
 
 def word_units(text: bytes) -> np.ndarray:
@@ -90,65 +92,77 @@ def _verify(blobs: DataFrame, window: int, batch: int) -> DataFrame:
         new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
         h = np.flatnonzero(new)[np.cumsum(new) - 1]
         r = np.flatnonzero(~((ord_ == ord_[h]) & (uid == uid[h]) & (start == start[h]) & (age == age[h])) & (age == batch))
-        return win._by_uid(uid[r], 0, np.stack([start[r], start[r] + window], 1), int(f["part"].iloc[0]))
+        return win._by_uid(uid[r], ord_[r], 0, np.stack([start[r], start[r] + window], 1), int(f["part"].iloc[0]))
 
     return blobs.groupBy("part").applyInPandas(run, win._FOUND)
 
 
 class FingerprintLog:
-    """The index at a path: runs/<number>, each a Parquet folder of sorted runs with the batch they came from.
+    """The index at a path: runs/<batch>-<level>, each a Parquet folder of sorted runs with the batch they came from.
 
-    parts divides the fingerprint space and is fixed when the index begins.
+    parts divides the fingerprint space and is fixed when the index begins. There are at most `fanout` live runs between
+    batches. A batch that broke off can be run again: what it left is replaced, and a merged run hides those it stands for.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = 12, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.path, self.parts, self.window, self.gram = spark, path or scratch(spark, "fingerprints"), parts, window, gram
+    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = 12, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
+        self.spark, self.path, self.parts, self.window, self.gram, self.fanout = spark, path or scratch(spark, "fingerprints"), parts, window, gram, fanout
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
 
-    def levels(self) -> list[str]:
-        """Paths of the live runs, oldest first."""
+    @staticmethod
+    def _name(path: str) -> tuple[int, int]:
+        """Newest batch and level of a run."""
+        batch, level = path.rstrip("/").rsplit("/", 1)[1].split("-")
+        return int(batch), int(level)
+
+    def _written(self) -> list[str]:
         root = self._path(f"{self.path}/runs")
         if not self._fs.exists(root):
             return []
         return sorted(str(s.getPath()) for s in self._fs.listStatus(root) if self._fs.exists(self._path(f"{s.getPath()}/_SUCCESS")))
 
-    def add(self, docs: DataFrame, batch: int) -> DataFrame:
-        """Fingerprint docs (as windows.keyed gives them) and append their runs; all runs, old and new."""
-        new = win.sorted_runs(docs, word_units, self.window, self.gram, self.parts, batch)
-        new.write.mode("error").parquet(f"{self.path}/runs/{batch:012d}-0")
-        return self.read()
+    def levels(self) -> list[str]:
+        """Paths of the live runs, oldest first: those that no merged run of a higher level stands for."""
+        found = {p: self._name(p) for p in self._written()}
+        return [p for p, (batch, level) in found.items() if not any(b >= batch and v > level for b, v in found.values())]
+
+    def holds_earlier(self, batch: int) -> bool:
+        return any(b < batch or level for b, level in map(self._name, self.levels()))
+
+    def add(self, docs: DataFrame, batch: int) -> None:
+        """Fingerprint docs (as windows.keyed gives them) and append their runs, sorted. A batch that a merged run already
+        holds is not added again."""
+        if not any(b >= batch and level for b, level in map(self._name, self.levels())):
+            new = win.sorted_runs(docs, word_units, self.window, self.gram, self.parts, batch)
+            new.write.mode("overwrite").parquet(f"{self.path}/runs/{batch:012d}-0")
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(win._RUNS).parquet(*self.levels())
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run per part and batch, if there are more than FANOUT. Old runs go last."""
+        """Merge all runs into one sorted run per part and batch, if there are more than `fanout`. Old runs go last."""
         old = self.levels()
-        if len(old) <= FANOUT:
+        if len(old) <= self.fanout:
             return
 
         def merge(f: pd.DataFrame) -> pd.DataFrame:
-            cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in f[c]])
-            anchor, body, first, count = cat("anchor", np.uint32), cat("body", np.uint64), cat("first", np.int32), cat("count", np.uint16)
-            at = np.cumsum([0, *[len(u) // 8 for u in f["uid"]]])
-            uid, ord_ = cat("uid", np.int64), cat("ord", np.int64)
-            local = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + a for x, a in zip(f["local"], at)])
-            order = np.lexsort((body, anchor))
+            own = win._loaded(f)
+            own = own[np.lexsort((own["body"], own["anchor"]))]
             rows = []
-            for a in range(0, order.size, 65_535):  # so that places in the table of documents fit in 16 bits
-                o = order[a : a + 65_535]
-                own, loc = np.unique(local[o], return_inverse=True)
-                rows.append((f["part"].iloc[0], f["batch"].iloc[0], anchor[o].tobytes(), body[o].tobytes(), loc.astype(np.uint16).tobytes(), first[o].tobytes(), count[o].tobytes(), uid[own].tobytes(), ord_[own].tobytes()))
+            for a in range(0, own.size, 65_535):  # so that places in the table of documents fit in 16 bits
+                r = own[a : a + 65_535]
+                uid, ord_, local = win._documents(r["uid"], r["ord"])
+                rows.append((f["part"].iloc[0], f["batch"].iloc[0], r["anchor"].tobytes(), r["body"].tobytes(), local.astype(np.uint16).tobytes(), r["first"].tobytes(), r["count"].tobytes(), uid.tobytes(), ord_.tobytes()))
             return pd.DataFrame(rows, columns=[c.split()[0] for c in win._RUNS.split(", ")])
 
-        newest = max(int(p.rsplit("/", 1)[1].split("-")[0]) for p in old)
-        level = 1 + max(int(p.rsplit("-", 1)[1]) for p in old)
-        self.read().groupBy("part", "batch").applyInPandas(merge, win._RUNS).write.mode("error").parquet(f"{self.path}/runs/{newest:012d}-{level}")
-        for p in old:
-            self._fs.delete(self._path(p), True)
+        newest, level = max(self._name(p)[0] for p in old), 1 + max(self._name(p)[1] for p in old)
+        self.read().groupBy("part", "batch").applyInPandas(merge, win._RUNS).write.mode("overwrite").parquet(f"{self.path}/runs/{newest:012d}-{level}")
+        live = self.levels()
+        for p in self._written():
+            if p not in live:
+                self._fs.delete(self._path(p), True)
 
     def drop(self) -> None:
         self._fs.delete(self._path(self.path), True)
@@ -156,42 +170,29 @@ class FingerprintLog:
 
 def repeated_spans(log: FingerprintLog, docs: DataFrame, batch: int = 0, history: DataFrame | None = None) -> DataFrame:
     """kind 0 rows of spans (in words) of docs that repeat an earlier window: of an earlier batch in the log, or of docs
-    itself (smaller doc_id; same document, earlier place).
+    itself (smaller doc_id; same document, earlier place). docs are added to the log.
 
-    docs, history: as windows.keyed gives them; history holds the texts of all earlier batches, with _age their batch.
+    docs, history: as windows.keyed gives them; history holds all documents of earlier batches, with _age their batch. Of
+    these only such are read whose fingerprints match.
     """
-    spark = docs.sparkSession
-    found = win.stored(win.settle(log.add(docs, batch), log.window, True, batch), "settled")
+    if history is None and log.holds_earlier(batch):
+        raise ValueError("the index holds earlier batches: their documents are needed to verify matches")
+    later, whole = win.copies(docs, True)
+    docs = win.without(docs, later)
+    log.add(docs, batch)
+    found = win.stored(win.settle(log.read(), log.window, True, batch), "settled")
     texts = docs.withColumn("_age", F.lit(batch).cast("long"))
     if history is not None:
         texts = texts.unionByName(history.select(texts.columns))
-    own = found.where("kind = 1").groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("part", "fields")).alias("runs"))
-    open_ = texts.join(own, "_uid").select("_uid", "_ord", "text", "_age", "runs")
-    verified = win.stored(_verify(_spread(open_, log.window, log.parts), log.window, batch), "verified")
-    return found.where("kind = 0").unionByName(verified)
+    verified = win.stored(_verify(_spread(win.fetch(found, texts), log.window, log.parts), log.window, batch), "verified")
+    log.compact()
+    return found.where("kind = 0").unionByName(verified).unionByName(whole)
 
 
-def dedup(docs: DataFrame, log: FingerprintLog | None = None, batch: int = 0, history: DataFrame | None = None, window: int = WINDOW) -> DataFrame:
-    """docs with _n_words, _n_removed and _kept (the words that stay, joined by one space).
-
-    A word goes if a window of `window` words covers it whose words also start earlier. Null and empty text has no
-    words. Null doc_id sorts first; among rows of one doc_id a hash of the text decides, and a row repeated whole is
-    one document. An empty table gives an empty one. `_uid`, `_ord`, `_spans` are not kept.
-    """
-    spark = docs.sparkSession
-    own = win.keyed(docs)
-    passing = log is None
-    if passing:
-        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        log = FingerprintLog(spark, parts=win.part_count(size // 6, window, GRAM, win.RUNS_PER_PART), window=window)
-    later, whole = win.copies(own, True)
-    found = repeated_spans(log, win.without(own, later), batch, history).unionByName(whole)
-    if passing:
-        log.drop()  # what it told is written; a log that is kept is given by the caller
-    else:
-        log.compact()
-    kept = [c for c in docs.columns if c not in {"_n_words", "_n_removed", "_kept", "_uid", "_ord", "_spans", "_u"}]
-    spans = win.with_spans(docs.select(*kept).withColumn("_uid", F.xxhash64(docs["doc_id"], docs["text"])), found)
+def rendered(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """docs with _n_words, _n_removed and _kept, given the spans that were found."""
+    kept = [c for c in docs.columns if c not in {"_n_words", "_n_removed", "_kept", "_uid", "_ord", "_spans", "_u", "_o"}]
+    spans = win.with_spans(docs.select(*kept, *win.identity(docs)), found)
     at, names = kept.index("text"), [*kept, "_n_words", "_n_removed", "_kept"]
 
     def run(batches):
@@ -214,9 +215,52 @@ def dedup(docs: DataFrame, log: FingerprintLog | None = None, batch: int = 0, hi
     return spans.select(*kept, "_spans").mapInArrow(run, schema)
 
 
+def new_log(docs: DataFrame, window: int = WINDOW, fanout: int = FANOUT) -> FingerprintLog:
+    """An empty index in the shared folder whose parts fit docs."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return FingerprintLog(docs.sparkSession, parts=win.part_count(size // 6, window, GRAM, win.RUNS_PER_PART), window=window, fanout=fanout)
+
+
+def dedup(docs: DataFrame, log: FingerprintLog | None = None, batch: int = 0, history: DataFrame | None = None, window: int = WINDOW) -> DataFrame:
+    """docs with _n_words, _n_removed and _kept (the words that stay, joined by one space).
+
+    A word goes if a window of `window` words covers it whose words also start earlier: in docs or, with a log, in an
+    earlier batch, whose documents history must then give (ValueError if it doesn't). Null and empty text has no words.
+    Null doc_id sorts first; among rows of one doc_id a hash of the text decides, and a row repeated whole is one document.
+    An empty table gives an empty one. `_uid`, `_ord`, `_spans` are not kept.
+    """
+    own, passing = win.keyed(docs), log is None
+    log = new_log(docs, window) if passing else log
+    found = repeated_spans(log, own, batch, history)
+    if passing:
+        log.drop()  # what it told is written; a log that is kept is given by the caller
+    return rendered(docs, found, window)
+
+
+def dedup_in_batches(docs: DataFrame, shares: tuple[float, ...] = SHARES, window: int = WINDOW) -> DataFrame:
+    """What dedup() gives for docs, with documents dealt by ranges of doc_id to batches of about these shares, which go
+    through one index one after another, as they would arrive, and runs compacted between them."""
+    upto = np.cumsum(shares)[:-1].tolist()
+    first = sorted({int(b) for b in docs.select(F.col("doc_id").cast("double").alias("o")).approxQuantile("o", upto, 0.01)})
+    log, found, id_ = new_log(docs, window, fanout=1), None, F.col("doc_id")
+    for batch in range(len(first) + 1):
+        over = id_ >= first[batch - 1] if batch else F.lit(True)
+        own = over & (id_ < first[batch]) if batch < len(first) else over
+        part = docs.where(own if batch else own | id_.isNull())
+        history = None
+        for i in range(batch):
+            old = docs.where((id_ < first[0]) | id_.isNull() if not i else (id_ >= first[i - 1]) & (id_ < first[i]))
+            old = win.keyed(old).withColumn("_age", F.lit(i).cast("long"))
+            history = old if history is None else history.unionByName(old)
+        spans = repeated_spans(log, win.keyed(part), batch, history)
+        found = spans if found is None else found.unionByName(spans)
+    log.drop()
+    return rendered(docs, found, window)
+
+
 def op5_substrings(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup(docs)
+    out = dedup_in_batches(docs)
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 

@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import windows as win
-from tessera.llm.common import discard, mix64
+from tessera.llm.common import discard, if_small, materialize, mix64
 
-WINDOW, GRAM = 400, 64
+#: Windows of NOTICE bytes that are elsewhere are told of (n_shared); only those of WINDOW bytes go.
+WINDOW, NOTICE, GRAM = 400, 256, 64
 SORT_BLOCK, BYTES_PER_ARRAY = 20_000, 1 << 19
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -117,7 +118,7 @@ def repeats(text: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-_BODIES = "part int, anchor binary, uid binary, first binary, count binary, settled binary, bytes binary"
+_BODIES = "part int, anchor binary, uid binary, ord binary, first binary, count binary, settled binary, bytes binary"
 
 
 def _bodies(open_: DataFrame, window: int) -> DataFrame:
@@ -130,17 +131,17 @@ def _bodies(open_: DataFrame, window: int) -> DataFrame:
         def blobs():
             rows = []
             for part, items in held.items():
-                cols = [np.concatenate([i[c] for i in items]) for c in range(5)]
-                rows.append((part, *[c.tobytes() for c in cols], b"".join(i[5] for i in items)))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32()] + [pa.binary()] * 6)], names=[c.split()[0] for c in _BODIES.split(", ")])
+                cols = [np.concatenate([i[c] for i in items]) for c in range(6)]
+                rows.append((part, *[c.tobytes() for c in cols], b"".join(i[6] for i in items)))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32()] + [pa.binary()] * 7)], names=[c.split()[0] for c in _BODIES.split(", ")])
 
         for b in batches:
-            for uid, _, text, groups in zip(*b.columns):
-                text, uid = text.as_py().encode(), uid.as_py()
+            for uid, ord_, text, groups in zip(*b.columns):
+                text, uid, ord_ = text.as_py().encode(), uid.as_py(), ord_.as_py()
                 for g in groups.as_py():
                     f = np.frombuffer(g["fields"], np.int32).reshape(-1, 4)
                     body = b"".join(text[s : s + c - 1 + window] for s, c in f[:, :2].tolist())
-                    held.setdefault(g["part"], []).append((f[:, 3], np.full(len(f), uid, np.int64), f[:, 0], f[:, 1], f[:, 2].astype(np.uint8), body))
+                    held.setdefault(g["part"], []).append((f[:, 3], np.full(len(f), uid, np.int64), np.full(len(f), ord_, np.int64), f[:, 0], f[:, 1], f[:, 2].astype(np.uint8), body))
                     size += len(body) + 32 * len(f)
                 if size > 4 << 20:
                     yield blobs()
@@ -156,11 +157,11 @@ def _compare(blobs: DataFrame, window: int) -> DataFrame:
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in f[c]])
-        anchor, uid, first, count, settled = cat("anchor", np.int32), cat("uid", np.int64), cat("first", np.int32), cat("count", np.int32), cat("settled", np.uint8)
+        anchor, uid, ord_, first, count, settled = (cat(c, t) for c, t in (("anchor", np.int32), ("uid", np.int64), ("ord", np.int64), ("first", np.int32), ("count", np.int32), ("settled", np.uint8)))
         body = np.frombuffer(b"".join(f["bytes"]), np.uint8)
         size = count.astype(np.int64) - 1 + window
         begin = np.cumsum(size) - size
-        order = np.lexsort((first, uid, anchor))
+        order = np.lexsort((first, uid, ord_, anchor))
         edge = np.append(np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1])), order.size)
         out = []
         a = 0
@@ -169,15 +170,16 @@ def _compare(blobs: DataFrame, window: int) -> DataFrame:
             while b < edge.size - 1 and total + int(size[order[edge[b] : edge[b + 1]]].sum()) <= BYTES_PER_ARRAY:
                 total += int(size[order[edge[b] : edge[b + 1]]].sum())
                 b += 1
-            out.append(_marked(body, begin, size, count, uid, first, settled, order[edge[a] : edge[b]], window))
+            out.append(_marked(body, begin, size, count, first, settled, order[edge[a] : edge[b]], window))
             a = b
-        uid, spans = (np.concatenate([o[i] for o in out]) for i in range(2))
-        return win._by_uid(uid, 0, spans, int(f["part"].iloc[0]))
+        run_, spans = (np.concatenate([o[i] for o in out]) for i in range(2))
+        return win._by_uid(uid[run_], ord_[run_], 0, spans, int(f["part"].iloc[0]))
 
     return blobs.groupBy("part").applyInPandas(run, win._FOUND)
 
 
-def _marked(body, begin, size, count, uid, first, settled, own, window):
+def _marked(body, begin, size, count, first, settled, own, window):
+    """Runs and spans of the windows of `own` runs that another of them holds too."""
     # a zero byte parts the runs; no valid window reaches it
     text = np.zeros(int(size[own].sum()) + own.size, np.uint8)
     at = np.cumsum(size[own] + 1) - (size[own] + 1)
@@ -198,51 +200,88 @@ def _marked(body, begin, size, count, uid, first, settled, own, window):
     s = np.flatnonzero(fresh)
     e = np.append(s[1:], which.size) - 1 if s.size else s
     start = first[own][which[s]].astype(np.int64) + place[s]
-    return uid[own][which[s]], np.stack([start, first[own][which[e]] + place[e] + window], 1).reshape(-1, 2)
+    return own[which[s]], np.stack([start, first[own][which[e]] + place[e] + window], 1).reshape(-1, 2)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with _n_bytes, _n_removed, _removed (binary: maximal removed spans as pairs of 64-bit numbers) and _kept (binary).
+def _repeated(own: DataFrame, window: int) -> DataFrame:
+    """Spans (kind 0) of the windows of own that also start elsewhere in it."""
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blobs = win.stored(win.sorted_runs(own, byte_units, window, GRAM, win.part_count(size, window, GRAM, 200_000)), "runs")
+    found = win.stored(win.settle(blobs, window, False), "settled")
+    discard(blobs)
+    compared = win.stored(_compare(_bodies(win.fetch(found, own), window), window), "compared")
+    return found.where("kind = 0").unionByName(compared)
+
+
+def _stretches(own: DataFrame, found: DataFrame, shorter: int, window: int) -> DataFrame:
+    """own with _within: the stretches of `window` bytes or more that repeated windows of `shorter` bytes cover; others go.
+
+    A window that is elsewhere is made of shorter ones that are, so no repeat lies outside of these.
+    """
+    spans = found.groupBy(F.col("uid").alias("_uid"), F.col("ord").alias("_ord")).agg(F.collect_list("fields").alias("s"))
+
+    def run(batches):
+        for b in batches:
+            covers = [win.cover(x.as_py(), 1 << 40, shorter) for x in b.column(2)]
+            longer = [c[c[:, 1] - c[:, 0] >= window].tobytes() for c in covers]
+            keep = pa.array([bool(x) for x in longer])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array([x for x in longer if x], pa.binary())], names=["_uid", "_ord", "_within"])
+
+    within = win.stored(spans.mapInArrow(run, "_uid long, _ord long, _within binary"), "within")
+    keys = within.select("_uid", "_ord")
+    if (small := if_small(keys)) is not keys:  # then no other text is shuffled
+        own = own.join(small, ["_uid", "_ord"], "left_semi")
+    return own.join(within, ["_uid", "_ord"])
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, notice: int | None = None) -> DataFrame:
+    """docs with _n_bytes, _n_removed, _removed (binary: maximal removed spans as pairs of 64-bit numbers), _kept (binary)
+    and _n_shared.
 
     A byte of the UTF-8 text goes if a `window`-byte string covers it that also starts anywhere else, the same document
-    included; no copy stays. Null and empty text has no bytes. Repeated rows are copies of each other. An empty table
-    gives an empty one.
+    included; no copy stays. With `notice`, _n_shared is the number of bytes that strings of that length cover which are
+    elsewhere too: passages too short to go are told of that way. Without, it is _n_removed. Null and empty text has no
+    bytes. Repeated rows are copies of each other. An empty table gives an empty one.
     """
     own = win.keyed(docs)
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = win.part_count(size, window, GRAM, 200_000)
     later, whole = win.copies(own, False)
-    own = win.without(own, later)
-    blobs = win.stored(win.sorted_runs(own, byte_units, window, GRAM, parts), "runs")
-    found = win.stored(win.settle(blobs, window, False), "settled")
-    compared = win.stored(_compare(_bodies(win.fetch(found, own), window), window), "compared")
-    discard(blobs)
-    kept = [c for c in docs.columns if c not in {"_n_bytes", "_n_removed", "_removed", "_kept", "_uid", "_ord", "_spans", "_u"}]
-    spans = win.with_spans(docs.select(*kept).withColumn("_uid", F.xxhash64(docs["doc_id"], docs["text"])), found.where("kind = 0").unionByName(compared).unionByName(whole))
-    at, names = kept.index("text"), [*kept, "_n_bytes", "_n_removed", "_removed", "_kept"]
+    own, seen = win.without(own, later), None
+    if notice and notice < window:
+        seen = _repeated(own, notice)
+        own = materialize(_stretches(own, seen, notice, window), "stretches")
+    found = _repeated(own, window).unionByName(whole)
+    if seen is not None:
+        found = found.unionByName(seen.unionByName(whole).withColumn("kind", F.lit(3)))
+    kept = [c for c in docs.columns if c not in {"_n_bytes", "_n_removed", "_removed", "_kept", "_n_shared", "_uid", "_ord", "_spans", "_noticed", "_u", "_o"}]
+    spans = win.with_spans(docs.select(*kept, *win.identity(docs)), found)
+    at, names = kept.index("text"), [*kept, "_n_bytes", "_n_removed", "_removed", "_kept", "_n_shared"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
 
     def run(batches):
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 b = whole.slice(a, 500)
-                out = [[], [], [], []]
-                for text, s in zip(b.column(at), b.column(b.num_columns - 1)):
+                out = [[], [], [], [], []]
+                for text, s, n in zip(b.column(at), b.column(b.num_columns - 2), b.column(b.num_columns - 1)):
                     t = (text.as_py() or "").encode()
                     c = win.cover(s.as_py(), len(t), window)
                     edge = [0, *c.ravel().tolist(), len(t)]
-                    for o, v in zip(out, (len(t), int((c[:, 1] - c[:, 0]).sum()), c.tobytes(), b"".join(t[edge[i] : edge[i + 1]] for i in range(0, len(edge), 2)))):
+                    gone = int((c[:, 1] - c[:, 0]).sum())
+                    shared = win.cover(n.as_py(), len(t), notice) if seen_too else None
+                    for o, v in zip(out, (len(t), gone, c.tobytes(), b"".join(t[edge[i] : edge[i + 1]] for i in range(0, len(edge), 2)), int((shared[:, 1] - shared[:, 0]).sum()) if seen_too else gone)):
                         o.append(v)
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *[pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))]], names=names)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *[pa.array(o, t) for o, t in zip(out, kinds)]], names=names)
 
     from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-    schema = StructType([*docs.select(*kept).schema.fields, StructField("_n_bytes", LongType()), StructField("_n_removed", LongType()), StructField("_removed", BinaryType()), StructField("_kept", BinaryType())])
-    return spans.select(*kept, "_spans").mapInArrow(run, schema)
+    seen_too = seen is not None
+    schema = StructType([*docs.select(*kept).schema.fields, StructField("_n_bytes", LongType()), StructField("_n_removed", LongType()), StructField("_removed", BinaryType()), StructField("_kept", BinaryType()), StructField("_n_shared", LongType())])
+    return spans.select(*kept, "_spans", "_noticed").mapInArrow(run, schema)
 
 
 def op10_suffixes(spark, sf_dir: str) -> DataFrame:
-    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), (F.octet_length("_removed") / 16).cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), notice=NOTICE)
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), (F.octet_length("_removed") / 16).cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"), F.col("_n_shared").alias("n_shared"))
 
 
 OP10_SQL = r"""
@@ -253,10 +292,16 @@ WITH d AS (SELECT doc_id, encode(COALESCE(text, '')) AS b FROM documents
   SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1
 ), runs AS (
   SELECT doc_id, r, min(i) AS s, max(i) + 399 AS e FROM (SELECT doc_id, i, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit) GROUP BY doc_id, r
+), near AS (
+  SELECT doc_id, i, md5(b[i:i + 255]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 254)) AS i FROM d WHERE octet_length(b) >= 256)
+), shared AS (
+  SELECT doc_id, sum(least(256, coalesce(following - i, 256))) AS n_shared FROM (
+    SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM near) WHERE c > 1) GROUP BY doc_id
 ), per AS (
   SELECT doc_id, sum(e - s + 1) AS n_removed, count(*) AS n_spans, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM runs GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, COALESCE(n_spans, 0) AS n_spans,
-  sha256(CASE WHEN n_spans IS NULL THEN b ELSE list_reduce(list_transform(range(0, n_spans + 1), lambda k: b[(CASE WHEN k = 0 THEN 1 ELSE es[k] + 1 END):(CASE WHEN k = n_spans THEN octet_length(b) ELSE ss[k + 1] - 1 END)]), lambda x, y: x || y) END) AS kept_sha256
-FROM d LEFT JOIN per USING (doc_id)
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE list_reduce(list_transform(range(0, n_spans + 1), lambda k: b[(CASE WHEN k = 0 THEN 1 ELSE es[k] + 1 END):(CASE WHEN k = n_spans THEN octet_length(b) ELSE ss[k + 1] - 1 END)]), lambda x, y: x || y) END) AS kept_sha256,
+  CAST(COALESCE(n_shared, 0) AS BIGINT) AS n_shared
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN shared USING (doc_id)
 """

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import if_small, materialize, mix64, small_batches, tidy
@@ -57,16 +57,35 @@ def runs(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """_uid, _ord, text: a row is known by a hash of doc_id and text, and ordered by doc_id (null first)."""
+    """_uid, _ord, text: a row is known by its doc_id (null: the least number, so first) and a hash of doc_id and text, by
+    both together: unlike rows are only taken for one if they share their doc_id and 64 bits of hash."""
     small_batches(docs.sparkSession)
-    return docs.select(F.xxhash64("doc_id", "text").alias("_uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_ord"), F.col("text"))
+    return docs.select(*identity(docs), F.col("text"))
+
+
+def identity(docs: DataFrame) -> list[Column]:
+    return [F.xxhash64(docs["doc_id"], docs["text"]).alias("_uid"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("_ord")]
 
 
 _RUNS = "part int, batch long, anchor binary, body binary, local binary, first binary, count binary, uid binary, ord binary"
 
 
 def sorted_runs(docs: DataFrame, to_units, window: int, k: int, parts: int, batch: int = 0) -> DataFrame:
-    """Blobs by part of the anchor space, each sorted by anchor and run: immutable once written."""
+    """Blobs by part of the anchor space, each sorted by anchor and run: immutable once written.
+
+    docs may have a column _within (packed starts and ends, in units): only windows inside one of these stretches count.
+    """
+    within = "_within" in docs.columns
+
+    def of_text(text: str, stretches: bytes | None):
+        units = to_units(text.encode())
+        if stretches is None:
+            return runs(units, window, k)
+        found = []
+        for a, b in np.frombuffer(stretches, np.int64).reshape(-1, 2).tolist():
+            one = runs(units[a:b], window, k)
+            found.append((*one[:2], one[2] + a, one[3]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def run(batches):
         held, docs_, total = [], [], 0
@@ -88,11 +107,11 @@ def sorted_runs(docs: DataFrame, to_units, window: int, k: int, parts: int, batc
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _RUNS.split(", ")])
 
         for b in batches:
-            for uid, order, text in zip(b.column(0), b.column(1), b.column(2)):
+            for uid, order, text, *stretches in zip(*b.columns):
                 text = text.as_py()
                 if not text:
                     continue
-                found = runs(to_units(text.encode()), window, k)
+                found = of_text(text, stretches[0].as_py() if within else None)
                 if found[0].size:
                     held.append(found)
                     docs_.append((uid.as_py(), order.as_py()))
@@ -103,34 +122,51 @@ def sorted_runs(docs: DataFrame, to_units, window: int, k: int, parts: int, batc
         if held:
             yield blobs()
 
-    return docs.select("_uid", "_ord", "text").mapInArrow(run, _RUNS)
+    return docs.select("_uid", "_ord", "text", *["_within"] * within).mapInArrow(run, _RUNS)
 
 
-def _by_uid(uid: np.ndarray, kind: int, fields: np.ndarray, part: int) -> pd.DataFrame:
-    """One row per uid: its rows of fields, packed as 32-bit numbers."""
-    order = np.argsort(uid, kind="stable")
-    uid, fields = uid[order], np.ascontiguousarray(fields[order].astype(np.int32))
-    edge = np.flatnonzero(np.diff(uid) != 0) + 1 if uid.size else np.zeros(0, int)
-    edge = np.concatenate([[0], edge]) if uid.size else edge
+def _by_uid(uid: np.ndarray, ord_: np.ndarray, kind: int, fields: np.ndarray, part: int) -> pd.DataFrame:
+    """One row per document: its rows of fields, packed as 32-bit numbers."""
+    order = np.lexsort((uid, ord_))
+    uid, ord_, fields = uid[order], ord_[order], np.ascontiguousarray(fields[order].astype(np.int32))
+    edge = np.flatnonzero(np.append(True, (uid[1:] != uid[:-1]) | (ord_[1:] != ord_[:-1]))) if uid.size else np.zeros(0, int)
     ends = np.append(edge[1:], uid.size)
-    return pd.DataFrame({"uid": uid[edge], "kind": np.int32(kind), "part": np.int32(part), "fields": [fields[a:b].tobytes() for a, b in zip(edge, ends)]})
+    return pd.DataFrame({"uid": uid[edge], "ord": ord_[edge], "kind": np.int32(kind), "part": np.int32(part), "fields": [fields[a:b].tobytes() for a, b in zip(edge, ends)]})
 
 
-_FOUND = "uid long, kind int, part int, fields binary"
+def _documents(uid: np.ndarray, ord_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct documents of rows, and the place of each row's."""
+    order = np.lexsort((uid, ord_))
+    u, o = uid[order], ord_[order]
+    new = np.append(True, (u[1:] != u[:-1]) | (o[1:] != o[:-1])) if u.size else np.zeros(0, bool)
+    place = np.empty(u.size, np.int64)
+    place[order] = np.cumsum(new) - 1
+    return u[new], o[new], place
+
+
+_FOUND = "uid long, ord long, kind int, part int, fields binary"
 
 
 _HEAD = np.dtype([("anchor", "<u4"), ("body", "<u8"), ("age", "<i8"), ("ord", "<i8"), ("uid", "<i8"), ("first", "<i4"), ("count", "<u2"), ("many", "u1")])
 
 
-def _loaded(f: pd.DataFrame) -> np.ndarray:
-    """The runs of blobs, one record each."""
-    cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in f[c]])
-    anchor = cat("anchor", np.uint32)
-    out = np.zeros(anchor.size, _HEAD)
-    out["anchor"], out["body"], out["first"], out["count"] = anchor, cat("body", np.uint64), cat("first", np.int32), cat("count", np.uint16)
-    out["uid"], out["ord"] = (np.concatenate([np.frombuffer(u, np.int64)[np.frombuffer(i, np.uint16)] for u, i in zip(f[c], f["local"])]) for c in ("uid", "ord"))
-    out["age"] = np.concatenate([np.full(len(x) // 4, b, np.int64) for x, b in zip(f["anchor"], f["batch"])])
-    return out
+def _loaded(f: pd.DataFrame, among: np.ndarray | None = None) -> np.ndarray:
+    """The runs of blobs, one record each; with among (sorted anchors), those of these anchors only. Blobs are sorted by
+    anchor, so each is merged with `among`, and what has no match is dropped before anything else is read."""
+    out = []
+    for anchor, *rest, batch in zip(*(f[c] for c in ("anchor", "body", "local", "first", "count", "uid", "ord", "batch"))):
+        anchor = np.frombuffer(anchor, np.uint32)
+        at = slice(None)
+        if among is not None:
+            lo, hi = np.searchsorted(anchor, among, "left"), np.searchsorted(anchor, among, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        body, local, first, count, uid, ord_ = (np.frombuffer(x, t) for x, t in zip(rest, (np.uint64, np.uint16, np.int32, np.uint16, np.int64, np.int64)))
+        own = np.zeros(anchor[at].size, _HEAD)
+        own["anchor"], own["body"], own["first"], own["count"], own["age"] = anchor[at], body[at], first[at], count[at], batch
+        own["uid"], own["ord"] = uid[local[at]], ord_[local[at]]
+        out.append(own)
+    return np.concatenate(out) if out else np.zeros(0, _HEAD)
 
 
 def _heads(runs_: np.ndarray, alone: bool = True) -> np.ndarray:
@@ -152,18 +188,19 @@ def _heads(runs_: np.ndarray, alone: bool = True) -> np.ndarray:
     return out
 
 
-def _unlike(heads: np.ndarray, keep_first: bool) -> np.ndarray:
-    """Heads whose anchor has other bodies; where no first run stays, only if one of these has a single run."""
+def _unlike(heads: np.ndarray, keep_first: bool, batch: int) -> np.ndarray:
+    """Heads whose anchor has other bodies, one of them new in `batch`; where no first run stays, only if one of these has a
+    single run."""
     if not heads.size:
         return heads
     group = np.cumsum(np.append(True, heads["anchor"][1:] != heads["anchor"][:-1])) - 1
-    ok = (np.bincount(group) > 1)[group]
+    ok = ((np.bincount(group) > 1) & (np.bincount(group, weights=heads["age"] == batch) > 0))[group]
     return heads[ok if keep_first else ok & (np.bincount(group, weights=heads["many"] == 0) > 0)[group]]
 
 
-def _open_rows(heads: np.ndarray, keep_first: bool, part: int) -> pd.DataFrame:
-    o = _unlike(heads, keep_first)
-    return _by_uid(o["uid"], 1, np.stack([o["first"], o["count"].astype(np.int32), o["many"].astype(np.int32), o["anchor"].copy().view(np.int32)], 1), part)
+def _open_rows(heads: np.ndarray, keep_first: bool, batch: int, part: int) -> pd.DataFrame:
+    o = _unlike(heads, keep_first, batch)
+    return _by_uid(o["uid"], o["ord"], 1, np.stack([o["first"], o["count"].astype(np.int32), o["many"].astype(np.int32), o["anchor"].copy().view(np.int32)], 1), part)
 
 
 def _repeat_rows(runs_: np.ndarray, heads: np.ndarray, window: int, keep_first: bool, batch: int, part: int) -> pd.DataFrame:
@@ -181,12 +218,13 @@ def _repeat_rows(runs_: np.ndarray, heads: np.ndarray, window: int, keep_first:
     else:
         hit &= h["many"] > 0
     r = runs_[hit & (runs_["age"] == batch)]
-    return _by_uid(r["uid"], 0, np.stack([r["first"], r["first"] + r["count"].astype(np.int64) - 1 + window], 1), part)
+    return _by_uid(r["uid"], r["ord"], 0, np.stack([r["first"], r["first"] + r["count"].astype(np.int64) - 1 + window], 1), part)
 
 
 def settle(blobs: DataFrame, window: int, keep_first: bool, batch: int = 0, most: int = 4 * RUNS_PER_PART) -> DataFrame:
-    """Merge the sorted runs of each part. kind 0: spans (start, end) all of whose windows are repeats, of documents of
-    `batch`; kind 1: runs (first, count, several, anchor) to compare by window, one of each body, of any batch.
+    """Merge the sorted runs of each part: those of earlier batches are merged with the anchors of `batch`, and only what
+    meets one goes on. kind 0: spans (start, end) all of whose windows are repeats, of documents of `batch`; kind 1: runs
+    (first, count, several, anchor) to compare by window, one of each body, of any batch, if one of the anchor is new.
 
     keep_first: of equal windows the earliest (by batch, doc_id, place) stays; else all are repeats. blobs should be
     written. A part is one group; if one holds more than `most` runs, as a group of near copies can make it, all parts
@@ -196,9 +234,11 @@ def settle(blobs: DataFrame, window: int, keep_first: bool, batch: int = 0, most
     deal = -(-int(largest) // most)
 
     def whole(f: pd.DataFrame) -> pd.DataFrame:
-        own, part = _loaded(f), int(f["part"].iloc[0])
-        heads = _heads(own, alone=False)
-        return pd.concat([_repeat_rows(own, heads, window, keep_first, batch, part), _open_rows(heads, keep_first, part)])
+        part, new = int(f["part"].iloc[0]), (f["batch"] == batch).to_numpy()
+        own = _loaded(f[new])
+        old = _loaded(f[~new], np.unique(own["anchor"]))
+        heads = _heads(np.concatenate([old, own]), alone=False)
+        return pd.concat([_repeat_rows(own, heads, window, keep_first, batch, part), _open_rows(heads, keep_first, batch, part)])
 
     if deal <= 1:
         return blobs.groupBy("part").applyInPandas(whole, _FOUND)
@@ -209,11 +249,11 @@ def settle(blobs: DataFrame, window: int, keep_first: bool, batch: int = 0, most
     def agreed(f: pd.DataFrame) -> pd.DataFrame:
         part = int(f["part"].iloc[0])
         heads = _heads(np.concatenate([np.frombuffer(h, _HEAD) for h in f["heads"]]), alone=False)
-        return pd.concat([pd.DataFrame({"uid": [0], "kind": [2], "part": [part], "fields": [heads.tobytes()]}), _open_rows(heads, keep_first, part)])
+        return pd.concat([pd.DataFrame({"uid": [0], "ord": [0], "kind": [2], "part": [part], "fields": [heads.tobytes()]}), _open_rows(heads, keep_first, batch, part)])
 
     def flagged(f: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         if not len(f) or not len(h):
-            return pd.DataFrame({"uid": [], "kind": [], "part": [], "fields": []})
+            return pd.DataFrame({"uid": [], "ord": [], "kind": [], "part": [], "fields": []})
         return _repeat_rows(_loaded(f), np.frombuffer(h["fields"].iloc[0], _HEAD), window, keep_first, batch, int(f["part"].iloc[0]))
 
     dealt = blobs.withColumn("salt", F.pmod(F.xxhash64("body", "uid"), F.lit(deal)).cast("int"))
@@ -224,35 +264,40 @@ def settle(blobs: DataFrame, window: int, keep_first: bool, batch: int = 0, most
 
 
 def fetch(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents with runs to compare: _uid, _ord, text, runs (array of part and packed fields)."""
-    own = found.where("kind = 1").groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("part", "fields")).alias("runs"))
-    return docs.join(own, "_uid").select("_uid", "_ord", "text", "runs")
+    """docs that have runs to compare, with runs (array of part and packed fields). found should be written."""
+    own = found.where("kind = 1").groupBy(F.col("uid").alias("_uid"), F.col("ord").alias("_ord")).agg(F.collect_list(F.struct("part", "fields")).alias("runs"))
+    keys = own.select("_uid", "_ord")
+    if (small := if_small(keys)) is not keys:  # then no other text is shuffled
+        docs = docs.join(small, ["_uid", "_ord"], "left_semi")
+    return docs.join(own, ["_uid", "_ord"])
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with _spans: packed spans, in any order, null for none."""
-    own = found.where("kind = 0").groupBy(F.col("uid").alias("_u")).agg(F.collect_list("fields").alias("_spans"))
-    return docs.join(own, docs["_uid"] == F.col("_u"), "left").drop("_u")
+    """docs (with _uid and _ord) with _spans (of kind 0) and _noticed (of kind 3): packed spans, in any order."""
+    told = [F.collect_list(F.when(F.col("kind") == k, F.col("fields"))).alias(c) for k, c in ((0, "_spans"), (3, "_noticed"))]
+    own = found.where("kind IN (0, 3)").groupBy(F.col("uid").alias("_u"), F.col("ord").alias("_o")).agg(*told)
+    return docs.join(own, (docs["_uid"] == F.col("_u")) & (docs["_ord"] == F.col("_o")), "left").drop("_u", "_o")
 
 
 def copies(own: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """(_uid of rows that need no look of their own, found rows of whole texts), settled by 128 bits of a hash of the text.
+    """(_uid, _ord of rows that need no look of their own; found rows of whole texts), settled by 128 bits of a hash of the
+    text.
 
     One row of each group of equal texts, the first, stands for all. With keep_first the others are repeats from end to
     end; else all of the group are. However large a group is, it is only counted.
     """
     key = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("copy"), F.col("text")).alias("h2")]
     keyed_ = own.where(F.octet_length("text") > 0).select("_uid", "_ord", *key)
-    groups = keyed_.groupBy("h1", "h2").agg(F.min(F.struct("_ord", "_uid")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", F.col("f._uid").alias("_first"))
-    members = materialize(keyed_.join(if_small(materialize(groups, "groups")), ["h1", "h2"]).select("_uid", "_first").distinct(), "members")
-    later = members.where("_uid <> _first").select("_uid").distinct()
-    whole = later if keep_first else members.select("_uid").distinct()
+    groups = keyed_.groupBy("h1", "h2").agg(F.min(F.struct("_ord", "_uid")).alias("f"), F.count("*").alias("c")).where("c > 1").select("h1", "h2", F.col("f._uid").alias("_u"), F.col("f._ord").alias("_o"))
+    members = materialize(keyed_.join(if_small(materialize(groups, "groups")), ["h1", "h2"]).select("_uid", "_ord", ((F.col("_uid") == F.col("_u")) & (F.col("_ord") == F.col("_o"))).alias("first")).distinct(), "members")
+    later = members.where("NOT first").select("_uid", "_ord")
+    whole = later if keep_first else members
     end = F.unhex(F.lit("00000000FFFFFF7F"))  # from 0 to the largest number, little-endian
-    return materialize(later, "later"), whole.select(F.col("_uid").alias("uid"), F.lit(0).alias("kind"), F.lit(-1).alias("part"), end.alias("fields"))
+    return later, whole.select(F.col("_uid").alias("uid"), F.col("_ord").alias("ord"), F.lit(0).alias("kind"), F.lit(-1).alias("part"), end.alias("fields"))
 
 
 def without(own: DataFrame, later: DataFrame) -> DataFrame:
-    return own.join(if_small(later), "_uid", "left_anti")
+    return own.join(if_small(later), ["_uid", "_ord"], "left_anti")
 
 
 def cover(spans: list[bytes] | None, size: int, window: int) -> np.ndarray:
