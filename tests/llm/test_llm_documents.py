@@ -131,20 +131,55 @@ def test_dealt_parts_settle_alike(docs, odd, keep_first):
 
 
 def test_substrings_by_batch(spark, docs, rows):
-    """Batches in order of doc_id give what one batch gives, with runs compacted between them."""
-    old = fingerprint_log.FANOUT
-    fingerprint_log.FANOUT = 1
-    try:
-        log, history, got = fingerprint_log.FingerprintLog(spark, parts=5), None, {}
-        for b, (lo, hi) in enumerate([(0, 20), (20, 45), (45, 1000)]):
-            part = docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi))
-            got |= {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept"]) for r in fingerprint_log.dedup(part, log, b, history).collect()}
-            own = windows.keyed(part).withColumn("_age", F.lit(b).cast("long"))
-            history = own if history is None else history.unionByName(own)
-        assert len(log.levels()) == 1
-    finally:
-        fingerprint_log.FANOUT = old
+    """Batches in order of doc_id give what one batch gives, with runs compacted between them; a batch may be run again."""
+    log, history, got = fingerprint_log.FingerprintLog(spark, parts=5, fanout=1), None, {}
+    for b, (lo, hi) in enumerate([(0, 20), (20, 45), (45, 1000)]):
+        part = docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi))
+        if b:
+            with pytest.raises(ValueError):
+                fingerprint_log.dedup(part, log, b)
+        for _ in range(2):
+            found = {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept"]) for r in fingerprint_log.dedup(part, log, b, history).collect()}
+        got |= found
+        own = windows.keyed(part).withColumn("_age", F.lit(b).cast("long"))
+        history = own if history is None else history.unionByName(own)
+    assert len(log.levels()) == 1 and log.levels()[0].endswith("-2")
+    held = log.read().select("batch").distinct().count()
+    assert held == 3 and got == brute_words(rows)
+
+
+def test_broken_batch_and_compaction(spark, docs):
+    """A run without _SUCCESS is not read and is replaced; runs that a merged one stands for are not read."""
+    log = fingerprint_log.FingerprintLog(spark, parts=3, fanout=1)
+    own = windows.keyed(docs)
+    log.add(own, 0)
+    log._fs.delete(log._path(f"{log.levels()[0]}/_SUCCESS"), False)
+    assert log.levels() == []
+    log.add(own, 0)
+    log.add(own, 1)
+    old = log.levels()
+    n = log.read().agg(F.sum(F.octet_length("anchor"))).first()[0]
+    assert len(old) == 2
+    log.compact()
+    log.add(own, 1)  # already merged
+    spark.read.parquet(log.levels()[0]).write.parquet(f"{log.path}/runs/000000000000-0")  # left by a compaction that broke off
+    assert len(log.levels()) == 1 and log.read().agg(F.sum(F.octet_length("anchor"))).first()[0] == n
+
+
+def test_substrings_in_batches(docs, rows, odd, empty):
+    got = {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept"]) for r in fingerprint_log.dedup_in_batches(docs, (0.4, 0.3, 0.3)).collect()}
     assert got == brute_words(rows)
+    assert fingerprint_log.dedup_in_batches(odd).count() == odd.count() and fingerprint_log.dedup_in_batches(empty).count() == 0
+
+
+def test_old_runs_are_merged_by_anchor(docs):
+    """Of earlier batches only runs of anchors that the new batch has go on."""
+    own = windows.keyed(docs)
+    f = windows.sorted_runs(own, fingerprint_log.word_units, 20, 6, 1, 0).toPandas()
+    all_ = windows._loaded(f)
+    among = np.unique(all_["anchor"])[::7]
+    some = windows._loaded(f, among)
+    assert sorted(some.tolist()) == sorted(all_[np.isin(all_["anchor"], among)].tolist()) and 0 < some.size < all_.size
 
 
 def test_substrings_odd(odd, empty):
@@ -183,8 +218,14 @@ def test_suffixes(docs, rows, window, monkeypatch):
     assert got == sorted(brute_bytes(rows, window)) and sum(x[2] for x in got) > 500
 
 
+def test_shorter_passages_are_told_of(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GRAM", 30)
+    got = sorted((r["doc_id"], r["_n_bytes"], r["_n_removed"], len(r["_removed"]) // 16, hashlib.sha256(bytes(r["_kept"])).hexdigest(), r["_n_shared"]) for r in suffix_dedup.dedup(docs, 140, notice=60).collect())
+    assert got == sorted((*x, y[2]) for x, y in zip(brute_bytes(rows, 140), brute_bytes(rows, 60))) and sum(x[5] for x in got) > sum(x[2] for x in got)
+
+
 def test_suffixes_odd(spark, odd, empty):
-    assert suffix_dedup.dedup(odd).count() == odd.count() and suffix_dedup.dedup(empty).count() == 0
+    assert suffix_dedup.dedup(odd).count() == odd.count() and suffix_dedup.dedup(empty, notice=256).count() == 0
     runs = spark.createDataFrame([(1, "a" * 1500), (2, "ab" * 700), (3, "x" + "a" * 399)], "doc_id long, text string")
     got = {r["doc_id"]: r["_n_removed"] for r in suffix_dedup.dedup(runs).collect()}
     assert got == {1: 1500, 2: 1400, 3: 0}
@@ -390,6 +431,66 @@ def test_language(spark):
     assert kept.columns == df.columns and kept.where("doc_id IN (900, 901, 903)").count() == 0 and kept.where("doc_id = 902").first()["lang"] == "en"
 
 
+def plain_svm(x, y, c, steps=20_000):
+    """The dual problem by projected gradient: what fit_svm() solves by coordinates."""
+    z = np.hstack([x, np.ones((len(x), 1))]) * y[:, None]
+    q, a = z @ z.T, np.zeros(len(x))
+    rate = 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(steps):
+        a = np.clip(a - rate * (q @ a - 1), 0, c)
+    return a @ z
+
+
+def test_svm_against_plain_solver():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 5))
+    y = np.where(x[:, 0] + 0.3 * r.normal(size=60) > 0, 1.0, -1.0)
+    assert np.allclose(langid.fit_svm(x, y, c=1.0, epochs=3000), plain_svm(x, y, 1.0), atol=0.02)
+
+
+def plain_vote(model, x):
+    """Family of the largest margin, then one vote for each pair, ties to the larger least margin."""
+    x = [*map(float, x), 1.0]
+    dot = lambda w: sum(float(a) * b for a, b in zip(w, x))
+    margins = [dot(w) for w in model["top"]] or [0.0]
+    kind = max(range(len(margins)), key=lambda i: margins[i])
+    inside = [i for i in range(len(model["names"])) if model["of"][i] == kind]
+    won, least = dict.fromkeys(inside, 0), dict.fromkeys(inside, float("inf"))
+    for (i, j), w in zip(model["pairs"], model["rows"]):
+        if i in won:
+            m = dot(w)
+            won[i if m >= 0 else j] += 1
+            least[i], least[j] = min(least[i], m), min(least[j], -m)
+    return model["names"][max(inside, key=lambda i: (won[i], least[i], -i))]
+
+
+@pytest.mark.parametrize("names", ["en de nl fr es it ru", "en de sv da", "en fr", "en"])
+def test_prediction_against_plain_vote(names):
+    r, names = np.random.default_rng(8), sorted(names.split())
+    x = r.random((40 * len(names), langid.DIMS)).astype(np.float32)
+    labels = [names[i % len(names)] for i in range(len(x))]
+    for i, n in enumerate(labels):
+        x[i, names.index(n)] += 2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = langid.fit(x, labels)
+    probe = r.random((60, langid.DIMS)).astype(np.float32) / 40
+    assert [p for p, _ in langid.predict_many(model, probe)] == [plain_vote(model, row) for row in probe]
+
+
+def test_rows_are_chosen_from_labels_of_any_size(spark):
+    """The bound on the hash leaves some rows of a label of 1e10, or 1e14, and all of a small one."""
+    n = spark.range(1).select(*[langid._bound(F.lit(750), F.lit(x)).alias(f"n{i}") for i, x in enumerate((10, 10**10, 10**14))]).first()
+    assert n["n0"] == (1 << 63) - 1
+    for bound, size in ((n["n1"], 10**10), (n["n2"], 10**14)):
+        assert 750 < (bound + (1 << 63)) / 2**64 * size < 4 * 750 + 100
+    rows = [(i, f"text number {i} abc", f"l{i % 700:03d}") for i in range(2100)] + [(i, "the same text", "hot") for i in [7] * 3000] + [(5000, "x" * 9, None), (5001, "1 2", "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.chosen_rows(df, 1000, 0).collect()
+    assert {r["lang"] for r in got} >= {r[2] for r in rows[:2100] if zlib.crc32(str(r[0]).encode()) % 4 != 2} and not any(r["_held"] for r in got)
+    assert max(collections.Counter(r["lang"] for r in got).values()) == 1
+    assert sorted(map(tuple, got)) == sorted(map(tuple, langid.chosen_rows(df.repartition(3), 1000, 0).collect()))
+
+
 def test_one_id_with_unlike_texts(spark):
     near = " ".join(f"w{i}" for i in range(60))
     clean = " ".join(f"v{i}" for i in range(60))
