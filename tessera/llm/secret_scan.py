@@ -6,6 +6,8 @@ ledger does not hold are scanned; findings are then joined back to all paths tha
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ RULES = {
 KINDS = [k for k, *_ in RULES["base-1"]]
 #: A run of one class that is too short cannot hold a longer match, so the scan may ask for the length at once.
 _SCANNED = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
+#: Matches are folded in stretches of so many.
+FOLD = 256
 LEDGER = "blob string, rules string, n_assign long, n_access long, n_hex long, spans string"
 
 
@@ -47,7 +51,16 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int, turn:
         return F.struct(end.alias("at"), F.when(F.length(x["2"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     rows = F.zip_with(F.zip_with(gaps, full, lambda a, b: F.struct(a.alias("0"), b.alias("1"))), held, lambda x, v: F.struct(x["0"].alias("0"), x["1"].alias("1"), v.alias("2")))
-    return F.when(hit, F.aggregate(rows, zero, step)["out"]).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
+
+    def places(matches):
+        # folded a stretch at a time, then moved to where the stretch begins: work grows with the matches, not their square
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / FOLD).cast("int")), lambda i: F.aggregate(F.slice(matches, i * FOLD + 1, FOLD), zero, step))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<s:int,k:int,e:int>>>").alias("out"))
+        moved = lambda at, x: F.struct((x["s"] + at).alias("s"), x["k"].alias("k"), (x["e"] + at).alias("e"))
+        return F.flatten(F.aggregate(stretches, none, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(c["out"], lambda x: moved(acc["at"], x)))).alias("out")))["out"])
+
+    found = F.element_at(F.transform(F.array(rows), places), 1)  # binds rows, so that they are made once
+    return F.when(hit, found).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
 
 
 def scan_blobs(blobs: DataFrame, rules: str = "base-1") -> DataFrame:
@@ -63,24 +76,31 @@ def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def scan(spark: SparkSession, versions: DataFrame, ledger: str | None = None, rules: str = "base-1") -> DataFrame:
-    """versions with _blob, n_assign, n_access, n_hex and spans.
+def read_ledger(spark: SparkSession, path: str, rules: str) -> DataFrame:
+    """The rows of one rule version, one for each blob: a pair that two writers scanned at once counts once."""
+    return spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(path).where(F.col("rules") == rules).dropDuplicates(["blob"])
 
-    versions: one row per path and historical version, with a column text (null is empty). `ledger` is a Parquet
-    folder of scanned (blob, rules) pairs; it is read if it exists and gets a row for each pair scanned now. Without
-    one, a new ledger in the shared folder is used. Columns of versions with the names of added ones are replaced. Copies, repeated rows and unchanged versions are scanned once. An
-    empty table gives an empty one.
+
+def fill(spark: SparkSession, versions: DataFrame, ledger: str, rules: str = "base-1") -> None:
+    """Scan those blobs of versions that the ledger does not hold under these rules, and add them.
+
+    What is added is written aside and then moved into the ledger as a whole, so a scan that breaks off leaves nothing that
+    counts and can be run again. A blob's text is moved once, to where all its copies meet, and scanned there.
     """
-    path = ledger or scratch(spark, "ledger")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    known = fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(ledger).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     at = versions.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", address(F.col("text")))
-    if known:
-        seen = spark.read.schema(LEDGER).parquet(path).where(F.col("rules") == rules).select("blob")
-        at = at.join(seen, "blob", "left_anti")
-    fresh = at.groupBy("blob").agg(F.first("text").alias("text"))
-    scan_blobs(fresh, rules).write.mode("append").parquet(path)
-    held = spark.read.schema(LEDGER).parquet(path).where((F.col("rules") == rules) & (F.col("spans") != "")).drop("rules")
+    if fs.exists(jvm.Path(ledger)):
+        at = at.join(read_ledger(spark, ledger, rules).select("blob"), "blob", "left_anti")
+    name = uuid.uuid4().hex
+    scan_blobs(at.groupBy("blob").agg(F.first("text").alias("text")), rules).write.parquet(f"{ledger}/_aside-{name}")
+    if not fs.rename(jvm.Path(f"{ledger}/_aside-{name}"), jvm.Path(f"{ledger}/run-{name}")):
+        raise OSError(f"cannot add to {ledger}")
+
+
+def findings(spark: SparkSession, versions: DataFrame, ledger: str, rules: str = "base-1") -> DataFrame:
+    """versions with what the ledger holds of their blobs: _blob, n_assign, n_access, n_hex and spans."""
+    held = read_ledger(spark, ledger, rules).where(F.col("spans") != "").drop("rules")
     held = held.select(F.col("blob").alias("_ledger_blob"), *[F.col(f"n_{k}").alias(f"_ledger_{k}") for k in KINDS], F.col("spans").alias("_ledger_spans"))
     used = ("text",)
     kept = versions.drop("n_assign", "n_access", "n_hex", "spans", "_blob")
@@ -91,6 +111,30 @@ def scan(spark: SparkSession, versions: DataFrame, ledger: str | None = None, ru
     return out.select(*names, "_blob", *added, F.coalesce(F.col("_ledger_spans"), F.lit("")).alias("spans"))
 
 
+def scan(spark: SparkSession, versions: DataFrame, ledger: str | None = None, rules: str = "base-1") -> DataFrame:
+    """versions with _blob, n_assign, n_access, n_hex and spans.
+
+    versions: one row per path and historical version, with a column text (null is empty). `ledger` is a folder of scanned
+    (blob, rules) pairs; it is read if it exists and gets a row for each pair scanned now. Without one, a new ledger in the
+    shared folder is used. Columns of versions with the names of added ones are replaced. Copies, repeated rows and
+    unchanged versions are scanned once. An empty table gives an empty one.
+    """
+    path = ledger or scratch(spark, "ledger")
+    fill(spark, versions, path, rules)
+    return findings(spark, versions, path, rules)
+
+
+def scan_in_commits(spark: SparkSession, versions: DataFrame, order: str = "doc_id", commits: int = 2, rules: str = "base-1") -> DataFrame:
+    """What scan() gives, with versions arriving in order of a number column, a range of it at a time: each range is held
+    against the ledger of those before it, and only blobs that none of them had are scanned."""
+    path, id_ = scratch(spark, "ledger"), F.col(order)
+    upto = sorted({int(b) for b in versions.select(id_.cast("double").alias("o")).approxQuantile("o", [i / commits for i in range(1, commits)], 0.01)})
+    for i in range(len(upto) + 1):
+        own = (id_ >= upto[i - 1] if i else F.lit(True)) & (id_ < upto[i] if i < len(upto) else F.lit(True))
+        fill(spark, versions.where(own if i else own | id_.isNull()), path, rules)
+    return findings(spark, versions, path, rules)
+
+
 def redact(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rules: str = "base-1", mark: str = "[SECRET]") -> DataFrame:
     """docs with each stretch of overlapping or touching findings in text replaced by `mark`; n_chars, if there, follows.
 
@@ -118,7 +162,7 @@ def redact(spark: SparkSession, docs: DataFrame, ledger: str | None = None, rule
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan(spark, docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
+    return scan_in_commits(spark, docs).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
 _GAPPED = """list_transform(list_zip(regexp_extract_all(t, {g}, 1), regexp_extract_all(t, {g}, 2), regexp_extract_all(t, {g}, {held})), lambda x: {{'g': length(x[1]), 'm': length(x[2]), 'v': length(x[3])}})"""
