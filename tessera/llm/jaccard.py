@@ -53,6 +53,17 @@ def set_key(h: np.ndarray) -> int:
     return int(mix64(mix64(h).sum(keepdims=True) + np.uint64(h.size)).astype(np.int64)[0])
 
 
+def set_check(h: np.ndarray) -> int:
+    """64 further bits of a set: sets of one node that differ in these are told apart."""
+    return int(mix64(mix64(h ^ np.uint64(0x5851F42D4C957F2D)).sum(keepdims=True) * np.uint64(0xDA942042E4DD58B5) + np.uint64(h.size)).astype(np.int64)[0])
+
+
+def node_of(h: np.ndarray, moved: dict[tuple[int, int], int]) -> int:
+    """The node of a set; moved holds those of sets whose key another set has too."""
+    key = set_key(h)
+    return moved.get((key, set_check(h)), key) if moved else key
+
+
 def bitmap(h: np.ndarray) -> bytes:
     """A signature of 4 to 8 bits an element, at least 64 bits; sets of compatible size differ by one doubling at most."""
     bits = 1 << max(6, int(4 * h.size - 1).bit_length())
@@ -86,7 +97,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
 
 
 def cards(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """kind 0: doc_id, size and node of each row's set, with its bitmap; kind 1: size counts of the shingle in node.
+    """kind 0: doc_id, size, node and check of each row's set, with its bitmap; kind 1: size counts of the shingle in node.
 
     Shingles are counted over all rows, a stretch of sets at a time; those found once or twice in a stretch are not
     passed on, as only the order of the most frequent ones matters.
@@ -99,14 +110,14 @@ def cards(docs: DataFrame, n: int = WORDS) -> DataFrame:
             h, c = np.unique(np.concatenate(held), return_counts=True)
             h, c = h[c >= 3].astype(np.int64), c[c >= 3]
             none = pa.nulls(h.size, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(h.size, np.int32)), none, pa.array(c), pa.array(h), pa.nulls(h.size, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(h.size, np.int32)), none, pa.array(c), pa.array(h), none, pa.nulls(h.size, pa.binary())], names=names)
 
-        names = ["kind", "doc_id", "size", "node", "bits"]
+        names = ["kind", "doc_id", "size", "node", "check", "bits"]
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 sets = shingle_sets(_texts(batch, 1), n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([bitmap(s) if s.size else None for s in sets], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([set_check(s) for s in sets], pa.int64()), pa.array([bitmap(s) if s.size else None for s in sets], pa.binary())], names=names)
                 held += sets
                 many += sum(s.size for s in sets)
                 if many > 1_000_000:
@@ -115,7 +126,7 @@ def cards(docs: DataFrame, n: int = WORDS) -> DataFrame:
         if many:
             yield counted()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, doc_id long, size long, node long, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, doc_id long, size long, node long, check long, bits binary")
 
 
 def _prefix(h: np.ndarray, frequent: np.ndarray, similar) -> np.ndarray:
@@ -129,7 +140,7 @@ def _prefix(h: np.ndarray, frequent: np.ndarray, similar) -> np.ndarray:
     return rare[:need]
 
 
-def tiles(docs: DataFrame, frequent: np.ndarray, parts: int, n: int, similar) -> DataFrame:
+def tiles(docs: DataFrame, frequent: np.ndarray, moved: dict, parts: int, n: int, similar) -> DataFrame:
     """Blobs of (token, set) by part of the token space. A set that a task has seen before is not sent again."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -155,7 +166,7 @@ def tiles(docs: DataFrame, frequent: np.ndarray, parts: int, n: int, similar) ->
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 for h in shingle_sets(_texts(whole.slice(at, 1000), 0), n):
-                    if not h.size or (key := set_key(h)) in seen:
+                    if not h.size or (key := node_of(h, moved)) in seen:
                         continue
                     seen.add(key)
                     nodes.append(key)
@@ -237,8 +248,8 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, similar) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y").mapInPandas(run, "a long, b long, na long, nb long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """node, h: the sorted sets of the wanted nodes, 40 bits an element, read from one document of each."""
+def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, moved: dict, n: int) -> DataFrame:
+    """node, h: the sorted sets of the wanted nodes, read from one document of each."""
     which = materialize(wanted.join(reps, "node").select(F.col("rep").alias("_rep")).distinct(), "which")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(if_small(which), texts["doc_id"].eqNullSafe(F.col("_rep")), "left_semi").select("text")
@@ -247,22 +258,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, n: int) -> DataFr
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 sets = [h for h in shingle_sets(_texts(whole.slice(at, 1000), 0), n) if h.size]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(h) for h in sets], pa.int64()), pa.array([_short(h) for h in sets], pa.binary())], names=["node", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(h, moved) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "h"])
 
     return texts.mapInArrow(run, "node long, h binary").dropDuplicates(["node"])
 
 
-def _short(h: np.ndarray) -> bytes:
-    """The upper 40 bits of each element, as a plane of 4 bytes and one of 1 byte, in order."""
-    h = h >> np.uint64(24)
-    return (h >> np.uint64(8)).astype(np.uint32).tobytes() + (h & np.uint64(255)).astype(np.uint8).tobytes()
-
-
-def _long(b: bytes) -> np.ndarray:
-    n = len(b) // 5
-    return (np.frombuffer(b, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(b, np.uint8, n, 4 * n)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
     """Links: the pairs whose sorted arrays share enough."""
 
@@ -270,8 +270,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar) -> DataFrame:
         for f in frames:
             ok = []
             for na, nb, x, y in zip(f["na"], f["nb"], f["x"], f["y"]):
-                x, y = _long(x), _long(y)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
+                # neither set holds an element twice, so what is twice in both is shared
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
                 ok.append(linked(int((both[1:] == both[:-1]).sum()), int(na), int(nb), similar))
             yield f.loc[np.array(ok, bool), ["a", "b"]]
 
@@ -359,6 +359,20 @@ def _across(entries: DataFrame, nodes: DataFrame, labels: DataFrame, tried: Data
     return found.select("a", "b", "na", "nb")
 
 
+def _nodes(own: DataFrame) -> DataFrame:
+    """One row per node: size, bits, the smallest doc_id, and the range of check."""
+    return materialize(own.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi")), "nodes")
+
+
+def _moved(own: DataFrame, nodes: DataFrame) -> dict[tuple[int, int], int]:
+    """(node, check) -> a node of its own, for unlike sets that share a key. Of 5e10 sets some 70 do, so this is small."""
+    shared = nodes.where("lo <> hi").select("node", F.col("lo").alias("_lo"))
+    if shared.isEmpty():
+        return {}
+    rows = own.where("size > 0").join(shared, "node").where("check <> _lo").select("node", "check").distinct().collect()
+    return {(r["node"], r["check"]): int(mix64(np.array([r["node"] ^ r["check"]], np.int64).astype(np.uint64)).astype(np.int64)[0]) for r in rows}
+
+
 def join_components(docs: DataFrame, n: int = WORDS, similar: tuple[int, int] = SIMILAR, per_tile: int = ENTRIES_PER_TILE) -> DataFrame:
     """doc_id, n_shingles, node, component_id: one row per row of docs.
 
@@ -371,19 +385,23 @@ def join_components(docs: DataFrame, n: int = WORDS, similar: tuple[int, int] =
     small_batches(spark)
     first = materialize(cards(docs, n), "cards")
     own = first.where("kind = 0").drop("kind")
-    sets = own.where("size > 0")
-    nodes = materialize(sets.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep")), "nodes")
+    nodes = _nodes(own)
+    moved = _moved(own, nodes)
+    if moved:
+        apart = spark.createDataFrame([(*k, v) for k, v in moved.items()], "node long, check long, _to long")
+        own = materialize(own.join(F.broadcast(apart), ["node", "check"], "left").withColumn("node", F.coalesce("_to", "node")).drop("_to"), "cards")
+        nodes = _nodes(own)
     often = first.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).select("node").toPandas()["node"].to_numpy(np.int64)
     entries = nodes.agg(F.coalesce(F.sum(F.floor(F.col("size") * (1 - similar[0] / similar[1])) + 1), F.lit(0))).first()[0]
-    found = materialize(_candidates(tiles(docs, np.sort(often.astype(np.uint64)), max(12, -(-int(entries) // per_tile)), n, similar), similar), "candidates")
+    found = materialize(_candidates(tiles(docs, np.sort(often.astype(np.uint64)), moved, max(12, -(-int(entries) // per_tile)), n, similar), similar), "candidates")
 
-    pairs = materialize(_bounded(found.where("kind = 0").select("a", "b").distinct(), nodes.drop("rep"), similar), "pairs")
+    pairs = materialize(_bounded(found.where("kind = 0").select("a", "b").distinct(), nodes.select("node", "size", "bits"), similar), "pairs")
     large = found.where("kind = 1")
     links = tried = known = labels = None
     for step in range(3):
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         ends = ends if known is None else ends.join(known.select("node"), "node", "left_anti")
-        new = materialize(_sets(docs, ends, nodes.select("node", "rep"), n), "sets")
+        new = materialize(_sets(docs, ends, nodes.select("node", "rep"), moved, n), "sets")
         known = new if known is None else known.union(new)
         fresh = materialize(_verified(pairs, known, similar), "links")
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
