@@ -48,6 +48,23 @@ def test_components_of_documents(docs, rows, block, monkeypatch):
     assert len({c for _, c in got.values()}) < len(rows) - 5
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_sets_that_share_a_key(docs, rows, bits, monkeypatch, tmp_path):
+    """With keys of few bits nearly all sets share one; the further bits tell them apart."""
+    full, check = jaccard.set_key, jaccard.set_check
+
+    def weak(h):
+        return full(h) & ((1 << bits) - 1)
+
+    def node_of(h, moved):
+        return moved.get((weak(h), check(h)), weak(h))
+
+    monkeypatch.setattr(jaccard, "set_key", weak)
+    monkeypatch.setattr(jaccard, "node_of", node_of)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(docs).collect()}
+    assert got == brute_components(rows)
+
+
 def test_components_odd(odd, empty):
     got = jaccard.join_components(odd).collect()
     assert len(got) == odd.count()
@@ -68,7 +85,6 @@ def test_bound_never_loses_a_link():
         if jaccard.linked(both, a.size, b.size):
             assert jaccard.may_link(a.size, jaccard.bitmap(a), b.size, jaccard.bitmap(b))
             assert set(jaccard._prefix(a, np.zeros(0, np.uint64), (75, 100))) & set(jaccard._prefix(b, np.zeros(0, np.uint64), (75, 100)))
-        assert np.array_equal(jaccard._long(jaccard._short(a)), a >> np.uint64(24))
 
 
 def test_star_components(spark):
@@ -93,6 +109,26 @@ def test_scratch_is_released(spark):
         common.discard(spark.read.parquet(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001") + "/region.parquet"))
 
 
+class _Conf:
+    def get(self, key, default=None):
+        return default
+
+
+def test_no_local_folder_on_a_cluster():
+    """Without a named folder, anything but local mode is an error."""
+    from types import SimpleNamespace as N
+
+    from tessera.llm import common
+
+    def session(master):
+        scala = N(getCheckpointDir=lambda: N(isDefined=lambda: False))
+        return N(conf=_Conf(), sparkContext=N(master=master, _jsc=N(sc=lambda: scala)))
+
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            common.checkpoint_root(session(master))
+
+
 # ---- 5
 
 def brute_words(rows, window=20):
@@ -261,11 +297,51 @@ def test_secrets(spark, tmp_path):
     ledger = str(tmp_path / "ledger")
     got = {r["path"]: r["spans"] for r in secret_scan.scan(spark, df, ledger).collect()}
     assert got == {i: brute_secrets(t) for i, t in enumerate(SECRETS * 2)}
-    n = spark.read.parquet(ledger).count()
+    count = lambda: secret_scan.read_ledger(spark, ledger, "base-1").count()
+    n = count()
     assert n == len({t or "" for t in SECRETS})
     more = df.union(spark.createDataFrame([(99, "password: correcthorsebattery")], df.schema))
     assert {r["path"]: r["spans"] for r in secret_scan.scan(spark, more, ledger).collect()}[99] == "assign:0:29"
-    assert spark.read.parquet(ledger).count() == n + 1  # only the new blob was scanned
+    assert count() == n + 1  # only the new blob was scanned
+
+
+def test_second_rule_version(spark, tmp_path, monkeypatch):
+    """Blobs are scanned anew under other rules, and only under these."""
+    monkeypatch.setitem(secret_scan.RULES, "strict-2", tuple((k, p, g, n + 8) for k, p, g, n in secret_scan.RULES["base-1"]))
+    df = spark.createDataFrame([(1, "token=abcdefghijkl"), (2, "token=abcdefghijklmnopqrstuvwxyz"), (3, "x")], "path long, text string")
+    ledger = str(tmp_path / "ledger")
+    one = {r["path"]: r["n_assign"] for r in secret_scan.scan(spark, df, ledger).collect()}
+    two = {r["path"]: r["n_assign"] for r in secret_scan.scan(spark, df, ledger, "strict-2").collect()}
+    assert one == {1: 1, 2: 1, 3: 0} and two == {1: 0, 2: 1, 3: 0}
+    held = spark.read.schema(secret_scan.LEDGER).option("recursiveFileLookup", "true").parquet(ledger)
+    assert sorted(map(tuple, held.groupBy("rules").count().collect())) == [("base-1", 3), ("strict-2", 3)]
+    assert {r["path"]: r["n_assign"] for r in secret_scan.scan(spark, df, ledger).collect()} == one and held.count() == 6
+
+
+def test_ledger_with_a_blob_twice(spark, tmp_path):
+    """Two scans at once can both write a pair; no version is told of twice. What a broken scan left aside is not read."""
+    df = spark.createDataFrame([(1, "token=abcdefghijkl")], "path long, text string")
+    ledger = str(tmp_path / "ledger")
+    secret_scan.fill(spark, df, ledger)
+    rows = secret_scan.read_ledger(spark, ledger, "base-1")
+    rows.write.parquet(f"{ledger}/run-again")
+    rows.withColumn("blob", F.lit("other")).write.parquet(f"{ledger}/_aside-broken")
+    assert [(r["path"], r["n_assign"]) for r in secret_scan.scan(spark, df, ledger).collect()] == [(1, 1)]
+    assert secret_scan.read_ledger(spark, ledger, "base-1").count() == 1
+
+
+def test_secrets_in_commits(spark, odd, empty):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS * 3)] + [(None, SECRETS[0])], "doc_id long, text string")
+    got = secret_scan.scan_in_commits(spark, df, commits=3).collect()
+    assert sorted(((r["doc_id"] or 0), r["spans"]) for r in got) == sorted((i or 0, brute_secrets(t)) for i, t in [*enumerate(SECRETS * 3), (None, SECRETS[0])])
+    assert secret_scan.scan_in_commits(spark, odd).count() == odd.count() and secret_scan.scan_in_commits(spark, empty).count() == 0
+
+
+def test_many_secrets_in_one_text(spark):
+    """Findings beyond one stretch of the fold, and a text of a megabyte of them."""
+    texts = ["é " + " ".join("%032x" % (i * 7919) for i in range(n)) for n in (255, 256, 257, 1000, 30_000)]
+    got = secret_scan.scan(spark, spark.createDataFrame(list(enumerate(texts)), "path long, text string")).collect()
+    assert {r["path"]: r["spans"] for r in got} == {i: brute_secrets(t) for i, t in enumerate(texts)}
 
 
 def test_secrets_odd(spark, odd, empty):
