@@ -44,11 +44,23 @@ def heading_chunks(docs: DataFrame) -> DataFrame:
 
 
 def section_paths(headings: DataFrame) -> DataFrame:
-    """headings (doc_id, n, level, title) with path: titles of the nearest headings above of lower level, and their own."""
-    seen = F.collect_list(F.struct("level", "title")).over(W.partitionBy("doc_id").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    step = lambda acc, x: F.concat(F.filter(acc, lambda y: y["level"] < x["level"]), F.array(x))
-    path = F.aggregate(seen, F.array().cast("array<struct<level:int,title:string>>"), step)
-    return headings.withColumn("level", F.col("level").cast("int")).withColumn("path", path["title"])
+    """headings (doc_id, n, level, title) with path: titles of the nearest headings above of lower level, and their own.
+
+    The last heading of a level stands above a later one unless a heading of a lower level came between; so the last one of
+    each level is all that a running window has to hold.
+    """
+    own = headings.withColumn("level", F.col("level").cast("int"))
+    deepest = own.agg(F.max("level")).first()[0] or 0
+    w = W.partitionBy("doc_id").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("level") == k, F.struct("n", "title")), ignorenulls=True).over(w).alias(f"_l{k}") for k in range(1, deepest)]
+    own = own.select("*", *last)
+    at = lambda k: F.coalesce(F.col(f"_l{k}.n").cast("long"), F.lit(-1))
+    above = []
+    for k in range(1, deepest):
+        since = F.greatest(F.lit(-1).cast("long"), F.lit(-1).cast("long"), *[at(j) for j in range(1, k)])
+        above.append(F.when((F.col("level") > k) & F.col(f"_l{k}").isNotNull() & (at(k) > since), F.col(f"_l{k}.title")))
+    path = F.filter(F.array(*above, F.col("title")), lambda t: t.isNotNull()) if above else F.array("title")
+    return own.select(*headings.columns, path.alias("path"))
 
 
 def pack_paragraphs(text: Column, size: int, parting: str = "\n\n") -> Column:
@@ -79,85 +91,86 @@ def between_markers(text, start: str, end: str) -> Column:
     return F.when(b > 0, F.substring(t, a, b + len(start) - 1)).otherwise(F.substring(t, a, F.length(t)))
 
 
-def normalise(chunks: list[tuple], most: int, least: int, target: int) -> list[tuple]:
-    """One document's chunks (id, title, path, content) in order: large ones are cut, then small neighbours of one parent
-    are merged in pairs; a merged pair isn't merged again."""
-    cut = []
-    for cid, title, path, content in chunks:
-        if len(content.split()) <= most:
-            cut.append((cid, title, path, content, None))
-            continue
-        parts, now = [], ""
-        for p in content.split("\n\n"):
-            if now and len(now) + len(p) + 2 > target * 5:
-                parts.append(now)
-                now = p
-            else:
-                now = f"{now}\n\n{p}" if now else p
-        parts += [now] * bool(now)
-        cut += [(f"{cid}_sub_{k:03d}", f"{title} (Part {k})", path, p, cid) for k, p in enumerate(parts, 1)]
-    out, i = [], 0
-    while i < len(cut):
-        cid, title, path, content, parent = cut[i]
-        n = len(content.split())
-        if n < least and i + 1 < len(cut) and parent is None and cut[i + 1][4] is None:
-            _, t2, p2, c2, _ = cut[i + 1]
-            if path and p2 and path[:-1] == p2[:-1] and n + len(c2.split()) <= most:
-                out.append((cid, f"{title} + {t2}"[:100], path, f"{content}\n\n{c2}", None))
-                i += 2
-                continue
-        out.append(cut[i])
-        i += 1
-    return out
-
-
 def normalise_sizes(chunks: DataFrame, most: int = MAX_WORDS, least: int = MIN_WORDS, target: int = TARGET_WORDS) -> DataFrame:
     """chunks (doc_id, ord, chunk_id, title, path, content) cut and merged to size, with parent_id and word_count.
 
-    A document is one group; its state machine needs order, so it runs in Python.
+    Chunks of over `most` words are cut at blank lines into parts of about `target` words. Then a chunk of under `least`
+    words is joined to the one after it, if both are whole, under one parent and together no longer than `most`; what was
+    joined is not joined again, so in a row of chunks that could all be, every other one takes its successor.
     """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("ord", kind="stable")
-        rows = normalise([(c, t, list(p) if p is not None else [], x) for c, t, p, x in zip(f["chunk_id"], f["title"], f["path"], f["content"])], most, least, target)
-        d = f["doc_id"].iloc[0]
-        return pd.DataFrame([(d, i, c, t, p, x, parent, len(x.split())) for i, (c, t, p, x, parent) in enumerate(rows)], columns=["doc_id", "ord", "chunk_id", "title", "path", "content", "parent_id", "word_count"])
-
-    kind = dict(chunks.dtypes)["doc_id"]
-    return chunks.select("doc_id", "ord", "chunk_id", "title", "path", "content").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, ord int, chunk_id string, title string, path array<string>, content string, parent_id string, word_count int")
+    own = chunks.select("doc_id", "ord", "chunk_id", "title", F.coalesce("path", F.array().cast("array<string>")).alias("path"), "content").withColumn("_large", word_count("content") > most)
+    parts = own.select("*", F.posexplode(F.when(F.col("_large"), pack_paragraphs(F.col("content"), target * 5)).otherwise(F.array("content"))).alias("_k", "_part"))
+    k = (F.col("_k") + 1).cast("string")
+    cut = parts.select(
+        "doc_id", "ord", "_k", "path", F.col("_part").alias("content"), word_count("_part").alias("word_count"),
+        F.when(F.col("_large"), F.concat("chunk_id", F.lit("_sub_"), F.lpad(k, 3, "0"))).otherwise(F.col("chunk_id")).alias("chunk_id"),
+        F.when(F.col("_large"), F.concat("title", F.lit(" (Part "), k, F.lit(")"))).otherwise(F.col("title")).alias("title"),
+        F.when(F.col("_large"), F.col("chunk_id")).alias("parent_id"),
+    )
+    order = W.partitionBy("doc_id").orderBy("ord", "_k")
+    parent = F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.size("path") - 1))
+    next_ = F.lead(F.struct("title", "content", "word_count", F.col("parent_id").isNull().alias("whole"), parent.alias("parent"))).over(order)
+    seen = cut.withColumns({"_next": next_, "_at": F.row_number().over(order)})
+    joins = (F.col("word_count") < least) & F.col("parent_id").isNull() & F.col("_next.whole") & (parent == F.col("_next.parent")) & (F.col("word_count") + F.col("_next.word_count") <= most)
+    seen = seen.withColumn("_can", F.coalesce(joins, F.lit(False)))
+    start = F.coalesce(F.max(F.when(~F.col("_can"), F.col("_at"))).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    seen = seen.withColumn("_joins", F.col("_can") & ((F.col("_at") - start) % 2 == 1))
+    left = seen.withColumn("_joined", F.coalesce(F.lag("_joins").over(order), F.lit(False))).where("NOT _joined")
+    j = F.col("_joins")
+    return left.select(
+        "doc_id", (F.row_number().over(order) - 1).alias("ord"), "chunk_id",
+        F.when(j, F.substring(F.concat("title", F.lit(" + "), "_next.title"), 1, 100)).otherwise(F.col("title")).alias("title"), "path",
+        F.when(j, F.concat("content", F.lit("\n\n"), "_next.content")).otherwise(F.col("content")).alias("content"), "parent_id",
+        F.when(j, F.col("word_count") + F.col("_next.word_count")).otherwise(F.col("word_count")).alias("word_count"),
+    )
 
 
 def word_batches(files: DataFrame, target: int = 8000, most: int = 8) -> DataFrame:
-    """files (group, file_id, word_count) with batch: longest first, a file of `target` words stands alone, others fill
-    batches in turn by words and count. Order matters, so a group is folded as one array."""
-    ordered = files.groupBy("group").agg(F.sort_array(F.collect_list(F.struct((-F.col("word_count")).alias("w"), "file_id"))).alias("fs"))
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    """files (group, file_id, word_count) with batch: longest first, ties in order of file_id; a file of `target` words
+    stands alone, others fill batches in turn by words and count.
 
-    def step(acc, f):
-        w = -f["w"].cast("long")
-        alone, full = w >= target, (acc["w"] + w > target) | (acc["n"] >= most)
-        b = F.when((acc["n"] > 0) & (alone | full), acc["b"] + 1).otherwise(acc["b"])
-        return F.struct(F.when(alone, b + 1).otherwise(b).alias("b"), F.when(alone, F.lit(0).cast("long")).when(full, w).otherwise(acc["w"] + w).alias("w"), F.when(alone, 0).when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(b)).alias("out"))
-
-    got = ordered.select("group", F.arrays_zip(F.col("fs.file_id").alias("file_id"), F.aggregate("fs", zero, step)["out"].alias("batch")).alias("z"))
-    return got.select("group", F.explode("z").alias("z")).select("group", "z.file_id", "z.batch")
-
-
-def numbered(df: DataFrame, order: str, name: str, ranges: int = 64) -> DataFrame:
-    """df with name, the place of each row (from 0) in order of a numeric column, ties in any order.
+    What a batch takes depends on all before it, so a group is read in order, but as a stream: sorted by Spark, which spills,
+    and folded with a state of three numbers. Nothing is gathered.
+    """
 
-    Rows are numbered by ranges, each on top of what the ranges before it hold, so no task sorts all rows.
+    def run(frames):
+        now, batch, words, n = None, 0, 0, 0
+        for f in frames:
+            out = []
+            for group, size in zip(f["_g"], f["word_count"]):
+                if group != now:
+                    now, batch, words, n = group, 0, 0, 0
+                if size >= target:
+                    batch += n > 0
+                    out.append(batch)
+                    batch, words, n = batch + 1, 0, 0
+                    continue
+                if n and (words + size > target or n >= most):
+                    batch, words, n = batch + 1, 0, 0
+                words, n = words + size, n + 1
+                out.append(batch)
+            yield pd.DataFrame({"group": f["group"], "file_id": f["file_id"], "batch": out})
+
+    kinds = dict(files.dtypes)
+    own = files.select("group", "file_id", "word_count", F.coalesce(F.col("group").cast("string"), F.lit("\0null")).alias("_g"))
+    own = own.repartition("_g").sortWithinPartitions("_g", F.desc("word_count"), "file_id")
+    return own.mapInPandas(run, f"group {kinds['group']}, file_id {kinds['file_id']}, batch int")
+
+
+def numbered(df: DataFrame, order: str, name: str, ranges: int | None = None) -> DataFrame:
+    """df with name, the place of each row (from 0) in order of a column, ties in any order, nulls first.
+
+    Rows are dealt to ranges of the column (as many as the session shuffles to, unless told), and each range is numbered on
+    top of what the ranges before it hold, so no task sorts all rows. Which range a row is in is written down first.
     """
-    bounds = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.01)))
-    at = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    own = df.withColumn("_range", at)
-    held = {r["_range"]: r["n"] for r in own.groupBy("_range").agg(F.count("*").alias("n")).collect()}
-    first, total = [], 0
-    for i in range(len(bounds) + 1):
-        first += [F.lit(i), F.lit(total)]
-        total += held.get(i, 0)
+    from tessera.operators.graph import _cut
+
+    dealt = df.repartitionByRange(ranges, order) if ranges else df.repartitionByRange(order)
+    own = _cut(dealt.withColumn("_range", F.spark_partition_id()))
+    held = own.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = held.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row per range
     turn = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
-    return own.withColumn(name, F.element_at(F.create_map(*first), F.col("_range")) + turn).drop("_range")
+    return own.withColumn("_turn", turn).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_turn")).drop("_range", "_turn", "_before")
 
 
 def rule_batches(rules: DataFrame, size: int) -> DataFrame:
@@ -167,11 +180,11 @@ def rule_batches(rules: DataFrame, size: int) -> DataFrame:
 
 
 def batch_pairs(batched: DataFrame, size: int) -> DataFrame:
-    """For all pairs of batches i < j the leading min(20, size // 4) rules of both: i, j, rule_id."""
-    lead = batched.where(F.col("place") < min(20, size // 4)).select("batch", "rule_id")
-    b = batched.select("batch").distinct()
-    pairs = b.select(F.col("batch").alias("i")).join(b.select(F.col("batch").alias("j")), F.col("i") < F.col("j"))
-    return pairs.join(lead, (lead["batch"] == pairs["i"]) | (lead["batch"] == pairs["j"])).select("i", "j", "rule_id")
+    """For all pairs of batches i < j the leading min(20, size // 4) rules of both: i, j, rule_id. Batches are numbered
+    without gaps from 0, so each leading rule is told once for each other batch, without a join."""
+    last = batched.agg(F.max("batch")).first()[0]
+    lead = batched.where(F.col("place") < min(20, size // 4)).select("batch", "rule_id", F.explode(F.sequence(F.lit(0), F.lit(-1 if last is None else last).cast("int"))).alias("other"))
+    return lead.where("batch <> other").select(F.least("batch", "other").alias("i"), F.greatest("batch", "other").alias("j"), "rule_id")
 
 
 def words_of(df: DataFrame, column: str = "content") -> DataFrame:
