@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that the cluster shares."""
+    """Cut lineage in the folder that the cluster shares; a folder of this machine is only taken in local mode."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
@@ -33,7 +36,7 @@ def levels(edges: DataFrame, starts: DataFrame, most: int | None = None) -> Data
 
 def closure(edges: DataFrame, start, kind: str = "prerequisite") -> DataFrame:
     """Nodes reachable along edges of one kind, the start left out."""
-    e = edges.where(F.col("dependency_type") == kind).select("src", "dst").distinct()
+    e = _cut(edges.where(F.col("dependency_type") == kind).select("src", "dst").distinct())  # else made anew at each level
     starts = edges.sparkSession.createDataFrame([(start,)], ["node"])
     return levels(e, starts).where("level > 0").select("node")
 
@@ -43,22 +46,42 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.where("src <> dst").distinct()
 
 
-def shortest_paths(edges: DataFrame, start, goal, most: int = 6, limit: int = 5) -> DataFrame:
-    """path (array of nodes): the first `limit` shortest paths between two nodes in either direction, in order of nodes.
+def simple_paths(edges: DataFrame, start, goal, most: int = 6, limit: int = 5) -> DataFrame:
+    """path (array of nodes): the first `limit` simple paths of up to `most` (10 at most) steps between two nodes, edges taken
+    either way; shorter paths first, then in order of their nodes.
 
-    Distances from the goal are found first; then paths grow only to nodes that are one step closer to it.
+    Distances from the goal are found first, and paths grow only to nodes from which the goal can still be reached in time.
+    On shortest paths the distance falls at each step, so no node comes twice and the `limit` least paths to each node are
+    all that is needed; longer paths are looked for, length by length, only while there are fewer than `limit`.
     """
-    spark, e = edges.sparkSession, _cut(undirected(edges))
-    away = _cut(levels(e, spark.createDataFrame([(goal,)], ["node"]), min(most, 10)))
+    spark, most = edges.sparkSession, min(most, 10)
+    e = _cut(undirected(edges))
+    away = _cut(levels(e, spark.createDataFrame([(goal,)], ["node"]), most))
     far = away.where(F.col("node") == F.lit(start)).first()
-    paths = spark.createDataFrame([([start],)], e.select(F.array("src").alias("path")).schema)
+    first = spark.createDataFrame([([start],)], e.select(F.array("src").alias("path")).schema)
     if far is None or not far["level"]:
-        return paths.limit(0)
-    for level in range(far["level"] - 1, -1, -1):
-        next_ = away.where(F.col("level") == level).select("node")
-        grown = paths.join(e, F.element_at("path", -1) == e["src"]).join(next_, F.col("dst") == next_["node"]).select(F.concat("path", F.array("dst")).alias("path"))
-        paths = grown if level else grown.orderBy("path").limit(limit)
-    return paths
+        return first.limit(0)
+    found, n = first.limit(0), 0
+    for length in range(far["level"], most + 1):
+        paths = first
+        for left in range(length - 1, -1, -1):
+            near = away.where(F.col("level") == left if length == far["level"] or not left else (F.col("level") <= left) & (F.col("level") > 0)).select("node")
+            grown = paths.join(e, F.element_at("path", -1) == e["src"]).join(near, F.col("dst") == near["node"]).where(~F.array_contains("path", F.col("dst")))
+            grown = grown.select(F.concat("path", F.array("dst")).alias("path"), "dst")
+            if length == far["level"]:
+                grown = grown.withColumn("_n", F.row_number().over(W.partitionBy("dst").orderBy("path"))).where(F.col("_n") <= limit)
+            paths = _cut(grown.select("path"))
+        own = _cut(paths.orderBy("path").limit(limit - n))
+        found, n = found.unionByName(own), n + own.count()
+        if n >= limit:
+            break
+    return found.orderBy(F.size("path"), "path")
+
+
+def shortest_paths(edges: DataFrame, start, goal, most: int = 6, limit: int = 5) -> DataFrame:
+    """Of simple_paths() those of the least length."""
+    found = simple_paths(edges, start, goal, most, limit)
+    return found.withColumn("_n", F.min(F.size("path")).over(W.partitionBy())).where(F.size("path") == F.col("_n")).select("path").orderBy("path")
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -90,6 +113,23 @@ def named_edges(edges: DataFrame, rules: DataFrame) -> DataFrame:
     return edges.join(n.withColumnsRenamed({"rule_id": "src", "rule_name": "from_name"}), "src").join(n.withColumnsRenamed({"rule_id": "dst", "rule_name": "to_name"}), "dst")
 
 
+def neighbours(rules: DataFrame, edges: DataFrame, rule_id) -> DataFrame:
+    """other, direction, dependency_type, strength, rule_name (null if unknown): the edges of one rule, both ways."""
+    out = edges.where(F.col("src") == rule_id).select(F.col("dst").alias("other"), F.lit("outgoing").alias("direction"), "dependency_type", "strength")
+    in_ = edges.where(F.col("dst") == rule_id).select(F.col("src").alias("other"), F.lit("incoming").alias("direction"), "dependency_type", "strength")
+    return out.unionByName(in_).join(rules.select(F.col("rule_id").alias("other"), "rule_name"), "other", "left").select("other", "direction", F.coalesce("dependency_type", F.lit("")).alias("dependency_type"), "strength", "rule_name")
+
+
+def rule_overlap(rules: DataFrame, edges: DataFrame, nodes: list) -> DataFrame:
+    """kind, node: what all the given rules depend on (target) and what depends on all of them (source); then same_category
+    and same_entity, with `true` or `false` as node."""
+    own = rules.where(F.col("rule_id").isin(nodes)).agg(F.count_distinct("category").alias("c"), F.count("category").alias("cn"), F.count_distinct("entity_type").alias("e"), F.count("entity_type").alias("en"), F.count("*").alias("n"))
+    flags = own.select(F.explode(F.array(F.struct(F.lit("same_category").alias("kind"), ((F.col("c") == 1) & (F.col("cn") == F.col("n"))).cast("string").alias("node")), F.struct(F.lit("same_entity").alias("kind"), ((F.col("e") == 1) & (F.col("en") == F.col("n"))).cast("string").alias("node")))).alias("f")).select("f.*")
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    side = lambda e, kind: shared_targets(e, nodes).select(F.lit(kind).alias("kind"), F.col("node").cast("string").alias("node"))
+    return side(edges, "target").unionByName(side(turned, "source")).unionByName(flags)
+
+
 def shared_targets(edges: DataFrame, nodes: list) -> DataFrame:
     """What all the given rules depend on."""
     e = edges.where(F.col("src").isin(nodes)).select("src", "dst").distinct()
