@@ -11,10 +11,17 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 # Fixed values.
-STOP_WORDS = "the and for are but not you all can had her was one our out has have that this from with they been will each make like than them then into some when which".split()
-TOKEN_STOP_WORDS = """the and for that with this from are was were have has had into onto under over must shall such than then when where
-which while also only loan loans rule rules sample guideline guidelines example policy policies jtbd base version step steps
-review identify validate required information""".split()
+STOP_WORDS = [
+    "the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "has",
+    "have", "that", "this", "from", "with", "they", "been", "will", "each", "make", "like", "than", "them", "then",
+    "into", "some", "when", "which",
+]
+TOKEN_STOP_WORDS = [
+    "the", "and", "for", "that", "with", "this", "from", "are", "was", "were", "have", "has", "had", "into", "onto",
+    "under", "over", "must", "shall", "such", "than", "then", "when", "where", "which", "while", "also", "only",
+    "loan", "loans", "rule", "rules", "sample", "guideline", "guidelines", "example", "policy", "policies", "jtbd",
+    "base", "version", "step", "steps", "review", "identify", "validate", "required", "information",
+]
 BREAKING = ["must", "shall", "required", "prohibited", "forbid", "mandatory", "not permitted", "violation", "penalty", "cease", "revoke", "terminate"]
 MATERIAL = ["should", "recommend", "material", "significant", "threshold", "limit", "maximum", "minimum", "deadline", "timeframe", "calculate", "eligibility", "qualify", "condition", "process", "procedure"]
 

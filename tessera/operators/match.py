@@ -439,3 +439,15 @@ def behavior_counts(rules: DataFrame, behaviors: list[str]) -> DataFrame:
     n = rules.groupBy("behavior").agg(F.count_if(F.col("graph") == 1).alias("g1"), F.count_if(F.col("graph") == 2).alias("g2"))
     all_ = rules.sparkSession.createDataFrame([(b,) for b in behaviors], "behavior string")
     return all_.join(n, "behavior", "left").fillna(0, ["g1", "g2"])
+
+
+def match_summary(clusters: DataFrame, matches: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """behavior, g1, g2, matches, contradictions, g1_unmatched, g2_unmatched of clusters (behavior, g1, g2: sizes)."""
+    count = lambda df, name: df.groupBy("behavior").agg(F.count("*").alias(name))
+    out = clusters.select("behavior", "g1", "g2").join(count(matches, "matches"), "behavior", "left").join(count(conflicts, "contradictions"), "behavior", "left").fillna(0, ["matches", "contradictions"])
+    return out.withColumns({"g1_unmatched": F.col("g1") - F.col("matches"), "g2_unmatched": F.col("g2") - F.col("matches")})
+
+
+def capped_batches(batched: DataFrame, target: int, per_batch: int) -> DataFrame:
+    """Of numbered batches the first target // per_batch + 10: what is asked for, and some to spare."""
+    return batched.where(F.col("batch") < target // per_batch + 10)

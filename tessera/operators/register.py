@@ -188,3 +188,44 @@ def publish(rows: DataFrame, path: str, accept) -> bool:
         return False
     fs.delete(hadoop(old), True)
     return True
+
+
+def obligation_stats(register: DataFrame) -> DataFrame:
+    """facet, value, n: mandatory obligations (unknown counts as such), those with an effective date, and obligations by
+    jurisdiction and by audit frequency (`unknown` for none)."""
+    flags = register.agg(F.count_if(F.coalesce("mandatory", F.lit(True))).alias("m"), F.count_if(F.coalesce(F.col("effective_date").cast("string"), F.lit("")) != "").alias("d"))
+    flags = flags.select(F.explode(F.array(F.struct(F.lit("mandatory").alias("facet"), F.lit("yes").alias("value"), F.col("m").alias("n")), F.struct(F.lit("effective_date").alias("facet"), F.lit("known").alias("value"), F.col("d").alias("n")))).alias("f")).select("f.*")
+    by = lambda c: register.groupBy(F.lit(c).alias("facet"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown")).alias("value")).agg(F.count("*").alias("n"))
+    return flags.unionByName(by("jurisdiction")).unionByName(by("audit_frequency"))
+
+
+def add_controls(controls: DataFrame, new: DataFrame) -> DataFrame:
+    """controls (rule_id, control_name, control_type) and those of new whose rule has none of that name yet, one of each."""
+    key = ["rule_id", "control_name"]
+    return controls.unionByName(new.dropDuplicates(key).join(controls.select(*key), key, "left_anti").select(*controls.columns))
+
+
+def remove_controls(controls: DataFrame, gone: DataFrame) -> DataFrame:
+    return controls.join(gone.select("rule_id", "control_name"), ["rule_id", "control_name"], "left_anti")
+
+
+def reset(register: DataFrame, controls: DataFrame, graph_name: str) -> tuple[DataFrame, DataFrame]:
+    """register without the obligations of a graph, and controls without those of rules that are left in none."""
+    kept = register.where(~F.col("graph_name").eqNullSafe(graph_name))
+    return kept, controls.join(kept.select("rule_id").distinct(), "rule_id", "left_semi")
+
+
+def put_runs(runs: DataFrame, changes: DataFrame) -> DataFrame:
+    """runs with those of changes: new ids are added, known ones take the values that changes supplies."""
+    return merge_annotations(runs, changes, "run_id")
+
+
+def drop_runs(runs: DataFrame, gone: DataFrame) -> DataFrame:
+    return runs.join(gone.select("run_id"), "run_id", "left_anti")
+
+
+def filtered_items(items: DataFrame, **values) -> DataFrame:
+    """Rows whose columns have the given values; None asks for nothing."""
+    for name, v in values.items():
+        items = items.where(F.col(name) == v) if v is not None else items
+    return items

@@ -32,7 +32,7 @@ def with_degrees(rules: DataFrame, edges: DataFrame) -> DataFrame:
 def hubs(rules: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
     """The rules of highest degree, ties to the smaller id: degrees are counted before names are joined."""
     top = degrees(edges).orderBy(F.desc("degree"), "node").limit(limit)
-    found = rules.join(F.broadcast(top), rules["rule_id"] == top["node"]).select("rule_id", "rule_name", "out_degree", "in_degree", "degree")
+    found = rules.join(F.broadcast(top) if limit <= 100_000 else top, rules["rule_id"] == top["node"]).select("rule_id", "rule_name", "out_degree", "in_degree", "degree")
     return found.orderBy(F.desc("degree"), "rule_id").limit(limit)
 
 
@@ -106,3 +106,57 @@ def term_thresholds(rules: DataFrame, terms: list[str]) -> DataFrame:
     hit = rules.withColumn("numbers", numbers("description")).where(F.size("numbers") > 0).select("rule_id", "numbers", t)
     got = hit.select("term", "rule_id", F.explode("numbers").alias("number")).groupBy("term").agg(F.count_distinct("rule_id").alias("rules"), F.sort_array(F.collect_set("number")).alias("thresholds"))
     return got.where((F.col("rules") > 1) & (F.size("thresholds") > 1))
+
+
+def entity_coverage(rules: DataFrame) -> DataFrame:
+    """entity, n: rules by entity or relationship, else entity type, else `Unknown`; empty counts as missing."""
+    named = [F.nullif(F.col(c), F.lit("")) for c in ("entity_or_relationship", "entity_type") if c in rules.columns]
+    return rules.groupBy(F.coalesce(*named, F.lit("Unknown")).alias("entity")).agg(F.count("*").alias("n"))
+
+
+def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The k most frequent values of a column with their counts, ties in order of the value; null and empty are left out."""
+    n = df.where(F.coalesce(F.col(column).cast("string"), F.lit("")) != "").groupBy(column).agg(F.count("*").alias("n"))
+    return n.orderBy(F.desc("n"), column).limit(k)
+
+
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """The values of a column, sorted; null and empty are left out."""
+    return df.where(F.coalesce(F.col(column).cast("string"), F.lit("")) != "").select(column).distinct().orderBy(column)
+
+
+def graph_totals(per_graph: DataFrame) -> DataFrame:
+    """Sums over all graphs of every number column, and how many graphs there are."""
+    numbers = [c for c, kind in per_graph.dtypes if kind in ("int", "bigint", "double", "float") and c != "graph"]
+    return per_graph.agg(F.count("*").alias("graphs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers])
+
+
+def domain_groups(graphs: DataFrame) -> DataFrame:
+    """domain, graphs (sorted), n: graphs by their domain, `Other` for none."""
+    return graphs.groupBy(F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit("Other")).alias("domain")).agg(F.sort_array(F.collect_set("graph")).alias("graphs"), F.count("*").alias("n"))
+
+
+def verification_counts(rules: DataFrame) -> DataFrame:
+    """mandatory, review, verified and unverified; what is not known counts as not so."""
+    yes = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    return rules.agg(yes("mandatory").alias("mandatory"), yes("requires_review").alias("review"), yes("reference_verified").alias("verified"), (F.count("*") - yes("reference_verified")).alias("unverified"))
+
+
+def labelled_nodes(vertices: DataFrame, edges: DataFrame, least: int = 5) -> DataFrame:
+    """vertices (node, label) that a drawing names: categories, and nodes of `least` edges or more."""
+    d = degrees(edges).select("node", "degree")
+    return vertices.join(d, "node", "left").fillna(0, ["degree"]).where((F.col("label") == "entity_category") | (F.col("degree") >= least))
+
+
+def rule_table(rules: DataFrame, text: str | None = None, rule_type: str | None = None, entity: str | None = None, sort: str = "rule_id", descending: bool = False, page: int = 1, size: int = 25) -> DataFrame:
+    """A page of the rules whose name, description or id holds text (in any case), of a type and an entity, in order of a
+    column (missing first, as the empty text), ties by id. A page beyond the last is the last."""
+    out = rules
+    if text:
+        out = out.where(F.contains(F.lower(F.concat_ws("\n", "rule_name", "description", F.col("rule_id").cast("string"))), F.lit(text.lower())))
+    for c, v in (("rule_type", rule_type), ("entity_type", entity)):
+        out = out.where(F.col(c) == v) if v else out
+    pages = max(1, -(-out.count() // size))
+    key = F.coalesce(F.col(sort), F.lit("")) if dict(rules.dtypes)[sort] == "string" else F.col(sort)
+    order = [key.desc() if descending else key.asc(), F.col("rule_id").asc()]
+    return out.orderBy(*order).offset((min(max(page, 1), pages) - 1) * size).limit(size)
