@@ -91,22 +91,32 @@ def numbers(text) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(r"\d+\.?\d*"), F.lit(0))
 
 
+# How thresholds are written. (pattern, group, what stands before and after it)
+THRESHOLDS = [
+    (r"\d+\.?\d*\s*%", 0, "", ""),
+    (r"\$[\d,]+\.?\d*", 0, "", ""),
+    (r"(?i)\d+\s*(?:year|month|day|week)s?", 0, "", ""),
+    (r"(?i)(?:score|fico|credit)\s*(?:of|>=?|<=?|minimum|maximum)?\s*(\d{3})", 1, "score:", ""),
+    (r"(?i)(?:ctr|sar|currency\s+transaction|suspicious\s+activity)[^\d$]{0,50}\$?([\d,]{3,})", 1, "ctr_sar:$", ""),
+    (r"(?i)(?:beneficial\s*owner(?:ship)?)[^%]{0,60}?(\d+)\s*%", 1, "bo_pct:", "%"),
+]
+# Lists that a text refers to.
+LIST_REFERENCES = [
+    (r"(?i)(?:fatf|grey.?list|high.?risk\s+jurisdiction|non.?cooperative)", "fatf_ref"),
+    (r"(?i)(?:ofac|sdn|sanctions?\s+list|specially\s+designated)", "sanctions_ref"),
+]
+
+
 def thresholds(text) -> Column:
     """Percentages, amounts, durations, scores, reporting amounts, ownership shares and list references, in that order."""
-    t = _col(text)
-    every = lambda p, g=0: F.regexp_extract_all(t, F.lit(p), F.lit(g))
-    tagged = lambda xs, a, b="": F.transform(xs, lambda x: F.concat(F.lit(a), x, F.lit(b)))
-    flag = lambda p, name: F.when(F.regexp_like(t, F.lit(p)), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
-    return F.concat(
-        every(r"\d+\.?\d*\s*%"),
-        every(r"\$[\d,]+\.?\d*"),
-        every(r"(?i)\d+\s*(?:year|month|day|week)s?"),
-        tagged(every(r"(?i)(?:score|fico|credit)\s*(?:of|>=?|<=?|minimum|maximum)?\s*(\d{3})", 1), "score:"),
-        tagged(every(r"(?i)(?:ctr|sar|currency\s+transaction|suspicious\s+activity)[^\d$]{0,50}\$?([\d,]{3,})", 1), "ctr_sar:$"),
-        tagged(every(r"(?i)(?:beneficial\s*owner(?:ship)?)[^%]{0,60}?(\d+)\s*%", 1), "bo_pct:", "%"),
-        flag(r"(?i)(?:fatf|grey.?list|high.?risk\s+jurisdiction|non.?cooperative)", "fatf_ref"),
-        flag(r"(?i)(?:ofac|sdn|sanctions?\s+list|specially\s+designated)", "sanctions_ref"),
-    )
+    t, none = _col(text), F.array().cast("array<string>")
+
+    def found(pattern: str, group: int, before: str, after: str) -> Column:
+        own = F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
+        return F.transform(own, lambda x: F.concat(F.lit(before), x, F.lit(after))) if before or after else own
+
+    told = [found(*x) for x in THRESHOLDS]
+    return F.concat(*told, *[F.when(F.regexp_like(t, F.lit(p)), F.array(F.lit(name))).otherwise(none) for p, name in LIST_REFERENCES])
 
 
 def has_keyword(text, keywords) -> Column:

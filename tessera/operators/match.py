@@ -274,13 +274,18 @@ def union_all(g1: DataFrame, g2: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def set_sizes(g1: DataFrame, g2: DataFrame, matches: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """operation, behavior, n of every set operation; union = intersection + both differences."""
-    parts = [("INTERSECTION", intersection(matches)), ("G1_MINUS_G2", exclusive(g1, matches, "g1", "")), ("G2_MINUS_G1", exclusive(g2, matches, "g2", "")), ("UNION", union_all(g1, g2, matches)), ("CONTRADICTIONS", conflicts)]
-    out = None
-    for name, p in parts:
-        one = p.groupBy("behavior").agg(F.count("*").alias("n")).select(F.lit(name).alias("operation"), "behavior", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """operation, behavior, n of every set operation that has rows; union = intersection + both differences, so each part is
+    counted once."""
+    parts = (matches, exclusive(g1, matches, "g1", ""), exclusive(g2, matches, "g2", ""), conflicts)
+    each = None
+    for i, p in enumerate(parts):
+        one = p.groupBy("behavior").agg(F.count("*").alias("n")).select("behavior", F.lit(i).alias("part"), "n")
+        each = one if each is None else each.unionByName(one)
+    n = lambda i: F.coalesce(F.sum(F.when(F.col("part") == i, F.col("n"))), F.lit(0))
+    wide = each.groupBy("behavior").agg(*[n(i).alias(f"n{i}") for i in range(4)])
+    told = {"INTERSECTION": F.col("n0"), "G1_MINUS_G2": F.col("n1"), "G2_MINUS_G1": F.col("n2"), "UNION": F.col("n0") + F.col("n1") + F.col("n2"), "CONTRADICTIONS": F.col("n3")}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("operation"), v.alias("n")) for k, v in told.items()]))
+    return wide.select("behavior", rows.alias("r")).select("r.operation", "behavior", "r.n").where("n > 0")
 
 
 def unique_rules(rules: DataFrame) -> DataFrame:
@@ -314,10 +319,25 @@ def merge_batches(rules: DataFrame) -> DataFrame:
 
 
 def apply_duplicates(rules: DataFrame, groups: DataFrame) -> DataFrame:
-    """Drop the duplicates of groups (primary, duplicate), and note on each primary what it stands for."""
+    """Drop the duplicates of groups (primary, duplicate), and note on each primary what it stands for.
+
+    Where groups have a description, the primary takes it (that of the first duplicate which has one); where rules have
+    examples, the primary's come first and those of its duplicates after, each once.
+    """
     kept = rules.join(groups.select(F.col("duplicate").alias("rule_id")), "rule_id", "left_anti")
-    info = groups.groupBy(F.col("primary").alias("rule_id")).agg(F.sort_array(F.collect_set("duplicate")).alias("merged_from"))
-    return kept.join(info, "rule_id", "left").withColumn("merge_count", F.when(F.col("merged_from").isNull(), 0).otherwise(F.size("merged_from")))
+    told = [F.sort_array(F.collect_set("duplicate")).alias("merged_from")]
+    if "description" in groups.columns:
+        told.append(F.min_by(F.nullif(F.col("description"), F.lit("")), F.when(F.coalesce("description", F.lit("")) != "", F.col("duplicate"))).alias("_description"))
+    info = groups.groupBy(F.col("primary").alias("rule_id")).agg(*told)
+    out = kept.join(info, "rule_id", "left").withColumn("merge_count", F.when(F.col("merged_from").isNull(), 0).otherwise(F.size("merged_from")))
+    if "description" in groups.columns:
+        out = out.withColumn("description", F.coalesce("_description", "description")).drop("_description")
+    if "examples" in rules.columns:
+        more = groups.select("primary", "duplicate").join(rules.select(F.col("rule_id").alias("duplicate"), "examples").where(F.col("examples").isNotNull()), "duplicate")
+        more = more.groupBy(F.col("primary").alias("rule_id")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("duplicate", "examples"))), lambda x: x["examples"])).alias("_more"))
+        none = F.array().cast(rules.schema["examples"].dataType.simpleString())
+        out = out.join(more, "rule_id", "left").withColumn("examples", F.when(F.col("_more").isNull(), F.col("examples")).otherwise(F.array_distinct(F.concat(F.coalesce("examples", none), "_more")))).drop("_more")
+    return out.select(*rules.columns, "merged_from", "merge_count")
 
 
 def duplicate_groups(rules: DataFrame, text: str = "text") -> DataFrame:

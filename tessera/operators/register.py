@@ -45,9 +45,9 @@ CONTROLS_BY_RISK = {
     "high": [("Supervisory Review", "manual-control", "Supervisor-level review and approval")],
 }
 CONTROLS_BY_WORD = [
-    ("appraisal|property|valuation", ("Appraisal Independence Policy", "policy", "Ensures appraiser independence per FIRREA requirements")),
-    ("wire|fund|disburs", ("Wire Transfer Authorization", "technical-control", "Dual-authorization required for wire transfers")),
-    ("aml|suspicious|transaction monitoring", ("Transaction Monitoring System", "technical-control", "Automated suspicious activity detection and SAR filing")),
+    (["appraisal", "property", "valuation"], ("Appraisal Independence Policy", "policy", "Ensures appraiser independence per FIRREA requirements")),
+    (["wire", "fund", "disburs"], ("Wire Transfer Authorization", "technical-control", "Dual-authorization required for wire transfers")),
+    (["aml", "suspicious", "transaction monitoring"], ("Transaction Monitoring System", "technical-control", "Automated suspicious activity detection and SAR filing")),
 ]
 
 
@@ -93,7 +93,7 @@ def suggestions(register: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<control_name:string,control_type:string,description:string>>")
     parts = [F.when(F.lower("rule_type") == k, F.array(*map(pair, v))).otherwise(none) for k, v in CONTROLS_BY_TYPE.items()]
     parts += [F.when(F.lower("risk_level") == k, F.array(*map(pair, v))).otherwise(none) for k, v in CONTROLS_BY_RISK.items()]
-    parts += [F.when(F.regexp_like(F.lower("rule_name"), F.lit(w)), F.array(pair(c))).otherwise(none) for w, c in CONTROLS_BY_WORD]
+    parts += [F.when(F.regexp_like(F.lower("rule_name"), F.lit("|".join(w))), F.array(pair(c))).otherwise(none) for w, c in CONTROLS_BY_WORD]
     return register.select("rule_id", F.posexplode(F.array_distinct(F.concat(*[F.coalesce(p, none) for p in parts]))).alias("ord", "c")).select("rule_id", "ord", "c.*")
 
 

@@ -267,7 +267,8 @@ def set_operation_sizes(s, d):
     r = A.graph_rules(s, d)
     one, two = r.where("graph = 1"), r.where("graph = 2")
     m = _cut(match.match_members(one, two))
-    return match.set_sizes(one, two, m, match.member_conflicts(one, two, m))
+    ids = r.select("graph", "rule_id", "behavior")
+    return match.set_sizes(ids.where("graph = 1"), ids.where("graph = 2"), m, match.member_conflicts(one, two, m))
 
 
 @query()

@@ -490,3 +490,10 @@ def test_cut_needs_a_shared_folder():
         scala = N(getCheckpointDir=lambda: N(isDefined=lambda: False))
         with pytest.raises(RuntimeError):
             graph._cut(N(sparkSession=N(conf=Conf(), sparkContext=N(master=master, _jsc=N(sc=lambda: scala)))))
+
+
+def test_duplicates_hand_over(spark):
+    r = spark.createDataFrame([(1, "one", ["a"]), (2, "two", ["b", "a"]), (3, "three", None), (4, "four", None)], "rule_id int, description string, examples array<string>")
+    g = spark.createDataFrame([(1, 2, None), (1, 3, "both")], "primary int, duplicate int, description string")
+    assert rows(match.apply_duplicates(r, g)) == [(1, "both", ["a", "b"], [2, 3], 2), (4, "four", None, None, 0)]
+    assert rows(match.apply_duplicates(r, g.drop("description")), "rule_id", "description") == [(1, "one"), (4, "four")]
