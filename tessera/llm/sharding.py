@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import BROADCAST_ROWS, materialize
 
 KEY_BITS, PROBE_BITS = 60, 8
 LOWEST = -(1 << 63)
@@ -108,11 +108,12 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, group_byte
     first = counts.select(F.col("_shard").alias("_s"), F.col("_part").alias("_p"), F.coalesce(first, F.lit(0)).alias("_first"))
     out = dealt(docs.withColumn("_size", _size(text)).withColumn("_h", _key(text)).withColumn("_d", _order(doc_id)), F.col("_h"), F.col("_d"))
     turn = F.row_number().over(W.partitionBy("_shard", "_part").orderBy("_h", "_d"))
-    out = out.withColumn("_turn", turn).join(F.broadcast(first), (F.col("_shard") == F.col("_s")) & (F.col("_part") == F.col("_p")))
+    few = shards * parts <= BROADCAST_ROWS  # a row for each part, so it grows with the bytes
+    out = out.withColumn("_turn", turn).join(F.broadcast(first) if few else first, (F.col("_shard") == F.col("_s")) & (F.col("_part") == F.col("_p")))
     return out.withColumn("_slot", F.col("_first") + F.col("_turn") - 1).drop("_h", "_d", "_part", "_turn", "_s", "_p", "_first")
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    crc = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
-    return out.select("doc_id", F.col("_size").alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    crc = F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))  # taken before the exchange, which then moves no text
+    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", crc.alias("text_crc32")))
+    return out.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
