@@ -47,3 +47,11 @@ def test_run(spark, rows, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_stages_on_odd_input(spark, odd, empty):
+    """Every stage by itself: an empty table, null ids, repeated rows, further columns of clashing names."""
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
+        out = stage(spark, odd, "")
+        assert out.count() > 0 and (name == "packing" or out.columns == odd.columns), name
