@@ -93,3 +93,32 @@ def edge_violations(edges: DataFrame, dependency_types: list[str]) -> DataFrame:
     """Edges that can't be loaded: unknown type, strength not 1 to 5, or a loop; with the reason."""
     why = F.when(~F.col("dependency_type").isin(dependency_types), "dependency_type").when(~F.col("strength").between(1, 5), "strength").when(F.col("src") == F.col("dst"), "loop")
     return edges.withColumn("reason", why).where("reason IS NOT NULL")
+
+
+def load_graph(rules: DataFrame, entities: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges) of a whole graph: entities and relationships as categories (an entity wins a clash), rules, the
+    category of each rule (`_uncategorized_` where it is unknown), relations between categories, and dependencies.
+
+    vertices: vertex_id, label, name, content. edges: src, dst, label, dependency_type, strength. Ids are text.
+    """
+    rel = relationship_rows(relationships)
+    cats = category_vertices(entities, rel)
+    known = cats.select("name")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    belongs = category_edges(rules, known)
+    spare = belongs.where(F.col("dst") == UNCATEGORIZED).select(F.col("dst").alias("vertex_id"), F.lit("entity_category").alias("label"), F.col("dst").alias("name"), F.lit("").alias("content")).distinct()
+    vertices = cats.select(F.col("name").alias("vertex_id"), F.lit("entity_category").alias("label"), "name", "content")
+    vertices = vertices.unionByName(spare.join(vertices.select("vertex_id"), "vertex_id", "left_anti"))
+    vertices = vertices.unionByName(rule_vertices(rules).select(F.col("rule_id").cast("string").alias("vertex_id"), F.lit("business_rule").alias("label"), "name", "content"))
+    kind = lambda df, label, dependency, strength: df.select(text("src"), text("dst"), F.lit(label).alias("label"), dependency.alias("dependency_type"), strength.cast("int").alias("strength"))
+    none = F.lit(None)
+    edges = kind(belongs, "belongs_to_category", F.col("dependency_type"), none)
+    edges = edges.unionByName(kind(relation_edges(rel, known), "relates_to", F.col("name"), none))
+    if "dependencies" in rules.columns:
+        edges = edges.unionByName(kind(dependency_edges(rules), "depends_on", F.col("dependency_type"), F.col("strength")))
+    return vertices, edges
+
+
+def drop_annotations(annotations: DataFrame, gone: DataFrame) -> DataFrame:
+    """annotations (vertex_id) without those of deleted vertices (node)."""
+    return annotations.join(gone.select(F.col("node").alias("vertex_id")), "vertex_id", "left_anti")

@@ -471,3 +471,13 @@ def match_summary(clusters: DataFrame, matches: DataFrame, conflicts: DataFrame)
 def capped_batches(batched: DataFrame, target: int, per_batch: int) -> DataFrame:
     """Of numbered batches the first target // per_batch + 10: what is asked for, and some to spare."""
     return batched.where(F.col("batch") < target // per_batch + 10)
+
+
+#: Set operations in the order in which they are listed.
+OPERATIONS = ["INTERSECTION", "G1_MINUS_G2", "G2_MINUS_G1", "UNION", "CONTRADICTIONS"]
+
+
+def comparison_listing(rows: DataFrame) -> DataFrame:
+    """One row per comparison of rows (comparison, operation), with how many each operation has and all of them."""
+    counts = [F.count_if(F.col("operation") == o).alias(o.lower()) for o in OPERATIONS]
+    return rows.groupBy("comparison").agg(*counts, F.count("*").alias("rows"))

@@ -85,6 +85,11 @@ class RuleGraph:
     def search_knowledge_base(self, query: str, k: int = 10) -> DataFrame:
         return search.knowledge_search(self.chunks, query, k)
 
+    def suggest(self, vector: list[float], rule_type: str, entity: str, category: str, k: int = 5) -> DataFrame:
+        """Suggested dependencies of a new rule: the 3 k nearest rules by vector, scored, the k best."""
+        hits = search.knn(self.embeddings, vector, 3 * k).withColumnRenamed("vec_id", "rule_id")
+        return self.suggest_connections(hits, rule_type, entity, category, k)
+
     def suggest_connections(self, hits: DataFrame, rule_type: str, entity: str, category: str, k: int = 5) -> DataFrame:
         """hits (rule_id, similarity) as suggested dependencies with blended score and strength."""
         r = hits.join(self.rules, "rule_id").withColumn("_affinity", type_affinity(F.lit(rule_type), "rule_type"))

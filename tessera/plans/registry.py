@@ -756,3 +756,31 @@ def text_neighbours(s, d):
     docs = A.table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     own = docs.where("vec_id = 0").first()["text"]
     return search.text_knn(docs, "text", own, 1).select("vec_id")
+
+
+@query(sql("rules dependencies", """c AS (SELECT n_name AS name FROM nation WHERE n_regionkey < 3 UNION SELECT DISTINCT category FROM rules WHERE category < 'Brand#2'),
+v AS (SELECT 'vertex' AS kind, 'entity_category' AS label, count(*) + 1 AS n FROM c UNION ALL SELECT 'vertex', 'business_rule', count(*) FROM rules)
+SELECT * FROM v UNION ALL SELECT 'edge', 'belongs_to_category', count(*) FROM rules
+UNION ALL SELECT 'edge', 'relates_to', count(*) FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE a.n_regionkey < 3
+UNION ALL SELECT 'edge', 'depends_on', count(*) FROM dependencies WHERE src IN (SELECT rule_id FROM rules) AND dst IN (SELECT rule_id FROM rules)"""))
+def graph_load(s, d):
+    n = A.table(s, d, "nation").where("n_regionkey < 3")
+    r = match.apply_dependencies(A.rules(s, d), A.dependencies(s, d)).withColumn("entity_or_relationship", F.col("category"))
+    entities = n.select(F.col("n_name").alias("name"), F.lit("d").alias("definition")).union(r.where("category < 'Brand#2'").select("category", F.lit("c")).distinct())
+    other = n.select(F.col("n_name").alias("target"), F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("k"))
+    rel = n.join(other, (n["n_regionkey"] == other["r"]) & (n["n_nationkey"] < other["k"])).select(F.col("n_name").alias("relationship_name"), F.col("n_name").alias("source"), "target")
+    v, e = load.load_graph(r, entities, rel)
+    count = lambda df, kind: df.groupBy("label").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "label", "n")
+    return count(v, "vertex").unionByName(count(e, "edge"))
+
+
+@query("SELECT label AS graph, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(a, lambda x: x * x)) * list_sum(list_transform(b, lambda x: x * x))) DESC, vec_id) AS rank FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS a, (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7) AS b FROM embeddings)) WHERE rank <= 3")
+def cross_graph_vectors(s, d):
+    e = A.table(s, d, "embeddings").withColumnRenamed("label", "graph")
+    return search.cross_graph_vectors(e, e.where("vec_id = 7").first()["embedding"], 3).select("graph", "vec_id", "rank")
+
+
+@query(sql("graph_rules", "SELECT behavior AS comparison, count(*) FILTER (WHERE graph = 1 AND quality = 1) AS intersection, count(*) FILTER (WHERE graph = 1 AND quality IS NULL) AS g1_minus_g2, count(*) FILTER (WHERE graph = 2 AND quality IS NULL) AS g2_minus_g1, CAST(0 AS BIGINT) AS \"union\", count(*) FILTER (WHERE quality = 0) AS contradictions, count(*) AS rows FROM graph_rules GROUP BY 1"))
+def comparison_listing(s, d):
+    op = F.when(F.col("quality") == 0, "CONTRADICTIONS").when((F.col("quality") == 1) & (F.col("graph") == 1), "INTERSECTION").when(F.col("quality").isNull(), F.when(F.col("graph") == 1, "G1_MINUS_G2").otherwise("G2_MINUS_G1")).otherwise("-")
+    return match.comparison_listing(A.graph_rules(s, d).select(F.col("behavior").alias("comparison"), op.alias("operation")))

@@ -62,6 +62,15 @@ def chunk_index(metadata: DataFrame) -> DataFrame:
     return metadata.select(F.explode("structure").alias("s")).select("s.*").withColumn("key", title_key("title"))
 
 
+def located_chunks(index: DataFrame, files: DataFrame) -> DataFrame:
+    """chunk_index() rows with file: of files (path) the one of the stated path, else the only one of its name, else the first
+    that ends with its last two segments; rows without a file are left out."""
+    from tessera.operators.search import resolve_chunks
+
+    found = resolve_chunks(index.select(F.col("chunk_id").alias("ref_id"), "path").distinct(), files)
+    return index.join(found.select(F.col("ref_id").alias("chunk_id"), "path", F.col("chunk").alias("file")), ["chunk_id", "path"]).where("file IS NOT NULL")
+
+
 def chunk_text_index(chunks: DataFrame, limit: int = 1200) -> DataFrame:
     """chunks with the first characters of their text, headings left out."""
     return chunks.withColumn("content_snippet", F.substring(strip(F.regexp_replace("content", r"(?m)^#+\s.*$", "")), 1, limit))

@@ -497,3 +497,23 @@ def test_duplicates_hand_over(spark):
     g = spark.createDataFrame([(1, 2, None), (1, 3, "both")], "primary int, duplicate int, description string")
     assert rows(match.apply_duplicates(r, g)) == [(1, "both", ["a", "b"], [2, 3], 2), (4, "four", None, None, 0)]
     assert rows(match.apply_duplicates(r, g.drop("description")), "rule_id", "description") == [(1, "one"), (4, "four")]
+
+
+def test_whole_graph_load(spark):
+    r = spark.createDataFrame([("R1", "one", "Bank", [("R2", "prerequisite", "4"), ("R9", "x", "1")]), ("R2", None, "Nowhere", [])], "rule_id string, rule_name string, entity_or_relationship string, dependencies array<struct<depends_on_rule:string,dependency_type:string,strength:string>>")
+    r = r.withColumns({"rule_type": F.lit("process"), "description": F.lit("d"), "confidence_score": F.lit("80"), "mandatory": F.lit(True), "requires_review": F.lit(None).cast("boolean")})
+    e = spark.createDataFrame([("Bank", "entity"), ("Fee", "entity")], "name string, definition string")
+    rel = spark.createDataFrame([("Bank", "clash", "Bank", "Fee"), ("Pays", "rel", "Bank", "Fee"), ("Lost", "rel", "Bank", "Gone")], "name string, definition string, source_entity string, target_entity string")
+    v, g = load.load_graph(r, e, rel)
+    assert rows(v, "vertex_id", "content") == [("Bank", "entity"), ("Fee", "entity"), ("Lost", "rel"), ("Pays", "rel"), ("R1", "d"), ("R2", "d"), ("_uncategorized_", "")]
+    assert rows(g, "src", "dst", "label") == [("Bank", "Fee", "relates_to"), ("Bank", "Fee", "relates_to"), ("R1", "Bank", "belongs_to_category"), ("R1", "R2", "depends_on"), ("R2", "_uncategorized_", "belongs_to_category")]
+    a = spark.createDataFrame([("R1", "x"), ("R2", "y")], "vertex_id string, note string")
+    assert rows(load.drop_annotations(a, spark.createDataFrame([("R1",)], "node string"))) == [("R2", "y")]
+
+
+def test_suggestions_from_vectors(spark):
+    r = spark.createDataFrame([(i, "constraint" if i % 2 else "process", "c", "e") for i in range(20)], "rule_id long, rule_type string, category string, entity_type string")
+    v = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(20)], "vec_id long, embedding array<double>")
+    g = RuleGraph(spark, r, spark.createDataFrame([], "src long, dst long, dependency_type string, strength int"), embeddings=v)
+    got = g.suggest([1.0, 0.0], "constraint", "e", "c", 2).collect()
+    assert [x["rule_id"] for x in got] == [1, 3] and got[0]["score"] >= got[1]["score"]

@@ -71,3 +71,9 @@ def test_writers(spark, tmp_path):
     writers.replace_graph(g, str(tmp_path / "g"))
     writers.replace_graph(spark.createDataFrame([("g1", 9)], "graph_name string, v int"), str(tmp_path / "g"))
     assert rows(spark.read.parquet(str(tmp_path / "g")), "graph_name", "v") == [("g1", 9), ("g2", 2)]
+
+
+def test_located_chunks(spark):
+    index = readers.chunk_index(spark.createDataFrame([([("c1", "One", "a/one.txt"), ("c2", "Two", "x/two.txt"), ("c3", "Gone", "y/gone.txt")],)], "structure array<struct<chunk_id:string,title:string,path:string>>"))
+    files = spark.createDataFrame([("a/one.txt",), ("deep/down/two.txt",), ("other/one.txt",)], "path string")
+    assert sorted((r["chunk_id"], r["file"]) for r in readers.located_chunks(index, files).collect()) == [("c1", "a/one.txt"), ("c2", "deep/down/two.txt")]
