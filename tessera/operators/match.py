@@ -236,20 +236,37 @@ def match_members(g1: DataFrame, g2: DataFrame) -> DataFrame:
     return first.unionByName(left.groupBy("behavior").cogroup(pairs.groupBy("behavior")).applyInPandas(lambda f, p: near(f, p) if len(f) and len(p) else pd.DataFrame(columns=names), schema))
 
 
-def member_conflicts(g1: DataFrame, g2: DataFrame, matches: DataFrame) -> DataFrame:
-    """The contradictions of the default judge: unmatched rules of equal or similar token sets whose qualities differ or
-    whose thresholds conflict."""
-    def side(g: DataFrame, tag: str, k: str) -> DataFrame:
-        left = g.join(matches.select("behavior", F.col(tag).alias("rule_id")), ["behavior", "rule_id"], "left_anti")
-        own = left.select("behavior", token_key().alias(k), F.col("rule_id").alias(tag), F.col("quality").alias(f"{tag}_q"), values(F.col("text")).alias(f"{tag}_v"))
-        return own.where(F.col(f"{tag}_q").isNotNull() | (F.size(f"{tag}_v") > 0))
-
-    one, two = side(g1, "g1", "k1"), side(g2, "g2", "k2")
+def conflict_classes(g1: DataFrame, g2: DataFrame, matches: DataFrame) -> DataFrame:
+    """The contradictions of the default judge by class: behavior, c1, n1, c2, n2, pairs. Unmatched rules of equal or similar
+    token sets contradict if their qualities differ or their thresholds conflict; rules of one token set, quality and
+    thresholds are one class (c1, c2: a hash of these; n1, n2: rules in it), so a group of copies is a row, not its pairs."""
+    def side(g: DataFrame, tag: str, n: str) -> DataFrame:
+        return _classed(g, matches, tag).groupBy("behavior", f"k{n}", f"c{n}", f"q{n}", f"v{n}").agg(F.count("*").alias(f"n{n}"))
+
+    one, two = side(g1, "g1", "1"), side(g2, "g2", "2")
     equal = one.join(two.withColumnRenamed("k2", "k1"), ["behavior", "k1"])
-    near = one.join(similar_keys(g1, g2), ["behavior", "k1"]).join(two, ["behavior", "k2"])
-    pairs = equal.select("behavior", *one.columns[2:], *two.columns[2:]).unionByName(near.select("behavior", *one.columns[2:], *two.columns[2:]))
-    clash = F.coalesce(F.col("g1_q") != F.col("g2_q"), F.lit(False)) | values_conflict(F.col("g1_v"), F.col("g2_v"))
-    return pairs.where(clash).select("behavior", "g1", "g2", F.lit(0.5).alias("confidence"))
+    near = one.join(similar_keys(g1, g2).drop("jaccard"), ["behavior", "k1"]).join(two, ["behavior", "k2"])
+    names = ["behavior", "c1", "q1", "v1", "n1", "c2", "q2", "v2", "n2"]
+    pairs = equal.select(*names).unionByName(near.select(*names))
+    clash = F.coalesce(F.col("q1") != F.col("q2"), F.lit(False)) | values_conflict(F.col("v1"), F.col("v2"))
+    return pairs.where(clash).select("behavior", "c1", "n1", "c2", "n2", (F.col("n1") * F.col("n2")).alias("pairs"))
+
+
+def _classed(g: DataFrame, matches: DataFrame, tag: str) -> DataFrame:
+    """Unmatched rules that can contradict, with key (k), quality (q), thresholds (v) and class (c)."""
+    n = tag[-1]
+    left = g.join(matches.select("behavior", F.col(tag).alias("rule_id")), ["behavior", "rule_id"], "left_anti")
+    own = left.select("behavior", F.col("rule_id").alias(tag), token_key().alias(f"k{n}"), F.col("quality").alias(f"q{n}"), values(F.col("text")).alias(f"v{n}"))
+    own = own.where(F.col(f"q{n}").isNotNull() | (F.size(f"v{n}") > 0))
+    return own.withColumn(f"c{n}", F.xxhash64(f"k{n}", f"q{n}", F.array_join(f"v{n}", " ")))
+
+
+def member_conflicts(g1: DataFrame, g2: DataFrame, matches: DataFrame) -> DataFrame:
+    """behavior, g1, g2, confidence: conflict_classes() told rule by rule, for those who need each pair."""
+    classes = conflict_classes(g1, g2, matches).select("behavior", "c1", "c2")
+    one = _classed(g1, matches, "g1").select("behavior", "c1", "g1")
+    two = _classed(g2, matches, "g2").select("behavior", "c2", "g2")
+    return classes.join(one, ["behavior", "c1"]).join(two, ["behavior", "c2"]).select("behavior", "g1", "g2", F.lit(0.5).alias("confidence"))
 
 
 def contradictions(judged: DataFrame, matches: DataFrame) -> DataFrame:
@@ -275,11 +292,11 @@ def union_all(g1: DataFrame, g2: DataFrame, matches: DataFrame) -> DataFrame:
 
 def set_sizes(g1: DataFrame, g2: DataFrame, matches: DataFrame, conflicts: DataFrame) -> DataFrame:
     """operation, behavior, n of every set operation that has rows; union = intersection + both differences, so each part is
-    counted once."""
+    counted once. conflicts are pairs, or classes with their number of pairs."""
     parts = (matches, exclusive(g1, matches, "g1", ""), exclusive(g2, matches, "g2", ""), conflicts)
     each = None
     for i, p in enumerate(parts):
-        one = p.groupBy("behavior").agg(F.count("*").alias("n")).select("behavior", F.lit(i).alias("part"), "n")
+        one = p.groupBy("behavior").agg((F.sum("pairs") if "pairs" in p.columns else F.count("*")).alias("n")).select("behavior", F.lit(i).alias("part"), "n")
         each = one if each is None else each.unionByName(one)
     n = lambda i: F.coalesce(F.sum(F.when(F.col("part") == i, F.col("n"))), F.lit(0))
     wide = each.groupBy("behavior").agg(*[n(i).alias(f"n{i}") for i in range(4)])

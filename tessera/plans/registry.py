@@ -268,7 +268,7 @@ def set_operation_sizes(s, d):
     one, two = r.where("graph = 1"), r.where("graph = 2")
     m = _cut(match.match_members(one, two))
     ids = r.select("graph", "rule_id", "behavior")
-    return match.set_sizes(ids.where("graph = 1"), ids.where("graph = 2"), m, match.member_conflicts(one, two, m))
+    return match.set_sizes(ids.where("graph = 1"), ids.where("graph = 2"), m, match.conflict_classes(one, two, m))
 
 
 @query()
@@ -362,7 +362,15 @@ def open_obligations(s, d):
     return register.filtered(A.obligations(s, d), status="unmapped", risk="critical", mandatory=True).select("rule_id", "status")
 
 
-@query()
+def _controls_sql() -> str:
+    told = [("type", k, c) for k, v in register.CONTROLS_BY_TYPE.items() for c in v] + [("risk", k, c) for k, v in register.CONTROLS_BY_RISK.items() for c in v] + [("word", "|".join(w), c) for w, c in register.CONTROLS_BY_WORD]
+    rows = ", ".join(f"({o}, '{kind}', '{key}', '{name}', '{sort}', '{text}')" for o, (kind, key, (name, sort, text)) in enumerate(told))
+    return sql("rules", f"""c(o, kind, key, name, sort, text) AS (VALUES {rows}),
+f AS (SELECT rule_id, name, sort, text, min(o) AS o FROM rules JOIN c ON (kind = 'type' AND key = lower(rule_type)) OR (kind = 'risk' AND key = lower(risk_level)) OR (kind = 'word' AND regexp_matches(lower(rule_name), key)) GROUP BY ALL)
+SELECT rule_id, CAST(row_number() OVER (PARTITION BY rule_id ORDER BY o) - 1 AS INTEGER) AS ord, name AS control_name, sort AS control_type, text AS description FROM f""")
+
+
+@query(_controls_sql())
 def control_suggestions(s, d):
     return register.suggestions(A.rules(s, d))
 

@@ -517,3 +517,16 @@ def test_suggestions_from_vectors(spark):
     g = RuleGraph(spark, r, spark.createDataFrame([], "src long, dst long, dependency_type string, strength int"), embeddings=v)
     got = g.suggest([1.0, 0.0], "constraint", "e", "c", 2).collect()
     assert [x["rule_id"] for x in got] == [1, 3] and got[0]["score"] >= got[1]["score"]
+
+
+def test_conflicts_by_class(spark):
+    """A group of copies is one row of its class; told rule by rule it is all its pairs."""
+    text = "the fee limit is 25% of the payment"
+    g1 = spark.createDataFrame([(i, "b", text, 1) for i in range(6)], "rule_id int, behavior string, text string, quality int")
+    g2 = spark.createDataFrame([(10 + i, "b", text.replace("25", "40"), 1) for i in range(5)], g1.schema)
+    none = spark.createDataFrame([(5, 14, "b")], "g1 int, g2 int, behavior string")
+    c = match.conflict_classes(g1, g2, none).collect()
+    assert [(x["n1"], x["n2"], x["pairs"]) for x in c] == [(5, 4, 20)]
+    assert rows(match.member_conflicts(g1, g2, none), "g1", "g2") == [(a, b) for a in range(5) for b in range(10, 14)]
+    sizes = {x["operation"]: x["n"] for x in match.set_sizes(g1, g2, none, match.conflict_classes(g1, g2, none)).collect()}
+    assert sizes == {"INTERSECTION": 1, "G1_MINUS_G2": 5, "G2_MINUS_G1": 4, "UNION": 10, "CONTRADICTIONS": 20}
