@@ -186,10 +186,11 @@ def greedy_members(left: list[tuple], right: list[tuple], links: dict) -> list[t
     return out
 
 
-def match_members(g1: DataFrame, g2: DataFrame) -> DataFrame:
+def match_members(g1: DataFrame, g2: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """behavior, g1, g2, relationship, confidence: the one-to-one matches of the default judge. Groups of equal token sets
     go first, one by one, as no match is better than theirs; what they leave is matched over similar sets, a behaviour at
-    a time. Tasks hold ids, hashes and values only, and a class of copies counts once, not squared."""
+    a time. Tasks hold ids, hashes and values only, and a class of copies counts once, not squared. keys: similar_keys() of
+    the two, where they are known."""
     import pandas as pd
 
     from tessera.operators.graph import _cut
@@ -226,7 +227,7 @@ def match_members(g1: DataFrame, g2: DataFrame) -> DataFrame:
         return pd.DataFrame([(f["behavior"].iloc[0], a, b, "EQUIVALENT", p) for a, b, p in greedy_members(left, right, links)], columns=names)
 
     first = _cut(both.join(shared, ["behavior", "k"], "left_semi").groupBy("behavior", "k").applyInPandas(equal, schema))
-    pairs = _cut(similar_keys(g1, g2).where(F.col("jaccard") >= SIMILAR[0] / SIMILAR[1]))
+    pairs = _cut((similar_keys(g1, g2) if keys is None else keys).where(F.col("jaccard") >= SIMILAR[0] / SIMILAR[1]))
     left = both
     for n, tag, k in ((1, "g1", "k1"), (2, "g2", "k2")):
         done = first.select("behavior", F.col(tag).alias("rule_id"), F.lit(n).alias("side"))
@@ -236,7 +237,7 @@ def match_members(g1: DataFrame, g2: DataFrame) -> DataFrame:
     return first.unionByName(left.groupBy("behavior").cogroup(pairs.groupBy("behavior")).applyInPandas(lambda f, p: near(f, p) if len(f) and len(p) else pd.DataFrame(columns=names), schema))
 
 
-def conflict_classes(g1: DataFrame, g2: DataFrame, matches: DataFrame) -> DataFrame:
+def conflict_classes(g1: DataFrame, g2: DataFrame, matches: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """The contradictions of the default judge by class: behavior, c1, n1, c2, n2, pairs. Unmatched rules of equal or similar
     token sets contradict if their qualities differ or their thresholds conflict; rules of one token set, quality and
     thresholds are one class (c1, c2: a hash of these; n1, n2: rules in it), so a group of copies is a row, not its pairs."""
@@ -245,7 +246,7 @@ def conflict_classes(g1: DataFrame, g2: DataFrame, matches: DataFrame) -> DataFr
 
     one, two = side(g1, "g1", "1"), side(g2, "g2", "2")
     equal = one.join(two.withColumnRenamed("k2", "k1"), ["behavior", "k1"])
-    near = one.join(similar_keys(g1, g2).drop("jaccard"), ["behavior", "k1"]).join(two, ["behavior", "k2"])
+    near = one.join((similar_keys(g1, g2) if keys is None else keys).drop("jaccard"), ["behavior", "k1"]).join(two, ["behavior", "k2"])
     names = ["behavior", "c1", "q1", "v1", "n1", "c2", "q2", "v2", "n2"]
     pairs = equal.select(*names).unionByName(near.select(*names))
     clash = F.coalesce(F.col("q1") != F.col("q2"), F.lit(False)) | values_conflict(F.col("v1"), F.col("v2"))

@@ -266,9 +266,10 @@ def matches(s, d):
 def set_operation_sizes(s, d):
     r = A.graph_rules(s, d)
     one, two = r.where("graph = 1"), r.where("graph = 2")
-    m = _cut(match.match_members(one, two))
+    keys = _cut(match.similar_keys(one, two))
+    m = _cut(match.match_members(one, two, keys))
     ids = r.select("graph", "rule_id", "behavior")
-    return match.set_sizes(ids.where("graph = 1"), ids.where("graph = 2"), m, match.conflict_classes(one, two, m))
+    return match.set_sizes(ids.where("graph = 1"), ids.where("graph = 2"), m, match.conflict_classes(one, two, m, keys))
 
 
 @query()
