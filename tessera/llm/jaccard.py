@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import if_small, materialize, mix64, ngram_hashes, small_batches, text_batches, tidy, word_hashes
+from tessera.llm.common import discard, if_small, materialize, mix64, ngram_hashes, small_batches, text_batches, tidy, word_hashes
 from tessera.llm.components import components
 
 WORDS, SIMILAR = 5, (75, 100)
@@ -389,9 +389,11 @@ def join_components(docs: DataFrame, n: int = WORDS, similar: tuple[int, int] =
     moved = _moved(own, nodes)
     if moved:
         apart = spark.createDataFrame([(*k, v) for k, v in moved.items()], "node long, check long, _to long")
-        own = materialize(own.join(F.broadcast(apart), ["node", "check"], "left").withColumn("node", F.coalesce("_to", "node")).drop("_to"), "cards")
+        own = own.join(F.broadcast(apart), ["node", "check"], "left").withColumn("node", F.coalesce("_to", "node")).drop("_to")
         nodes = _nodes(own)
     often = first.where("kind = 1").groupBy("node").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).select("node").toPandas()["node"].to_numpy(np.int64)
+    own = materialize(own.select("doc_id", "size", "node"), "own")
+    discard(first)  # bitmaps are in nodes now
     entries = nodes.agg(F.coalesce(F.sum(F.floor(F.col("size") * (1 - similar[0] / similar[1])) + 1), F.lit(0))).first()[0]
     found = materialize(_candidates(tiles(docs, np.sort(often.astype(np.uint64)), moved, max(12, -(-int(entries) // per_tile)), n, similar), similar), "candidates")
 
