@@ -110,7 +110,11 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """The largest of many dual-feasible bounds on the bins that lengths need."""
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """lower_bound() from the number of pieces of each length from 0 to capacity."""
     size = np.arange(capacity + 1)
     n, mass = np.append(0, np.cumsum(count)), np.append(0, np.cumsum(count * size))
     best = -(-int(mass[-1]) // capacity)
@@ -210,6 +214,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_part: int = PIECES_PER
     return out.drop("open")
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """sequences, bound, gap of a packing: how many sequences it has, the dual-feasible bound over all its pieces below which
+    no packing can go, and what lies between. The driver sees one count per length. Of no pieces all are 0."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():
+        count[r["length"]] = r["count"]
+    bound = bound_of_counts(count, capacity)
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences")).select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).alias("gap"))
+
+
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids. Each holds at most `capacity` ids, so groups are bounded.
 

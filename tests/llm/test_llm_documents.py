@@ -433,6 +433,10 @@ def test_sharding_odd(odd, empty):
 
 # ---- 6
 
+def spark_rows(docs, found):
+    return docs.sparkSession.createDataFrame([(r["sequence_id"], r["length"]) for r in found], "sequence_id long, length long")
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
@@ -456,6 +460,8 @@ def test_packing(docs, rows):
         assert at <= 256
     bound = packing.lower_bound(np.array([r["length"] for r in packed]), 256)
     assert bound <= len(by) <= bound + 2
+    told = packing.certificate(spark_rows(docs, packed), 256).first()
+    assert tuple(told) == (len(by), bound, len(by) - bound) and tuple(packing.certificate(spark_rows(docs, packed).limit(0)).first()) == (0, 0, 0)
     seqs = packing.sequences(docs, packing.pack(pieces, 256), capacity=256).collect()
     assert sorted(t for s in seqs for t in s["ids"]) == sorted(t for v in ids.values() for t in v)
 
