@@ -66,24 +66,36 @@ def values_conflict(a, b) -> F.Column:
     return F.arrays_overlap(kinds(a, b), kinds(b, a))
 
 
-def similar_keys(g1: DataFrame, g2: DataFrame) -> DataFrame:
+def rule_facts(g1: DataFrame, g2: DataFrame) -> DataFrame:
+    """side (1, 2), behavior, rule_id, k (token_key), t (normalised text, digest), q (quality), v (values), w and u (hashes of
+    tokens that are no number, and of numbers): what comparisons look at, taken from each text once. Rules without behaviour
+    meet no other and are left out."""
+    from tessera.operators.graph import _cut
+
+    def side(g: DataFrame, n: int) -> DataFrame:
+        return g.where("behavior IS NOT NULL").select(F.lit(n).alias("side"), "behavior", "rule_id", "text", F.col("quality").alias("q"), F.array_distinct(tokens("text")).alias("x"))
+
+    digits, hashed = (lambda x: x.rlike("^[0-9]+$")), (lambda x: F.transform(x, lambda y: F.xxhash64(y)))
+    both = side(g1, 1).unionByName(side(g2, 2))
+    return _cut(both.select("side", "behavior", "rule_id", F.xxhash64(F.array_sort("x")).alias("k"), F.md5(normal(F.col("text"))).alias("t"), "q", values(F.col("text")).alias("v"), hashed(F.filter("x", lambda x: ~digits(x))).alias("w"), hashed(F.filter("x", digits)).alias("u")))
+
+
+def similar_keys(g1: DataFrame, g2: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """behavior, k1, k2, jaccard: unlike token sets (token_key) of one behaviour, alike in all tokens or in those that are
     no number. Copies count once; pairs that are alike without their numbers only can contradict but not match."""
-    from tessera.operators.graph import _cut
+    facts = rule_facts(g1, g2) if facts is None else facts
 
-    def side(g: DataFrame) -> DataFrame:
-        own = g.where("behavior IS NOT NULL").select(F.col("behavior").alias("g"), token_key().alias("id"), F.array_distinct(tokens("text")).alias("w")).dropDuplicates(["g", "id"])
-        digits = lambda x: x.rlike("^[0-9]+$")
-        return own.select("g", "id", F.transform(F.filter("w", lambda x: ~digits(x)), lambda x: F.xxhash64(x)).alias("w"), F.transform(F.filter("w", digits), lambda x: F.xxhash64(x)).alias("u"))
+    def side(n: int) -> DataFrame:
+        own = facts.where(F.col("side") == n).dropDuplicates(["behavior", "k"])
+        # where one side has no number, all tokens are no more alike than those without numbers
+        forms = F.array(F.struct(F.lit(0).alias("form"), F.col("w").alias("w")), *[F.when(F.size("u") > 0, F.struct(F.lit(1).alias("form"), F.concat("w", "u").alias("w")))])
+        return own.select("behavior", F.col("k").alias("id"), F.explode(F.filter(forms, lambda x: x.isNotNull())).alias("x")).select(F.struct("behavior", "x.form").alias("g"), "id", "x.w")
 
-    one, two = _cut(side(g1)), _cut(side(g2))
-    whole = lambda x: x.where(F.size("u") > 0).select("g", "id", F.concat("w", "u").alias("w"))
-    # where one side has no number, all tokens are no more alike than those without numbers
-    found = similar_sets(one, two).select("g", "a", "b").union(similar_sets(whole(one), whole(two)).select("g", "a", "b")).where("a <> b").distinct()
-    sets = lambda x, tag: x.select("g", F.col("id").alias(tag), F.concat("w", "u").alias(f"{tag}_w"))
-    both = F.size(F.array_intersect("a_w", "b_w"))
-    found = found.join(sets(one, "a"), ["g", "a"]).join(sets(two, "b"), ["g", "b"]).withColumn("jaccard", both / (F.size("a_w") + F.size("b_w") - both))
-    return found.select(F.col("g").alias("behavior"), F.col("a").alias("k1"), F.col("b").alias("k2"), "jaccard")
+    found = similar_sets(side(1), side(2)).where("a <> b").select(F.col("g.behavior").alias("behavior"), F.col("a").alias("k1"), F.col("b").alias("k2")).distinct()
+    sets = lambda n: facts.where(F.col("side") == n).dropDuplicates(["behavior", "k"]).select("behavior", F.col("k").alias(f"k{n}"), F.concat("w", "u").alias(f"w{n}"))
+    both = F.size(F.array_intersect("w1", "w2"))
+    found = found.join(sets(1), ["behavior", "k1"]).join(sets(2), ["behavior", "k2"])
+    return found.select("behavior", "k1", "k2", (both / (F.size("w1") + F.size("w2") - both)).alias("jaccard"))
 
 
 def candidate_pairs(g1: DataFrame, g2: DataFrame, near: bool = True) -> DataFrame:
@@ -125,148 +137,126 @@ def aligned(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def assign(judged: DataFrame, rounds: int = 60) -> DataFrame:
-    """Greedy one-to-one matches: best confidence first, ties to smaller g1, then g2.
+    """Greedy one-to-one matches: best confidence first, ties to smaller g1, then g2. Where pairs come with texts and qualities
+    (as from default_judge), ties first go by the first id of each side's class: rules that no verdict can tell apart.
 
-    In each round the pairs that are the best of both their rules are taken; that gives the greedy result, and copies
-    in one group are dealt by rank first, so few rounds are needed.
+    In each round the pairs that are the best of both their rules are taken; that gives the greedy result.
     """
-    left = judged.where(F.col("relationship").isin("IDENTICAL", "EQUIVALENT")).select("behavior", "g1", "g2", "relationship", "confidence")
-    spark, done = judged.sparkSession, None
+    left, ties = judged.where(F.col("relationship").isin("IDENTICAL", "EQUIVALENT")), []
+    if {"g1_text", "g2_text", "g1_quality", "g2_quality"} <= set(judged.columns):
+        for g in ("g1", "g2"):
+            alike = F.struct(token_key(f"{g}_text").alias("k"), F.col(f"{g}_quality").alias("q"), values(F.col(f"{g}_text")).alias("v"))
+            first = lambda *by, g=g: F.min(g).over(W.partitionBy("behavior", *by))
+            ties.append(F.when(F.col("relationship") == "IDENTICAL", first(alike, normal(F.col(f"{g}_text")))).otherwise(first(alike)).alias(f"_{g}"))
+    left = left.select("behavior", "g1", "g2", "relationship", "confidence", *ties)
+    done = None
     from tessera.operators.graph import _cut
 
     left = _cut(left)
+    by = [F.col(c) for c in left.columns if c.startswith("_g")]
     for _ in range(rounds):
         if left.isEmpty():
             break
-        order = [F.desc("confidence"), F.col("g1"), F.col("g2")]
+        order = [F.desc("confidence"), *by, F.col("g1"), F.col("g2")]
         ranked = left.withColumn("a", F.row_number().over(W.partitionBy("behavior", "g1").orderBy(*order))).withColumn("b", F.row_number().over(W.partitionBy("behavior", "g2").orderBy(*order)))
-        take = _cut(ranked.where("a = 1 AND b = 1").drop("a", "b"))
+        take = _cut(ranked.where("a = 1 AND b = 1").select("behavior", "g1", "g2", "relationship", "confidence"))
         left = _cut(left.join(take.select("behavior", "g1"), ["behavior", "g1"], "left_anti").join(take.select("behavior", "g2"), ["behavior", "g2"], "left_anti"))
         done = take if done is None else done.unionByName(take)
     else:
         raise RuntimeError("assignment did not settle")
-    return done if done is not None else spark.createDataFrame([], left.schema)
+    return done if done is not None else left.select("behavior", "g1", "g2", "relationship", "confidence")
 
 
-def _conflict(a: tuple, b: tuple) -> bool:
-    """Whether two rules of (quality or None, values) contradict, as values_conflict() has it."""
-    import re
+def _class_id(*cols: str) -> F.Column:
+    """128 bits of what makes rules interchangeable."""
+    return F.md5(F.to_json(F.struct(*cols)))
 
-    if a[0] is not None and b[0] is not None and a[0] != b[0]:
-        return True
-    kinds = lambda x, y: {re.sub(r"[0-9.]+", "", v) for v in set(x) - set(y)}
-    return bool(kinds(a[1], b[1]) & kinds(b[1], a[1]))
 
+def match_members(g1: DataFrame, g2: DataFrame, keys: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """behavior, g1, g2, relationship, confidence: the one-to-one matches of the default judge, without its pairs.
 
-def greedy_members(left: list[tuple], right: list[tuple], links: dict) -> list[tuple]:
-    """(g1, g2, confidence) of rules, as assign() gives it from all their pairs, without these pairs.
-
-    left, right: (id, class). links: for a class of the left the (confidence, class of the right) that it may match.
-    Members of a class are interchangeable: by falling confidence, each rule in order of id takes the smallest free id.
+    Rules that no verdict can tell apart are one class, a row with a count: equal normalised text, quality and thresholds
+    for IDENTICAL; equal token set, quality and thresholds for EQUIVALENT, where equal token sets come before similar ones.
+    Classes are matched in rounds (ranks.matched_classes), and members dealt to them by rank; neither a behaviour nor a class
+    is ever held by one task. Confidence decides; ties go to the classes with the smallest first ids, then to the smaller
+    ids. Rules without behaviour match nothing. keys, facts: similar_keys() and rule_facts() of the two, where they are known.
     """
-    from collections import defaultdict, deque
-
-    mine, free = defaultdict(list), defaultdict(deque)
-    for i, c in sorted(left):
-        mine[c].append(i)
-    for i, c in sorted(right):
-        free[c].append(i)
-    by_level: dict = defaultdict(lambda: defaultdict(list))
-    for c, to in links.items():
-        for confidence, d in to:
-            by_level[confidence][c].append(d)
-    out, matched = [], set()
-    for confidence in sorted(by_level, reverse=True):
-        level = by_level[confidence]
-        for i, c in sorted((i, c) for c in level for i in mine[c] if i not in matched):
-            best = min((d for d in level[c] if free[d]), key=lambda d: free[d][0], default=None)
-            if best is not None:
-                out.append((i, free[best].popleft(), confidence))
-                matched.add(i)
-    return out
-
-
-def match_members(g1: DataFrame, g2: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """behavior, g1, g2, relationship, confidence: the one-to-one matches of the default judge. Groups of equal token sets
-    go first, one by one, as no match is better than theirs; what they leave is matched over similar sets, a behaviour at
-    a time. Tasks hold ids, hashes and values only, and a class of copies counts once, not squared. keys: similar_keys() of
-    the two, where they are known."""
-    import pandas as pd
-
     from tessera.operators.graph import _cut
+    from tessera.operators.ranks import dealt, matched_classes
 
-    def side(g: DataFrame, n: int) -> DataFrame:
-        return g.select("behavior", token_key().alias("k"), F.lit(n).alias("side"), "rule_id", F.xxhash64(normal(F.col("text"))).alias("t"), F.col("quality").cast("int").alias("q"), F.array_join(values(F.col("text")), " ").alias("v"))
-
-    both = _cut(side(g1, 1).unionByName(side(g2, 2)))
-    shared = both.groupBy("behavior", "k").agg(F.count_distinct("side").alias("s")).where("s = 2").select("behavior", "k")
-    kind = dict(g1.dtypes)["rule_id"]
-    names = ["behavior", "g1", "g2", "relationship", "confidence"]
-    schema = f"behavior string, g1 {kind}, g2 {kind}, relationship string, confidence double"
-
-    def members(f: pd.DataFrame):
-        classes = [(k, t, None if pd.isna(q) else int(q), tuple(v.split())) for k, t, q, v in zip(f["k"], f["t"], f["q"], f["v"])]
-        rows = list(zip(f["side"], f["rule_id"], classes))
-        return [(i, c) for s, i, c in rows if s == 1], [(i, c) for s, i, c in rows if s == 2]
-
-    def equal(f: pd.DataFrame) -> pd.DataFrame:
-        left, right = members(f)
-        to = {c for _, c in right}
-        links = {c: [(1.0 if c[1] == d[1] else 0.9, d) for d in to if not _conflict(c[2:], d[2:])] for c in {c for _, c in left}}
-        return pd.DataFrame([(f["behavior"].iloc[0], a, b, "IDENTICAL" if p == 1.0 else "EQUIVALENT", p) for a, b, p in greedy_members(left, right, links)], columns=names)
-
-    def near(f: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        left, right = members(f)
-        one, two, links = {}, {}, {}
-        for place, rows in ((one, left), (two, right)):
-            for c in {c for _, c in rows}:
-                place.setdefault(c[0], []).append(c)
-        for k1, k2, j in zip(pairs["k1"], pairs["k2"], pairs["jaccard"]):
-            for c in one.get(k1, ()):
-                links.setdefault(c, []).extend((0.9 * j, d) for d in two.get(k2, ()) if not _conflict(c[2:], d[2:]))
-        return pd.DataFrame([(f["behavior"].iloc[0], a, b, "EQUIVALENT", p) for a, b, p in greedy_members(left, right, links)], columns=names)
-
-    first = _cut(both.join(shared, ["behavior", "k"], "left_semi").groupBy("behavior", "k").applyInPandas(equal, schema))
-    pairs = _cut((similar_keys(g1, g2) if keys is None else keys).where(F.col("jaccard") >= SIMILAR[0] / SIMILAR[1]))
+    facts = rule_facts(g1, g2) if facts is None else facts
+    both = facts.drop("w", "u").withColumns({"same": _class_id("behavior", "k", "t", "q", "v"), "alike": _class_id("behavior", "k", "q", "v")})
+
+    def classes(members: DataFrame, by: str, *cols: str) -> tuple[DataFrame, DataFrame]:
+        """Of each side: class, how many of members are in it, its first id of all rules, and what verdicts look at."""
+        first = both.groupBy("side", by).agg(F.min("rule_id").alias("first"))
+        per = _cut(members.groupBy("side", by, "behavior", "k", "q", "v", *cols).agg(F.count("*").alias("n")).join(first, ["side", by]))
+        return per.where("side = 1").withColumnRenamed(by, "c"), per.where("side = 2").withColumnRenamed(by, "d")
+
+    def told(per: DataFrame, c: str, n: str, *on: str) -> DataFrame:
+        return per.select(c, *on, F.col("q").alias(f"q{n}"), F.col("v").alias(f"v{n}"))
+
+    def agreeing(links: DataFrame) -> DataFrame:
+        return links.where(~(F.coalesce(F.col("q1") != F.col("q2"), F.lit(False)) | values_conflict(F.col("v1"), F.col("v2"))))
+
+    def deal(members: DataFrame, by: str, taken: DataFrame, relationship: str) -> DataFrame:
+        one = members.where("side = 1").select(F.col(by).alias("c"), F.struct("behavior", "rule_id").alias("g1"))
+        two = members.where("side = 2").select(F.col(by).alias("d"), F.struct("behavior", "rule_id").alias("g2"))
+        return dealt(taken, one, two).select("g1.behavior", F.col("g1.rule_id").alias("g1"), F.col("g2.rule_id").alias("g2"), F.lit(relationship).alias("relationship"), "confidence")
+
+    def matched(one: DataFrame, two: DataFrame, links: DataFrame) -> DataFrame:
+        return matched_classes(one.select("c", "n", "first"), two.select("d", "n", "first"), agreeing(links).select("c", "d", "confidence"))
+
+    one, two = classes(both, "same", "t")
+    on = ["behavior", "k", "t"]
+    links = told(one, "c", "1", *on).join(told(two, "d", "2", *on), on).withColumn("confidence", F.lit(1.0))
+    first = _cut(deal(both, "same", matched(one, two, links), "IDENTICAL"))
     left = both
-    for n, tag, k in ((1, "g1", "k1"), (2, "g2", "k2")):
-        done = first.select("behavior", F.col(tag).alias("rule_id"), F.lit(n).alias("side"))
-        left = left.join(done, ["behavior", "rule_id", "side"], "left_anti")
-    keys = pairs.select("behavior", F.col("k1").alias("k"), F.lit(1).alias("side")).union(pairs.select("behavior", F.col("k2").alias("k"), F.lit(2).alias("side"))).distinct()
-    left = left.join(keys, ["behavior", "k", "side"], "left_semi").select(*both.columns)
-    return first.unionByName(left.groupBy("behavior").cogroup(pairs.groupBy("behavior")).applyInPandas(lambda f, p: near(f, p) if len(f) and len(p) else pd.DataFrame(columns=names), schema))
+    for n, tag in ((1, "g1"), (2, "g2")):
+        left = left.join(first.select("behavior", F.col(tag).alias("rule_id"), F.lit(n).alias("side")), ["behavior", "rule_id", "side"], "left_anti")
+    left = _cut(left)
+    one, two = classes(left, "alike")
+    mine, theirs = told(one, "c", "1", "behavior", "k"), told(two, "d", "2", "behavior", "k")
+    links = mine.join(theirs, ["behavior", "k"]).withColumn("confidence", F.lit(0.9)).drop("k")
+    pairs = (similar_keys(g1, g2, facts) if keys is None else keys).where(F.col("jaccard") >= SIMILAR[0] / SIMILAR[1])
+    near = mine.withColumnRenamed("k", "k1").join(pairs, ["behavior", "k1"]).join(theirs.withColumnRenamed("k", "k2"), ["behavior", "k2"])
+    near = near.withColumn("confidence", F.col("jaccard") * 0.9).drop("k1", "k2", "jaccard")
+    return first.unionByName(deal(left, "alike", matched(one, two, links.unionByName(near)), "EQUIVALENT"))
 
 
-def conflict_classes(g1: DataFrame, g2: DataFrame, matches: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def conflict_classes(g1: DataFrame, g2: DataFrame, matches: DataFrame, keys: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
     """The contradictions of the default judge by class: behavior, c1, n1, c2, n2, pairs. Unmatched rules of equal or similar
     token sets contradict if their qualities differ or their thresholds conflict; rules of one token set, quality and
     thresholds are one class (c1, c2: a hash of these; n1, n2: rules in it), so a group of copies is a row, not its pairs."""
-    def side(g: DataFrame, tag: str, n: str) -> DataFrame:
-        return _classed(g, matches, tag).groupBy("behavior", f"k{n}", f"c{n}", f"q{n}", f"v{n}").agg(F.count("*").alias(f"n{n}"))
+    facts = rule_facts(g1, g2) if facts is None else facts
+
+    def side(tag: str, n: str) -> DataFrame:
+        return _classed(facts, matches, tag).groupBy("behavior", f"k{n}", f"c{n}", f"q{n}", f"v{n}").agg(F.count("*").alias(f"n{n}"))
 
-    one, two = side(g1, "g1", "1"), side(g2, "g2", "2")
+    one, two = side("g1", "1"), side("g2", "2")
     equal = one.join(two.withColumnRenamed("k2", "k1"), ["behavior", "k1"])
-    near = one.join((similar_keys(g1, g2) if keys is None else keys).drop("jaccard"), ["behavior", "k1"]).join(two, ["behavior", "k2"])
+    near = one.join((similar_keys(g1, g2, facts) if keys is None else keys).drop("jaccard"), ["behavior", "k1"]).join(two, ["behavior", "k2"])
     names = ["behavior", "c1", "q1", "v1", "n1", "c2", "q2", "v2", "n2"]
     pairs = equal.select(*names).unionByName(near.select(*names))
     clash = F.coalesce(F.col("q1") != F.col("q2"), F.lit(False)) | values_conflict(F.col("v1"), F.col("v2"))
     return pairs.where(clash).select("behavior", "c1", "n1", "c2", "n2", (F.col("n1") * F.col("n2")).alias("pairs"))
 
 
-def _classed(g: DataFrame, matches: DataFrame, tag: str) -> DataFrame:
+def _classed(facts: DataFrame, matches: DataFrame, tag: str) -> DataFrame:
     """Unmatched rules that can contradict, with key (k), quality (q), thresholds (v) and class (c)."""
     n = tag[-1]
-    left = g.join(matches.select("behavior", F.col(tag).alias("rule_id")), ["behavior", "rule_id"], "left_anti")
-    own = left.select("behavior", F.col("rule_id").alias(tag), token_key().alias(f"k{n}"), F.col("quality").alias(f"q{n}"), values(F.col("text")).alias(f"v{n}"))
-    own = own.where(F.col(f"q{n}").isNotNull() | (F.size(f"v{n}") > 0))
+    own = facts.where((F.col("side") == int(n)) & (F.col("q").isNotNull() | (F.size("v") > 0)))
+    left = own.join(matches.select("behavior", F.col(tag).alias("rule_id")), ["behavior", "rule_id"], "left_anti")
+    own = left.select("behavior", F.col("rule_id").alias(tag), F.col("k").alias(f"k{n}"), F.col("q").alias(f"q{n}"), F.col("v").alias(f"v{n}"))
     return own.withColumn(f"c{n}", F.xxhash64(f"k{n}", f"q{n}", F.array_join(f"v{n}", " ")))
 
 
 def member_conflicts(g1: DataFrame, g2: DataFrame, matches: DataFrame) -> DataFrame:
     """behavior, g1, g2, confidence: conflict_classes() told rule by rule, for those who need each pair."""
-    classes = conflict_classes(g1, g2, matches).select("behavior", "c1", "c2")
-    one = _classed(g1, matches, "g1").select("behavior", "c1", "g1")
-    two = _classed(g2, matches, "g2").select("behavior", "c2", "g2")
+    facts = rule_facts(g1, g2)
+    classes = conflict_classes(g1, g2, matches, facts=facts).select("behavior", "c1", "c2")
+    one = _classed(facts, matches, "g1").select("behavior", "c1", "g1")
+    two = _classed(facts, matches, "g2").select("behavior", "c2", "g2")
     return classes.join(one, ["behavior", "c1"]).join(two, ["behavior", "c2"]).select("behavior", "g1", "g2", F.lit(0.5).alias("confidence"))
 
 

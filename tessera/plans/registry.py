@@ -256,23 +256,52 @@ def cluster_sizes(s, d):
     return n.withColumn("pairs", F.col("g1") * F.col("g2"))
 
 
-@query()
+_VALUES = """list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '\\d+\\.?\\d*\\s*%'), regexp_extract_all(text, '\\$[\\d,]+\\.?\\d*'), regexp_extract_all(text, '(?i)\\d+\\s*(?:year|month|day|week)s?'),
+  list_transform(regexp_extract_all(text, '(?i)(?:score|fico|credit)\\s*(?:of|>=?|<=?|minimum|maximum)?\\s*(\\d{3})', 1), lambda x: 'score:' || x),
+  list_transform(regexp_extract_all(text, '(?i)(?:ctr|sar|currency\\s+transaction|suspicious\\s+activity)[^\\d$]{0,50}\\$?([\\d,]{3,})', 1), lambda x: 'ctr_sar:$' || x),
+  list_transform(regexp_extract_all(text, '(?i)(?:beneficial\\s*owner(?:ship)?)[^%]{0,60}?(\\d+)\\s*%', 1), lambda x: 'bo_pct:' || x || '%')),
+  lambda x: regexp_replace(regexp_replace(regexp_replace(lower(x), '[\\s,]', '', 'g'), '([a-z])s$', '\\1'), '\\.$', ''))))"""
+# each pair of a behaviour is judged, and matches are taken one at a time
+_MATCHED = """, tok AS MATERIALIZED (SELECT graph, rule_id, behavior, quality AS q, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') AS t, VALUES_ AS v,
+  list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) > 2 AND NOT list_contains(STOPS, x)))) AS w FROM graph_rules WHERE behavior IS NOT NULL AND text IS NOT NULL),
+tied AS MATERIALIZED (SELECT *, list_filter(w, lambda x: NOT regexp_full_match(x, '[0-9]+')) AS plain, min(rule_id) OVER (PARTITION BY graph, behavior, w, q, v) AS first, min(rule_id) OVER (PARTITION BY graph, behavior, w, t, q, v) AS same FROM tok),
+met AS (SELECT a.behavior, a.rule_id AS g1, b.rule_id AS g2, a.t = b.t AS equal, a.w = b.w AS alike, len(list_intersect(a.w, b.w)) AS n, len(a.w) AS n1, len(b.w) AS n2, len(list_intersect(a.plain, b.plain)) AS p, len(a.plain) AS p1, len(b.plain) AS p2,
+  a.first AS f1, b.first AS f2, a.same AS s1, b.same AS s2, coalesce(a.q <> b.q, false) OR len(list_intersect(
+    list_transform(list_filter(a.v, lambda x: NOT list_contains(b.v, x)), lambda x: regexp_replace(x, '[0-9.]+', '', 'g')), list_transform(list_filter(b.v, lambda x: NOT list_contains(a.v, x)), lambda x: regexp_replace(x, '[0-9.]+', '', 'g')))) > 0 AS clash
+  FROM tied a JOIN tied b ON a.behavior = b.behavior AND a.graph = 1 AND b.graph = 2),
+judged AS MATERIALIZED (SELECT *, alike OR n >= 0.75 * (n1 + n2 - n) AND n > 0 AS near, CASE WHEN equal THEN 1.0::DOUBLE WHEN alike THEN 0.9::DOUBLE ELSE CAST(n AS DOUBLE) / (n1 + n2 - n) * 0.9::DOUBLE END AS confidence
+  FROM met WHERE alike OR (n > 0 AND n >= 0.75 * (n1 + n2 - n)) OR (p > 0 AND p >= 0.75 * (p1 + p2 - p))),
+ordered AS MATERIALIZED (SELECT behavior, g1, g2, equal, confidence, row_number() OVER (PARTITION BY behavior ORDER BY confidence DESC, CASE WHEN equal THEN s1 ELSE f1 END, CASE WHEN equal THEN s2 ELSE f2 END, g1, g2) AS o FROM judged WHERE near AND NOT clash),
+taken AS (SELECT behavior, 0::BIGINT AS o, []::BIGINT[] AS a, []::BIGINT[] AS b FROM (SELECT DISTINCT behavior FROM ordered)
+  UNION ALL SELECT p.behavior, min(p.o), list_append(any_value(t.a), arg_min(p.g1, p.o)), list_append(any_value(t.b), arg_min(p.g2, p.o)) FROM taken t JOIN ordered p ON p.behavior = t.behavior AND p.o > t.o AND NOT list_contains(t.a, p.g1) AND NOT list_contains(t.b, p.g2) GROUP BY p.behavior),
+matches AS (SELECT p.behavior, p.g1, p.g2, CASE WHEN p.equal THEN 'IDENTICAL' ELSE 'EQUIVALENT' END AS relationship, p.confidence FROM ordered p JOIN (SELECT DISTINCT behavior, o FROM taken) USING (behavior, o))""".replace("STOPS", str(T.TOKEN_STOP_WORDS)).replace("VALUES_", _VALUES)
+
+
+@query(sql("graph_rules", _MATCHED.lstrip(", ") + " SELECT * FROM matches", recursive=True))
 def matches(s, d):
     r = A.graph_rules(s, d)
     return match.match_members(r.where("graph = 1"), r.where("graph = 2"))
 
 
-@query()
+@query(sql("graph_rules", _MATCHED.lstrip(", ") + """,
+parts AS (SELECT behavior, 0 AS part, count(*) AS n FROM matches GROUP BY 1
+  UNION ALL SELECT behavior, graph, count(*) FROM graph_rules r WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.behavior = r.behavior AND CASE WHEN r.graph = 1 THEN m.g1 ELSE m.g2 END = r.rule_id) GROUP BY 1, 2
+  UNION ALL SELECT behavior, 3, count(*) FROM judged j WHERE clash AND g1 NOT IN (SELECT g1 FROM matches) AND g2 NOT IN (SELECT g2 FROM matches) GROUP BY 1)
+SELECT operation, behavior, CAST(sum(n) AS BIGINT) AS n FROM parts JOIN (VALUES ('INTERSECTION', 0), ('G1_MINUS_G2', 1), ('G2_MINUS_G1', 2), ('UNION', 0), ('UNION', 1), ('UNION', 2), ('CONTRADICTIONS', 3)) x(operation, part) USING (part) GROUP BY 1, 2""", recursive=True))
 def set_operation_sizes(s, d):
     r = A.graph_rules(s, d)
     one, two = r.where("graph = 1"), r.where("graph = 2")
-    keys = _cut(match.similar_keys(one, two))
-    m = _cut(match.match_members(one, two, keys))
+    facts = match.rule_facts(one, two)
+    keys = _cut(match.similar_keys(one, two, facts))
+    m = _cut(match.match_members(one, two, keys, facts))
     ids = r.select("graph", "rule_id", "behavior")
-    return match.set_sizes(ids.where("graph = 1"), ids.where("graph = 2"), m, match.conflict_classes(one, two, m, keys))
+    return match.set_sizes(ids.where("graph = 1"), ids.where("graph = 2"), m, match.conflict_classes(one, two, m, keys, facts))
 
 
-@query()
+@query(sql("graph_rules", _MATCHED.lstrip(", ") + """
+SELECT 'MERGED_' || g1 AS rule_id, behavior, 'MERGED' AS operation FROM matches
+UNION ALL SELECT CAST(rule_id AS VARCHAR), behavior, CASE WHEN graph = 1 THEN 'G1_ONLY' ELSE 'G2_ONLY' END FROM graph_rules r
+  WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.behavior = r.behavior AND CASE WHEN r.graph = 1 THEN m.g1 ELSE m.g2 END = r.rule_id)""", recursive=True))
 def union_graph(s, d):
     r = A.graph_rules(s, d)
     one, two = r.where("graph = 1"), r.where("graph = 2")
