@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numeric as N
 from tessera.functions import text as T
-from tessera.operators import graph, impact, load, match, register, search, segment, stats, validate
-from tessera.operators.graph import _cut
+from tessera.operators import graph, impact, load, match, register, search, segment, stats, text_index, validate, vector_index
+from tessera.operators.graph import _cut, scratch
 from tessera.plans import adaptor as A
 from tessera.plans.adaptor import sql
 from tessera.streaming import logs
@@ -206,6 +206,15 @@ def vector_search(s, d):
     return search.knn(e, e.where("vec_id = 7").first()["embedding"], 10)
 
 
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), u AS (SELECT vec_id, label, a, list_sum(list_transform(a, lambda x: x * x)) AS n FROM v),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(v.a, q.a), lambda p: p[1] * p[2])) / sqrt(v.n * q.n) AS similarity FROM u v JOIN u q ON q.vec_id % 100 = 7 AND v.label = 1)
+SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank, vec_id, similarity FROM p) WHERE rank <= 10""")
+def vector_index_search(s, d):
+    e, path = A.table(s, d, "embeddings").withColumn("graph", F.col("label").cast("string")), scratch(s, "vectors")
+    vector_index.build(e, path)
+    return vector_index.VectorIndex(s, path).search(e.where("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), "embedding"), 10, "1")
+
+
 @query("SELECT e.label AS graph, count(*) AS embeddings FROM embeddings e GROUP BY 1")
 def embeddings_by_graph(s, d):
     return A.table(s, d, "embeddings").groupBy(F.col("label").alias("graph")).agg(F.count("*").alias("embeddings"))
@@ -220,6 +229,22 @@ def knowledge_search(s, d):
     return search.knowledge_search(c, "General Public").select("chunk_id", F.col("score").cast("double").alias("score"))
 
 
+ASKED = ["General Public", "apache license", "Under the MIT", "version"]
+
+
+@query(sql("chunks", """q AS (SELECT * FROM (VALUES (0, 'general public', ['general', 'public']), (1, 'apache license', ['apache', 'license']), (2, 'under the mit', ['under', 'the', 'mit']), (3, 'version', ['version'])) x(query_id, q, terms)),
+t AS (SELECT doc_id || '_' || ord AS chunk_id, lower(content) AS c FROM chunks),
+h AS (SELECT query_id, q, len(terms) AS n, chunk_id, c, len(list_filter(terms, lambda x: contains(c, x))) AS hits, list_sum(list_transform(terms, lambda x: (length(c) - length(replace(c, x, ''))) // length(x))) AS times FROM q, t),
+s AS (SELECT query_id, chunk_id, CASE WHEN contains(c, q) THEN 100.0::DOUBLE + 5.0::DOUBLE * ((length(c) - length(replace(c, q, ''))) // length(q)) ELSE round(hits / CAST(n AS DOUBLE) * 80.0::DOUBLE + least(times, 10) * 1.5::DOUBLE, 2) END AS score FROM h WHERE hits > 0)
+SELECT * FROM (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10"""))
+def text_index_search(s, d):
+    c = A.chunks(s, d).select(F.concat_ws("_", F.col("doc_id").cast("string"), F.col("ord").cast("string")).alias("chunk_id"), F.lit("").alias("title"), "content")
+    path = scratch(s, "texts")
+    text_index.build(c, path)
+    queries = s.createDataFrame(list(enumerate(ASKED)), "query_id int, query string")
+    return text_index.TextIndex(s, path, c).search(queries)
+
+
 @query("""WITH p AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{3,}') AND NOT list_contains(STOPS, x))) AS w FROM benchmark),
 pw AS (SELECT item_id, len(w) AS n, unnest(w) AS word FROM p WHERE len(w) > 0),
 r AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{3,}') AND NOT list_contains(STOPS, x))) AS w FROM documents),
