@@ -59,6 +59,8 @@ def step_states(lines: DataFrame, steps: list[str]) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("on"))
     named = F.array(*[mentions(F.col("line"), s) for s in steps])
     rows = lines.select("run_id", F.struct("id", named.alias("named"), F.contains(F.lower("line"), F.lit("completed")).alias("done"), F.contains("line", F.lit("LAUNCHING AGENT")).alias("launch")).alias("e"))
+    # other lines change nothing; runs without any line that does stay
+    rows = rows.withColumn("e", F.when(F.exists("e.named", lambda x: x) | F.col("e.launch"), F.col("e")))
     runs = rows.groupBy("run_id").agg(F.sort_array(F.collect_list("e")).alias("es"))
 
     def step(acc, e):
@@ -141,16 +143,11 @@ def apply_event(content: str, step: str | None, line: str) -> tuple[str, str | N
 
 
 def fold_events(chunks: DataFrame) -> DataFrame:
-    """stream_id, content, step of chunks (stream_id, ord, chunk): chunks join to lines, the last may lack its end."""
+    """stream_id, content, step of a table of chunks (stream_id, ord, chunk): chunks join to lines, the last may lack its end."""
+    from tessera.streaming.ordered import Events, fold_table
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        content, step = "", None
-        for line in "".join(f.sort_values("ord", kind="stable")["chunk"]).split("\n"):
-            content, step = apply_event(content, step, line)
-        return pd.DataFrame({"stream_id": [f["stream_id"].iloc[0]], "content": [content], "step": [step]})
-
-    kind = dict(chunks.dtypes)["stream_id"]
-    return chunks.groupBy("stream_id").applyInPandas(run, f"stream_id {kind}, content string, step string")
+    lines = chunks.select(F.col("stream_id").alias("key"), "ord", F.col("chunk").alias("text"))
+    return fold_table(lines, Events()).select(F.col("key").alias("stream_id"), "content", "step")
 
 
 def level_windows(lines: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
