@@ -10,6 +10,7 @@ from tessera.operators import graph, impact, load, match, register, search, segm
 from tessera.operators.graph import _cut, scratch
 from tessera.plans import adaptor as A
 from tessera.plans.adaptor import sql
+from tessera.plans.judges import Ledger
 from tessera.streaming import logs
 
 QUERIES: dict = {}
@@ -275,6 +276,17 @@ def judged_pairs(s, d):
     return _judged(s, d).select("behavior", "g1", "g2", "relationship")
 
 
+@query(sql("graph_rules", _PAIRS.lstrip(", ") + " SELECT behavior, g1, g2, relationship FROM judged"))
+def ledgered_pairs(s, d):
+    """The pairs of equal token sets, judged through a ledger: those of even g1 first, then all."""
+    r = A.graph_rules(s, d)
+    pairs = match.candidate_pairs(r.where("graph = 1"), r.where("graph = 2"), near=False)
+    ledger = Ledger(s, scratch(s, "verdicts"), ["g1_text", "g2_text", "g1_quality", "g2_quality"], "relationship string, confidence double", "default")
+    judge = lambda x: match.default_judge(x, by_value=False)
+    ledger.judge(pairs.where("g1 % 4 = 0"), judge, parts=1)
+    return ledger.judge(pairs, judge, parts=2).select("behavior", "g1", "g2", "relationship")
+
+
 @query(sql("graph_rules", "SELECT behavior, count(*) FILTER (WHERE graph = 1) AS g1, count(*) FILTER (WHERE graph = 2) AS g2, count(*) FILTER (WHERE graph = 1) * count(*) FILTER (WHERE graph = 2) AS pairs FROM graph_rules GROUP BY 1"))
 def cluster_sizes(s, d):
     n = A.graph_rules(s, d).groupBy("behavior").agg(F.count_if(F.col("graph") == 1).alias("g1"), F.count_if(F.col("graph") == 2).alias("g2"))
