@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ FAMILIES = {
     "dravidian": "ta te kn ml",
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Bits per n-gram. A floor is so far below the median of held-out rows at least; chance in a text of n letters is worth
 #: CHANCE standard deviations over sqrt(n).
 SLACK, CHANCE = 2.0, 3.0
