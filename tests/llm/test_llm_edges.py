@@ -31,5 +31,5 @@ def test_numbers_are_no_letters(spark):
     learned = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the garden of the man", "en"), ("das haus und der garten des mannes", "de")] * 6)]
     odd = [(100, "½ ²"), (101, "①"), (102, "Ⅷ"), (103, "_ 12 %"), (104, "é"), (105, "½ the house")]
     df = spark.createDataFrame(learned + [(i, t, None) for i, t in odd], "doc_id long, text string, lang string")
-    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df.withColumn("source", F.lit("s"))).collect()}
+    got = {r["doc_id"]: r["_lang_pred"] for r in langid.identify(df.withColumn("source", F.lit("s"))).collect()}
     assert [got[i] == "und" for i, _ in odd] == [True] * 4 + [False] * 2
