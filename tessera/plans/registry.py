@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import numeric as N
 from tessera.functions import text as T
-from tessera.operators import graph, impact, load, match, register, search, segment, stats, text_index, validate, vector_index
+from tessera.operators import graph, impact, load, match, meaning, register, search, segment, stats, text_index, validate, vector_index
 from tessera.operators.graph import _cut, scratch
 from tessera.plans import adaptor as A
 from tessera.plans.adaptor import sql
@@ -216,6 +216,14 @@ def vector_index_search(s, d):
     return vector_index.VectorIndex(s, path).search(e.where("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), "embedding"), 10, "1")
 
 
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), u AS (SELECT vec_id, label, a, sqrt(list_sum(list_transform(a, lambda x: x * x))) AS n FROM v)
+SELECT x.label AS label, x.vec_id AS one, y.vec_id AS two FROM u x JOIN u y ON x.label = y.label AND x.vec_id % 2 = 0 AND y.vec_id % 2 = 1
+WHERE x.n > 0 AND y.n > 0 AND list_sum(list_transform(list_zip(x.a, y.a), lambda p: p[1] * p[2])) / (x.n * y.n) >= 0.3""")
+def similar_vector_pairs(s, d):
+    e = A.table(s, d, "embeddings").select(F.col("label").cast("string").alias("g"), F.col("vec_id").alias("id"), "embedding")
+    return meaning.vector_pairs(e.where("id % 2 = 0"), e.where("id % 2 = 1"), 0.3).select(F.col("g").cast("int").alias("label"), F.col("a").alias("one"), F.col("b").alias("two"))
+
+
 @query("SELECT e.label AS graph, count(*) AS embeddings FROM embeddings e GROUP BY 1")
 def embeddings_by_graph(s, d):
     return A.table(s, d, "embeddings").groupBy(F.col("label").alias("graph")).agg(F.count("*").alias("embeddings"))
