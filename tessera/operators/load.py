@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import safe_float, safe_int
+from tessera.functions.text import strip
 
 UNCATEGORIZED = "_uncategorized_"
 
@@ -75,6 +77,49 @@ def add_vertices(vertices: DataFrame, new: DataFrame) -> DataFrame:
     return vertices.unionByName(fresh.select(*vertices.columns))
 
 
+# Labels of vertices and types of rules.
+LABELS = ["business_rule", "entity_category"]
+RULE_TYPES = ["constraint", "eligibility", "process", "prohibition", "documentation", "validation"]
+
+
+def vertex_errors(new: DataFrame, vertices: DataFrame) -> DataFrame:
+    """new (name, label, content, rule_type, confidence_score as text) with errors: what keeps a row from being created, none
+    for a good one. A name that a vertex has, or an earlier good row of new (by ord), is taken; names are compared as written,
+    without outer blanks."""
+    name, content = strip(F.coalesce("name", F.lit(""))), strip(F.coalesce("content", F.lit("")))
+    score = F.col("confidence_score").try_cast("double")
+    told = [
+        F.when(~F.coalesce("label", F.lit("business_rule")).isin(LABELS), F.lit("label must be one of: " + ", ".join(sorted(LABELS)))),
+        F.when(name == "", F.lit("name is required")),
+        F.when(F.length(content) < 10, F.lit("content is required (min 10 characters)")),
+        F.when((F.coalesce("label", F.lit("business_rule")) == "business_rule") & (F.coalesce("rule_type", F.lit("")) != "") & ~F.col("rule_type").isin(RULE_TYPES), F.lit("rule_type must be one of: " + ", ".join(sorted(RULE_TYPES)))),
+        F.when(F.col("confidence_score").isNotNull() & (score.isNull() | F.isnan(score)), F.lit("confidence_score must be a number")).when((score < 0) | (score > 100), F.lit("confidence_score must be between 0 and 100")),
+    ]
+    e = new.withColumns({"_name": name, "errors": F.filter(F.array(*told), lambda x: x.isNotNull())})
+    known = vertices.select(F.col("name").alias("_name")).distinct().withColumn("_there", F.lit(True))
+    e = e.join(known, "_name", "left")
+    good = (F.size("errors") == 0) & F.col("_there").isNull()
+    turn = F.row_number().over(W.partitionBy("_name", good).orderBy("ord"))
+    taken = F.col("_there").isNotNull() | (good & (turn > 1))
+    exists = F.concat(F.lit("A vertex named '"), F.col("_name"), F.lit("' already exists in this graph"))
+    # a taken name is only told of where all else is right
+    return e.withColumn("errors", F.when((F.size("errors") == 0) & taken, F.array(exists)).otherwise(F.col("errors"))).select(*new.columns, "errors")
+
+
+def create_vertices(vertices: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(created, edges, errors) of new rows (ord, name, label, content, rule_type, category, entity_or_relationship,
+    confidence_score): rows as vertices (vertex_id from a hash of the name, label, name, content, category), the edge to the
+    category that a row names, where vertices has it, and the rows that are refused with why."""
+    checked = vertex_errors(new, vertices)
+    made = checked.where(F.size("errors") == 0).withColumns({"name": strip("name"), "content": strip("content"), "label": F.coalesce("label", F.lit("business_rule"))})
+    made = made.withColumn("vertex_id", F.sha2("name", 256))
+    created = made.select("vertex_id", "label", "name", "content", F.coalesce("rule_type", "category", F.lit("")).alias("category"))
+    cats = vertices.where("label = 'entity_category'").groupBy("name").agg(F.min("vertex_id").alias("dst"))
+    named = made.select(F.col("vertex_id").alias("src"), strip(F.coalesce("entity_or_relationship", F.lit(""))).alias("_e"))
+    edges = named.join(cats, named["_e"] == cats["name"]).select("src", "dst", F.lit("belongs_to_category").alias("label"), F.lit("categorization").alias("dependency_type"))
+    return created, edges, checked.where(F.size("errors") > 0)
+
+
 def drop_vertices(vertices: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges without those of gone (node) and the edges that touch them."""
     g = gone.select("node")

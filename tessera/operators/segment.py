@@ -43,6 +43,43 @@ def heading_chunks(docs: DataFrame) -> DataFrame:
     return own.groupBy("doc_id", "n").agg(F.max("title").alias("title"), F.max("level").alias("level"), strip(text).alias("content"))
 
 
+def block_chunks(blocks: DataFrame, least: int = 500) -> DataFrame:
+    """doc_id, n (from 1), title, content of blocks (doc_id, ord, level, text; level 0 is no heading): each heading with what
+    stands below it, parted by blank lines, from `least` characters on; a document's last section stays where no other does.
+
+    What comes before the first heading is left out; a document without headings is one chunk without a title. Blank
+    blocks count for nothing.
+    """
+    order = W.partitionBy("doc_id").orderBy("ord")
+    text, level = strip("text"), F.coalesce(F.col("level"), F.lit(0))
+    b = blocks.select("doc_id", "ord", level.alias("level"), text.alias("text")).where("text <> ''")
+    b = b.withColumn("s", F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    line = F.when(F.col("level") > 0, F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), F.col("text"))).otherwise(F.col("text"))
+    c = b.groupBy("doc_id", "s").agg(F.max(F.when(F.col("level") > 0, F.col("text"))).alias("title"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("content"))
+    whole = W.partitionBy("doc_id")
+    c = c.withColumns({"last": F.max("s").over(whole), "long": F.length("content") >= least}).where("s > 0 OR last = 0")
+    c = c.withColumn("any", F.max("long").over(whole)).where("long OR (s = last AND NOT any)")
+    return c.select("doc_id", F.row_number().over(whole.orderBy("s")).alias("n"), "title", "content")
+
+
+def paragraph_chunks(blocks: DataFrame, size: int = 2000, least: int = 500) -> DataFrame:
+    """doc_id, n (from 1), content of blocks (doc_id, ord, text): paragraphs in order, parted by blank lines, until a chunk has
+    `size` characters; what is left over stays from `least` characters on, or where it is all there is."""
+    text = strip("text")
+    docs = blocks.select("doc_id", "ord", text.alias("text")).where("text <> ''").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("ps"))
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def add(acc, p):
+        now = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
+        full = F.length(now) >= size
+        return F.struct(F.when(full, F.array_append(acc["done"], now)).otherwise(acc["done"]).alias("done"), F.when(full, F.lit("")).otherwise(now).alias("open"))
+
+    end = docs.select("doc_id", F.aggregate("ps", zero, add).alias("s"))
+    rest = (F.col("s.open") != "") & ((F.length("s.open") >= least) | (F.size("s.done") == 0))
+    all_ = F.when(rest, F.array_append("s.done", F.col("s.open"))).otherwise(F.col("s.done"))
+    return end.select("doc_id", F.posexplode(all_).alias("n", "content")).select("doc_id", (F.col("n") + 1).alias("n"), "content")
+
+
 def section_paths(headings: DataFrame) -> DataFrame:
     """headings (doc_id, n, level, title) with path: titles of the nearest headings above of lower level, and their own.
 

@@ -160,3 +160,10 @@ def rule_table(rules: DataFrame, text: str | None = None, rule_type: str | None
     key = F.coalesce(F.col(sort), F.lit("")) if dict(rules.dtypes)[sort] == "string" else F.col(sort)
     order = [key.desc() if descending else key.asc(), F.col("rule_id").asc()]
     return out.orderBy(*order).offset((min(max(page, 1), pages) - 1) * size).limit(size)
+
+
+def orphan_rate(rules: DataFrame, edges: DataFrame) -> DataFrame:
+    """rules, orphans (in no dependency) and their share in percent (one decimal); one row, 0 for no rules."""
+    ends = edges.select(F.col("src").alias("rule_id")).union(edges.select("dst")).distinct().withColumn("_in", F.lit(True))
+    n = rules.select("rule_id").join(ends, "rule_id", "left").agg(F.count("*").alias("rules"), F.count_if(F.col("_in").isNull()).alias("orphans"))
+    return n.withColumn("percent", F.round(F.col("orphans") * 100 / F.greatest("rules", F.lit(1)), 1))

@@ -57,6 +57,11 @@ def edges_by_label(s, d):
     return e.unionByName(A.rules(s, d).agg(F.count("*").alias("n")).select(F.lit("belongs_to_category").alias("label"), "n"))
 
 
+@query(sql("rules dependencies", "SELECT count(*) AS rules, count(*) FILTER (WHERE e.node IS NULL) AS orphans, round(count(*) FILTER (WHERE e.node IS NULL) * 100.0::DOUBLE / greatest(count(*), 1), 1) AS percent FROM rules LEFT JOIN (SELECT src AS node FROM dependencies UNION SELECT dst FROM dependencies) e ON e.node = rule_id"))
+def orphan_rate(s, d):
+    return stats.orphan_rate(A.rules(s, d), A.dependencies(s, d))
+
+
 @query(sql("dependencies", "SELECT dependency_type, count(*) AS n FROM dependencies GROUP BY 1"))
 def dependency_types(s, d):
     return stats.count_by(A.dependencies(s, d), "dependency_type")
