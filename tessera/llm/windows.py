@@ -22,6 +22,8 @@ PLACE = np.uint64((1 << 28) - 1)
 _R = 0x9E3779B97F4A7C15 | 1
 _RI = pow(_R, -1, 1 << 64)
 RUNS_PER_PART = 1_000_000
+#: Longer texts are looked at in stretches of so many windows: a place takes 28 bits, and memory stays bounded.
+STRETCH = 1 << 22
 
 
 @lru_cache(maxsize=12)
@@ -31,9 +33,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def runs(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a sequence of 64-bit units: anchor hash, hash of all units of the run, first window and number of windows."""
+def runs(units: np.ndarray, window: int, k: int, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sequence of 64-bit units: anchor hash, hash of all units of the run, first window and number of windows.
+
+    Each window is in one run. The anchor of a window depends on nothing else, so a run that two stretches share becomes
+    two with one anchor, and these are compared with others window by window.
+    """
     n = units.size - window + 1
+    if n > stretch:
+        each = [(a, runs(units[a : min(a + stretch, n) - 1 + window], window, k, stretch)) for a in range(0, n, stretch)]
+        return tuple(np.concatenate([r[i] + a if i == 2 else r[i] for a, r in each]) for i in range(4))
     if n <= 0:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
     size = 1 << max(12, int(units.size).bit_length())
@@ -75,15 +84,15 @@ def sorted_runs(docs: DataFrame, to_units, window: int, k: int, parts: int, batc
 
     docs may have a column _within (packed starts and ends, in units): only windows inside one of these stretches count.
     """
-    within = "_within" in docs.columns
+    within, stretch = "_within" in docs.columns, STRETCH
 
     def of_text(text: str, stretches: bytes | None):
         units = to_units(text.encode())
         if stretches is None:
-            return runs(units, window, k)
+            return runs(units, window, k, stretch)
         found = []
         for a, b in np.frombuffer(stretches, np.int64).reshape(-1, 2).tolist():
-            one = runs(units[a:b], window, k)
+            one = runs(units[a:b], window, k, stretch)
             found.append((*one[:2], one[2] + a, one[3]))
         return tuple(np.concatenate(x) for x in zip(*found))
 

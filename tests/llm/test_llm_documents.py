@@ -267,6 +267,19 @@ def test_suffixes_odd(spark, odd, empty):
     assert got == {1: 1500, 2: 1400, 3: 0}
 
 
+def test_stretches_of_long_texts(docs, rows, monkeypatch):
+    """A text of many stretches loses no window, and its runs meet those that a stretch doesn't cut."""
+    units = windows.mix64(np.random.default_rng(3).integers(0, 4, 900).astype(np.uint64))
+    whole, cut = ({int(f) + i: int(a) for a, f, n in zip(x[0], x[2], x[3]) for i in range(int(n))} for x in (windows.runs(units, 20, 6), windows.runs(units, 20, 6, 37)))
+    assert whole == cut and sorted(cut) == list(range(881))
+    monkeypatch.setattr(windows, "STRETCH", 64)
+    monkeypatch.setattr(suffix_dedup, "GRAM", 30)
+    got = sorted((r["doc_id"], r["_n_bytes"], r["_n_removed"], len(r["_removed"]) // 16, hashlib.sha256(bytes(r["_kept"])).hexdigest()) for r in suffix_dedup.dedup(docs, 90).collect())
+    assert got == sorted(brute_bytes(rows, 90))
+    got = {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept"]) for r in fingerprint_log.dedup(docs).collect()}
+    assert got == brute_words(rows)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_suffix_array(seed):
     r = np.random.default_rng(seed)
