@@ -24,6 +24,8 @@ RULES = {
 KINDS = [k for k, *_ in RULES["base-1"]]
 #: A run of one class that is too short cannot hold a longer match, so the scan may ask for the length at once.
 _SCANNED = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
+#: Findings are broadcast up to so many bytes, which are summed first; beyond, paths of a blob go to SALTS tasks.
+BROADCAST_BYTES, SALTS = 64 << 20, 16
 #: Matches are folded in stretches of so many.
 FOLD = 256
 LEDGER = "blob string, rules string, n_assign long, n_access long, n_hex long, spans string"
@@ -90,10 +92,11 @@ def fill(spark: SparkSession, versions: DataFrame, ledger: str, rules: str = "ba
     jvm = spark._jvm.org.apache.hadoop.fs
     fs = jvm.Path(ledger).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     at = versions.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("blob", address(F.col("text")))
+    at = at.groupBy("blob").agg(F.first("text").alias("text"))  # before the ledger is asked, so a blob of many paths is one row there
     if fs.exists(jvm.Path(ledger)):
         at = at.join(read_ledger(spark, ledger, rules).select("blob"), "blob", "left_anti")
     name = uuid.uuid4().hex
-    scan_blobs(at.groupBy("blob").agg(F.first("text").alias("text")), rules).write.parquet(f"{ledger}/_aside-{name}")
+    scan_blobs(at, rules).write.parquet(f"{ledger}/_aside-{name}")
     if not fs.rename(jvm.Path(f"{ledger}/_aside-{name}"), jvm.Path(f"{ledger}/run-{name}")):
         raise OSError(f"cannot add to {ledger}")
 
@@ -105,7 +108,14 @@ def findings(spark: SparkSession, versions: DataFrame, ledger: str, rules: str =
     used = ("text",)
     kept = versions.drop("n_assign", "n_access", "n_hex", "spans", "_blob")
     own = set_aside(kept, *used).withColumn("_blob", address(F.col("text")))
-    out = own.join(held, F.col("_blob") == F.col("_ledger_blob"), "left")
+    size = held.agg(F.sum(F.octet_length("_ledger_spans") + 120)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # then no path and no text is shuffled
+        out = own.join(F.broadcast(held), F.col("_blob") == F.col("_ledger_blob"), "left")
+    else:  # paths of one blob are dealt to SALTS tasks, each of which gets the blob's findings
+        told = [F.col(f"`{f.name}`") for f in own.schema.fields if "map<" not in f.dataType.simpleString()]
+        own = own.withColumn("_salt", F.pmod(F.xxhash64(*told), F.lit(SALTS)).cast("int"))
+        held = held.withColumn("_ledger_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = own.join(held, (F.col("_blob") == F.col("_ledger_blob")) & (F.col("_salt") == F.col("_ledger_salt")), "left")
     added = [F.coalesce(F.col(f"_ledger_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
     names = [F.col(f"`{c}`") if c in used else F.col(f"`_own_{c}`").alias(c) for c in kept.columns]
     return out.select(*names, "_blob", *added, F.coalesce(F.col("_ledger_spans"), F.lit("")).alias("spans"))

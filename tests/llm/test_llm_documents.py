@@ -343,7 +343,10 @@ def test_ledger_with_a_blob_twice(spark, tmp_path):
     assert secret_scan.read_ledger(spark, ledger, "base-1").count() == 1
 
 
-def test_secrets_in_commits(spark, odd, empty):
+@pytest.mark.parametrize("most", [secret_scan.BROADCAST_BYTES, 0])
+def test_secrets_in_commits(spark, odd, empty, most, monkeypatch):
+    """With findings that are broadcast, and with paths dealt to several tasks."""
+    monkeypatch.setattr(secret_scan, "BROADCAST_BYTES", most)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS * 3)] + [(None, SECRETS[0])], "doc_id long, text string")
     got = secret_scan.scan_in_commits(spark, df, commits=3).collect()
     assert sorted(((r["doc_id"] or 0), r["spans"]) for r in got) == sorted((i or 0, brute_secrets(t)) for i, t in [*enumerate(SECRETS * 3), (None, SECRETS[0])])
