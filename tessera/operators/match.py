@@ -355,6 +355,61 @@ def duplicate_groups(rules: DataFrame, text: str = "text") -> DataFrame:
     return r.join(p, ["k", "m"]).where(F.col("rule_id") != F.col("primary")).select("primary", F.col("rule_id").alias("duplicate"))
 
 
+#: Passes over links before a search for components gives up: each doubles what is reached, so this is never met.
+MOST_PASSES = 100
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """id, p: the least node that links (a, b) lead to, for nodes with links."""
+    from tessera.operators.graph import _cut
+
+    edges = _cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    least = _cut(edges.select(F.col("a").alias("id")).distinct().withColumn("p", F.col("id")))
+    for _ in range(MOST_PASSES):  # each takes the least primary of its neighbours, and then the primary of that
+        near = edges.join(least.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("p").alias("q"))
+        step = least.join(near, "id").select("id", "p", F.least("p", "q").alias("q"))
+        step = _cut(step.join(least.select(F.col("id").alias("q"), F.col("p").alias("_up")), "q").select("id", "p", F.least("q", "_up").alias("q")))
+        least = step.select("id", F.col("q").alias("p"))
+        if step.where("q <> p").isEmpty():
+            return least
+    raise RuntimeError("components did not settle")
+
+
+def _similar_components(x: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """id, p: the least id of the component that links between similar sets make, for sets (id, w) with links.
+
+    Each set first meets one hub of each element that leads it (the least id of about its size), so a group of near copies
+    costs a pair a set and element. Then only sets of unlike components that still share such an element meet: elements of
+    one component are done. What is left out is within a component, so components are those of all links.
+    """
+    from tessera.operators.graph import _cut
+
+    num, den = similar
+    often = x.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
+    ranked = x.select("id", F.explode("w").alias("t")).join(often, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("e"))
+    sets = _cut(ranked.select("id", F.col("e.t").alias("w"), F.size("e").cast("long").alias("n")))
+    lead = F.expr(f"slice(w, 1, int(n - ({num} * n + {den - 1}) div {den}) + 1)")
+    leads = sets.select("id", "n", F.floor(F.log("n") / F.log(F.lit(den / num))).alias("band"), F.posexplode(lead).alias("at", "t"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        side = lambda tag: sets.select(F.col("id").alias(tag), F.col("w").alias(f"{tag}_w"), F.col("n").alias(f"{tag}_n"))
+        found = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("a_w", "b_w")))
+        return _cut(found.where(den * F.col("both") >= num * (F.col("a_n") + F.col("b_n") - F.col("both"))).select("a", "b"))
+
+    hubs = leads.groupBy("t", "band").agg(F.min("id").alias("b"))
+    stars = alike(leads.join(hubs, ["t", "band"]).where("id <> b").select(F.col("id").alias("a"), "b"))
+    first = _components(stars)
+    own = leads.join(first, "id", "left").withColumn("p", F.coalesce("p", "id"))
+    several = own.groupBy("t").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("t")
+    own = _cut(own.join(several, "t", "left_semi"))
+    side = lambda tag: own.select("t", F.col("id").alias(tag), *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "at", "p")])
+    most = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    met = side("a").join(side("b"), "t").where("a_p < b_p")
+    met = met.where((den * F.least("a_n", "b_n") >= num * F.greatest("a_n", "b_n")) & ((num + den) * most >= num * (F.col("a_n") + F.col("b_n"))))
+    across = alike(met)
+    return _components(stars.unionByName(across))
+
+
 def near_duplicate_groups(rules: DataFrame, text: str = "text", n: int = 5) -> DataFrame:
     """The whole default verdict: rules of equal normalised text, then of sets of n-word shingles whose Jaccard similarity
     is SIMILAR or more (a text of fewer words is one shingle). Groups are connected components; the smallest id is primary.
@@ -366,16 +421,7 @@ def near_duplicate_groups(rules: DataFrame, text: str = "text", n: int = 5) -> D
     one = r.groupBy("m").agg(F.min("rule_id").alias("id"), F.min_by("w", "rule_id").alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
     sets = _cut(one.where(F.size("w") > 0).select(F.lit(0).alias("g"), "id", F.array_distinct(grams).alias("w")))
-    found = similar_sets(sets, sets).where("a <> b").select("a", "b")
-    edges = _cut(found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    least = _cut(edges.select(F.col("a").alias("id")).distinct().withColumn("p", F.col("id")))
-    while True:  # each takes the least primary of its neighbours, and then the primary of that
-        near = edges.join(least.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("p").alias("q"))
-        step = least.join(near, "id").select("id", "p", F.least("p", "q").alias("q"))
-        step = _cut(step.join(least.select(F.col("id").alias("q"), F.col("p").alias("_up")), "q").select("id", "p", F.least("q", "_up").alias("q")))
-        least = step.select("id", F.col("q").alias("p"))
-        if step.where("q <> p").isEmpty():
-            break
+    least = _similar_components(sets)
     primary = one.select("m", "id").join(least, "id", "left").select("m", F.coalesce("p", "id").alias("primary"))
     return r.select("rule_id", "m").join(primary, "m").where(F.col("rule_id") != F.col("primary")).select("primary", F.col("rule_id").alias("duplicate"))
 
