@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip, word_count
+from tessera.operators.graph import _cut
+from tessera.operators.ranks import ranked
 
 MAX_WORDS, MIN_WORDS, TARGET_WORDS = 3000, 500, 2000
+#: Files that one task of word_batches() folds at once.
+BATCH_BLOCK = 4096
 
 
 def fill_pages(toc: DataFrame, total_pages: str = "total_pages") -> DataFrame:
@@ -162,36 +167,66 @@ def normalise_sizes(chunks: DataFrame, most: int = MAX_WORDS, least: int = MIN_W
     )
 
 
-def word_batches(files: DataFrame, target: int = 8000, most: int = 8) -> DataFrame:
-    """files (group, file_id, word_count) with batch: longest first, ties in order of file_id; a file of `target` words
-    stands alone, others fill batches in turn by words and count.
+def _batch_ends(sizes: np.ndarray, target: int, most: int) -> np.ndarray:
+    """Where a batch that begins at each place ends (exclusive): `most` files on, or before the words exceed `target`."""
+    held = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.arange(len(sizes))
+    ends = np.minimum(np.searchsorted(held, held[:-1] + target, "right") - 1, place + most)
+    return np.where(sizes >= target, place + 1, np.maximum(ends, place + 1))
 
-    What a batch takes depends on all before it, so a group is read in order, but as a stream: sorted by Spark, which spills,
-    and folded with a state of three numbers. Nothing is gathered.
-    """
 
-    def run(frames):
-        now, batch, words, n = None, 0, 0, 0
-        for f in frames:
-            out = []
-            for group, size in zip(f["_g"], f["word_count"]):
-                if group != now:
-                    now, batch, words, n = group, 0, 0, 0
-                if size >= target:
-                    batch += n > 0
-                    out.append(batch)
-                    batch, words, n = batch + 1, 0, 0
-                    continue
-                if n and (words + size > target or n >= most):
-                    batch, words, n = batch + 1, 0, 0
-                words, n = words + size, n + 1
-                out.append(batch)
-            yield pd.DataFrame({"group": f["group"], "file_id": f["file_id"], "batch": out})
+def word_batches(files: DataFrame, target: int = 8000, most: int = 8, block: int = BATCH_BLOCK) -> DataFrame:
+    """files (group, file_id, word_count) with batch: longest first, ties in order of file_id; a file of `target` words
+    stands alone, others fill batches in turn by words and count. Null word counts are 0, a null group is one.
 
+    What a batch takes depends on all before it, but a batch holds `most` files at most, so a block of consecutive files is
+    entered at one of `most` places. Each block is folded once for all of these, a row a block tells where each leads and how
+    many batches begin, and these rows alone are read in order; then blocks are told their place of entry and number their
+    files. No task holds a group, and none sorts one.
+    """
+    if block < most:
+        raise ValueError("a block holds as many files as a batch")
     kinds = dict(files.dtypes)
-    own = files.select("group", "file_id", "word_count", F.coalesce(F.col("group").cast("string"), F.lit("\0null")).alias("_g"))
-    own = own.repartition("_g").sortWithinPartitions("_g", F.desc("word_count"), "file_id")
-    return own.mapInPandas(run, f"group {kinds['group']}, file_id {kinds['file_id']}, batch int")
+    own = files.select("group", "file_id", F.coalesce("word_count", F.lit(0)).cast("long").alias("w"), F.coalesce(F.col("group").cast("string"), F.lit("\0null")).alias("g"))
+    own = ranked(own.withColumn("_d", -F.col("w")), ["g"], ["_d", "file_id"], "i").withColumn("b", F.floor(F.col("i") / block))
+    # the first files of a block are told to the one before it, as its last batch may take them
+    ahead = own.where((F.col("b") > 0) & (F.col("i") % block < most - 1)).withColumn("b", F.col("b") - 1)
+    rows = _cut(own.drop("_d").withColumn("own", F.lit(True)).unionByName(ahead.drop("_d").withColumn("own", F.lit(False))))
+
+    def leads(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("i")
+        n, ends = int(f["own"].sum()), _batch_ends(f["w"].to_numpy(), target, most).tolist()
+        out, begun = [0] * n, [1] * n
+        for i in range(n - 1, -1, -1):
+            e = ends[i]
+            out[i], begun[i] = (e - n, 1) if e >= n else (out[e], begun[e] + 1)
+        rest = [k - n for k in range(n, most)]
+        return pd.DataFrame({"g": f["g"].iloc[0], "b": f["b"].iloc[0], "out": [(out + rest)[:most]], "begun": [(begun + [0] * len(rest))[:most]]})
+
+    def enter(frames):
+        now, at, batch = None, 0, 0
+        for f in frames:
+            told = []
+            for g, out, begun in zip(f["g"], f["out"], f["begun"]):
+                if g != now:
+                    now, at, batch = g, 0, 0
+                told.append((at, batch))
+                at, batch = int(out[at]), batch + int(begun[at])
+            yield pd.DataFrame({"g": f["g"], "b": f["b"], "at": [x for x, _ in told], "batch": [x for _, x in told]})
+
+    def number(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("i")
+        ends, n, i, batch = _batch_ends(f["w"].to_numpy(), target, most).tolist(), int(f["own"].sum()), int(f["at"].iloc[0]), int(f["batch"].iloc[0])
+        out = [batch - 1] * i  # of a batch that began in the block before
+        while i < n:
+            out += [batch] * (ends[i] - i)
+            i, batch = ends[i], batch + 1
+        f = f[f["own"]]
+        return pd.DataFrame({"group": f["group"], "file_id": f["file_id"], "batch": out[:n]})
+
+    each = rows.select("g", "b", "i", "w", "own").groupBy("g", "b").applyInPandas(leads, "g string, b long, out array<int>, begun array<long>")
+    entered = each.repartition("g").sortWithinPartitions("g", "b").mapInPandas(enter, "g string, b long, at int, batch long")
+    return rows.join(entered, ["g", "b"]).groupBy("g", "b").applyInPandas(number, f"group {kinds['group']}, file_id {kinds['file_id']}, batch int")
 
 
 def numbered(df: DataFrame, order: str, name: str, ranges: int | None = None) -> DataFrame:
@@ -200,8 +235,6 @@ def numbered(df: DataFrame, order: str, name: str, ranges: int | None = None) ->
     Rows are dealt to ranges of the column (as many as the session shuffles to, unless told), and each range is numbered on
     top of what the ranges before it hold, so no task sorts all rows. Which range a row is in is written down first.
     """
-    from tessera.operators.graph import _cut
-
     dealt = df.repartitionByRange(ranges, order) if ranges else df.repartitionByRange(order)
     own = _cut(dealt.withColumn("_range", F.spark_partition_id()))
     held = own.groupBy("_range").agg(F.count("*").alias("_n"))

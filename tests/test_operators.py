@@ -219,6 +219,24 @@ def test_word_batches(spark, seed):
     assert [got[b] for b in sorted(got)] == [set(b) for b in model_batches(files, 100, 3)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_word_batches_across_blocks(spark, seed):
+    """Blocks of a few files, a group that holds most of them, a null one, and files that are alike."""
+    r = random.Random(seed)
+    files = [(r.choice(["hot"] * 5 + ["cold", None]), r.randint(0, 40), r.choice([0, 1, 20, 33, 40, 99, 100, 130, None])) for _ in range(60)]
+    df = spark.createDataFrame(files, "group string, file_id int, word_count int")
+    got = {}
+    for g, f, b in [tuple(x) for x in segment.word_batches(df, 100, 3, block=r.choice([3, 4, 7])).collect()]:
+        got.setdefault(g, {}).setdefault(b, []).append(f)
+    assert sum(len(x) for bs in got.values() for x in bs.values()) == len(files)
+    for g in {f[0] for f in files}:
+        want = model_batches([(f, w or 0) for k, f, w in files if k == g], 100, 3)
+        assert sorted(got[g]) == list(range(len(want)))
+        assert [len(got[g][b]) for b in sorted(got[g])] == [len(b) for b in want]
+        assert [sorted(got[g][b]) for b in sorted(got[g])] == [sorted(b) for b in want]
+    assert segment.word_batches(df.limit(0)).count() == 0
+
+
 def test_pages_and_paths(spark):
     toc = spark.createDataFrame([(1, 0, None, 9), (1, 1, 3, 9), (1, 2, 3, 9), (1, 3, None, 9)], "doc_id int, ord int, page int, total_pages int")
     assert rows(segment.fill_pages(toc), "ord", "first", "last") == [(0, 1, 2), (1, 3, 3), (2, 3, 3), (3, 3, 9)]
