@@ -25,9 +25,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def costs(lines: DataFrame) -> DataFrame:
     """Running totals per run of the cost lines; works on streams (update mode) and tables. Lines that don't parse don't count."""
-    own = lines.where(F.startswith("line", F.lit(COST))).withColumn("c", F.from_json(F.substring("line", len(COST) + 1, 1_000_000), "cost double, prompt_tokens long, completion_tokens long, cached_tokens long"))
+    own = lines.where(F.startswith("line", F.lit(COST))).withColumn("c", F.from_json(F.substring("line", len(COST) + 1, 1_000_000), "cost double, prompt_tokens long, completion_tokens long, cached_tokens long, bad string", {"columnNameOfCorruptRecord": "bad"}))
     total = lambda n: F.sum(F.coalesce(f"c.{n}", F.lit(0)))
-    return own.where("c IS NOT NULL").groupBy("run_id").agg(F.round(total("cost"), 6).alias("total_cost"), total("prompt_tokens").alias("prompt_tokens"), total("completion_tokens").alias("completion_tokens"), total("cached_tokens").alias("cached_tokens"), F.count("*").alias("calls"))
+    return own.where("c IS NOT NULL AND c.bad IS NULL").groupBy("run_id").agg(F.round(total("cost"), 6).alias("total_cost"), total("prompt_tokens").alias("prompt_tokens"), total("completion_tokens").alias("completion_tokens"), total("cached_tokens").alias("cached_tokens"), F.count("*").alias("calls"))
 
 
 def mentions(line: Column, step: str) -> Column:
