@@ -9,21 +9,12 @@ from tessera.functions import text as T
 from tessera.operators import graph, impact, load, match, meaning, register, search, segment, stats, text_index, validate, vector_index
 from tessera.operators.graph import _cut, scratch
 from tessera.plans import adaptor as A
+from tessera.plans import records  # noqa: F401  (registers its queries)
 from tessera.plans.adaptor import sql
+from tessera.plans.catalog import QUERIES, query  # noqa: F401
 from tessera.plans.judges import Ledger
 from tessera.streaming import logs
 
-QUERIES: dict = {}
-
-
-def query(oracle: str | None = None):
-    def add(fn):
-        QUERIES[fn.__name__] = (fn, oracle)
-        return fn
-
-    return add
-
-
 # ---- counts and distributions
 
 @query(sql("rules dependencies", """, ends AS (SELECT src AS node, 1 AS o FROM dependencies UNION ALL SELECT dst, 0 FROM dependencies),
