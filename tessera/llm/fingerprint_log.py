@@ -142,10 +142,22 @@ class FingerprintLog:
         return self.spark.read.schema(win._RUNS).parquet(*self.levels())
 
     def compact(self) -> None:
-        """Merge all runs into one sorted run per part and batch, if there are more than `fanout`. Old runs go last."""
-        old = self.levels()
-        if len(old) <= self.fanout:
-            return
+        """Merge runs while more than `fanout` are live: those of the lowest level, and where that holds one run only, those of
+        the next level with it. So older runs are not written again each time. Old runs go last."""
+        while len(live := self.levels()) > self.fanout:
+            by_level: dict[int, list[str]] = {}
+            for p in live:
+                by_level.setdefault(self._name(p)[1], []).append(p)
+            old: list[str] = []
+            for level in sorted(by_level):
+                old += by_level[level]
+                if len(old) > 1:
+                    break
+            self._merge(old, level + 1)
+
+    def _merge(self, old: list[str], level: int) -> None:
+        """Write the runs at old as one of the given level: sorted per part and batch; of a part that holds more runs than one
+        task should (as a group of near copies can make it), the blobs are dealt to several, each sorted by itself."""
 
         def merge(f: pd.DataFrame) -> pd.DataFrame:
             own = win._loaded(f)
@@ -157,8 +169,12 @@ class FingerprintLog:
                 rows.append((f["part"].iloc[0], f["batch"].iloc[0], r["anchor"].tobytes(), r["body"].tobytes(), local.astype(np.uint16).tobytes(), r["first"].tobytes(), r["count"].tobytes(), uid.tobytes(), ord_.tobytes()))
             return pd.DataFrame(rows, columns=[c.split()[0] for c in win._RUNS.split(", ")])
 
-        newest, level = max(self._name(p)[0] for p in old), 1 + max(self._name(p)[1] for p in old)
-        self.read().groupBy("part", "batch").applyInPandas(merge, win._RUNS).write.mode("overwrite").parquet(f"{self.path}/runs/{newest:012d}-{level}")
+        blobs = self.spark.read.schema(win._RUNS).parquet(*old)
+        largest = blobs.groupBy("part", "batch").agg(F.sum(F.octet_length("anchor") / 4).alias("n")).agg(F.max("n")).first()[0] or 0
+        deal = max(1, -(-int(largest) // (4 * win.RUNS_PER_PART)))
+        newest = max(self._name(p)[0] for p in old)
+        dealt = blobs.withColumn("deal", F.pmod(F.xxhash64("body", "uid"), F.lit(deal)).cast("int"))
+        dealt.groupBy("part", "batch", "deal").applyInPandas(merge, win._RUNS).write.mode("overwrite").parquet(f"{self.path}/runs/{newest:012d}-{level}")
         live = self.levels()
         for p in self._written():
             if p not in live:

@@ -202,6 +202,23 @@ def test_broken_batch_and_compaction(spark, docs):
     assert len(log.levels()) == 1 and log.read().agg(F.sum(F.octet_length("anchor"))).first()[0] == n
 
 
+def test_compaction_by_levels(spark, docs, monkeypatch):
+    """At most fanout runs stay live, older ones are not merged each time, and nothing is lost, in one task or dealt to several."""
+    log, own, before, merged = fingerprint_log.FingerprintLog(spark, parts=3, fanout=3), windows.keyed(docs), 0, []
+    for batch in range(7):
+        if batch == 4:
+            monkeypatch.setattr(windows, "RUNS_PER_PART", 20)
+        log.add(own.where(F.col("doc_id") % 7 == batch), batch)
+        before += log.spark.read.parquet(f"{log.path}/runs/{batch:012d}-0").agg(F.sum(F.octet_length("anchor"))).first()[0]
+        log.compact()
+        merged.append([log._name(p) for p in log.levels()])
+        assert len(merged[-1]) <= 3 and log.read().agg(F.sum(F.octet_length("anchor"))).first()[0] == before
+    assert merged[3] == [(3, 1)] and merged[5] == [(3, 1), (4, 0), (5, 0)] and merged[6] == [(3, 1), (6, 1)]
+    assert log.read().select("batch").distinct().count() == 7
+    for r in log.read().collect():
+        assert list(np.frombuffer(r["anchor"], np.uint32)) == sorted(np.frombuffer(r["anchor"], np.uint32))
+
+
 def test_substrings_in_batches(docs, rows, odd, empty):
     got = {r["doc_id"]: (r["_n_words"], r["_n_removed"], r["_kept"]) for r in fingerprint_log.dedup_in_batches(docs, (0.4, 0.3, 0.3)).collect()}
     assert got == brute_words(rows)
