@@ -51,10 +51,12 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float) -> tuple[list
                 inside = (F.col("_h") >= low) & (F.col("_h") < F.lit(low + width))
                 part = F.shiftright(F.col("_h") - F.lit(low), step.bit_length() - 1)
             else:
-                # doc_ids as unsigned offsets from the lowest one, in decimals: no overflow
-                offset = F.col("_d").cast("decimal(38,0)") - F.lit(LOWEST).cast("decimal(38,0)")
-                inside = (F.col("_h") == h) & (offset >= F.lit(str(low)).cast("decimal(38,0)")) & (offset < F.lit(str(low + width)).cast("decimal(38,0)"))
-                part = F.floor((offset - F.lit(str(low)).cast("decimal(38,0)")) / F.lit(str(step)).cast("decimal(38,0)")).cast("long")
+                # doc_ids as unsigned offsets from the lowest one; widths are powers of two, so whole numbers tell the part
+                offset, bits = F.col("_d").bitwiseXOR(F.lit(LOWEST)), width.bit_length() - 1
+                inside = F.col("_h") == h
+                if bits < 64:
+                    inside = inside & (F.shiftrightunsigned(offset, bits) == F.lit(low >> bits))
+                part = F.shiftrightunsigned(offset, step.bit_length() - 1).bitwiseAND(F.lit((1 << PROBE_BITS) - 1))
             place, which = F.when(inside, part).otherwise(place), F.when(inside, F.lit(i)).otherwise(which)
         rows = keys.select(which.alias("i"), place.alias("p"), "_size").where("i IS NOT NULL").groupBy("i", "p").agg(F.sum("_size").alias("b")).collect()
         counts: dict[int, list[tuple[int, int]]] = {}
