@@ -3,11 +3,15 @@
 A linear classifier names the language family; within a family, one-versus-one linear support vector machines tell
 the closely related languages apart by vote. Features are hashed byte n-grams of the whole text. Margins only rank the
 languages that were learned; whether a text is in the winner at all is told by its mean log-likelihood per n-gram.
+
+All labelled rows are learned from: their features are written once, and every step of the solver sums its gradients
+over the whole table. Only weights and sums are in the driver.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +21,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.common import if_small, materialize, restored, set_aside, small_batches
+from tessera.llm.common import discard, if_small, materialize, restored, set_aside, small_batches
 
 DIMS = 4096
-#: The classifier is fitted on at most so many labelled rows in all, shared evenly among the labels; where there are
-#: more labels than that, on one row of each.
-MAX_TRAIN = 3000
-#: Rejection floors are set on at most so many held-out labelled rows in all.
-MAX_FLOOR = 1000
+#: Cost of a row's squared hinge loss. The rows of a label weigh no more than its even share of EVEN rows together, so that
+#: a label's size doesn't matter; each row counts.
+COST, EVEN = 10.0, 3000
+#: The solver ends where a gradient is so small a part of what it was at first.
+TOLERANCE = 1e-3
+#: What is summed over rows is rounded to these parts, so that sums of doubles are exact and no order of rows matters.
+PARTS, SHARE_PARTS = float(1 << 18), float(1 << 24)
+#: Evidence of held-out rows is counted in so many parts of a bit.
+BIT_PARTS = 1024
 UNKNOWN = "und"
 #: Families by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -53,8 +61,8 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def features(text: bytes) -> np.ndarray:
-    """Square roots of hashed counts of byte pairs and triples, to length 1. The whole text counts."""
+def gram_counts(text: bytes) -> np.ndarray:
+    """Hashed counts of byte pairs and triples. The whole text counts."""
     total = np.zeros(DIMS)
     for at in range(0, len(text), 1 << 20):  # pieces overlap by two bytes, so that no triple is lost
         lead = 2 if at else 0
@@ -69,10 +77,34 @@ def features(text: bytes) -> np.ndarray:
         if b.size > 2:
             three = (pair[:-1] * np.uint32(263) + b[2:]) * np.uint32(2246822519)
             total += np.bincount((three >> np.uint32(20))[keep[:-1] & keep[1:]], minlength=DIMS)
-    total = np.sqrt(total)
+    return total
+
+
+def features(text: bytes) -> np.ndarray:
+    """Square roots of hashed counts of byte pairs and triples, to length 1. The whole text counts."""
+    total = np.sqrt(gram_counts(text))
     return (total / max(np.linalg.norm(total), 1e-12)).astype(np.float32)
 
 
+def packed(text: bytes) -> bytes:
+    """The n-grams of a text and their counts: 16-bit numbers, then 8-bit counts, or 32-bit ones where one is larger; their
+    width is the last byte."""
+    counts = gram_counts(text)
+    at = np.flatnonzero(counts)
+    kind = np.uint8 if counts.max() < 256 else np.uint32
+    return at.astype(np.uint16).tobytes() + counts[at].astype(kind).tobytes() + bytes([kind().itemsize])
+
+
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    """Features of some texts from what packed() gave, rounded to PARTS."""
+    x = np.zeros((len(blobs), DIMS))
+    for row, blob in zip(x, blobs):
+        n = (len(blob) - 1) // (2 + blob[-1])
+        counts = np.frombuffer(blob[2 * n : -1], np.uint8 if blob[-1] == 1 else np.uint32).astype(np.float64)
+        row[np.frombuffer(blob, np.uint16, n)] = np.rint(np.sqrt(counts / max(counts.sum(), 1.0)) * PARTS) / PARTS
+    return x
+
+
 def n_letters(text: bytes) -> int:
     """Bytes that are letters."""
     return sum(int(np.count_nonzero(_FOLD[np.frombuffer(text, np.uint8, min(len(text), at + (1 << 20)) - at, at)] != 32)) for at in range(0, len(text), 1 << 20))
@@ -99,14 +131,16 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) ->
     return np.append(w, bias)
 
 
-def likelihoods(x: np.ndarray) -> np.ndarray:
-    """Log2 of the n-gram shares of one label's rows; the less text was seen, the more goes to unseen n-grams."""
-    share, grams = np.zeros(DIMS), 0.0
-    for row in x:
-        one = row.astype(np.float64) ** 2  # features are square roots of shares
-        share += one
-        grams += 1 / max(one[one > 0].min(initial=1.0), 1e-9)
-    share /= max(share.sum(), 1e-12)
+def shares_of(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Sums over rows of features: the share of each n-gram, and the number of n-grams."""
+    one = np.square(x, dtype=np.float64)  # features are square roots of shares
+    least = np.where(one > 0, one, 1.0).min(axis=1, initial=1.0)
+    return (np.rint(one * SHARE_PARTS) / SHARE_PARTS).sum(0), float(np.rint(1 / np.maximum(least, 1e-9)).sum())
+
+
+def log_shares(share: np.ndarray, grams: float) -> np.ndarray:
+    """Log2 of the n-gram shares of one label; the less text was seen, the more goes to unseen n-grams."""
+    share = share / max(share.sum(), 1e-12)
     seen = min(0.95, grams / (grams + np.count_nonzero(share)))
     return np.log2(seen * share + (1 - seen) / DIMS).astype(np.float32)
 
@@ -133,45 +167,105 @@ def above_floor(model: dict, label: str, x: np.ndarray, letters: int) -> float:
     return max(over, float(mixed))
 
 
-def set_floors(model: dict, x: np.ndarray, labels: list[str], letters: list[int]) -> dict:
+def set_floors(model: dict, middle: dict[str, float], low: float | None) -> dict:
     """The model with each label's least evidence, from labelled rows that it was not fitted on and names rightly.
 
-    A floor is the lower end (0.1 %) of such rows over all labels, held against the label's median: SLACK below that
-    median at least, and beyond it never under what n-grams drawn at random would give.
+    `middle` has the median evidence of such rows by label. A floor is the lower end (`low`, the 0.1 % quantile) of such
+    rows over all labels, held against the label's median: SLACK below that median at least, and beyond it never under
+    what n-grams drawn at random would give.
     """
-    found: dict[str, list[float]] = {n: [] for n in model["names"]}
-    for row, label, n in zip(x, labels, letters):
-        if label in found and predict(model, row)[0] == label:
-            found[label].append(evidence(model, label, row, n))
-    middle = {n: float(np.median(v)) for n, v in found.items() if v}
-    off = [e - middle[n] for n, v in found.items() for e in v]
-    low = float(np.quantile(off, 0.001)) if off else -SLACK
+    low = -SLACK if low is None else low
     for i, n in enumerate(model["names"]):  # a label without such rows: what its own shares give
         m = middle.get(n, float(np.exp2(model["log"][i], dtype=np.float64) @ model["log"][i]))
         model["floor"][i] = min(m - SLACK, max(m + low, -np.log2(DIMS)))
     return model
 
 
-def fit(x: np.ndarray, labels: list[str]) -> dict:
-    """The model: labels, families, weights of families, and of each pair of labels of one family; log-likelihoods of
-    n-grams by label, their spread and the floors of evidence (none before set_floors)."""
+def layout(labels) -> dict:
+    """Labels in order, their families, and the pairs of labels of one family."""
     names = sorted(set(labels))
     family = [FAMILY.get(n.lower().split("-")[0], n) for n in names]
     kinds = sorted(set(family))
-    at = np.array([names.index(v) for v in labels], int)
-    of = np.array([kinds.index(family[i]) for i in range(len(names))], int)
-    top = [fit_svm(x, np.where(of[at] == k, 1.0, -1.0)) for k in range(len(kinds))] if len(kinds) > 1 else []
-    pairs, rows = [], []
-    for i in range(len(names)):
-        for j in range(i + 1, len(names)):
-            if of[i] == of[j]:
-                both = (at == i) | (at == j)
-                pairs.append((i, j))
-                rows.append(fit_svm(x[both], np.where(at[both] == i, 1.0, -1.0)))
-    log = np.array([likelihoods(x[at == i]) for i in range(len(names))]).reshape(len(names), DIMS)
+    of = np.array([kinds.index(f) for f in family], int)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names)) if of[i] == of[j]]
+    return {"names": names, "of": of, "kinds": kinds, "pairs": pairs}
+
+
+def signs(model: dict) -> np.ndarray:
+    """For each classifier (families, if there are several, then pairs) and label: +1, -1, or 0 where it is not concerned."""
+    of, n = model["of"], len(model["names"])
+    top = [np.where(of == k, 1.0, -1.0) for k in range(len(model["kinds"]))] if len(model["kinds"]) > 1 else []
+    pairs = [np.where(np.arange(n) == i, 1.0, np.where(np.arange(n) == j, -1.0, 0.0)) for i, j in model["pairs"]]
+    return np.array([*top, *pairs]).reshape(len(top) + len(pairs), n)
+
+
+def completed(model: dict, weights, log) -> dict:
+    """The model: layout(), weights of families and of pairs; log-likelihoods of n-grams by label, their spread and the
+    floors of evidence (none before set_floors)."""
+    tops = len(model["kinds"]) if len(model["kinds"]) > 1 else 0
+    log = np.array(log, np.float32).reshape(len(model["names"]), DIMS)
     p = np.exp2(log, dtype=np.float64)
     spread = np.sqrt(np.maximum((p * np.square(log)).sum(1) - np.square((p * log).sum(1)), 0.0))
-    return {"names": names, "of": of, "kinds": kinds, "top": np.array(top), "pairs": pairs, "rows": np.array(rows), "log": log, "spread": spread, "floor": np.full(len(names), -np.inf)}
+    return model | {"top": np.array(weights[:tops]), "rows": np.array(weights[tops:]), "log": log, "spread": spread, "floor": np.full(len(log), -np.inf)}
+
+
+def fit(x: np.ndarray, labels: list[str]) -> dict:
+    """The model of rows that are held in memory. train() learns from tables."""
+    model = layout(labels)
+    at = np.array([model["names"].index(v) for v in labels], int)
+    weights = [fit_svm(x[y != 0], y[y != 0]) for y in signs(model)[:, at]]
+    return completed(model, weights, [log_shares(*shares_of(x[at == i])) for i in range(len(model["names"]))])
+
+
+def minimise(evaluate: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], n: int, size: int, tolerance: float = TOLERANCE, memory: int = 10) -> np.ndarray:
+    """The minima of n smooth convex functions of `size` numbers each, by L-BFGS, all in the same evaluations.
+
+    evaluate(points, which) gives the values and gradients of the functions `which`. A function is done where its gradient
+    is `tolerance` times its first one, or no step lowers it any more.
+    """
+    best, trial, slope, step = np.zeros((n, size)), np.zeros((n, size)), np.zeros(n), np.ones(n)
+    value, gradient, way, first = np.full(n, np.inf), np.zeros((n, size)), np.zeros((n, size)), np.zeros(n)
+    past: list[list] = [[] for _ in range(n)]
+    live = np.arange(n)
+    while live.size:
+        values, gradients = evaluate(trial[live], live)
+        more = []
+        for k, f, g in zip(live.tolist(), values, gradients):
+            if f > value[k] + 1e-4 * step[k] * slope[k]:  # too far: back to the minimum of a parabola
+                step[k] *= min(max(-slope[k] * step[k] / (2 * (f - value[k] - slope[k] * step[k])), 0.1), 0.5)
+                if step[k] < 1e-8:
+                    continue
+            else:
+                if value[k] < np.inf:
+                    s, y = trial[k] - best[k], g - gradient[k]
+                    past[k] = [*past[k], (s, y)][-memory:] if s @ y > 1e-12 * (y @ y) else past[k]
+                else:
+                    first[k] = np.linalg.norm(g)
+                best[k], value[k], gradient[k] = trial[k], f, g
+                if np.linalg.norm(g) <= tolerance * first[k]:
+                    continue
+                q, shares = g.copy(), []
+                for s, y in reversed(past[k]):
+                    shares.append(s @ q / (s @ y))
+                    q -= shares[-1] * y
+                q *= past[k][-1][0] @ past[k][-1][1] / (past[k][-1][1] @ past[k][-1][1]) if past[k] else 1 / np.linalg.norm(g)
+                for (s, y), a in zip(past[k], reversed(shares)):
+                    q += s * (a - y @ q / (s @ y))
+                way[k], slope[k], step[k] = -q, -(g @ q), 1.0
+            trial[k] = best[k] + step[k] * way[k]
+            more.append(k)
+        live = np.array(more, int)
+    return best
+
+
+def losses(x: np.ndarray, weights: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Sums over rows of each classifier's squared hinge loss and its gradient (the last place is the bias): one row a
+    classifier. y: +1, -1 or 0 by row and classifier. x and terms are rounded, so sums over any blocks of rows add up alike."""
+    short = np.maximum(0.0, 1 - y * (x @ weights[:, :-1].T + weights[:, -1])) * (y != 0)
+    loss = np.rint(cost[:, None] * short * short * PARTS) / PARTS
+    pull = np.rint(-2 * cost[:, None] * short * y * PARTS) / PARTS
+    on = pull.any(axis=1)  # only rows that a classifier is short of pull at it
+    return np.hstack([loss.sum(0)[:, None], pull[on].T @ x[on], pull.sum(0)[:, None]])
 
 
 def predict_many(model: dict, x: np.ndarray) -> list[tuple[str, float]]:
@@ -222,7 +316,7 @@ def _bound(share: Column, rows: Column) -> Column:
 
 
 def chosen_rows(docs: DataFrame, limit: int, floor: int) -> DataFrame:
-    """lang, text, _held: of each label at most its share of `limit` rows that are not held out, and of `floor` held-out
+    """A sample for trials; train() does not use it. lang, text, _held: of each label at most its share of `limit` rows that are not held out, and of `floor` held-out
     ones: those of smallest hash, whatever the label's size. At least one row of each label, so that all are learned.
 
     Repeated rows count once. First a bound on the hash leaves some more than the share of each label (from its estimated
@@ -239,29 +333,95 @@ def chosen_rows(docs: DataFrame, limit: int, floor: int) -> DataFrame:
     return near.withColumn("_turn", turn).where("_turn <= _share").select("lang", "text", "_held")
 
 
-def train(docs: DataFrame, limit: int = MAX_TRAIN, floor: int = MAX_FLOOR) -> dict:
-    """Fit on at most `limit` rows that are not held out and have text with a letter and lang, an even share per lang; set
-    the floors of rejection on at most `floor` held-out ones (0: no floors, and nothing is learned from held-out rows).
+def _featured(docs: DataFrame, floors: bool) -> DataFrame:
+    """lang, held, letters, x (packed counts) of every row with lang and a letter; of held-out ones only with `floors`."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                b = batch.slice(a, 256)
+                texts = [t.as_py().encode() for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([n_letters(t) for t in texts], pa.int64()), pa.array([packed(t) for t in texts], pa.binary())], names=["lang", "held", "letters", "x"])
+
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", held_out(F.col("doc_id")).alias("held"))
+    return materialize((known if floors else known.where("NOT held")).mapInArrow(run, "lang string, held boolean, letters long, x binary"), "features")
 
-    Rows are chosen by a hash of doc_id and text, so reruns agree. Without such rows the model knows no language.
-    """
-    small_batches(docs.sparkSession)
+
+def _summed(rows: DataFrame, shape: tuple[int, int], of: Callable[[np.ndarray, list[str]], np.ndarray]) -> np.ndarray:
+    """The sum of of(x, labels), an array of this shape, over all blocks of rows. Each task adds up its blocks, Spark the
+    tasks' numbers; the driver gets one array, however many tasks there are."""
 
     def run(batches):
+        total = np.zeros(shape)
         for batch in batches:
-            for lang, text, held in zip(batch.column(0), batch.column(1), batch.column(2)):
-                text = text.as_py().encode()
-                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()]), pa.array([features(text).astype(np.float16).tobytes()]), pa.array([held.as_py()]), pa.array([n_letters(text)])], names=["lang", "x", "held", "letters"])
+            for a in range(0, batch.num_rows, 128):
+                b = batch.slice(a, 128)
+                total += of(unpacked(b.column(1).to_pylist()), b.column(0).to_pylist())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.float64())], names=["at", "v"])
+
+    found, out = rows.select("lang", "x").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow(), np.zeros(shape[0] * shape[1])
+    out[found["at"].to_numpy()] = found["v"].to_numpy()
+    return out.reshape(shape)
+
 
-    rows = chosen_rows(docs, limit, floor).mapInArrow(run, "lang string, x binary, held boolean, letters long").collect()  # bounded: limit + floor, or one a label
-    rows.sort(key=lambda r: (r["held"], r["lang"], bytes(r["x"])))
-    x = np.zeros((len(rows), DIMS), np.float32)
-    labels, letters = [r["lang"] for r in rows], [r["letters"] for r in rows]
-    fitted = sum(not r["held"] for r in rows)
-    for i in range(len(rows)):
-        x[i] = np.frombuffer(rows[i]["x"], np.float16)
-        rows[i] = None  # bytes go as they are taken over
-    return set_floors(fit(x[:fitted], labels[:fitted]), x[fitted:], labels[fitted:], letters[fitted:])
+def _floors(model: dict, held: DataFrame) -> dict:
+    """set_floors() from all held-out rows: their evidence, in parts of a bit, is counted by label."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                b = batch.slice(a, 256)
+                x, labels = unpacked(b.column(2).to_pylist()), b.column(0).to_pylist()
+                right = [i for i, (p, _) in enumerate(predict_many(model, x)) if p == labels[i]]
+                told = [round(evidence(model, labels[i], x[i], b.column(1)[i].as_py()) * BIT_PARTS) for i in right]
+                yield pa.RecordBatch.from_arrays([pa.array([labels[i] for i in right], pa.string()), pa.array(told, pa.int64())], names=["lang", "v"])
+
+    counts = materialize(held.select("lang", "letters", "x").mapInArrow(run, "lang string, v long").groupBy("lang", "v").agg(F.count("*").alias("n")), "evidence")
+    middle = materialize(counts.groupBy("lang").agg(F.percentile("v", 0.5, F.col("n")).alias("m")), "medians")
+    low = counts.join(if_small(middle), "lang").agg(F.percentile(F.col("v") - F.col("m"), 0.001, F.col("n"))).first()[0]
+    of = {r["lang"]: r["m"] / BIT_PARTS for r in middle.collect()}  # a row a label
+    discard(counts, middle)
+    return set_floors(model, of, None if low is None else low / BIT_PARTS)
+
+
+def train(docs: DataFrame, floors: bool = True) -> dict:
+    """Learn from all rows that are not held out and have text with a letter and lang, whatever their label's size; set the
+    floors of rejection on all held-out ones. Without `floors`, nothing is learned from held-out rows.
+
+    Families and pairs are the support vector machines (squared hinge loss) of all those rows: each pass over the table of
+    features gives the sums for one step of all classifiers. Rows count as often as they stand; no order or number of
+    partitions matters. Without such rows the model knows no language.
+    """
+    small_batches(docs.sparkSession)
+    table = _featured(docs, floors)
+    rows = table.where("NOT held")
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a label
+    model = layout(sizes)
+    names, sign = model["names"], signs(model)
+    cost = COST * np.array([min(1.0, max(1, EVEN // len(names)) / sizes[n]) for n in names])
+    place = {n: i for i, n in enumerate(names)}
+
+    def shares(x: np.ndarray, labels: list[str]) -> np.ndarray:
+        at, out = np.array([place[v] for v in labels]), np.zeros((len(names), DIMS + 1))
+        for i in np.unique(at):
+            out[i, :-1], out[i, -1] = shares_of(x[at == i])
+        return out
+
+    def evaluate(weights: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def lost(x: np.ndarray, labels: list[str]) -> np.ndarray:
+            at = np.array([place[v] for v in labels])
+            return losses(x, weights, sign[which][:, at].T, cost[at])
+
+        total = _summed(rows, (len(which), DIMS + 2), lost)
+        return total[:, 0] + np.square(weights).sum(1) / 2, total[:, 1:] + weights
+
+    seen = _summed(rows, (len(names), DIMS + 1), shares) if names else []
+    model = completed(model, minimise(evaluate, len(sign), DIMS + 1), [log_shares(v[:-1], v[-1]) for v in seen])
+    if floors and names:
+        model = _floors(model, table.where("held"))
+    discard(table)
+    return model
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -316,5 +476,5 @@ def accept(docs: DataFrame, least: float = 0.25, model: dict | None = None) -> D
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    out = identify(docs.select("doc_id", "text"), train(docs, floor=0))
+    out = identify(docs.select("doc_id", "text"), train(docs, floors=False))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))

@@ -640,3 +640,38 @@ def test_language_odd(odd, empty):
     nothing = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r["_lang_pred"] for r in langid.identify(nothing).collect()} == {"und"}
     assert np.allclose(langid.features(b"ab" * 700000), langid.features(b"ab" * 700000)) and langid.features(b"").shape == (langid.DIMS,)
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """What is learned are the sums over every row: of labels of unlike sizes, of held-out rows, in any partitions."""
+    import random
+
+    r = random.Random(9)
+    words = {"en": "the of and that with house water", "de": "der die und nicht haus wasser mit", "fr": "le la les avec maison son pas"}
+    rows = [(i, " ".join(r.choice(words[k].split() + ["x" * r.randint(1, 9)]) for _ in range(r.randint(2, 5))), k) for i, k in enumerate(["en"] * 4200 + ["de"] * 1500 + ["fr"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model, again = langid.train(df), langid.train(df.repartition(7))
+    assert all(np.array_equal(model[k], again[k]) for k in ("top", "rows", "log", "floor"))
+    known = [(langid.features(t.encode()), k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    held = [(langid.features(t.encode()), k, langid.n_letters(t.encode())) for i, t, k in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(known) > 3000 and len(held) > 1000
+    x, labels = np.stack([v for v, _ in known]).astype(np.float64), np.array([k for _, k in known])
+    for i, name in enumerate(model["names"]):
+        share = np.square(x[labels == name]).sum(0)
+        assert np.allclose(np.exp2(model["log"][i])[share == 0], np.exp2(model["log"][i]).min(), rtol=1e-4)
+        assert np.corrcoef(np.exp2(model["log"][i]), share)[0, 1] > 0.9999
+    # no smaller gradient is left over all rows: the machine of all of them, not of some
+    cost = langid.COST * np.array([min(1, langid.EVEN // 3 / (labels == k).sum()) for k in labels])
+    for w, y in [*zip(model["top"], (np.where(np.isin(labels, ["de", "en"]), 1.0, -1.0), np.where(labels == "fr", 1.0, -1.0))), (model["rows"][0], np.where(labels == "de", 1.0, np.where(labels == "en", -1.0, 0.0)))]:
+        z = np.hstack([x, np.ones((len(x), 1))])
+        slope = lambda v: v - 2 * (cost * y * np.maximum(0, 1 - y * (z @ v)) * (y != 0)) @ z
+        assert np.linalg.norm(slope(w)) < 2e-3 * np.linalg.norm(slope(0 * w))
+    # floors are quantiles over all held-out rows
+    told = {k: [] for k in model["names"]}
+    for v, k, n in held:
+        if langid.predict(model, v)[0] == k:
+            told[k].append(langid.evidence(model, k, v, n))
+    low = np.quantile([e - np.median(v) for v in told.values() for e in v], 0.001)
+    for i, k in enumerate(model["names"]):
+        m = np.median(told[k])
+        assert abs(model["floor"][i] - min(m - langid.SLACK, max(m + low, -np.log2(langid.DIMS)))) < 0.01
