@@ -32,6 +32,16 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a side that may be broadcast.
+SMALL = 200_000
+
+
+def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, cut, with a hint to broadcast it where it has few rows; of narrow rows only."""
+    df = _cut(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def levels(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """node, level: everything reachable from starts (node) along src -> dst, with the least number of steps."""
     reached = front = _cut(starts.select("node").distinct().withColumn("level", F.lit(0)))

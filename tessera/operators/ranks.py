@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from tessera.operators.graph import _cut
 
 #: Ranks that one row of a dealt range is exploded to at once.
 BLOCK = 10_000
+#: Links of a component that one task matches at once.
+LINKS = 200_000
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
@@ -27,29 +30,61 @@ def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "rank"
     return put.alias("x").join(per.alias("y"), same).select(*[F.col(f"x.{c}") for c in df.columns], place.alias(name))
 
 
+def _greedy(links: pd.DataFrame) -> pd.DataFrame:
+    """matched_classes() of the links of whole components."""
+    e = links.sort_values(["confidence", "f1", "c", "f2", "d"], ascending=[False, True, True, True, True])
+    used1: dict = {}
+    used2: dict = {}
+    out = []
+    for c, d, p, n1, n2, u1, u2 in e[["c", "d", "confidence", "n1", "n2", "u1", "u2"]].itertuples(index=False):
+        x, y = used1.get(c, 0), used2.get(d, 0)
+        m = min(n1 - x, n2 - y)
+        if m > 0:
+            out.append((c, d, p, m, u1 + x, u2 + y))
+            used1[c], used2[d] = x + m, y + m
+    return pd.DataFrame(out, columns=["c", "d", "confidence", "m", "c_from", "d_from"])
+
+
 def matched_classes(one: DataFrame, two: DataFrame, links: DataFrame) -> DataFrame:
     """c, d, confidence, m, c_from, d_from: m members of class c from place c_from on are matched with as many of class d.
 
     one: c, n, first (members, and what breaks ties; unique). two: d, n, first. links: c, d, confidence. The result is greedy:
-    links are taken by falling confidence, then by first of c and of d, each as far as members last. In each round the
-    links that are the best of both their classes are taken together, whatever else there is; one of the two classes is
-    then used up, so each round ends with fewer links. Classes are rows, however many members they have.
+    links are taken by falling confidence, then by first of c and of d, each as far as members last. Components of links
+    don't touch each other, so each is solved by one task; of one with more than LINKS links, the best LINKS in that order
+    come first, and what is left of the others after that in the next round. Classes are rows, however many members they have.
     """
+    from tessera.operators.match import _components
+
     e = links.join(one.select("c", F.col("n").alias("n1"), F.col("first").alias("f1")), "c").join(two.select("d", F.col("n").alias("n2"), F.col("first").alias("f2")), "d")
-    left = _cut(e.where("n1 > 0 AND n2 > 0").withColumns({"u1": F.lit(0).cast("long"), "u2": F.lit(0).cast("long")}))
+    e = _cut(e.where("n1 > 0 AND n2 > 0"))
+    schema = f"c {dict(e.dtypes)['c']}, d {dict(e.dtypes)['d']}, confidence double, m long, c_from long, d_from long"
+    if e.isEmpty():
+        return e.sparkSession.createDataFrame([], schema)
+    # whichever side an id is of: where ids of both sides are equal, components grow together, which does no harm
+    parts = _components(e.select(F.col("c").alias("a"), F.col("d").alias("b"))).select(F.col("id").alias("c"), "p")
+    left = _cut(e.join(parts, "c").withColumns({"u1": F.lit(0).cast("long"), "u2": F.lit(0).cast("long")}))
     done = []
-    while not left.isEmpty():
-        b1 = left.groupBy("c").agg(F.min(F.struct((-F.col("confidence")).alias("o"), "f2", "d", "n1", "n2", "u1", "u2")).alias("b")).select("c", "b.*")
-        b2 = left.groupBy("d").agg(F.min(F.struct((-F.col("confidence")).alias("o"), "f1", "c")).alias("b")).select("d", "b.c")
-        take = _cut(b1.join(b2, ["c", "d"]).select("c", "d", (-F.col("o")).alias("confidence"), F.least("n1", "n2").alias("m"), F.col("u1").alias("c_from"), F.col("u2").alias("d_from")))
+    while True:
+        size = left.groupBy("p").agg(F.count("*").alias("size"))
+        large = _cut(size.where(F.col("size") > LINKS).select("p"))
+        some = not large.isEmpty()
+        now = left
+        if some:
+            put = ranked(left.join(large, "p", "left_semi").withColumn("o", -F.col("confidence")), ["p"], ["o", "f1", "c", "f2", "d"]).where(F.col("rank") < LINKS).drop("o", "rank")
+            now = left.join(large, "p", "left_anti").unionByName(put)
+        few = max(1, now.count() // LINKS)
+        # small components are dealt to bundles, a large one is a bundle
+        of = now.join(large, "p", "left_semi").withColumn("_b", F.concat_ws("-", F.lit("p"), F.col("p").cast("string"))) if some else now.limit(0).withColumn("_b", F.lit(""))
+        of = of.unionByName(now.join(large, "p", "left_anti").withColumn("_b", F.pmod(F.xxhash64("p"), F.lit(few)).cast("string")))
+        take = _cut(of.drop("p").groupBy("_b").applyInPandas(lambda x: _greedy(x), schema))
         done.append(take)
-        m1, m2 = take.select("c", F.col("m").alias("m1")), take.select("d", F.col("m").alias("m2"))
-        left = left.join(m1, "c", "left").join(m2, "d", "left").fillna(0, ["m1", "m2"])
-        left = left.withColumns({"n1": F.col("n1") - F.col("m1"), "u1": F.col("u1") + F.col("m1"), "n2": F.col("n2") - F.col("m2"), "u2": F.col("u2") + F.col("m2")})
-        left = _cut(left.drop("m1", "m2").where("n1 > 0 AND n2 > 0"))
-    if not done:
-        return left.select("c", "d", "confidence", F.lit(0).cast("long").alias("m"), F.col("u1").alias("c_from"), F.col("u2").alias("d_from"))
-    return reduce(DataFrame.unionByName, done)
+        if not some:
+            return reduce(DataFrame.unionByName, done)
+        m1, m2 = take.groupBy("c").agg(F.sum("m").alias("m1")), take.groupBy("d").agg(F.sum("m").alias("m2"))
+        rest = left.join(large, "p", "left_semi").join(now.select("c", "d"), ["c", "d"], "left_anti")
+        rest = rest.join(m1, "c", "left").join(m2, "d", "left").fillna(0, ["m1", "m2"])
+        rest = rest.withColumns({"n1": F.col("n1") - F.col("m1"), "u1": F.col("u1") + F.col("m1"), "n2": F.col("n2") - F.col("m2"), "u2": F.col("u2") + F.col("m2")})
+        left = _cut(rest.drop("m1", "m2").where("n1 > 0 AND n2 > 0"))
 
 
 def dealt(taken: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:

@@ -71,3 +71,20 @@ def test_no_rules(spark):
     some = none.union(spark.createDataFrame([(1, "b", None, None), (2, "b", "", 0)], none.schema))
     assert match.match_members(none, some).count() == match.match_members(none, none).count() == 0
     assert [(x["g1"], x["g2"]) for x in match.match_members(some, some.withColumn("rule_id", F.col("rule_id") + 10)).collect()]
+
+
+@pytest.mark.parametrize("most", [ranks.LINKS, 7])
+def test_near_copies_of_one_confidence(spark, monkeypatch, most):
+    """Classes that are all linked with the same confidence took a round each; a component is one step, or one for each
+    LINKS links."""
+    monkeypatch.setattr(ranks, "LINKS", most)
+    cuts, cut = [], ranks._cut
+    monkeypatch.setattr(ranks, "_cut", lambda df: cuts.append(1) or cut(df))
+    one, two = [(f"c{i:02}", 1 + i % 3, i) for i in range(20)], [(f"d{i:02}", 2, 50 - i) for i in range(20)]
+    links = [(c, d, 0.9) for c, _, _ in one[:-2] for d, _, _ in two[:-2]] + [("c19", "d19", 0.8), ("c18", "d19", 0.9)]
+    if most < 10:
+        one, two, links = one[:6], two[:6], [x for x in links if x[0] < "c06" and x[1] < "d06"]
+    frames = spark.createDataFrame(one, "c string, n long, first int"), spark.createDataFrame(two, "d string, n long, first int"), spark.createDataFrame(links, "c string, d string, confidence double")
+    got = ranks.matched_classes(*frames).collect()
+    assert sorted((x["c"], x["d"], x["confidence"], x["m"]) for x in got) == greedy_classes(one, two, links)
+    assert most < 10 or len(cuts) < 10

@@ -45,3 +45,24 @@ def test_near_duplicates_edges(spark):
     rows = [(1, None), (2, ""), (3, " "), (4, "one two"), (5, "One  two"), (6, "one two three")]
     got = match.near_duplicate_groups(spark.createDataFrame(rows, "rule_id long, text string")).collect()
     assert sorted(map(tuple, got)) == [(2, 3), (4, 5)]
+
+
+@pytest.mark.parametrize("frequent", [match.FREQUENT, 20])
+def test_similar_sets_by_sketches(spark, monkeypatch, frequent):
+    """All pairs that brute force finds, whatever part of the elements is told apart by frequency; small, large and empty
+    sets, of two groups."""
+    monkeypatch.setattr(match, "FREQUENT", frequent)
+    monkeypatch.setattr(match, "STEP", 7)
+    r, sides = random.Random(4), []
+    bases = [[r.getrandbits(63) - 2**62 for _ in range(n)] for n in (1, 3, 8, 40, 1500)]
+    shared = r.sample(range(1000), 200)
+    for _ in range(2):
+        rows = [(g, 0, []) for g in "xy"]
+        for i in range(1, 60):
+            w = set(r.choice(bases)) | set(r.sample(shared, r.randrange(3)))
+            w = {v for v in w if r.random() > 0.1} | {r.choice(shared) for _ in range(r.randrange(4))}
+            rows.append((r.choice("xy"), i, sorted(w)))
+        sides.append(rows)
+    want = sorted((g, a, b, len(set(v) & set(w))) for g, a, v in sides[0] for h, b, w in sides[1] if g == h and v and w and 4 * len(set(v) & set(w)) >= 3 * len(set(v) | set(w)))
+    got = match.similar_sets(*[spark.createDataFrame(x, "g string, id int, w array<long>") for x in sides])
+    assert sorted(map(tuple, got.select("g", "a", "b", "both").collect())) == want and len(want) > 100
