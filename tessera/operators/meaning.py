@@ -2,7 +2,8 @@
 
 Vectors are dealt to the nearest of a bounded number of pivots. Angles obey the triangle inequality, so a vector of one side is
 sent to those cells of the other that can hold one within the angle asked for, and to no others; cells are split into blocks
-of bounded size, and each pair of blocks is one product of matrices. Exact.
+of bounded size, and each pair of blocks is one product of matrices. A group whose cells hold little apart is dealt by blocks only.
+Exact.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import _cut
+from tessera.operators.graph import _cut, if_small
 from tessera.operators.match import rule_facts
 from tessera.operators.search import embed
 from tessera.operators.vector_index import _directed
@@ -64,7 +65,8 @@ def vector_pairs(one: DataFrame, two: DataFrame, least: float, pivots: int = PIV
     reaches = spark.sparkContext.broadcast({g: (np.array([c for c, _ in v]), np.array([r for _, r in v])) for g, v in reach.items()})
     far = float(np.arccos(least))
 
-    def send(frames):
+    def reached(frames):
+        """Of up to 1,024 rows of a group: the rows, and row and cell of each that has to meet."""
         for f in frames:
             for g, own in f.groupby("g"):
                 known = reaches.value.get(g, reaches.value.get(None))
@@ -75,10 +77,32 @@ def vector_pairs(one: DataFrame, two: DataFrame, least: float, pivots: int = PIV
                     part = own.iloc[at : at + 1024]
                     angle = np.arccos(np.clip(_matrix(part["unit"]) @ shared.value[c].T, -1, 1))
                     row, to = np.nonzero(angle <= r[None, :] + far + SLACK)
-                    yield pd.DataFrame({"g": part["g"].to_numpy()[row], "id": part["id"].to_numpy()[row], "unit": part["unit"].to_numpy()[row], "cell": c[to].astype(np.int32)})
+                    yield g, part, row, c[to].astype(np.int32)
+
+    def count(frames):
+        for g, _, _, cell in reached(frames):
+            cell, m = np.unique(cell, return_counts=True)
+            yield pd.DataFrame({"g": g, "cell": cell, "m": m.astype(np.int64)})
 
-    sent = _cut(rows.where("side = 1").select("g", "id", "unit").mapInPandas(send, f"g string, id {kind}, unit array<double>, cell int"))
-    deal = _cut(cells.join(sent.groupBy("g", "cell").agg(F.count("*").alias("m")), ["g", "cell"]).select("g", "cell", F.ceil(F.col("m") / block).cast("int").alias("p1"), F.ceil(F.col("n") / block).cast("int").alias("p2")))
+    def send(frames):
+        for _, part, row, cell in reached(frames):
+            yield pd.DataFrame({"g": part["g"].to_numpy()[row], "id": part["id"].to_numpy()[row], "unit": part["unit"].to_numpy()[row], "cell": cell})
+
+    # vectors are counted before they are sent: where cells hold little apart, each row meets most cells, and blocks of the whole
+    # group are dealt with fewer copies
+    parts = lambda df: df.withColumns({"p1": F.ceil(F.col("m") / block).cast("int"), "p2": F.ceil(F.col("n") / block).cast("int")})
+    mine = rows.where("side = 1").select("g", "id", "unit")
+    asked = mine.mapInPandas(count, "g string, cell int, m long").groupBy("g", "cell").agg(F.sum("m").alias("m"))
+    by_cell = _cut(parts(cells.join(asked, ["g", "cell"])))
+    copies = F.col("m") * F.col("p2") + F.col("n") * F.col("p1")
+    whole = parts(rows.groupBy("g").agg(F.count_if(F.col("side") == 1).alias("m"), F.count_if(F.col("side") == 2).alias("n"))).withColumn("whole", copies)
+    each = by_cell.groupBy("g").agg((F.sum(copies) + F.sum("m")).alias("each"))  # what is sent is written once besides
+    plain = if_small(whole.join(each, "g").where("whole < each").select("g", F.lit(-1).alias("cell"), "p1", "p2"))
+    of = lambda df, how: df.join(plain.select("g"), "g", how)
+    one_cell = lambda df: of(df.select("g", "id", "unit"), "left_semi").withColumn("cell", F.lit(-1))
+    sent = _cut(of(mine, "left_anti").mapInPandas(send, f"g string, id {kind}, unit array<double>, cell int")).unionByName(one_cell(mine))
+    placed = of(placed.select("g", "id", "unit", "cell"), "left_anti").unionByName(one_cell(rows.where("side = 2")))
+    deal = _cut(of(by_cell.select("g", "cell", "p1", "p2"), "left_anti").unionByName(plain.select("g", "cell", "p1", "p2")))
 
     def dealt(df: DataFrame, own: str, other: str, i: str, j: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(i)

@@ -36,6 +36,19 @@ def test_all_pairs(spark, monkeypatch, least, pivots, block, groups):
     assert all(abs(want[x["g"], x["a"], x["b"]] - x["similarity"]) < 1e-9 for x in got)
 
 
+def test_vectors_without_clusters_are_not_sent_to_every_cell(spark, monkeypatch):
+    """Of 1,600 vectors in all directions each reaches most of 41 cells: they are dealt by blocks instead, few copies each."""
+    seen, cut = [], meaning._cut
+    monkeypatch.setattr(meaning, "_cut", lambda df: seen.append(cut(df)) or seen[-1])
+    r = random.Random(8)
+    side = lambda: [("x" if i % 2 else "y", i, [r.gauss(0, 1) for _ in range(12)]) for i in range(800)]
+    one, two = side(), side()
+    schema = "g string, id long, embedding array<double>"
+    got = meaning.vector_pairs(spark.createDataFrame(one, schema), spark.createDataFrame(two, schema), 0.6, block=100).collect()
+    assert {(x["g"], x["a"], x["b"]) for x in got} == {(g, i, j) for g, i, a in one for h, j, b in two if g == h and cos(a, b) >= 0.6}
+    assert max(x.count() for x in seen if "unit" in x.columns) <= 1600
+
+
 def test_nothing_to_join(spark):
     none = spark.createDataFrame([], "g string, id long, embedding array<double>")
     some = spark.createDataFrame([("x", 1, [1.0, 0.0])], none.schema)
